@@ -20,8 +20,10 @@ from .common import map_columns
 
 #: Rows that the lists are fitted on (the smallest hashes of vec_id), and Lloyd steps.
 SAMPLE_ROWS, STEPS = 20_000, 8
-#: Lists for n vectors: half the square root, within bounds; the share of them that a query probes.
-LEAST_LISTS, MOST_LISTS, PROBED_SHARE = 1, 4096, 0.4
+#: Lists for n vectors: half the square root, within bounds.
+LEAST_LISTS, MOST_LISTS = 1, 4096
+#: A query probes as many lists as reach this recall among the sample's rows, for so many of them as queries.
+RECALL, TRIALS = 0.97, 400
 #: Columns read between tests; how many standard deviations a partial distance may lie above before it is given up.
 COLUMNS, EPSILON = 16, 2.1
 #: Rows of a list that one group holds; larger lists are dealt out over several, each probed by the same queries.
@@ -46,6 +48,24 @@ def kmeans(rows: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     return centres
 
 
+def probes_for(raw: np.ndarray, fitted: np.ndarray, asked: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """The fewest lists whose members hold the share RECALL of the k nearest of the sample's first rows.
+
+    Neighbours in the whole table are nearer than those in a sample, so they are found at least as surely.
+    """
+    square = (centres**2).sum(1)
+    home = np.concatenate([(square - 2 * part @ centres.T).argmin(1) for part in np.array_split(fitted, 1 + len(fitted) // 4096)])
+    n, at = min(len(raw), TRIALS), []
+    order = np.argsort(square - 2 * asked[:n] @ centres.T, axis=1)
+    place = np.argsort(order, axis=1)
+    score = raw[:n] @ raw.T
+    score[np.arange(n), np.arange(n)] = -np.inf
+    for q in range(n):
+        best = np.argpartition(-score[q], min(k, len(raw) - 1))[:k]
+        at.append(place[q][home[best]])
+    return int(np.quantile(np.concatenate(at), RECALL, method="higher")) + 1
+
+
 def _lifted(v: np.ndarray, most: float, query: bool) -> np.ndarray:
     """One more column: 0 for queries, what a vector's norm lacks to the largest one for candidates."""
     lack = np.zeros(len(v)) if query else np.sqrt(np.maximum(0.0, most**2 - (v**2).sum(1)))
@@ -105,10 +125,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_col: st
     rows = rows.where(F.size(v) == dims)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).toPandas()
     turn = rotation(dims + 1)
-    fitted = _lifted(np.stack(sample["v"].to_numpy()), most, False) @ turn
+    raw = np.stack(sample["v"].to_numpy())
+    fitted = _lifted(raw, most, False) @ turn
     lists = int(min(len(fitted), max(LEAST_LISTS, min(MOST_LISTS, math.sqrt(n) / 2))))
     centres = kmeans(fitted, lists)
-    probes = max(1, math.ceil(lists * PROBED_SHARE))
+    probes = probes_for(raw, fitted, _lifted(raw, most, True) @ turn, centres, k)
     longs = pa.list_(pa.int64())
 
     def deal(vec_id: pa.Array, raw: pa.Array) -> dict[str, object]:
