@@ -1,0 +1 @@
+"""Nothing streams here: the work that this library covers reads whole tables."""
