@@ -100,5 +100,5 @@ def unsupported_chars(df: DataFrame, label: str, top: int = 20, charset: str = C
     bad = df.where(~is_encodable(F.col(label), charset)).select(F.explode(F.split(label, "")).alias("char"))
     bad = bad.where((F.col("char") != "") & (F.instr(F.lit(charset), F.col("char")) == 0))
     counted = bad.groupBy("char").agg(F.count("*").alias("n"))
-    code = F.conv(F.hex(F.encode("char", "UTF-32BE")), 16, 10).cast("long")
+    code = F.conv(F.hex(F.encode("char", "UTF-32")), 16, 10).cast("long")
     return counted.select("char", F.format_string("U+%04X", code).alias("code"), "n").orderBy(F.desc("n"), code).limit(top)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import SIDES, box, box_area, cover, intersection, iou, meets
+from ..sources.corpus import kept
 
 #: Side of a grid cell for pages with very many boxes, in pixels.
 CELL = 256
@@ -63,14 +62,6 @@ def overlap_neighbours(boxes: DataFrame, pad: int, pages: DataFrame | None = Non
     return grown.join(other, on, "left_semi").select("page_id", "id")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A written copy in the shared checkpoint folder, so that rounds do not recompute each other."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/glyphframe-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def match_one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     """(page_id, ref_id, det_id, iou): greedy matching of candidate pairs by (higher iou, ref_id, det_id).
 
@@ -78,16 +69,16 @@ def match_one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     sequential greedy result; rounds end when no pair is left, and running out of rounds raises.
     """
     order = [F.desc("iou"), "ref_id", "det_id"]
-    left, found = _kept(pairs.select("page_id", "ref_id", "det_id", "iou")), None
+    left, found = kept(pairs.select("page_id", "ref_id", "det_id", "iou")), None
     for _ in range(rounds):
         if left.isEmpty():
             return found if found is not None else left
         first = lambda key: F.row_number().over(Window.partitionBy("page_id", key).orderBy(*order)) == 1
         taken = left.withColumn("_r", first("ref_id")).withColumn("_d", first("det_id")).where("_r and _d").drop("_r", "_d")
-        taken = _kept(taken)
+        taken = kept(taken)
         found = taken if found is None else found.unionByName(taken)
         left = left.join(taken.select("page_id", "ref_id"), ["page_id", "ref_id"], "left_anti")
-        left = _kept(left.join(taken.select("page_id", "det_id"), ["page_id", "det_id"], "left_anti"))
+        left = kept(left.join(taken.select("page_id", "det_id"), ["page_id", "det_id"], "left_anti"))
     raise RuntimeError("matching did not end within its rounds")
 
 
@@ -101,7 +92,7 @@ def box_compare(ref: DataFrame, det: DataFrame, sparse: bool = False, threshold:
     a, b = box("r_"), box("d_")
     both = intersection(a, b)
     met = overlap_join(ref, det).select("page_id", "ref_id", "det_id", iou(a, b).alias("iou"), (both >= PART_OF * box_area(a)).alias("in_det"), (both >= PART_OF * box_area(b)).alias("in_ref"))
-    met = _kept(met)
+    met = kept(met)
     matched = match_one_to_one(met.where(F.col("iou") >= threshold))
     merging = met.where("in_det").groupBy("page_id", "det_id").agg(F.count("*").alias("n")).where("n >= 2").select("page_id", "det_id")
     merged = met.where("in_det").join(merging, ["page_id", "det_id"]).select("page_id", "ref_id").distinct()
@@ -154,7 +145,7 @@ def seg_metrics(truth: DataFrame, pred: DataFrame) -> DataFrame:
     spurious predictions."""
     a, b = box("r_"), box("d_")
     met = overlap_join(truth, pred).select("page_id", "ref_id", "det_id", iou(a, b).alias("iou"), cover(a, b).alias("c"), cover(b, a).alias("back"))
-    met = _kept(met)
+    met = kept(met)
     by_ref = truth.select("page_id", "ref_id").join(met.where("c > 0.15").groupBy("page_id", "ref_id").agg(F.count("*").alias("k")), ["page_id", "ref_id"], "left")
     by_ref = by_ref.groupBy("page_id").agg(F.count("*").alias("truth_words"), F.count_if(F.col("k") >= 2).alias("split_words"), F.count_if(F.col("k").isNull()).alias("missed"))
     swallow = met.groupBy("page_id", "det_id").agg(F.count_if(F.col("c") > 0.5).alias("k"), F.count_if(F.col("back") > 0.15).alias("on"))

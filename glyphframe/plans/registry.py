@@ -1,4 +1,1024 @@
-"""The registered queries and their SQL."""
+"""The registered queries: each applies one operator to a whole table; with the SQL that gives the same rows in DuckDB."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import charset, geometry, rules, text
+from ..operators import audit, bootstrap, boxes, layout, planning, scores
+from ..sources import exchange
+from .fixtures import load, with_fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The fixtures and given tables of one folder by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return load(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None, fixtures: str = ""):
+    """Register a function of ``Tables``; ``sql`` may use the named fixtures."""
+
+    def register(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = with_fixtures(sql, fixtures.split())
+        return fn
+
+    return register
+
+
+# --- corpora ------------------------------------------------------------------------------------------------------
+
+
+@query("s5_split_counts", """
+SELECT coalesce(m.split, e.split) AS split, coalesce(m.n, 0) AS n, e.expected, coalesce(m.n, 0) - coalesce(e.expected, 0) AS difference
+FROM (SELECT split, count(*) AS n FROM manifest GROUP BY split) m
+FULL JOIN (SELECT * FROM (VALUES ('train', 150), ('val', 20), ('extra', 5)) v(split, expected)) e ON m.split = e.split""", "manifest")
+def _(t):
+    expected = t.spark.createDataFrame([("train", 150), ("val", 20), ("extra", 5)], "split string, expected int")
+    return audit.split_counts(t.manifest, expected)
+
+
+@query("s4_sniff_ext", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'jpg' WHEN doc_id % 3 = 1 THEN 'png' ELSE 'webp' END AS ext FROM documents""")
+def _(t):
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FFD8FFE000104A46"))).otherwise(F.encode("text", "UTF-8"))
+    hint = F.when(F.col("doc_id") % 3 == 2, F.concat("source", F.lit("/x.WebP"))).otherwise(F.concat("source", F.lit("/x.gif")))
+    return t.documents.select("doc_id", rules.sniff_ext(head, hint).alias("ext"))
+
+
+@query("s9_sample_lines", """
+SELECT '{"_meta":{"n_kept":10,"n_scored":' || count(*) || ',"n_unreadable_skipped":0}}' AS value FROM samples
+UNION ALL SELECT '{"manifest_index":' || manifest_index || ',"ref":"' || ref || '"}' FROM samples""", "samples")
+def _(t):
+    return exchange.sample_lines(t.samples.select("manifest_index", "ref"), kept=10)
+
+
+@query("s15_csv_safe", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '''=' || source WHEN doc_id % 4 = 1 THEN '''-' || source ELSE source END AS cell FROM documents""")
+def _(t):
+    cell = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("="), "source")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("-"), "source")).otherwise(F.col("source"))
+    return t.documents.select("doc_id", exchange.csv_safe(cell).alias("cell"))
+
+
+@query("s16_batch_lines", """
+SELECT source || chr(9) || CASE WHEN doc_id % 5 = 0 THEN '[not recognized: ' || lang || ']' ELSE lang END AS value FROM documents""")
+def _(t):
+    rows = t.documents.select(F.col("doc_id").alias("seq"), F.col("source").alias("name"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("text"), F.col("lang").alias("error"))
+    return exchange.batch_lines(rows)
+
+
+@query("s17_error_lines", "SELECT ref, hyp_ctrl AS hyp FROM samples WHERE ref <> hyp_ctrl", "samples")
+def _(t):
+    return exchange.error_lines(t.samples.withColumnRenamed("hyp_ctrl", "hyp"))
+
+
+@query("s18_results_json", """
+SELECT page_id, '{"page_id":' || page_id || ',"items":' || count(*) || ',"ok":' || count(*) FILTER (WHERE scored AND hyp <> '') || ',"empty":' || count(*) FILTER (WHERE scored AND hyp = '')
+  || ',"failed":' || count(*) FILTER (WHERE NOT scored) || ',"records":[' || string_agg('{"verification_id":' || verification_id || ',"hyp":"' || hyp || '","status":"'
+  || CASE WHEN NOT scored THEN 'failed' WHEN hyp = '' THEN 'empty' ELSE 'ok' END || '"}', ',' ORDER BY verification_id) || ']}' AS value
+FROM results WHERE setting = 0 GROUP BY page_id""", "results")
+def _(t):
+    rows = t.results.where("setting = 0").withColumn("ok", F.col("scored")).withColumn("text", F.col("hyp"))
+    return exchange.results_json(rows, ["page_id"], ["verification_id"], ["verification_id", "hyp"])
+
+
+@query("s20_history_union", """
+SELECT run, epoch, score, batches, NULL AS extra FROM history WHERE epoch % 2 = 0
+UNION ALL SELECT run, epoch, score, NULL, epoch % 5 FROM history WHERE epoch % 2 = 1""", "history")
+def _(t):
+    h = t.history
+    return exchange.history_union([h.where("epoch % 2 = 0"), h.where("epoch % 2 = 1").select("run", "epoch", "score", (F.col("epoch") % 5).alias("extra"))])
+
+
+@query("s22_verify_checksums", """
+SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'MISSING' WHEN doc_id % 5 = 0 THEN 'DIFFERENT' ELSE 'OK' END AS verdict FROM inventory""", "inventory")
+def _(t):
+    listing = exchange.checksum_lines(t.inventory.withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.col("path"), 256)).otherwise(F.col("sha256"))))
+    return exchange.verify_checksums(listing, t.inventory.where("doc_id % 7 <> 0"))
+
+
+@query("a25_import_report", """
+SELECT split, count(*) AS n, count(DISTINCT label) AS distinct_labels, sum(least(length(label), 20)) / count(*) AS mean_length,
+  count(*) FILTER (WHERE length(label) >= 12) AS long_labels FROM manifest GROUP BY split""", "manifest")
+def _(t):
+    return audit.import_report(t.manifest)
+
+
+@query("a26_label_leakage", """
+SELECT m.split, count(*) AS labels, count(r.label) AS in_train, count(r.label) / count(*) AS share
+FROM (SELECT DISTINCT split, label FROM manifest WHERE split <> 'train') m
+LEFT JOIN (SELECT DISTINCT label FROM manifest WHERE split = 'train') r ON m.label = r.label GROUP BY m.split""", "manifest")
+def _(t):
+    return audit.label_leakage(t.manifest)
+
+
+@query("a27_duplicate_groups", """
+SELECT content_md5, count(*) AS n, count(DISTINCT split) AS splits, min(row) AS first_row, CASE WHEN count(DISTINCT split) > 1 THEN 'across' ELSE 'within' END AS kind
+FROM manifest GROUP BY content_md5 HAVING count(*) > 1""", "manifest")
+def _(t):
+    return audit.duplicate_groups(t.manifest)
+
+
+@query("a27_shown_groups", """
+SELECT * FROM g WHERE kind = 'across' UNION ALL SELECT * FROM (SELECT * FROM g WHERE kind = 'within' ORDER BY first_row, content_md5 LIMIT 15)""".replace("FROM g", """FROM (
+SELECT content_md5, count(*) AS n, count(DISTINCT split) AS splits, min(row) AS first_row, CASE WHEN count(DISTINCT split) > 1 THEN 'across' ELSE 'within' END AS kind
+FROM manifest GROUP BY content_md5 HAVING count(*) > 1)"""), "manifest")
+def _(t):
+    return audit.shown_groups(audit.duplicate_groups(t.manifest))
+
+
+@query("a28_repeated_names", "SELECT split, orig, count(*) AS n FROM manifest GROUP BY split, orig HAVING count(*) > 1", "manifest")
+def _(t):
+    return audit.repeated_names(t.manifest)
+
+
+@query("a29_word_freq", "SELECT w AS word, count(*) AS freq FROM words GROUP BY w HAVING count(*) >= 3", "words")
+def _(t):
+    return audit.word_freq(t.words.select(F.col("w").alias("word")), 3)
+
+
+@query("a29_merge_vocab", """
+SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT word, freq FROM vocab UNION ALL SELECT label, CAST(1 AS BIGINT) FROM manifest) GROUP BY word""", "vocab manifest")
+def _(t):
+    return audit.merge_vocab([t.vocab, t.manifest.select(F.col("label").alias("word"), F.lit(1).cast("long").alias("freq"))])
+
+
+@query("a29_vocab_report", """
+SELECT count(*) AS words, (SELECT l FROM (SELECT length(word) AS l, row_number() OVER (ORDER BY length(word)) AS k FROM vocab) WHERE k = (SELECT count(*) FROM vocab) // 2 + 1) AS median_length,
+  count(*) FILTER (WHERE length(word) >= 16) AS long_words FROM vocab""", "vocab")
+def _(t):
+    return audit.vocab_report(t.vocab)
+
+
+_STORED = """SELECT manifest_index - CASE WHEN manifest_index % 101 = 0 THEN 5 ELSE 0 END AS manifest_index, ref, hyp_ctrl AS hyp,
+ levenshtein(ref, hyp_ctrl) + CASE WHEN manifest_index % 97 = 0 THEN 1 ELSE 0 END AS edits, length(ref) AS ref_len,
+ length(hyp_ctrl) + CASE WHEN manifest_index % 89 = 0 THEN 1 ELSE 0 END AS hyp_len, (ref = hyp_ctrl) <> (manifest_index % 83 = 0) AS correct FROM """
+
+
+@query("a32_audit_metrics", f"""
+SELECT CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE n > 1) AS duplicate_index, CAST(sum(e) AS BIGINT) AS wrong_edits, CAST(sum(l) AS BIGINT) AS wrong_lengths, CAST(sum(c) AS BIGINT) AS wrong_flags FROM (
+SELECT manifest_index, count(*) AS n, count(*) FILTER (WHERE edits <> levenshtein(ref, hyp)) AS e, count(*) FILTER (WHERE ref_len <> length(ref) OR hyp_len <> length(hyp)) AS l,
+ count(*) FILTER (WHERE correct <> (ref = hyp)) AS c FROM ({_STORED} samples) GROUP BY manifest_index)""", "samples")
+def _(t):
+    return audit.audit_metrics(t.spark.sql(_STORED + "{samples}", samples=t.samples))
+
+
+@query("j2_label_provenance", """
+SELECT count(*) AS n, count(*) FILTER (WHERE m.row IS NULL) AS no_line, count(*) FILTER (WHERE m.row IS NOT NULL AND s.image <> m.orig) AS other_image,
+  count(*) FILTER (WHERE m.row IS NOT NULL AND s.ref <> m.label) AS other_label, CAST(0 AS BIGINT) AS other_style
+FROM (SELECT doc_id + doc_id % 2 * CAST(1000000 AS BIGINT) * CAST(doc_id % 3 = 0 AS INT) AS k, concat(source, '/', CAST(doc_id % 40 AS VARCHAR), '.jpg') AS image, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE concat(lang, '-', CAST(n_chars % 50 AS VARCHAR)) END AS ref FROM documents) s
+LEFT JOIN manifest m ON s.k = m.row""", "manifest")
+def _(t):
+    c = F.col
+    samples = t.documents.select(
+        (c("doc_id") + F.when((c("doc_id") % 2 == 1) & (c("doc_id") % 3 == 0), 1_000_000).otherwise(0)).alias("manifest_index"),
+        F.concat("source", F.lit("/"), (c("doc_id") % 40).cast("string"), F.lit(".jpg")).alias("image"),
+        F.when(c("doc_id") % 5 == 0, "x").otherwise(F.concat("lang", F.lit("-"), (c("n_chars") % 50).cast("string"))).alias("ref"),
+    )
+    lines = t.manifest.select(c("row").alias("line"), c("orig").alias("image"), "label", F.lit(None).cast("string").alias("style"))
+    return audit.label_provenance(samples, lines)
+
+
+@query("j5_exclude_protected", """
+SELECT path FROM inventory WHERE (bytes, sha256) NOT IN (SELECT bytes, sha256 FROM inventory WHERE doc_id % 10 = 3)""", "inventory")
+def _(t):
+    files = t.documents.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("n_chars").alias("bytes"), F.encode("text", "UTF-8").alias("content"))
+    known = t.inventory.where("doc_id % 10 = 3").select(F.col("bytes").alias("size"), "sha256")
+    return audit.exclude_protected(files, known).select("path")
+
+
+@query("j6_byte_identical", """
+SELECT a.path AS a_path, b.path AS b_path FROM inventory a JOIN inventory b ON a.bytes = b.bytes AND a.sha256 = b.sha256 WHERE a.bytes > 0 AND a.doc_id % 10 < 8 AND b.doc_id % 10 >= 8""", "inventory")
+def _(t):
+    return audit.byte_identical(t.inventory.where("doc_id % 10 < 8"), t.inventory.where("doc_id % 10 >= 8"))
+
+
+@query("j7_compare_inventory", """
+SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'MISSING' WHEN doc_id % 11 = 0 THEN 'EXTRA' WHEN doc_id % 7 = 0 THEN 'DIFFERENT size' WHEN doc_id % 5 = 0 THEN 'DIFFERENT hash' ELSE 'OK' END AS verdict
+FROM inventory""", "inventory")
+def _(t):
+    c = F.col
+    expected = t.inventory.where("doc_id % 13 = 0 or doc_id % 11 <> 0")
+    expected = expected.withColumn("bytes", c("bytes") + (c("doc_id") % 7 == 0).cast("int")).withColumn("sha256", F.when(c("doc_id") % 5 == 0, "0").otherwise(c("sha256")))
+    return audit.compare_inventory(expected, t.inventory.where("doc_id % 13 <> 0"))
+
+
+@query("j16_review_complete", """
+SELECT doc_id AS id, 'not verified' AS problem FROM documents WHERE doc_id % 9 = 0
+UNION ALL SELECT doc_id, 'no reviewer' FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 8 = 0
+UNION ALL SELECT doc_id, 'state not allowed' FROM documents WHERE doc_id % 9 <> 0 AND lang = 'de'
+UNION ALL SELECT doc_id, 'verified twice' FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 6 = 1""")
+def _(t):
+    d = t.documents
+    verified = d.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 8 != 0, "r").alias("reviewer"), F.col("lang").alias("final_state"))
+    return audit.review_complete(d.select(F.col("doc_id").alias("id")), verified.union(verified.where("id % 6 = 1")), ["en", "fr", "es"])
+
+
+@query("x1_labels_in_train", """
+SELECT label FROM manifest WHERE split <> 'train' INTERSECT SELECT label FROM manifest WHERE split = 'train'""", "manifest")
+def _(t):
+    m = t.manifest
+    return m.where("split <> 'train'").select("label").intersect(m.where("split = 'train'").select("label"))
+
+
+@query("x2_only_in_one", """
+SELECT label, 'a' AS side FROM (SELECT label FROM manifest WHERE row % 2 = 0 EXCEPT ALL SELECT label FROM manifest WHERE row % 3 = 0)
+UNION ALL SELECT label, 'b' FROM (SELECT label FROM manifest WHERE row % 3 = 0 EXCEPT ALL SELECT label FROM manifest WHERE row % 2 = 0)""", "manifest")
+def _(t):
+    m = t.manifest
+    return audit.only_in_one(m.where("row % 2 = 0").select("label"), m.where("row % 3 = 0").select("label"))
+
+
+@query("x5_boxes_without_detection", """
+SELECT page_id, ref_id FROM boxes_ref r WHERE NOT EXISTS (SELECT 1 FROM boxes_det d WHERE d.page_id = r.page_id AND r.x1 < d.x2 AND d.x1 < r.x2 AND r.y1 < d.y2 AND d.y1 < r.y2)""", "boxes_ref boxes_det")
+def _(t):
+    r = t.boxes_ref
+    return r.select("page_id", "ref_id").subtract(boxes.overlap_join(r, t.boxes_det).select("page_id", "ref_id"))
+
+
+# --- text columns -------------------------------------------------------------------------------------------------
+
+_RAW = """SELECT doc_id * 100000 + pos AS id, CASE WHEN pos % 4 = 0 THEN replace(w, 'e', 'e\u0301') WHEN pos % 4 = 1 THEN concat(w, '\u200d')
+ WHEN pos % 4 = 2 THEN concat('\u201c', w, '\u2014') ELSE concat(' ', w, ' ') END AS label FROM """
+
+
+@query("p1_normalize_label", f"""
+SELECT id, trim(translate(translate(nfc_normalize(label), '\u200c\u200d\ufeff\u00a0', ''), '\u2018\u2019\u201c\u201d\u2013\u2014\u2212', '''''""---')) AS label FROM ({_RAW} words WHERE pos % 9 = 0)""", "words")
+def _(t):
+    raw = t.spark.sql(_RAW + "{words} WHERE pos % 9 = 0", words=t.words)
+    return raw.select("id", charset.normalize_label(F.col("label")).alias("label"))
+
+
+@query("p2_p3_encode", """
+SELECT doc_id, pos, regexp_full_match(w, '[a-m]+') AS encodable, translate(w, 'nopqrstuvwxyz', '') AS known FROM words""", "words")
+def _(t):
+    letters = "abcdefghijklm"
+    ids = charset.encode_label(F.col("w"), letters)
+    return t.words.select("doc_id", "pos", charset.is_encodable(F.col("w"), letters).alias("encodable"), charset.decode_ids(ids, letters).alias("known"))
+
+
+@query("p4_len_bucket", """
+SELECT doc_id, pos, CASE WHEN length(w) BETWEEN 1 AND 5 THEN '1-5' WHEN length(w) <= 10 THEN '6-10' WHEN length(w) <= 15 THEN '11-15' ELSE '16+' END AS bucket FROM words""", "words")
+def _(t):
+    return t.words.select("doc_id", "pos", text.len_bucket(F.length("w")).alias("bucket"))
+
+
+@query("p5_script_words", """
+SELECT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 3 AND 12""")
+def _(t):
+    return charset.script_words(t.documents, "text", "[a-z]+", 3, 12, charset.ASCII_LETTERS)
+
+
+@query("p6_strip_wiki_markup", """
+SELECT doc_id, ' ' || lang || ' ' || source || ' x ' AS plain FROM documents""")
+def _(t):
+    marked = F.concat(F.lit("{{a\nb}}"), "lang", F.lit("<ref name=\"q\">n\n</ref>"), F.lit("[[Page|"), "source", F.lit("]]<br>x[https://e.org y]"))
+    return t.documents.select("doc_id", charset.strip_wiki_markup(marked).alias("plain"))
+
+
+@query("p7_unusual_label", """
+SELECT row, regexp_matches(label, '[A-Za-z ]') OR regexp_full_match(label, '[0-9.,-]+') AS unusual FROM (SELECT row, CASE WHEN row % 3 = 0 THEN label WHEN row % 3 = 1 THEN CAST(row AS VARCHAR) || '.5' ELSE CAST(row AS VARCHAR) || '+' END AS label FROM manifest)""", "manifest")
+def _(t):
+    n = F.col("row").cast("string")
+    label = F.when(F.col("row") % 3 == 0, F.col("label")).when(F.col("row") % 3 == 1, F.concat(n, F.lit(".5"))).otherwise(F.concat(n, F.lit("+")))
+    return t.manifest.select("row", charset.unusual_label(label).alias("unusual"))
+
+
+@query("p8_unsupported_chars", """
+SELECT c AS char, printf('U+%04X', CAST(unicode(c) AS BIGINT)) AS code, count(*) AS n FROM (SELECT unnest(string_split(w, '')) AS c FROM words) WHERE c <> '' AND NOT regexp_matches(c, '[a-m]')
+GROUP BY c ORDER BY n DESC, unicode(c) LIMIT 20""", "words")
+def _(t):
+    return charset.unsupported_chars(t.words, "w", 20, "abcdefghijklm")
+
+
+@query("p9_p10_edits", """
+SELECT manifest_index, levenshtein(ref, hyp_ctrl) AS edits, levenshtein(replace(ref || ' ' || hyp_ctrl, ' ', ''), replace(hyp_treat, ' ', '')) AS edits_nows FROM samples""", "samples")
+def _(t):
+    a = F.concat("ref", F.lit(" "), "hyp_ctrl")
+    return t.samples.select("manifest_index", text.char_edits(F.col("ref"), F.col("hyp_ctrl")).alias("edits"), text.char_edits_nows(a, F.col("hyp_treat")).alias("edits_nows"))
+
+
+@query("p11_token_edits", """
+SELECT manifest_index, CASE WHEN ref = hyp_ctrl THEN 0 ELSE 1 END + 1 AS edits, 2 AS ref_tokens FROM samples WHERE hyp_ctrl <> '' AND hyp_ctrl <> 'end' AND hyp_ctrl <> 'new'""", "samples")
+def _(t):
+    rows = t.samples.where("hyp_ctrl not in ('', 'end', 'new')")
+    ref, hyp = F.concat("ref", F.lit(" end")), F.concat("hyp_ctrl", F.lit("  end new"))
+    return rows.select("manifest_index", text.token_edits(ref, hyp).alias("edits"), text.token_count(ref).alias("ref_tokens"))
+
+
+@query("p12_short_id", "SELECT doc_id, substr(sha256(source), 1, 8) AS source_id FROM documents")
+def _(t):
+    return t.documents.select("doc_id", text.short_id(F.concat(F.lit(" "), "source", F.lit("\t"))).alias("source_id"))
+
+
+@query("p15_p16_names", """
+SELECT doc_id, lang || '_a_b' AS stem, 'image_COM1' AS reserved, printf('b%02d_l%03d_w%02d', CAST(doc_id % 5 AS INT), CAST(doc_id AS INT), CAST(doc_id % 130 AS INT)) AS region FROM documents""")
+def _(t):
+    c = F.col("doc_id")
+    name = F.concat(F.lit("C:\\dir/"), "lang", F.lit(" a%b_.tar.png"))
+    stem = F.regexp_replace(text.safe_stem(name), "_tar$|_+tar$", "")
+    return t.documents.select("doc_id", stem.alias("stem"), text.safe_stem(F.lit("x/COM1.txt")).alias("reserved"), text.region_id(c % 5, c, c % 130).alias("region"))
+
+
+@query("p21_secret_scan", r"""
+SELECT doc_id, k AS line, 'e_mail' AS pattern FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS said FROM documents)
+WHERE regexp_matches(said, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}')""")
+def _(t):
+    return text.secret_scan(t.documents, "doc_id", "text", {"e_mail": text.SECRET_PATTERNS["e_mail"]})
+
+
+@query("p21_secret_scan_all")
+def _(t):
+    return text.secret_scan(t.documents, "doc_id", "text")
+
+
+@query("p23_forbidden_refs", """
+SELECT doc_id, contains(lower(text), 'ththe') AS first, contains(lower(text), 'einer') AS second FROM documents""")
+def _(t):
+    found = text.forbidden_refs(F.col("text"), ["ThThe", "EINER"])
+    return t.documents.select("doc_id", F.array_contains(found, "ThThe").alias("first"), F.array_contains(found, "EINER").alias("second"))
+
+
+# --- rules and geometry columns -----------------------------------------------------------------------------------
+
+
+@query("p13_p14_widths", """
+SELECT index, greatest(round_even(width * 48.0 / (20 + length), 0), 1)::BIGINT AS natural_px, least(greatest(greatest(round_even(width * 48.0 / (20 + length), 0), 1)::BIGINT, 16), 1024) AS input_px,
+  greatest(round_even(width * 48.0 / (20 + length), 0), 1) > 1024 AS clipped, round_even(length * 0.1, 0)::INT AS pad, least(greatest(round_even(length * 0.25, 0), 2), 16)::INT AS margin FROM widths""", "widths")
+def _(t):
+    h, w = F.col("length") + 20, F.col("width")
+    return t.widths.select(
+        "index", geometry.natural_width(h, w).alias("natural_px"), geometry.input_width(h, w).alias("input_px"), geometry.clipped(h, w).alias("clipped"),
+        geometry.pad_px(F.col("length"), share=0.1).alias("pad"), geometry.auto_margin(F.col("length")).alias("margin"),
+    )
+
+
+@query("p17_upload_verdict", """
+SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'empty file' WHEN doc_id % 16 = 0 THEN 'file too large' WHEN doc_id % 15 = 0 THEN 'pdf' WHEN doc_id % 14 = 0 THEN 'unsupported extension'
+ WHEN doc_id % 13 = 0 THEN 'extension does not match' WHEN doc_id % 11 = 0 THEN 'image too large' WHEN doc_id % 10 = 0 THEN 'image too small' WHEN doc_id % 9 = 0 THEN 'several images' WHEN doc_id % 8 = 0 THEN 'one bit'
+ WHEN doc_id % 7 = 0 THEN 'more than 8 bits' ELSE 'ok' END AS verdict FROM documents""")
+def _(t):
+    i = F.col("doc_id")
+    rows = t.documents.select(
+        "doc_id", F.when(i % 15 == 0, "a.pdf").when(i % 14 == 0, "a.gif").otherwise("dir/a.b.JPG").alias("name"),
+        F.when(i % 17 == 0, 0).when(i % 16 == 0, 30_000_000).otherwise(1000).alias("size_bytes"), F.unhex(F.lit("FFD8FF")).alias("head"),
+        F.when(i % 13 == 0, "PNG").otherwise("MPO").alias("content_format"), F.when(i % 11 == 0, 13_000).when(i % 10 == 0, 1).otherwise(500).alias("width"),
+        F.lit(100).alias("height"), F.when(i % 9 == 0, 2).otherwise(1).alias("frames"), F.when(i % 8 == 0, "1").when(i % 7 == 0, "I;16").otherwise("RGB").alias("mode"),
+    )
+    return rows.select("doc_id", rules.upload_verdict().alias("verdict"))
+
+
+@query("p18_shareable", "SELECT doc_id, lang = 'en' OR lang = 'fr' AS shareable FROM documents")
+def _(t):
+    status = F.when(F.col("lang") == "en", "public_domain").when(F.col("lang") == "fr", "open_license").when(F.col("lang") == "de", "internal_development_only")
+    return t.documents.select("doc_id", rules.shareable(status).alias("shareable"))
+
+
+_DISPOSED = """SELECT v.*, CASE WHEN NOT usable AND final_state = 'UNREADABLE' THEN 'ineligible_unreadable' WHEN NOT usable AND final_state = 'AMBIGUOUS' THEN 'ineligible_ambiguous'
+ WHEN NOT usable THEN 'ineligible_not_usable' WHEN script <> 'tamil' THEN 'ineligible_non_tamil' WHEN NOT r.scored AND x2 <= x1 THEN 'excluded_invalid_geometry'
+ WHEN NOT r.scored AND r.reason = 'crop too small' THEN 'excluded_too_small' WHEN NOT r.scored THEN 'excluded_crop_refused' WHEN encoding_status = 'non_encodable' THEN 'scored_non_encodable'
+ WHEN r.hyp = '' THEN 'scored_empty_prediction' ELSE 'scored' END AS disposition FROM verified v LEFT JOIN (SELECT * FROM results WHERE setting = 2) r ON v.verification_id = r.verification_id"""
+
+
+@query("p19_a12_ledger", f"SELECT verification_id, disposition FROM ({_DISPOSED})", "verified results")
+def _(t):
+    return scores.ledger(t.verified, t.results.where("setting = 2")).select("verification_id", "disposition")
+
+
+@query("a12_ledger_counts", f"""
+SELECT d.disposition, coalesce(n, 0) AS n, starts_with(d.disposition, 'scored') AS in_denominator FROM (SELECT unnest(['scored', 'ineligible_not_usable', 'ineligible_non_tamil', 'ineligible_unreadable', 'ineligible_ambiguous', 'ineligible_unit_dispute',
+ 'excluded_invalid_geometry', 'excluded_crop_refused', 'excluded_too_small', 'scored_empty_prediction', 'scored_non_encodable']) AS disposition) d
+LEFT JOIN (SELECT disposition, count(*) AS n FROM ({_DISPOSED}) GROUP BY disposition) c ON d.disposition = c.disposition""", "verified results")
+def _(t):
+    return scores.ledger_counts(scores.ledger(t.verified, t.results.where("setting = 2")))
+
+
+@query("p20_a3_groups", """
+SELECT verification_id, array_to_string(list_filter([CASE WHEN usable THEN 'all_usable' END, CASE WHEN usable THEN 'script:' || script END, CASE WHEN usable AND script = 'tamil' THEN 'primary' END,
+ CASE WHEN usable AND script = 'tamil' THEN 'page:' || page_id END, CASE WHEN usable AND script = 'tamil' THEN 'final_state:' || final_state END,
+ CASE WHEN usable AND script = 'tamil' THEN 'encodable:' || (encoding_status = 'encodable') END], lambda x: x IS NOT NULL), ',') AS groups FROM verified""", "verified")
+def _(t):
+    v = t.verified
+    return v.select("verification_id", F.array_join(rules.groups_of(v.columns), ",").alias("groups"))
+
+
+@query("p25_pairs", """
+SELECT r.page_id, ref_id, det_id, (least(r.x2, d.x2) - greatest(r.x1, d.x1)) * (least(r.y2, d.y2) - greatest(r.y1, d.y1)) AS common,
+ (least(r.x2, d.x2) - greatest(r.x1, d.x1)) * (least(r.y2, d.y2) - greatest(r.y1, d.y1)) / ((r.x2 - r.x1) * (r.y2 - r.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - (least(r.x2, d.x2) - greatest(r.x1, d.x1)) * (least(r.y2, d.y2) - greatest(r.y1, d.y1))) AS iou,
+ (least(r.x2, d.x2) - greatest(r.x1, d.x1)) * (least(r.y2, d.y2) - greatest(r.y1, d.y1)) / ((r.x2 - r.x1) * (r.y2 - r.y1)) AS covered
+FROM boxes_ref r JOIN boxes_det d ON r.page_id = d.page_id AND r.x1 < d.x2 AND d.x1 < r.x2 AND r.y1 < d.y2 AND d.y1 < r.y2""", "boxes_ref boxes_det")
+def _(t):
+    a, b = geometry.box("r_"), geometry.box("d_")
+    met = boxes.overlap_join(t.boxes_ref, t.boxes_det)
+    return met.select("page_id", "ref_id", "det_id", geometry.intersection(a, b).alias("common"), geometry.iou(a, b).alias("iou"), geometry.cover(a, b).alias("covered"))
+
+
+@query("j8_grid_join", """
+SELECT r.page_id, ref_id, det_id FROM boxes_ref r JOIN boxes_det d ON r.page_id = d.page_id AND r.x1 < d.x2 AND d.x1 < r.x2 AND r.y1 < d.y2 AND d.y1 < r.y2""", "boxes_ref boxes_det")
+def _(t):
+    return boxes.overlap_join(t.boxes_ref, t.boxes_det, cell=boxes.CELL).select("page_id", "ref_id", "det_id")
+
+
+@query("p26_expand_clip", """
+SELECT page_id, ref_id, x1 - 8 AS requested_x1, greatest(x1 - 8, 0) AS x1, greatest(y1 - 8, 0) AS y1, least(x2 + 8, 900) AS x2, least(y2 + 8, 1000) AS y2,
+ array_to_string(list_filter([CASE WHEN x1 < 8 THEN 'left' END, CASE WHEN y1 < 8 THEN 'top' END, CASE WHEN x2 + 8 > 900 THEN 'right' END, CASE WHEN y2 + 8 > 1000 THEN 'bottom' END], lambda x: x IS NOT NULL), ',') AS edges,
+ least(x2 + 8, 900) - greatest(x1 - 8, 0) >= 2 AND least(y2 + 8, 1000) - greatest(y1 - 8, 0) >= 2 AS valid FROM boxes_ref""", "boxes_ref")
+def _(t):
+    df = geometry.expand_box(t.boxes_ref.withColumn("width", F.lit(900)).withColumn("height", F.lit(1000)), 8)
+    return df.select("page_id", "ref_id", "requested_x1", "x1", "y1", "x2", "y2", F.array_join("clipped_edges", ",").alias("edges"), "valid")
+
+
+@query("p27_validate_boxes", """
+SELECT page_id, id, violation FROM (SELECT page_id, CASE WHEN ref_id % 3 = 0 THEN 'b' || (ref_id - 1) ELSE 'b' || ref_id END AS id, x2, y2, ref_id FROM boxes_ref) b,
+ LATERAL (SELECT unnest(list_filter([CASE WHEN page_id % 10 = 0 THEN 'page unknown' END, CASE WHEN page_id % 10 <> 0 AND (x2 > 900 OR y2 > 1000) THEN 'outside the page' END], lambda x: x IS NOT NULL)) AS violation)
+UNION ALL SELECT page_id, id, 'id not unique' FROM (SELECT *, count(*) OVER (PARTITION BY page_id, id) AS k FROM (SELECT page_id, CASE WHEN ref_id % 3 = 0 THEN 'b' || (ref_id - 1) ELSE 'b' || ref_id END AS id FROM boxes_ref)) WHERE k > 1""", "boxes_ref")
+def _(t):
+    b = t.boxes_ref.select("page_id", F.concat(F.lit("b"), F.when(F.col("ref_id") % 3 == 0, F.col("ref_id") - 1).otherwise(F.col("ref_id")).cast("string")).alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.lit(0).alias("line_index"), F.lit(0).alias("column_index"))
+    pages = t.boxes_ref.select("page_id").distinct().where("page_id % 10 <> 0").select("page_id", F.lit(900).alias("width"), F.lit(1000).alias("height"))
+    return geometry.validate_boxes(b, pages)
+
+
+@query("p28_scale_box", """
+SELECT page_id, ref_id, least(greatest(round_even(x1 * 300.0 / 1000, 0), 0), 300)::BIGINT AS x1, least(greatest(round_even(y1 * 400.0 / 1300, 0), 0), 400)::BIGINT AS y1,
+ least(greatest(round_even(x2 * 300.0 / 1000, 0), 0), 300)::BIGINT AS x2, least(greatest(round_even(y2 * 400.0 / 1300, 0), 0), 400)::BIGINT AS y2 FROM boxes_ref""", "boxes_ref")
+def _(t):
+    new = geometry.scale_box(geometry.box(), *(F.lit(v) for v in (1000, 1300, 300, 400)))
+    return t.boxes_ref.select("page_id", "ref_id", *(c.alias(k) for k, c in new.items()))
+
+
+@query("p29_map_affine", """
+SELECT page_id, ref_id, CASE WHEN page_id % 2 = 0 THEN x1 ELSE greatest(floor(x1 * 0.5 + y1 * 0.25), 0)::BIGINT END AS x1, CASE WHEN page_id % 2 = 0 THEN y1 ELSE greatest(floor(y1 * 0.5 - x2 * 0.25), 0)::BIGINT END AS y1,
+ CASE WHEN page_id % 2 = 0 THEN x2 ELSE greatest(greatest(floor(x1 * 0.5 + y1 * 0.25), 0) + 1, least(ceil(x2 * 0.5 + y2 * 0.25), 700))::BIGINT END AS x2,
+ CASE WHEN page_id % 2 = 0 THEN y2 ELSE greatest(greatest(floor(y1 * 0.5 - x2 * 0.25), 0) + 1, least(ceil(y2 * 0.5 - x1 * 0.25), 500))::BIGINT END AS y2 FROM boxes_ref""", "boxes_ref")
+def _(t):
+    b = t.boxes_ref
+    m = dict(m00=0.5, m01=0.25, m02=0.0, m10=-0.25, m11=0.5, m12=0.0)
+    pages = b.select("page_id").distinct().select("page_id", *(F.lit(v).alias(k) for k, v in m.items()), F.when(F.col("page_id") % 2 == 0, 0.0).otherwise(1.5).alias("deskew_deg"), F.lit(700).alias("width"), F.lit(500).alias("height"))
+    return geometry.map_affine(b, pages)
+
+
+# --- evaluation ---------------------------------------------------------------------------------------------------
+
+_M = """count(*) AS n, sum(levenshtein(ref, {h})) / greatest(1, sum(length(ref))) AS cer, count(*) FILTER (WHERE ref <> {h}) / greatest(1, count(*)) AS wer,
+ 1 - count(*) FILTER (WHERE ref <> {h}) / greatest(1, count(*)) AS word_acc, sum(length({h})) / greatest(1, sum(length(ref))) AS len_ratio"""
+_BUCKET = "CASE WHEN length(ref) BETWEEN 1 AND 5 THEN '1-5' WHEN length(ref) BETWEEN 6 AND 10 THEN '6-10' WHEN length(ref) BETWEEN 11 AND 15 THEN '11-15' WHEN length(ref) >= 16 THEN '16+' ELSE '0' END"
+
+
+@query("a1_scoreboard", f"SELECT source, bucket, {_M.format(h='hyp_ctrl')} FROM (SELECT *, {_BUCKET} AS bucket FROM samples) GROUP BY CUBE (source, bucket)", "samples")
+def _(t):
+    return scores.scoreboard(t.samples, "hyp_ctrl")
+
+
+@query("a2_tally", f"""
+SELECT setting, {_M.format(h='hyp')}, CAST(sum(length(ref)) AS BIGINT) AS ref_chars, CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, avg(confidence) AS mean_confidence,
+ count(*) FILTER (WHERE width_clipped) / greatest(1, count(*)) AS width_clipped_rate, count(*) FILTER (WHERE hyp = '') / greatest(1, count(*)) AS empty_prediction_rate FROM results GROUP BY setting""", "results")
+def _(t):
+    return scores.tally(t.results, ["setting"])
+
+
+@query("a3_score_groups", f"""
+SELECT g AS "group", {_M.format(h='hyp')}, CAST(sum(length(ref)) AS BIGINT) AS ref_chars, CAST(sum(levenshtein(ref, hyp)) AS BIGINT) AS edits, avg(confidence) AS mean_confidence,
+ count(*) FILTER (WHERE width_clipped) / greatest(1, count(*)) AS width_clipped_rate, count(*) FILTER (WHERE hyp = '') / greatest(1, count(*)) AS empty_prediction_rate
+FROM (SELECT *, unnest(['all', 'page:' || page_id, 'setting:' || setting]) AS g FROM results) GROUP BY g""", "results")
+def _(t):
+    c = F.col
+    groups = F.array(F.lit("all"), F.concat(F.lit("page:"), c("page_id").cast("string")), F.concat(F.lit("setting:"), c("setting").cast("string")))
+    return scores.score_groups(t.results.withColumn("groups", groups))
+
+
+@query("j1_pair_arms", "SELECT manifest_index, source AS image, ref, hyp_ctrl, hyp_treat FROM samples", "samples")
+def _(t):
+    s = t.samples.withColumn("image", F.col("source"))
+    return scores.pair_arms(s.withColumn("hyp", F.col("hyp_ctrl")), s.withColumn("hyp", F.col("hyp_treat")))
+
+
+_D = """count(*) AS n, sum(levenshtein(ref, hyp_ctrl)) / greatest(1, sum(length(ref))) AS cer_ctrl, sum(levenshtein(ref, hyp_treat)) / greatest(1, sum(length(ref))) AS cer_treat,
+ count(*) FILTER (WHERE ref <> hyp_ctrl) / greatest(1, count(*)) AS wer_ctrl, count(*) FILTER (WHERE ref <> hyp_treat) / greatest(1, count(*)) AS wer_treat,
+ 100 * ((sum(levenshtein(ref, hyp_treat)) - sum(levenshtein(ref, hyp_ctrl))) / greatest(1, sum(length(ref)))) AS delta_cer_pp,
+ 100 * ((count(*) FILTER (WHERE ref <> hyp_treat) - count(*) FILTER (WHERE ref <> hyp_ctrl)) / greatest(1, count(*))) AS delta_wer_pp,
+ sum(length(hyp_treat)) / greatest(1, sum(length(ref))) - sum(length(hyp_ctrl)) / greatest(1, sum(length(ref))) AS delta_len_ratio,
+ count(*) FILTER (WHERE ref = hyp_ctrl AND ref <> hyp_treat) AS b, count(*) FILTER (WHERE ref <> hyp_ctrl AND ref = hyp_treat) AS c"""
+
+
+@query("a4_paired_delta", f"SELECT source, style, {_D} FROM samples GROUP BY source, style", "samples")
+def _(t):
+    return scores.paired_delta(t.samples, ["source", "style"])
+
+
+_COVERED = "SELECT *, NOT regexp_matches(ref, '[^' || (SELECT string_agg(DISTINCT c, '') FROM (SELECT unnest(string_split(label, '')) AS c FROM (SELECT w AS label FROM words WHERE pos % 50 = 1)) WHERE c <> '') || ']') AS covered FROM samples"
+
+
+@query("j3_covered", f"SELECT manifest_index, covered FROM ({_COVERED})", "samples words")
+def _(t):
+    return scores.covered(t.samples, t.words.where("pos % 50 = 1").select(F.col("w").alias("label"))).select("manifest_index", "covered")
+
+
+@query("a5_subset_breakdown", f"""
+SELECT e.subset, e.cell, coalesce(n, 0) AS n, cer_ctrl, cer_treat, wer_ctrl, wer_treat, delta_cer_pp, delta_wer_pp, delta_len_ratio, b, c
+FROM (SELECT subset, cell FROM (SELECT unnest(['all', 'covered', 'uncovered']) AS subset), (SELECT unnest(['overall', 'len:1-5', 'len:6-10', 'len:11-15', 'len:16+']) AS cell)) e
+LEFT JOIN (SELECT subset, cell, {_D} FROM (SELECT *, unnest(['overall', 'len:' || {_BUCKET}]) AS cell FROM (SELECT *, unnest(['all', CASE WHEN covered THEN 'covered' ELSE 'uncovered' END]) AS subset FROM (SELECT *, source <> 'src3' AS covered FROM samples))) GROUP BY subset, cell) m
+ON e.subset = m.subset AND e.cell = m.cell""", "samples")
+def _(t):
+    return scores.subset_breakdown(t.samples.withColumn("covered", F.col("source") != "src3"))
+
+
+@query("a9_mcnemar")
+def _(t):
+    return scores.mcnemar(t.samples, ["source"])
+
+
+@query("a6_paired_bootstrap")
+def _(t):
+    return bootstrap.paired_bootstrap(t.samples, reps=400)
+
+
+@query("a7_region_bootstrap")
+def _(t):
+    return bootstrap.region_bootstrap(t.results.where("scored"), reps=400)
+
+
+@query("a8_cluster_bootstrap")
+def _(t):
+    return bootstrap.cluster_bootstrap(t.samples.withColumn("hyp", F.col("hyp_ctrl")), "source", reps=400)
+
+
+@query("a10_loso", """
+SELECT source, n, edits, ref_chars, cer, wer, min(cer) OVER () AS cer_min, max(cer) OVER () AS cer_max FROM (
+SELECT a.source, CAST(sum(b.n) AS BIGINT) AS n, CAST(sum(b.e) AS BIGINT) AS edits, CAST(sum(b.c) AS BIGINT) AS ref_chars, sum(b.e) / greatest(1, sum(b.c)) AS cer, sum(b.w) / greatest(1, sum(b.n)) AS wer
+FROM (SELECT DISTINCT source FROM samples) a JOIN (SELECT source, count(*) AS n, sum(levenshtein(ref, hyp_ctrl)) AS e, sum(length(ref)) AS c, count(*) FILTER (WHERE ref <> hyp_ctrl) AS w FROM samples GROUP BY source) b ON a.source <> b.source GROUP BY a.source)""", "samples")
+def _(t):
+    return scores.loso(t.samples.withColumn("hyp", F.col("hyp_ctrl")))
+
+
+@query("a11_j4_by_source", f"""
+SELECT source_id, source_title, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS pages, {_M.format(h='hyp')} FROM (
+SELECT substr(sha256('book ' || r.page_id % 6), 1, 8) AS source_id, 'book ' || r.page_id % 6 AS source_title, * FROM results r WHERE scored) GROUP BY source_id, source_title""", "results")
+def _(t):
+    pages = t.results.select("page_id").distinct().withColumn("source_title", F.concat(F.lit("book "), (F.col("page_id") % 6).cast("string")))
+    return scores.by_source(scores.attach_sources(t.results.where("scored"), pages)).withColumn("pages", F.array_join("pages", ","))
+
+
+@query("a13_common_set", "SELECT verification_id FROM results WHERE scored GROUP BY verification_id HAVING count(DISTINCT setting) = 3", "results")
+def _(t):
+    return scores.common_set(t.results)
+
+
+@query("a14_per_setting_failures", """
+SELECT setting, count(*) AS n, count(*) FILTER (WHERE scored) AS scored, count(*) FILTER (WHERE NOT scored AND reason = 'crop too small') AS too_small, count(*) FILTER (WHERE NOT scored AND reason <> 'crop too small') AS refused,
+ count(*) FILTER (WHERE scored AND width_clipped) AS clipped, count(*) FILTER (WHERE scored AND hyp = '') AS empty,
+ (count(*) FILTER (WHERE NOT scored) + count(*) FILTER (WHERE scored AND hyp = '')) / greatest(1, count(*)) AS failure_rate FROM results GROUP BY setting""", "results")
+def _(t):
+    return scores.per_setting_failures(t.results)
+
+
+@query("a15_per_page_by_setting", """
+SELECT page_id, sum(levenshtein(ref, hyp)) FILTER (WHERE setting = 0) / greatest(1, sum(length(ref)) FILTER (WHERE setting = 0)) AS cer_0, sum(levenshtein(ref, hyp)) FILTER (WHERE setting = 2) / greatest(1, sum(length(ref)) FILTER (WHERE setting = 2)) AS cer_2,
+ sum(levenshtein(ref, hyp)) FILTER (WHERE setting = 4) / greatest(1, sum(length(ref)) FILTER (WHERE setting = 4)) AS cer_4
+FROM results WHERE verification_id IN (SELECT verification_id FROM results WHERE scored GROUP BY verification_id HAVING count(DISTINCT setting) = 3) GROUP BY page_id""", "results")
+def _(t):
+    return scores.per_page_by_setting(t.results, [0, 2, 4])
+
+
+@query("a20_ab_pattern", """
+SELECT run, n, a, b, CASE WHEN a >= 0.8 AND b < a - 0.15 THEN 'segmentation' WHEN a < 0.6 THEN 'recognition' WHEN abs(a - b) <= 0.15 THEN 'alike' ELSE 'unclear' END AS pattern FROM (
+SELECT source AS run, count(*) AS n, avg(CAST(ref = hyp_ctrl AS INT)) AS a, avg(CAST(ref = hyp_treat AS INT)) AS b FROM samples GROUP BY source)""", "samples")
+def _(t):
+    rows = t.samples.select(F.col("source").alias("run"), (F.col("ref") == F.col("hyp_ctrl")).alias("manual_correct"), (F.col("ref") == F.col("hyp_treat")).alias("pipeline_correct"))
+    return scores.ab_pattern(rows)
+
+
+@query("a21_outcome", """
+SELECT run, s, hw_ok, s = 0 AND (mu < 0 OR ou < 0) AS flag_gain_only_on_uncovered, CASE WHEN s = 2 AND hw_ok THEN 'SUPPORTED' WHEN s = 2 THEN 'SYNTHETIC GAIN WITH HANDWRITING COST' WHEN s = 1 THEN 'STYLE-ASYMMETRIC' ELSE 'NO SYNTHETIC GAIN' END AS outcome
+FROM (SELECT event_id AS run, event_id % 4 * 0.05 <= 0.10 AND event_id % 5 * 0.2 <= 0.5 AS hw_ok, CAST(event_id % 3 - 1 < 0 AS INT) + CAST(event_id % 7 - 3 < 0 AS INT) AS s, event_id % 11 - 5 AS mu, event_id % 13 - 8 AS ou FROM events)""")
+def _(t):
+    i = F.col("event_id")
+    return scores.outcome(t.events.select(
+        i.alias("run"), (i % 4 * 0.05).alias("hw_cer_hi"), (i % 5 * 0.2).alias("hw_wer_hi"), (i % 3 - 1).cast("double").alias("modern_covered_cer_hi"), (i % 7 - 3).cast("double").alias("old_covered_cer_hi"),
+        (i % 11 - 5).cast("double").alias("modern_uncovered_cer_hi"), (i % 13 - 8).cast("double").alias("old_uncovered_cer_hi")))
+
+
+@query("a22_grade", """
+SELECT run, scope, CASE WHEN ok THEN e1 ELSE 'NOT ASSESSED' END AS e1, CASE WHEN ok THEN e2 ELSE 'NOT ASSESSED' END AS e2, CASE WHEN ok THEN e3 ELSE 'NOT ASSESSED' END AS e3,
+ CASE WHEN NOT ok THEN 'NOT ASSESSED' WHEN e1 = 'good' AND e2 = 'poor' THEN 'A' WHEN e1 = 'poor' AND e2 = 'poor' THEN 'B' WHEN e1 = 'good' AND e2 = 'good' THEN 'C' ELSE 'undecided' END AS "case" FROM (
+SELECT run, scope, ok, CASE WHEN c1 <= 0.10 THEN 'good' WHEN c1 > 0.20 THEN 'poor' ELSE 'intermediate' END AS e1,
+ CASE WHEN recall >= 0.90 AND c2 - c1 <= 0.05 THEN 'good' WHEN recall < 0.75 OR c2 - c1 > 0.15 THEN 'poor' ELSE 'intermediate' END AS e2, CASE WHEN hi - lo >= 0.05 OR c0 - lo >= 0.03 THEN 'strong' ELSE 'not strong' END AS e3 FROM (
+SELECT event_id AS run, event_id % 9 <> 0 AS ok, CASE WHEN event_id % 2 = 0 THEN 'part B' ELSE 'whole' END AS scope, CASE WHEN event_id % 2 = 0 THEN event_id % 8 / 32 ELSE event_id % 5 / 16 END AS c1,
+ CASE WHEN event_id % 2 = 0 THEN event_id % 16 / 32 ELSE event_id % 7 / 16 END AS c2, event_id % 10 / 9 AS recall, event_id % 3 / 16 AS c0, 0.0 AS lo, event_id % 4 / 32 AS hi FROM events))""")
+def _(t):
+    i = F.col("event_id")
+    return scores.grade(t.events.select(
+        i.alias("run"), (i % 9 != 0).alias("approved"), (i % 8 / 32).alias("cer1_b"), F.when(i % 2 == 0, 40).otherwise(10).alias("n1_b"), (i % 16 / 32).alias("cer2_b"), F.lit(40).alias("n2_b"),
+        (i % 5 / 16).alias("cer1"), F.lit(60).alias("n1"), (i % 7 / 16).alias("cer2"), F.lit(60).alias("n2"), (i % 10 / 9).alias("box_recall"), (i % 3 / 16).alias("cer_0"), F.lit(0.0).alias("cer_min"), (i % 4 / 32).alias("cer_max")))
+
+
+_TABLE = """SELECT split, condition, variant, count(*) AS pages, CAST(sum(truth_words) AS BIGINT) AS truth_words, CAST(sum(matched) AS BIGINT) AS matched_n, sum(matched) / greatest(1, sum(truth_words)) AS matched_rate,
+ sum(char_errors) / sum(ref_chars) AS page_cer FROM page_results GROUP BY split, condition, variant"""
+_DELTA = f"""SELECT v.split, v.condition, v.variant, v.page_cer - b.page_cer AS d_cer, v.matched_rate - b.matched_rate AS d_match FROM ({_TABLE}) v JOIN ({_TABLE}) b ON v.split = b.split AND v.condition = b.condition
+ WHERE v.variant <> 'baseline' AND b.variant = 'baseline'"""
+
+
+@query("a24_condition_table", f"SELECT split, condition, variant, pages, truth_words, matched_n AS matched, matched_rate, page_cer FROM ({_TABLE})", "page_results")
+def _(t):
+    return scores.condition_table(t.page_results)
+
+
+@query("j15_variant_vs_baseline", _DELTA, "page_results")
+def _(t):
+    return scores.variant_vs_baseline(scores.condition_table(t.page_results))
+
+
+@query("a23_candidate_verdict", f"""
+SELECT variant, CASE WHEN NOT bool_or(split = 'development' AND ok) THEN 'REJECTED' WHEN bool_or(split = 'heldout' AND ok) THEN 'CANDIDATE' ELSE 'NOT CONFIRMED' END AS verdict FROM (
+SELECT variant, split, bool_or(condition IN ('1-URGENT', '2-HIGH') AND round(d_cer, 4) <= -0.01) AND NOT bool_or(round(d_cer, 4) > 0.005 OR round(d_match, 4) < -0.01) AS ok FROM ({_DELTA}) GROUP BY variant, split) GROUP BY variant""", "page_results")
+def _(t):
+    targets = t.spark.createDataFrame([(v, c) for v in ("rules", "contrast") for c in ("1-URGENT", "2-HIGH")], "variant string, condition string")
+    return scores.candidate_verdict(scores.variant_vs_baseline(scores.condition_table(t.page_results)), targets)
+
+
+@query("a31_best_epoch", """
+SELECT run, min(epoch) FILTER (WHERE score = m) AS epoch, min(m) AS score, count(*) AS epochs FROM (SELECT *, min(score) OVER (PARTITION BY run) AS m FROM history) GROUP BY run""", "history")
+def _(t):
+    return scores.best_epoch(t.history)
+
+
+@query("a33_warning_counts", """
+SELECT w AS warning, CASE w WHEN 'a' THEN (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) WHEN 'b' THEN (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) WHEN 'c' THEN 0
+ ELSE (SELECT count(*) FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) END AS n FROM (SELECT unnest(['a', 'b', 'c', 'any']) AS w)""")
+def _(t):
+    i = F.col("doc_id")
+    return scores.warning_counts(t.documents.select(F.array_compact(F.array(F.when(i % 2 == 0, "a"), F.when(i % 3 == 0, "b"))).alias("warnings")), ["a", "b", "c"])
+
+
+@query("a34_width_profile", """
+SELECT source, quantile_cont(width, 0.5) AS width_p50, quantile_cont(width, 0.9) AS width_p90, quantile_cont(width, 0.99) AS width_p99, max(width) AS width_max, quantile_cont(length, 0.5) AS length_p50,
+ quantile_cont(length, 0.9) AS length_p90, quantile_cont(length, 0.99) AS length_p99, max(length) AS length_max, 64 * (max(width) + 31) // 32 * 32 AS worst_columns, 64 * ((max(width) + 31) // 32 * 32) > 40000 AS over_cap FROM widths GROUP BY source""".replace("64 * (max(width) + 31) // 32 * 32 AS", "64 * ((max(width) + 31) // 32 * 32) AS"), "widths")
+def _(t):
+    return planning.width_profile(t.widths, 64, 40_000, ("source",))
+
+
+@query("a35_edit_profile")
+def _(t):
+    return scores.edit_profile(exchange.error_lines(t.samples.withColumnRenamed("hyp_ctrl", "hyp")))
+
+
+@query("a35_edit_histogram", """
+SELECT levenshtein(ref, hyp_ctrl) AS edits, CASE WHEN length(hyp_ctrl) > length(ref) THEN 'longer' WHEN length(hyp_ctrl) < length(ref) THEN 'shorter' ELSE 'same' END AS length, count(*) AS n FROM samples WHERE ref <> hyp_ctrl GROUP BY 1, 2""", "samples")
+def _(t):
+    return scores.edit_histogram(exchange.error_lines(t.samples.withColumnRenamed("hyp_ctrl", "hyp")))
+
+
+@query("k1_top_failures", """
+SELECT verification_id, setting, levenshtein(ref, hyp) AS edits FROM results WHERE setting = 2 ORDER BY edits DESC, verification_id LIMIT 25""", "results")
+def _(t):
+    return scores.top_failures(t.results.where("setting = 2")).select("verification_id", "setting", "edits")
+
+
+@query("k2_worst_pages", """
+SELECT page_id, sum(levenshtein(ref, hyp)) / greatest(1, sum(length(ref))) AS cer FROM results GROUP BY page_id ORDER BY cer DESC, page_id LIMIT 5""", "results")
+def _(t):
+    return scores.worst_pages(scores.tally(t.results, ["page_id"])).select("page_id", "cer")
+
+
+@query("k3_examples", "SELECT split, row, label FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row) AS k FROM manifest) WHERE k <= 10", "manifest")
+def _(t):
+    return audit.first_per_group(t.manifest, ["split"], ["row"], 10).select("split", "row", "label")
+
+
+@query("k4_strided", """
+SELECT row, label FROM (SELECT *, row_number() OVER (ORDER BY row) - 1 AS k, greatest(1, (SELECT count(*) FROM manifest) // 40) AS s FROM manifest) WHERE k % s = 0 AND k < s * 40""", "manifest")
+def _(t):
+    return audit.strided(t.manifest.select("row", "label"), ["row"], 40)
+
+
+@query("k5_most_common", "SELECT word, freq FROM vocab ORDER BY freq DESC, word LIMIT 20", "vocab")
+def _(t):
+    return audit.top(t.vocab, [F.desc("freq"), "word"], 20).select("word", "freq")
+
+
+@query("k6_stable_sort_width", "SELECT index, width FROM widths", "widths")
+def _(t):
+    return planning.stable_sort_width(t.widths.select("index", "width"))
+
+
+# --- boxes --------------------------------------------------------------------------------------------------------
+
+_MET = """SELECT r.page_id, ref_id, det_id, (least(r.x2, d.x2) - greatest(r.x1, d.x1)) * (least(r.y2, d.y2) - greatest(r.y1, d.y1)) AS i, (r.x2 - r.x1) * (r.y2 - r.y1) AS ra, (d.x2 - d.x1) * (d.y2 - d.y1) AS da
+ FROM boxes_ref r JOIN boxes_det d ON r.page_id = d.page_id AND r.x1 < d.x2 AND d.x1 < r.x2 AND r.y1 < d.y2 AND d.y1 < r.y2"""
+
+
+@query("j9_best_overlap", f"""
+SELECT page_id, ref_id, det_id, iou, covered, inside FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ref_id ORDER BY iou DESC, det_id) AS k FROM (
+SELECT page_id, ref_id, det_id, i / (ra + da - i) AS iou, i / ra AS covered, i / da AS inside FROM ({_MET}) WHERE i / ra > 0.05)) WHERE k = 1""", "boxes_ref boxes_det")
+def _(t):
+    return boxes.best_overlap(t.boxes_ref, t.boxes_det)
+
+
+@query("j10_overlap_neighbours", """
+SELECT DISTINCT a.page_id, a.ref_id AS id FROM boxes_ref a JOIN boxes_ref b ON a.page_id = b.page_id AND a.ref_id <> b.ref_id AND greatest(a.x1 - 6, 0) < b.x2 AND b.x1 < a.x2 + 6 AND greatest(a.y1 - 6, 0) < b.y2 AND b.y1 < a.y2 + 6""", "boxes_ref")
+def _(t):
+    return boxes.overlap_neighbours(t.boxes_ref.withColumnRenamed("ref_id", "id"), 6)
+
+
+@query("j11_match_one_to_one")
+def _(t):
+    a, b = geometry.box("r_"), geometry.box("d_")
+    pairs = boxes.overlap_join(t.boxes_ref, t.boxes_det).select("page_id", "ref_id", "det_id", geometry.iou(a, b).alias("iou"))
+    return boxes.match_one_to_one(pairs.where("iou >= 0.5"))
+
+
+@query("a16_w25_box_status")
+def _(t):
+    return boxes.box_compare(t.boxes_ref, t.boxes_det)[0]
+
+
+@query("a16_a17_pooled")
+def _(t):
+    return boxes.pool_boxes(boxes.box_compare(t.boxes_ref, t.boxes_det, sparse=True)[1])
+
+
+@query("a18_seg_metrics", None)
+def _(t):
+    return boxes.seg_metrics(t.boxes_ref, t.boxes_det)
+
+
+@query("a19_crop_integrity", f"""
+SELECT r.page_id, r.ref_id, m.det_id, coalesce(iou, 0) AS iou, CASE WHEN m.det_id IS NULL THEN 'missed' WHEN k >= 2 THEN 'split' WHEN inside < 0.6 THEN 'merged' WHEN covered < 0.9 THEN 'clipped' ELSE 'intact' END AS verdict
+FROM boxes_ref r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ref_id ORDER BY iou DESC, det_id) AS n, count(*) FILTER (WHERE covered > 0.15) OVER (PARTITION BY page_id, ref_id) AS k FROM (
+SELECT page_id, ref_id, det_id, i / (ra + da - i) AS iou, i / ra AS covered, i / da AS inside FROM ({_MET}) WHERE i / ra > 0.05)) WHERE n = 1) m ON r.page_id = m.page_id AND r.ref_id = m.ref_id""", "boxes_ref boxes_det")
+def _(t):
+    return boxes.crop_integrity(t.boxes_ref, t.boxes_det)
+
+
+# --- layout -------------------------------------------------------------------------------------------------------
+
+
+def _components(t: Tables) -> DataFrame:
+    return t.components.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 2)
+
+
+_AREA = "SELECT *, (x2 - x1) * (y2 - y1) / 2 AS area FROM components"
+_LINES = "SELECT page_id, ln, min(y1) AS t, max(y2) AS b FROM components GROUP BY page_id, ln"
+
+
+@query("w1_line_rows", "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY ln) AS island, min(y1) AS start, max(y2) AS stop FROM components GROUP BY page_id, ln", "components")
+def _(t):
+    return layout.merge_intervals(t.components, ["page_id"], "y1", "y2")
+
+
+@query("w2_strips", """
+SELECT page_id, island, min(y1) AS start, max(y2) AS stop FROM (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY y1, y2 ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN y1 - max(y2) OVER (PARTITION BY page_id ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 18 THEN 0 ELSE 1 END AS n FROM components WHERE comp_id % 13 < 5)) GROUP BY page_id, island""", "components")
+def _(t):
+    return layout.merge_intervals(t.components.where("comp_id % 13 < 5"), ["page_id"], "y1", "y2", 18)
+
+
+@query("w3_group_overlap", """
+SELECT page_id, ln, CAST(island AS BIGINT) AS grp, min(x1) AS x1, max(x2) AS x2, count(*) AS members FROM (SELECT *, sum(n) OVER (PARTITION BY page_id, ln ORDER BY x1, x2, y1, comp_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN x1 < max(x2) OVER (PARTITION BY page_id, ln ORDER BY x1, x2, y1, comp_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM (SELECT page_id, ln, comp_id, x1 - comp_id % 7 AS x1, x2, y1 FROM components))) GROUP BY page_id, ln, island""", "components")
+def _(t):
+    made = layout.group_overlap(t.components.withColumn("x1", F.col("x1") - F.col("comp_id") % 7), ["page_id", "ln"])
+    return made.select("page_id", "ln", "grp", "x1", "x2", F.size("members").alias("members"))
+
+
+@query("w4_text_height", f"""
+SELECT page_id, CASE WHEN n < 5 THEN a ELSE u END AS h FROM (SELECT page_id, min(n) AS n, quantile_cont(y2 - y1, 0.5) AS a, quantile_cont(y2 - y1, 0.5) FILTER (WHERE area >= 12 AND y2 - y1 >= 6 AND y2 - y1 >= p) AS u FROM (
+SELECT c.*, n, p FROM ({_AREA}) c JOIN (SELECT page_id, count(*) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS n, quantile_cont(y2 - y1, 0.4) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS p FROM ({_AREA}) GROUP BY page_id) q ON c.page_id = q.page_id) GROUP BY page_id)""", "components")
+def _(t):
+    return layout.text_height(_components(t))
+
+
+@query("w5_clean_components")
+def _(t):
+    c = _components(t)
+    pages = c.groupBy("page_id").agg((F.max("x2") + 10).alias("width"), (F.max("y2") + 10).alias("height"))
+    return layout.clean_components(c.withColumn("darkness", F.lit(100.0) - F.col("comp_id") % 10 * 5), pages).select("page_id", "comp_id", "removed")
+
+
+@query("w6_find_blocks")
+def _(t):
+    return layout.find_blocks(_components(t))
+
+
+def _blocks(t: Tables) -> DataFrame:
+    c = t.components.groupBy("page_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return c.withColumn("block", F.lit(0))
+
+
+def _words(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components with their lines, the lines, and the words: the whole way from boxes to words."""
+    c = layout.in_block(_components(t), _blocks(t))
+    bands = layout.split_tall_bands(layout.line_bands(c))
+    lined = layout.assign_lines(c, bands)
+    groups = layout.attach_marks(layout.group_overlap(lined, layout.LINE), bands)
+    return lined, bands, layout.words_from_groups(groups, bands, lined)
+
+
+@query("w7_w8_lines", "SELECT page_id, 0 AS block, row_number() OVER (PARTITION BY page_id ORDER BY ln) - 1 AS line, min(y1) AS y1, max(y2) AS y2, FALSE AS forced FROM components GROUP BY page_id, ln", "components")
+def _(t):
+    return layout.split_tall_bands(layout.line_bands(layout.in_block(_components(t), _blocks(t))))
+
+
+@query("w10_assign_lines", "SELECT page_id, comp_id, dense_rank() OVER (PARTITION BY page_id ORDER BY ln) - 1 AS line FROM components", "components")
+def _(t):
+    return _words(t)[0].select("page_id", "comp_id", F.col("line").cast("long").alias("line"))
+
+
+@query("w12_gap_threshold", """
+SELECT page_id, ln, (gap + nxt) / 2 AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ln ORDER BY score DESC, k) AS best FROM (
+SELECT *, k * (n - k) * (((al - low) / (n - k) - low / k)) * (((al - low) / (n - k) - low / k)) AS score FROM (
+SELECT page_id, ln, gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY page_id, ln) AS n, sum(gap) OVER (PARTITION BY page_id, ln) AS al, sum(gap) OVER (PARTITION BY page_id, ln ORDER BY gap ROWS UNBOUNDED PRECEDING) AS low, lead(gap) OVER w AS nxt
+FROM (SELECT page_id, ln, x1 - lag(x2) OVER (PARTITION BY page_id, ln ORDER BY x1) AS gap FROM components) WHERE gap > 0 WINDOW w AS (PARTITION BY page_id, ln ORDER BY gap)) WHERE n >= 3 AND k < n) WHERE score > 0) j
+WHERE best = 1 AND nxt >= 1.6 * greatest(gap, 1) AND nxt >= 0.16 * 24""", "components")
+def _(t):
+    keys = ["page_id", "ln"]
+    groups = t.components.select(*keys, "x1", "x2", F.col("x1").alias("grp"))
+    heights = t.components.select(*keys).distinct().withColumn("line_h", F.lit(24.0))
+    return layout.gap_threshold(layout.line_gaps(groups, keys), heights, keys)
+
+
+@query("w13_w14_words")
+def _(t):
+    return _words(t)[2]
+
+
+@query("w15_reading_order", "SELECT doc_id AS page_id, pos AS word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS position FROM words", "words")
+def _(t):
+    w = t.components.select("page_id", F.lit(0).alias("block"), F.col("ln").alias("line"), "x1", "y1", F.col("comp_id").alias("word"))
+    return layout.reading_order(w).select("page_id", "word", "position")
+
+
+@query("w15_operator_order", "SELECT doc_id, n_chars % 5 AS column_index, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 5, n_chars % 7, doc_id) - 1 AS position FROM documents")
+def _(t):
+    b = t.documents.select(F.col("lang").alias("page_id"), "doc_id", (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"))
+    return layout.operator_order(b).select("doc_id", "column_index", "position")
+
+
+@query("w16_page_text", """
+SELECT page_id, coalesce(string_agg(t, chr(10) ORDER BY ln) FILTER (WHERE t <> ''), '') AS text FROM (SELECT doc_id AS page_id, ln, coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (WHERE pos % 4 <> 1), '') AS t
+FROM (SELECT doc_id, pos, w, CAST((pos - pos % 10) / 10 AS BIGINT) AS ln FROM words) GROUP BY doc_id, ln) GROUP BY page_id""", "words")
+def _(t):
+    w = t.components.join(t.words.select(F.col("doc_id").alias("page_id"), F.col("pos").alias("comp_id"), "w"), ["page_id", "comp_id"])
+    return layout.page_text(w.select("page_id", F.lit(0).alias("block"), F.col("ln").alias("line"), F.col("comp_id").alias("word"), F.lit("word").alias("kind"), "y1", "y2", (F.col("comp_id") % 4 != 1).alias("ok"), F.col("w").alias("text")))
+
+
+@query("w17_operator_text", """
+SELECT lang AS page_id, string_agg(t, chr(10) || chr(10) ORDER BY c) || chr(10) AS text FROM (SELECT lang, c, string_agg(t, chr(10) ORDER BY l) AS t FROM (
+SELECT lang, n_chars % 5 AS c, n_chars % 7 AS l, string_agg(source, ' ' ORDER BY doc_id) AS t FROM documents WHERE doc_id % 6 <> 0 GROUP BY 1, 2, 3) GROUP BY lang, c) GROUP BY lang""")
+def _(t):
+    return layout.operator_text(t.documents.select(F.col("lang").alias("page_id"), (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("source")).alias("text")))
+
+
+@query("w18_page_kind")
+def _(t):
+    regions = t.components.select("page_id", F.lit(0).alias("block"), F.lit("word").alias("kind"), "x1", "y1", "x2", "y2")
+    return layout.page_kind(regions)
+
+
+@query("w19_region_warnings")
+def _(t):
+    b = t.boxes_ref.select("page_id", F.col("ref_id").alias("id"), F.lit(0).alias("block"), (F.col("y1") % 3).alias("line"), F.lit("word").alias("kind"), "x1", "y1", "x2", "y2", (F.col("ref_id") % 5 != 0).alias("ok"), F.when(F.col("ref_id") % 4 == 0, "").otherwise("w").alias("text"), (F.col("x1") % 10 == 0).alias("forced"))
+    pages = b.select("page_id").distinct().select("page_id", F.lit(990).alias("width"), F.lit(1230).alias("height"), F.lit(24.0).alias("h"))
+    return layout.region_warnings(b, pages, 6).select("page_id", "id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("w20_ctc_decode", """
+SELECT image_id, coalesce(string_agg(substr('abc', class_id, 1), '' ORDER BY t) FILTER (WHERE class_id <> 0 AND class_id IS DISTINCT FROM p), '') AS text, coalesce(avg(prob) FILTER (WHERE class_id <> 0), 0) AS confidence
+FROM (SELECT *, lag(class_id) OVER (PARTITION BY image_id ORDER BY t) AS p FROM frames) GROUP BY image_id""", "frames")
+def _(t):
+    return layout.ctc_decode(t.frames, "abc").select("image_id", "text", F.col("confidence"))
+
+
+_POINTS = "SELECT page_id, ln, (x1 + x2) / 2 AS x, (y1 + y2) / 2 + comp_id % 4 AS y FROM components"
+
+
+@query("w21_theil_sen", f"""
+SELECT f.page_id, f.ln, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM (SELECT a.page_id, a.ln, count(*) AS n, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM ({_POINTS}) a JOIN ({_POINTS}) b ON a.page_id = b.page_id AND a.ln = b.ln AND b.x - a.x >= 40 GROUP BY a.page_id, a.ln) f
+JOIN ({_POINTS}) p ON p.page_id = f.page_id AND p.ln = f.ln WHERE n >= 3 GROUP BY f.page_id, f.ln, slope""", "components")
+def _(t):
+    p = t.components.select("page_id", "ln", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2 + F.col("comp_id") % 4).alias("y"))
+    return layout.theil_sen(p, ["page_id", "ln"], 40).select("page_id", "ln", "slope", "intercept")
+
+
+def _sloped(t: Tables) -> DataFrame:
+    lift = F.col("x1") * (F.col("page_id") % 5) / 200
+    c = t.components.select("page_id", F.lit(0).alias("block"), F.col("ln").alias("line"), "comp_id", "x1", "x2", *((F.col(y) + lift).cast("long").alias(y) for y in ("y1", "y2")))
+    return c.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 2)
+
+
+@query("w22_line_angle")
+def _(t):
+    c = _sloped(t)
+    return layout.line_angle(c, layout.text_height(c))
+
+
+@query("w23_band_crossings", """
+SELECT page_id, 0 AS block, l.ln AS line, (SELECT count(*) FROM components c WHERE c.page_id = l.page_id AND c.ln = l.ln AND (c.y1 < t OR c.y2 > b)) AS own_cut,
+ (SELECT count(*) FROM components c WHERE c.page_id = l.page_id AND c.ln <> l.ln AND c.y1 < b AND c.y2 > t) AS others_inside FROM (SELECT page_id, ln, min(y1) + 1 AS t, max(y2) + 30 AS b FROM components GROUP BY page_id, ln) l""", "components")
+def _(t):
+    c = t.components.withColumn("block", F.lit(0)).withColumn("line", F.col("ln"))
+    bands = c.groupBy("page_id", "block", "line").agg((F.min("y1") + 1).alias("y1"), (F.max("y2") + 30).alias("y2"))
+    return layout.band_crossings(c, bands, _blocks(t))
+
+
+@query("w24_level_components", """
+SELECT page_id, comp_id, y1 - round_even(0.05 * ((x1 + x2) / 2 - 100), 0)::BIGINT AS y1, y2 - round_even(0.05 * ((x1 + x2) / 2 - 100), 0)::BIGINT AS y2 FROM components""", "components")
+def _(t):
+    c = t.components.withColumn("block", F.lit(0)).withColumn("line", F.col("ln"))
+    fits = c.select("page_id", "block", "line").distinct().withColumn("slope", F.lit(0.05)).withColumn("x_ref", F.lit(100))
+    return layout.level_components(c, fits).select("page_id", "comp_id", "y1", "y2")
+
+
+@query("a36_line_geometry_summary")
+def _(t):
+    c = _sloped(t)
+    bands = c.groupBy("page_id", "block", "line").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    return layout.line_geometry_summary(layout.line_angle(c, layout.text_height(c)), layout.band_crossings(c, bands, _blocks(t)))
+
+
+@query("j14_interval_intersect", """
+SELECT a.page_id, greatest(a.x1, b.x1) AS lo, least(a.x2, b.x2) AS hi FROM boxes_ref a JOIN boxes_det b ON a.page_id = b.page_id WHERE least(a.x2, b.x2) - greatest(a.x1, b.x1) >= 20""", "boxes_ref boxes_det")
+def _(t):
+    as_interval = lambda df: df.select("page_id", F.col("x1").alias("lo"), F.col("x2").alias("hi"))
+    return layout.interval_intersect(as_interval(t.boxes_ref), as_interval(t.boxes_det), ["page_id"], 20)
+
+
+# --- planning -----------------------------------------------------------------------------------------------------
+
+
+@query("w9_cumulative_weights", """
+SELECT word, round(sum(1.0::DOUBLE + 0.35 * greatest(length(word) - 8, 0)) OVER (ORDER BY word ROWS UNBOUNDED PRECEDING), 4) AS hi FROM vocab""", "vocab")
+def _(t):
+    return planning.cumulative_weights(t.vocab, "long").select("word", F.round("hi", 4).alias("hi"))
+
+
+_U = "CAST(('0x' || substr(md5({k}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@query("b1_j13_sample_vocab", f"""
+SELECT draw, (SELECT word FROM (SELECT word, sum(1.0::DOUBLE + 0.35 * greatest(length(word) - 8, 0)) OVER (ORDER BY word ROWS UNBOUNDED PRECEDING) AS hi FROM vocab WHERE length(word) <= 40) s WHERE s.hi > u * (SELECT sum(1.0::DOUBLE + 0.35 * greatest(length(word) - 8, 0)) FROM vocab WHERE length(word) <= 40) ORDER BY hi LIMIT 1) AS word
+FROM (SELECT i AS draw, {_U.format(k="'11|' || i")} AS u FROM range(500) r(i))""", "vocab")
+def _(t):
+    return planning.sample_vocab(t.vocab, 500, 11, "long")
+
+
+@query("b3_subset", "SELECT row, label FROM manifest ORDER BY md5('5|' || row), row LIMIT 50", "manifest")
+def _(t):
+    return planning.subset(t.manifest, "row", 50, 5).select("row", "label")
+
+
+@query("b2_mixture_draw", f"""
+SELECT i AS sample, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS source, CAST(floor(v * CASE WHEN u < 0.5 THEN (SELECT count(*) FROM documents) WHEN u < 0.75 THEN 1000 ELSE 500 END) AS BIGINT) AS item
+FROM (SELECT i, {_U.format(k="'3|1|' || i || '|source'")} AS u, {_U.format(k="'3|1|' || i || '|item'")} AS v FROM range((SELECT 2 * count(*) FROM documents)) r(i))""")
+def _(t):
+    n = t.documents.count()
+    return planning.mixture_draw(t.spark, [n, 1000, 500], [0.5, 0.25, 0.25], 2 * n, 3, 1)
+
+
+@query("b4_width_batches")
+def _(t):
+    return planning.width_batches(t.widths, 64, 10, 30_000, seed=4)
+
+
+@query("b5_paired_batches", """
+SELECT CAST(floor((row_number() OVER (PARTITION BY source ORDER BY width, index) - 1) / CASE source WHEN 0 THEN 48 ELSE 16 END) AS BIGINT) AS batch, source, index, width FROM widths""", "widths")
+def _(t):
+    return planning.paired_batches(t.widths, [0.75, 0.25], 64)
+
+
+@query("b6_cap_batches", """
+SELECT batch, index, CAST(floor((row_number() OVER (PARTITION BY batch ORDER BY width, index) - 1) * parts / n) AS BIGINT) AS part FROM (SELECT *, ceil(n / greatest(floor(20000 / m), 1)) AS parts FROM (
+SELECT *, count(*) OVER (PARTITION BY batch) AS n, max((width + 31) // 32 * 32) OVER (PARTITION BY batch) AS m FROM (SELECT index % 97 AS batch, index, width FROM widths)))""", "widths")
+def _(t):
+    return planning.cap_batches(t.widths.select((F.col("index") % 97).alias("batch"), "index", "width"), 20_000).select("batch", "index", F.col("part").cast("long").alias("part"))
+
+
+@query("a30_batch_stats", """
+SELECT count(*) AS batches, 100 * count(*) FILTER (WHERE k = 1) / count(*) AS single_source_pct, avg(n) AS mean_size, min(n) AS min_size, max(n) AS max_size, count(*) FILTER (WHERE k < 2) AS missing, 100 * (1 - sum(used) / sum(room)) AS padding_pct
+FROM (SELECT index % 97 AS batch, count(*) AS n, count(DISTINCT source) AS k, sum(width) AS used, count(*) * max((width + 31) // 32 * 32) AS room FROM widths GROUP BY 1)""", "widths")
+def _(t):
+    return planning.batch_stats(t.widths.withColumn("batch", F.col("index") % 97), 2)
+
+
+@query("a30_source_shares", "SELECT source, count(*) AS n, count(*) / (SELECT count(*) FROM widths) AS share FROM widths GROUP BY source", "widths")
+def _(t):
+    return planning.source_shares(t.widths)
+
+
+@query("j12_b7_collision_audit", """
+SELECT (SELECT count(*) FROM seeds) AS draws, (SELECT count(*) FROM seeds WHERE seed BETWEEN 0 AND 99999999 OR seed BETWEEN 1000000000 AND 1049999999) AS hits, (SELECT count(*) FROM seeds) * 150000000 / 2147483648 AS expected,
+ (SELECT coalesce(CAST(sum(n - 1) AS BIGINT), 0) FROM (SELECT count(*) AS n FROM seeds GROUP BY seed HAVING count(*) > 1)) AS repeated""", "seeds")
+def _(t):
+    ranges = t.spark.createDataFrame([(0, 100_000_000), (1_000_000_000, 1_050_000_000)], "lo long, hi long")
+    return planning.collision_audit(t.seeds, ranges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,16 +78,26 @@ def read_manifest(spark: SparkSession, path: str, where: dict[str, str] | None =
     return rows.withColumn("label", normalize_label(F.col("label"), composed)).where(is_encodable(F.col("label"), charset))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder that ``spark.checkpoint.dir`` names (in tests, where it is unset, one of this
+    machine): steps that read ``df`` twice see the same rows in the same partitions, and lineage is cut."""
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphframe-"))
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """A running number from 0 within ``keys``, in two steps: numbers within blocks of the order, then the blocks'
     offsets, so that one large key is not numbered by one task."""
-    block = F.spark_partition_id()
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_block", block)
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
-    sizes = local.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))  # a row for each key and block
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_block", F.spark_partition_id())
+    ranged = kept(ranged)  # a block's rows must be the same in both uses below
+    local = ranged.withColumn("_in_block", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
+    sizes = ranged.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))  # a row for each key and block
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    return local.join(offsets, [*keys, "_block"]).withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_before", "_at", "_block")
+    met = local.join(offsets, [*keys, "_block"]).withColumn(name, F.col("_before") + F.col("_in_block") - 1)
+    return met.drop("_before", "_in_block", "_block")
 
 
 def manifest_rows(df: DataFrame, source: str, charset: str = CHARSET, composed: bool = False) -> DataFrame:
@@ -93,9 +105,10 @@ def manifest_rows(df: DataFrame, source: str, charset: str = CHARSET, composed:
     label, named ``split/000000.ext`` by a running number for each split in (shard, row) order (S7)."""
     rows = df.withColumn("label", normalize_label(F.col("label"), composed))
     rows = rows.where(F.col("bytes").isNotNull() & (F.length("bytes") > 0) & is_encodable(F.col("label"), charset))
-    run = F.row_number().over(Window.partitionBy("split").orderBy("shard", "row")) - 1
+    rows = numbered(rows, ["split"], ["shard", "row"], "number")
+    run = F.col("number")
     image = F.concat("split", F.lit("/"), F.lpad(run.cast("string"), 6, "0"), F.lit("."), sniff_ext(F.col("bytes"), F.col("hint")))
-    return rows.select("split", run.alias("number"), image.alias("image"), "label", F.lit(source).alias("source"), F.col("hint").alias("orig"))
+    return rows.select("split", "number", image.alias("image"), "label", F.lit(source).alias("source"), F.col("hint").alias("orig"))
 
 
 def write_manifest(rows: DataFrame, out: str) -> None:
