@@ -34,9 +34,12 @@ VANISH = "‌‍﻿ "
 FOLD_FROM, FOLD_TO = "‘’“”–—−", "''\"\"---"
 
 
-@F.pandas_udf("string")
-def _nfc(labels: pd.Series) -> pd.Series:
-    return labels.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+def _nfc(label: Column) -> Column:
+    @F.pandas_udf("string")
+    def composed(labels: pd.Series) -> pd.Series:
+        return labels.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+    return composed(label)
 
 
 def normalize_label(label: Column, composed: bool = False) -> Column:

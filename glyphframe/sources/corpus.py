@@ -65,7 +65,7 @@ MANIFEST = "image string, label string, source string, orig string, style string
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the non-blank lines of a text file with their 0-based number; blank ones count."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     return lines.where(F.trim("value") != "")
 
@@ -121,7 +121,7 @@ def write_manifest(rows: DataFrame, out: str) -> None:
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """(word, freq) of a JSON object file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "freq"))
 
 
@@ -139,9 +139,9 @@ def write_vocab(vocab: DataFrame, out: str) -> None:
 
 
 def read_text_dir(spark: SparkSession, root: str) -> DataFrame:
-    """(path, value) of every .txt below ``root``; bytes that are not UTF-8 become replacement characters."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
-    return found.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    """(path, value) of every .txt below ``root``; bytes that are not UTF-8 are left out."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("value"))
 
 
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -43,7 +43,7 @@ _BOX_FIELDS = [f.split()[0] for f in BOX.split(", ")]
 def read_boxes_json(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of version-1 box files in their order (path, seq, fields of BOX), with ``violation`` where a file's
     version, field set or id is wrong (S13)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     files = whole.select("path", F.get_json_object("value", "$.version").alias("version"), F.from_json(F.get_json_object("value", "$.boxes"), "array<string>").alias("boxes"))
     rows = files.select("path", "version", F.posexplode_outer("boxes").alias("seq", "raw"))
     rows = rows.select("path", "version", "seq", "raw", F.from_json("raw", BOX).alias("b"), F.array_sort(F.json_object_keys("raw")).alias("keys"))
