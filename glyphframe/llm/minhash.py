@@ -5,13 +5,14 @@ keeps the low ``BITS`` bits of each minimum. Texts of equal sets collapse to one
 give candidates; their similarity is estimated from the packed signatures by counting equal lanes and correcting for
 chance collisions, and what is left is confirmed on the full shingle sets.
 
-Two rounds keep a bucket from being paired off in full. In the first, each text is checked against the likeliest of
-the buckets' smallest documents (at most one pair for each text); confirmed links give components. In the second,
-pairs within a bucket are formed only between different components, so a large group of near copies costs a few
-pairs for each member, while no link that a bucket holds is lost.
+Rounds keep a bucket from being paired off in full. First, each text is checked against the one smallest document
+of a bucket that it shares most buckets with; confirmed links give components. Then texts outside their buckets'
+largest component are checked against picked members of it, a few times. Last, pairs within a bucket are formed
+between different components only. So a large group of near copies costs a few pairs for each member, while no link
+that a bucket holds is lost.
 
 A link at exactly the threshold meets in no bucket once in about 4e5 (0.75^5 per band, 48 bands), one at 0.85 never
-in practice; the estimate is cut six standard deviations below the threshold.
+in practice; the estimate is cut five standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, map_columns, stored
@@ -27,8 +28,11 @@ from .common import checkpointed, components, map_columns, stored
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS = 48, 5, 4
 LANES = BANDS * ROWS
-#: Estimates below this share are not confirmed: the threshold less six standard deviations of the estimate.
-FLOOR = 0.55
+#: Estimates below this share are not confirmed: the threshold less five standard deviations of the estimate.
+FLOOR = 0.6
+#: Turns in which texts outside their buckets' largest component are checked against picked members of it, and how
+#: many of these, the likeliest, a text is checked against in a turn. Whatever they leave apart is met in full.
+TURNS, PARTNERS = 3, 3
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,21 +164,42 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     right = brief.toDF("b", "n_b", "s_b")
     likely = _sizes_allow("n_a", "n_b") & (estimate(F.col("s_a"), F.col("s_b")) >= FLOOR)
 
-    star = met.where("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(right, "b").join(left, "a").where(likely)
-    best = star.groupBy("b").agg(F.max(F.struct(estimate(F.col("s_a"), F.col("s_b")).alias("e"), (-F.col("a")).alias("a"))).alias("m"))
-    tried = checkpointed(best.select((-F.col("m.a")).alias("a"), "b"))
-    first = checkpointed(confirm(tried, sets))
-
-    known = components(first)
-    tagged = met.select("bucket", "doc_id").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    tagged = tagged.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = tagged.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = tagged.join(mixed.select("bucket"), "bucket").join(brief, "doc_id")
+    # each text with the bucket leader that it shares most buckets with, counted before any signature is fetched
+    often = met.where("doc_id > leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
+    best = often.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("neg"))).alias("m"))
+    asked = best.select((-F.col("m.neg")).alias("a"), F.col("doc_id").alias("b"))
+    tried = checkpointed(asked.join(right, "b").join(left, "a").where(likely).select("a", "b"))
+    links = checkpointed(confirm(tried, sets))
+
+    def tagged() -> DataFrame:
+        """Bucket entries with the component so far."""
+        known = components(links).withColumnRenamed("node", "doc_id")
+        return met.select("bucket", "doc_id").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    for turn in range(TURNS):
+        now = checkpointed(tagged())
+        pick = F.max(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("pick")
+        parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), pick)
+        most = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("neg"), F.col("pick.doc_id").alias("pick"))).alias("t"), F.count("*").alias("q"))
+        open_ = now.join(most.where("q > 1"), "bucket").where(F.col("component") != -F.col("t.neg")).select("doc_id", F.col("t.pick").alias("pick")).distinct()
+        asked = open_.select("doc_id", F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b")).join(tried, ["a", "b"], "left_anti")
+        asked = asked.join(right, "b").join(left, "a").where(likely)
+        order = Window.partitionBy("doc_id").orderBy(F.desc(estimate(F.col("s_a"), F.col("s_b"))), "a", "b")
+        asked = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PARTNERS).select("a", "b").distinct()
+        asked = checkpointed(asked)
+        if asked.isEmpty():
+            break
+        tried = tried.unionByName(asked)
+        links = links.unionByName(checkpointed(confirm(asked, sets)))
+
+    # what is still apart is met in full, between components
+    now = checkpointed(tagged())
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    open_ = now.join(mixed.select("bucket"), "bucket").join(brief, "doc_id")
     a, b = open_.toDF("a", "bucket", "c_a", "n_a", "s_a"), open_.toDF("b", "bucket", "c_b", "n_b", "s_b")
     cross = a.join(b, (a.bucket == b.bucket) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & likely)
     cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(checkpointed(confirm(cross, sets)))
+    return links.unionByName(checkpointed(confirm(cross, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -91,8 +91,8 @@ FROM k LEFT JOIN f ON k.key = f.key AND length(k.key) >= 10 GROUP BY k.doc_id"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
-    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE [array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)] END) AS ss FROM w
+    WHEN len(ws) < 5 THEN [hash(array_to_string(ws, ' '))]
+    ELSE [hash(ws[i], ws[i+1], ws[i+2], ws[i+3], ws[i+4]) for i in range(1, len(ws) - 3)] END) AS ss FROM w
 ),
 e AS (SELECT doc_id, unnest(ss) AS sh FROM s),
 p AS (
