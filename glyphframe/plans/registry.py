@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charset, geometry, rules, text
 from ..operators import audit, bootstrap, boxes, layout, planning, scores
-from ..sources import exchange
+from ..sources import corpus, exchange
 from .fixtures import load, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,28 @@ def _(t):
     return t.documents.select("doc_id", rules.sniff_ext(head, hint).alias("ext"))
 
 
+@query("s7_manifest_rows", """
+SELECT split, number, split || '/' || lpad(CAST(number AS VARCHAR), 6, '0') || '.png' AS image, label FROM (
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY row) - 1 AS number, replace(label, '-', '') AS label FROM manifest WHERE row % 5 <> 0)""", "manifest")
+def _(t):
+    rows = t.manifest.select("split", F.lit("s").alias("shard"), "row", F.when(F.col("row") % 5 != 0, F.encode("content_md5", "UTF-8")).alias("bytes"), F.lit("x").alias("hint"), F.regexp_replace("label", "-", "").alias("label"))
+    return corpus.manifest_rows(rows, "fixture", charset.ASCII_LETTERS + charset.ASCII_DIGITS).select("split", "number", "image", "label")
+
+
+@query("s10_vocab_json", """SELECT '{' || string_agg('"' || word || '": ' || freq, ', ' ORDER BY freq DESC, word) || '}' AS value FROM vocab""", "vocab")
+def _(t):
+    return corpus.vocab_json(t.vocab)
+
+
+@query("s13_boxes_json", """
+SELECT page_id, '{"version":1,"boxes":[' || string_agg('{"id":"b' || ref_id || '","x":' || x1 || ',"y":' || y1 || ',"w":' || (x2 - x1) || ',"h":' || (y2 - y1) || ',"line_index":0,"column_index":0}', ',' ORDER BY ref_id) || ']}' AS value
+FROM boxes_ref GROUP BY page_id""", "boxes_ref")
+def _(t):
+    c = F.col
+    b = t.boxes_ref.select("page_id", c("ref_id").alias("seq"), F.concat(F.lit("b"), c("ref_id").cast("string")).alias("id"), c("x1").alias("x"), c("y1").alias("y"), (c("x2") - c("x1")).alias("w"), (c("y2") - c("y1")).alias("h"), F.lit(0).alias("line_index"), F.lit(0).alias("column_index"))
+    return exchange.boxes_json(b)
+
+
 @query("s9_sample_lines", """
 SELECT '{"_meta":{"n_kept":10,"n_scored":' || count(*) || ',"n_unreadable_skipped":0}}' AS value FROM samples
 UNION ALL SELECT '{"manifest_index":' || manifest_index || ',"ref":"' || ref || '"}' FROM samples""", "samples")
@@ -534,9 +556,11 @@ def _(t):
     return scores.subset_breakdown(t.samples.withColumn("covered", F.col("source") != "src3"))
 
 
-@query("a9_mcnemar")
+@query("a9_mcnemar", """
+SELECT source, b, c, round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c) + 1) r(i))), 6) AS p FROM (
+SELECT source, count(*) FILTER (WHERE ref = hyp_ctrl AND ref <> hyp_treat) AS b, count(*) FILTER (WHERE ref <> hyp_ctrl AND ref = hyp_treat) AS c FROM samples GROUP BY source)""", "samples")
 def _(t):
-    return scores.mcnemar(t.samples, ["source"])
+    return scores.mcnemar(t.samples, ["source"]).withColumn("p", F.round("p", 6))
 
 
 @query("a6_paired_bootstrap")
@@ -792,14 +816,23 @@ def _(t):
     return made.select("page_id", "ln", "grp", "x1", "x2", F.size("members").alias("members"))
 
 
-@query("w4_text_height", f"""
-SELECT page_id, CASE WHEN n < 5 THEN a ELSE u END AS h FROM (SELECT page_id, min(n) AS n, quantile_cont(y2 - y1, 0.5) AS a, quantile_cont(y2 - y1, 0.5) FILTER (WHERE area >= 12 AND y2 - y1 >= 6 AND y2 - y1 >= p) AS u FROM (
-SELECT c.*, n, p FROM ({_AREA}) c JOIN (SELECT page_id, count(*) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS n, quantile_cont(y2 - y1, 0.4) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS p FROM ({_AREA}) GROUP BY page_id) q ON c.page_id = q.page_id) GROUP BY page_id)""", "components")
+_HEIGHT = f"""SELECT page_id, CASE WHEN n < 5 THEN a ELSE u END AS h FROM (SELECT page_id, min(n) AS n, quantile_cont(y2 - y1, 0.5) AS a, quantile_cont(y2 - y1, 0.5) FILTER (WHERE area >= 12 AND y2 - y1 >= 6 AND y2 - y1 >= p) AS u FROM (
+SELECT c.*, n, p FROM ({_AREA}) c JOIN (SELECT page_id, count(*) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS n, quantile_cont(y2 - y1, 0.4) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS p FROM ({_AREA}) GROUP BY page_id) q ON c.page_id = q.page_id) GROUP BY page_id)"""
+
+
+@query("w4_text_height", _HEIGHT, "components")
 def _(t):
     return layout.text_height(_components(t))
 
 
-@query("w5_clean_components")
+@query("w5_clean_components", f"""
+SELECT page_id, comp_id, CASE WHEN border THEN 'border' WHEN rule THEN 'rule' WHEN figure THEN 'figure' WHEN n >= 5 AND dark < 0.58 * ink THEN 'too light' WHEN area < 0.010 * h * h AND greatest(w, t) <= 0.12 * h THEN 'speck' END AS removed FROM (
+SELECT *, count(*) FILTER (WHERE letter) OVER (PARTITION BY page_id) AS n, quantile_cont(CASE WHEN letter THEN dark END, 0.5) OVER (PARTITION BY page_id) AS ink FROM (
+SELECT *, NOT border AND NOT rule AND NOT figure AND t >= 0.5 * h AS letter FROM (
+SELECT c.page_id, comp_id, area, h, x2 - x1 AS w, y2 - y1 AS t, 100.0::DOUBLE - comp_id % 10 * 5 AS dark,
+ (x1 <= 1 OR y1 <= 1 OR x2 >= pw - 1 OR y2 >= ph - 1) AND (x2 - x1 >= 0.45 * pw OR y2 - y1 >= 0.45 * ph) AS border,
+ greatest(x2 - x1, y2 - y1) / greatest(least(x2 - x1, y2 - y1), 1) >= 18 AND greatest(x2 - x1, y2 - y1) >= 6 * h AS rule, y2 - y1 >= 6 * h OR x2 - x1 >= 0.6 * pw AS figure
+FROM ({_AREA}) c JOIN (SELECT page_id, max(x2) + 10 AS pw, max(y2) + 10 AS ph FROM components GROUP BY page_id) p ON c.page_id = p.page_id JOIN ({_HEIGHT}) q ON c.page_id = q.page_id)))""", "components")
 def _(t):
     c = _components(t)
     pages = c.groupBy("page_id").agg((F.max("x2") + 10).alias("width"), (F.max("y2") + 10).alias("height"))
