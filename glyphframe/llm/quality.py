@@ -40,6 +40,8 @@ def statistics() -> dict[str, Column]:
         "log_words": F.log1p(F.col("_n").cast("double")),
         "word_length": _share(F.col("_chars"), "_n"),
         "distinct_words": _share(F.size(F.array_distinct("_words")), "_n"),
+        # the logarithms' ratio hardly depends on a text's length
+        "richness": F.when(F.col("_n") > 1, F.log(F.size(F.array_distinct("_words"))) / F.log(F.col("_n"))).otherwise(1.0),
         "repeated_neighbours": _share(adjacent, "_n"),
         "upper": _share(_count(r"\p{Lu}"), "_chars"),
         "digits": _share(_count(r"[0-9]"), "_chars"),
