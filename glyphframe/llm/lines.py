@@ -124,11 +124,13 @@ def _apply(doc_id: pa.Array, text: pa.Array, keep: pa.Array) -> dict[str, object
     return {"doc_id": doc_id, "n_lines": totals, "n_dropped": drops, "text": texts}
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text) of every row: the bitmaps applied. A null or empty text is one empty line."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    maps = keep_bitmaps(docs, min_chars).select("doc_id", "mark", "keep")
-    met = rows.join(maps, ["doc_id", "mark"], "left").select("doc_id", "text", "keep")
-    return map_columns(
-        met, _apply, {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_dropped": pa.int64(), "text": pa.string()}
-    )
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) of every row: the bitmaps applied. A null or empty text is one empty line.
+
+    ``keep`` names string columns of ``docs`` that stay with their rows.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), *keep)
+    maps = keep_bitmaps(docs, min_chars).select("doc_id", "mark", F.col("keep").alias("_keep"))
+    met = rows.join(maps, ["doc_id", "mark"], "left").select("doc_id", "text", "_keep", *keep)
+    kinds = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_dropped": pa.int64(), "text": pa.string()}
+    return map_columns(met, lambda i, t, k, *rest: _apply(i, t, k) | dict(zip(keep, rest)), kinds | {c: pa.string() for c in keep})

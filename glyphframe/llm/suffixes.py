@@ -310,18 +310,17 @@ def _remove(doc_id: pa.Array, text: pa.Array, spans: pa.Array) -> dict[str, obje
     return {"doc_id": doc_id, "n_bytes": sizes, "n_removed": removed, "n_spans": runs, "kept": kept}
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` is the bytes that are left.
 
     Every byte goes that a ``LENGTH``-byte string covers which also starts anywhere else in the table, in the same
     text or another; matches never cross texts and are judged on the input. A null text counts as empty. Rows of one
     id are different texts, told apart by ``mark`` (47 bits of the text's xxhash64); exact repeats of a row repeat
-    each other. Rows with a null id lose nothing and repeat nothing. Kept bytes may cut a character in two.
+    each other. Rows with a null id lose nothing and repeat nothing. Kept bytes may cut a character in two. ``keep``
+    names string columns of ``docs`` that stay with their rows.
     """
     spans = repeated_spans(docs).distinct().groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    rows = docs.select("doc_id", "text", (F.xxhash64("text").bitwiseAND(F.lit((1 << 47) - 1))).alias("mark"))
-    met = rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
-    return map_columns(
-        met, _remove,
-        {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()},
-    )
+    rows = docs.select("doc_id", "text", (F.xxhash64("text").bitwiseAND(F.lit((1 << 47) - 1))).alias("mark"), *keep)
+    met = rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", *keep)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+    return map_columns(met, lambda i, t, s, *rest: _remove(i, t, s) | dict(zip(keep, rest)), kinds | {c: pa.string() for c in keep})
