@@ -59,7 +59,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     base = base.withColumns({"_chars": F.length("_text"), "_words": F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "")})
     base = base.withColumn("_n", F.size("_words"))
-    return base.select(*keep, *(v.alias(k) for k, v in statistics().items()))
+    return base.select(*keep, *(v.alias(k) for k, v in statistics().items()), F.monotonically_increasing_id().alias("_row"))
 
 
 @dataclass(frozen=True)
@@ -148,4 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> R
 
 def score(docs: DataFrame, model: RuleEnsemble, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the score (0 to 1) of each row's whole text; null and empty texts are scored as empty."""
-    return with_statistics(docs, keep).select(*keep, model.score().alias("score"))
+    # adding 0 times a row number keeps a filter on the score above the statistics; moved below, each rule would
+    # compute its statistics again
+    return with_statistics(docs, keep).select(*keep, (model.score() + F.col("_row") * 0.0).alias("score"))
