@@ -84,24 +84,49 @@ def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(q: np.ndarray, q_turned: np.ndarray, turned: np.ndarray, ids: np.ndarray, raw: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one group for one query: (vec_id, score), best first, ties to the smaller id."""
-    alive = np.flatnonzero(ids != own)
-    limit, dims = np.inf, turned.shape[1]
-    if len(alive) > 4 * k:  # the first few give the distance to beat
-        head = alive[: 2 * k]
-        limit = np.partition(((turned[head] - q_turned) ** 2).sum(1), k - 1)[k - 1] * (1 + 1e-9)
-        part = np.zeros(len(alive))
+def paired_inner(q: np.ndarray, x: np.ndarray, at_q: np.ndarray, at_x: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (q[at_q], x[at_x]), summed column by column: equal vectors score equally."""
+    out = np.zeros(len(at_q))
+    for d in range(x.shape[1]):
+        out += q[at_q, d] * x[at_x, d]
+    return out
+
+
+#: Queries that are scanned together, and what rounding may add to a distance.
+TOGETHER, SLACK = 128, 1e-9
+
+
+def scan(q: np.ndarray, q_turned: np.ndarray, turned: np.ndarray, ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int) -> tuple:
+    """The k best of one group for some queries: (query's number, vec_id, score); ties to the smaller id."""
+    dims = turned.shape[1]
+    differ = own[:, None] != ids[None, :]
+    alive, columns = differ, np.arange(len(ids))
+    if len(ids) > 4 * k:
+        # the first few candidates give each query the distance to beat
+        head = slice(0, 2 * k + 1)
+        first = _square(q_turned, turned[head]) + np.where(differ[:, head], 0.0, np.inf)
+        limit = np.partition(first, k - 1, axis=1)[:, k - 1]
+        part = np.zeros((len(q), len(columns)))
         for at in range(0, dims, COLUMNS):
-            block = turned[alive, at : at + COLUMNS] - q_turned[at : at + COLUMNS]
-            part += (block * block).sum(1)
+            block = slice(at, at + COLUMNS)
+            part += _square(q_turned[:, block], turned[columns, block])
             read = min(at + COLUMNS, dims)
             bound = limit if read == dims else limit * read / dims * (1 + EPSILON / math.sqrt(read)) ** 2
-            stays = part <= bound
-            alive, part = alive[stays], part[stays]
-    score = inner(q, raw[alive])
-    best = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive][best], score[best]
+            alive = alive & (part <= (bound + SLACK)[:, None])
+            some = alive.any(axis=0)  # candidates that every query has abandoned are read no further
+            alive, part, columns = alive[:, some], part[:, some], columns[some]
+    at_q, at_x = np.nonzero(alive)
+    at_x = columns[at_x]
+    score = paired_inner(q, raw, at_q, at_x)
+    order = np.lexsort((ids[at_x], -score, at_q))
+    at_q, at_x, score = at_q[order], at_x[order], score[order]
+    rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
+    best = rank < k
+    return at_q[best], ids[at_x[best]], score[best]
+
+
+def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 
 def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -165,9 +190,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_col: st
             held, raw = left["vec_id"].to_numpy(), _matrix(left["v"].combine_chunks())
             turned = _lifted(raw, most, False) @ turn
             q_raw = _matrix(right["v"].combine_chunks())
-            for q_id, q, t in zip(right["vec_id"].to_pylist(), q_raw, _lifted(q_raw, most, True) @ turn):
-                best, score = scan(q, t, turned, held, raw, q_id, k)
-                ids.append(best), scores.append(score), asked.append(np.full(len(best), q_id))
+            q_turned, q_ids = _lifted(q_raw, most, True) @ turn, right["vec_id"].to_numpy()
+            for at in range(0, len(q_ids), TOGETHER):
+                some = slice(at, at + TOGETHER)
+                which, best, score = scan(q_raw[some], q_turned[some], turned, held, raw, q_ids[some], k)
+                ids.append(best), scores.append(score), asked.append(q_ids[some][which])
         return pa.table({"query_id": np.concatenate(asked), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     keys = ["list", "part", "turn"]
