@@ -28,9 +28,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_257
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, the best by weight.
-QUERY_TERMS = 12
-#: Postings read for one term at most before the next window; a term's list is read on from where it was left.
+#: Terms of a seed that are looked up, the best by weight; neighbours that one query returns. A window that takes all of
+#: them goes on with the next unused document as its seed.
+QUERY_TERMS, NEIGHBOURS = 8, 64
+#: Pre-tokens whose ids a worker remembers.
+REMEMBERED = 800_000
 _PIECE = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
     "sequence_id": pa.int64(), "offset": pa.int64(),
@@ -39,7 +41,7 @@ _PIECE = {
 
 def _tokenised(doc_id: pa.Array, text: pa.Array, ranks: str) -> dict[str, object]:
     """ids as unsigned 16-bit integers, and a sketch of the text: which of its rarer tokens hash least."""
-    bpe, ids, sketch = encoder(ranks, "H"), [], []
+    bpe, ids, sketch = encoder(ranks, "H", REMEMBERED), [], []
     for t in text:
         packed = bpe.encode(t.as_py() or "")
         x = np.frombuffer(packed, "<u2")
@@ -55,13 +57,24 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.column(0):
             ids = np.frombuffer(x.as_py(), "<u2")
-            held[np.unique(ids)] += 1
+            held[term_counts(ids)[0]] += 1
             docs, tokens = docs + 1, tokens + len(ids)
     at = np.flatnonzero(held)
     # two more rows: documents and tokens
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[held[at], docs, tokens])], names=["term", "n"])
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and how often each occurs."""
+    if not len(ids):
+        return ids, np.zeros(0, np.int64)
+    ids = np.sort(ids, kind="stable")  # a radix sort for 16 bits
+    new = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    at = np.flatnonzero(new)
+    return ids[at[:-1]], at[1:] - at[:-1]
+
+
 class Shard:
     """An inverted index over one shard's documents with BM25 weights."""
 
@@ -69,7 +82,7 @@ class Shard:
         n = len(texts)
         doc, term, tf = [], [], []
         for k, ids in enumerate(texts):
-            t, c = np.unique(ids, return_counts=True)
+            t, c = term_counts(ids)
             doc.append(np.full(len(t), k)), term.append(t.astype(np.int64)), tf.append(c)
         self.bounds = np.r_[0, np.cumsum([len(t) for t in term])].astype(np.int64)
         doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, term, tf))
@@ -95,7 +108,7 @@ class Shard:
             return docs
         score = np.bincount(docs, np.concatenate([self.scores[s] for s in lists])[live], minlength=len(self.unused))
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS]
 
 
 def windows(texts: list[np.ndarray], idf: np.ndarray, mean: float, size: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:

@@ -54,8 +54,8 @@ class PreTokenEncoder(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, code: str) -> PreTokenEncoder:
-    return PreTokenEncoder(path, code)
+def encoder(path: str, code: str, most: int = 400_000) -> PreTokenEncoder:
+    return PreTokenEncoder(path, code, most)
 
 
 @lru_cache(maxsize=4)
