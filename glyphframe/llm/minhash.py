@@ -5,11 +5,11 @@ keeps the low ``BITS`` bits of each minimum. Texts of equal sets collapse to one
 give candidates; their similarity is estimated from the packed signatures by counting equal lanes and correcting for
 chance collisions, and what is left is confirmed on the full shingle sets.
 
-Rounds keep a bucket from being paired off in full. First, each text is checked against the one smallest document
-of a bucket that it shares most buckets with; confirmed links give components. Then texts outside their buckets'
-largest component are checked against picked members of it, a few times. Last, pairs within a bucket are formed
-between different components only. So a large group of near copies costs a few pairs for each member, while no link
-that a bucket holds is lost.
+Rounds keep a bucket from being paired off in full. First, each text is checked against the one bucket leader that it
+shares most buckets with; confirmed links give components. Then texts outside their buckets' largest component are
+checked against picked members of it. Last, texts of buckets that still hold several components are met in full by
+their rarest shingles, between components only. So a large group of near copies costs a few pairs for each member,
+while no link that a bucket holds is lost.
 
 A link at exactly the threshold meets in no bucket once in about 4e5 (0.75^5 per band, 48 bands), one at 0.85 never
 in practice; the estimate is cut five standard deviations below the threshold.
@@ -30,9 +30,9 @@ BANDS, ROWS, BITS = 48, 5, 4
 LANES = BANDS * ROWS
 #: Estimates below this share are not confirmed: the threshold less five standard deviations of the estimate.
 FLOOR = 0.6
-#: Turns in which texts outside their buckets' largest component are checked against picked members of it, and how
-#: many of these, the likeliest, a text is checked against in a turn. Whatever they leave apart is met in full.
-TURNS, PARTNERS = 3, 3
+#: Picked members of its buckets' largest components, the likeliest, that a text outside of them is checked against.
+#: This only saves pairs: whatever it leaves apart is met in full.
+PARTNERS = 3
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,12 +147,40 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_columns(met.select("a", "b", "left", "right"), _confirmed, {"a": pa.int64(), "b": pa.int64()})
 
 
+def _tokens(doc_id: pa.Array, component: pa.Array, found: pa.Array) -> dict[str, object]:
+    sets = [np.frombuffer(f.as_py(), np.int64) for f in found]
+    n = [len(x) for x in sets]
+    spread = lambda c: np.repeat(c.to_numpy(), n)
+    return {"doc_id": spread(doc_id), "component": spread(component), "n": np.repeat(n, n), "token": np.concatenate(sets)}
+
+
+def prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) from different components of ``open_`` (doc_id, component) that can reach the threshold.
+
+    Shingles are ordered by how many of these texts hold them. Two sets that reach the threshold share at least
+    3/7 of their sizes together, so they share a shingle among the rarest of both: those up to the position that
+    still leaves so many. This loses no pair, and a shingle that a large group has in common is rarely among the
+    rarest of a text that is not linked with that group.
+    """
+    longs = {"doc_id": pa.int64(), "component": pa.int64(), "n": pa.int64(), "token": pa.int64()}
+    tokens = map_columns(open_.join(sets, "doc_id").select("doc_id", "component", "found"), _tokens, longs)
+    held = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    order = Window.partitionBy("doc_id", "n").orderBy("f", "token")
+    rows = tokens.join(held, "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("at", F.row_number().over(order))
+    rows = checkpointed(rows.where((F.col("f") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).drop("f"))
+    a, b = rows.toDF("token", "a", "c_a", "n_a", "at_a"), rows.toDF("token", "b", "c_b", "n_b", "at_b")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT))
+    near = (F.col("at_a") <= F.col("n_a") - least + 1) & (F.col("at_b") <= F.col("n_b") - least + 1) & _sizes_allow("n_a", "n_b")
+    met = a.join(b, (a.token == b.token) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
+    return met.select("a", "b").distinct()
+
+
 def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the sets of ``reps`` (doc_id, n_shingles, bands,
     signature)."""
     entries = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = stored(entries.join(shared.select("bucket", "leader"), "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(entries.join(shared, "bucket"))
     sets = map_columns(
         docs.select("doc_id", "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi"),
         lambda doc_id, text: {"doc_id": doc_id, "found": [shingles(t.as_py()).tobytes() for t in text]},
@@ -164,42 +192,44 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     right = brief.toDF("b", "n_b", "s_b")
     likely = _sizes_allow("n_a", "n_b") & (estimate(F.col("s_a"), F.col("s_b")) >= FLOOR)
 
-    # each text with the bucket leader that it shares most buckets with, counted before any signature is fetched
-    often = met.where("doc_id > leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
-    best = often.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("neg"))).alias("m"))
-    asked = best.select((-F.col("m.neg")).alias("a"), F.col("doc_id").alias("b"))
-    tried = checkpointed(asked.join(right, "b").join(left, "a").where(likely).select("a", "b"))
+    def likely_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.join(right, "b").join(left, "a").where(likely)
+
+    # a bucket's leader is its text with the largest buckets altogether: the middle of a group of near copies
+    weight = met.groupBy("doc_id").agg(F.sum("n").alias("w"))
+    leaders = met.join(weight, "doc_id").groupBy("bucket").agg((-F.max(F.struct("w", (-F.col("doc_id")).alias("neg")))["neg"]).alias("leader"))
+    # each text with the leader that it shares most buckets with, counted before any signature is fetched
+    often = met.join(leaders, "bucket").where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("k"))
+    best = often.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("leader")).alias("neg"))).alias("m"))
+    asked = best.select("doc_id", (-F.col("m.neg")).alias("leader"))
+    asked = asked.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    tried = checkpointed(likely_pairs(asked).select("a", "b"))
     links = checkpointed(confirm(tried, sets))
 
     def tagged() -> DataFrame:
         """Bucket entries with the component so far."""
         known = components(links).withColumnRenamed("node", "doc_id")
-        return met.select("bucket", "doc_id").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    for turn in range(TURNS):
-        now = checkpointed(tagged())
-        pick = F.max(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("pick")
-        parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), pick)
-        most = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("neg"), F.col("pick.doc_id").alias("pick"))).alias("t"), F.count("*").alias("q"))
-        open_ = now.join(most.where("q > 1"), "bucket").where(F.col("component") != -F.col("t.neg")).select("doc_id", F.col("t.pick").alias("pick")).distinct()
-        asked = open_.select("doc_id", F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b")).join(tried, ["a", "b"], "left_anti")
-        asked = asked.join(right, "b").join(left, "a").where(likely)
-        order = Window.partitionBy("doc_id").orderBy(F.desc(estimate(F.col("s_a"), F.col("s_b"))), "a", "b")
-        asked = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PARTNERS).select("a", "b").distinct()
-        asked = checkpointed(asked)
-        if asked.isEmpty():
-            break
-        tried = tried.unionByName(asked)
-        links = links.unionByName(checkpointed(confirm(asked, sets)))
-
-    # what is still apart is met in full, between components
-    now = checkpointed(tagged())
-    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = now.join(mixed.select("bucket"), "bucket").join(brief, "doc_id")
-    a, b = open_.toDF("a", "bucket", "c_a", "n_a", "s_a"), open_.toDF("b", "bucket", "c_b", "n_b", "s_b")
-    cross = a.join(b, (a.bucket == b.bucket) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & likely)
-    cross = cross.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(checkpointed(confirm(cross, sets)))
+        return checkpointed(met.select("bucket", "doc_id").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+
+    # texts outside their buckets' largest component, each with the likeliest of the members picked from it
+    now = tagged()
+    pick = F.max(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("pick")
+    parts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"), pick)
+    most = parts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("component")).alias("neg"), F.col("pick.doc_id").alias("pick"))).alias("t"), F.count("*").alias("q"))
+    apart = now.join(most.where("q > 1"), "bucket").where(F.col("component") != -F.col("t.neg")).select("doc_id", F.col("t.pick").alias("pick")).distinct()
+    asked = apart.select("doc_id", F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b")).join(tried, ["a", "b"], "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.desc(estimate(F.col("s_a"), F.col("s_b"))), "a", "b")
+    asked = likely_pairs(asked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PARTNERS)
+    asked = checkpointed(asked.select("a", "b").distinct())
+    tried = tried.unionByName(asked)
+    links = links.unionByName(checkpointed(confirm(asked, sets)))
+
+    # what is still apart in a bucket is met in full, between components
+    now = tagged()
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    open_ = now.join(mixed, "bucket").select("doc_id", "component").distinct()
+    rest = likely_pairs(prefix_pairs(open_, sets).join(tried, ["a", "b"], "left_anti")).select("a", "b")
+    return links.unionByName(checkpointed(confirm(rest, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
