@@ -28,9 +28,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_257
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, the best by weight; neighbours that one query returns. A window that takes all of
-#: them goes on with the next unused document as its seed.
-QUERY_TERMS, NEIGHBOURS = 8, 64
+#: Neighbours that are put in order at first; the rest of a query's ranking is sorted when a window reads on.
+SORTED_FIRST = 64
+#: A term that more than one in this many of a shard's unused documents hold has a row instead of a list.
+DENSE = 16
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 800_000
 _PIECE = {
@@ -89,26 +90,57 @@ class Shard:
         size = np.array([len(x) for x in texts], float)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
         self.terms, self.weights = term, weight.astype(np.float32)
-        order = np.argsort(term, kind="stable")
-        self.docs, self.scores = doc[order].astype(np.int32), self.weights[order]
-        self.starts = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.unused = np.ones(n, bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share one of the seed's best terms, the best by BM25 first; ties in shard order."""
-        a, b = self.bounds[seed], self.bounds[seed + 1]
-        best = a + np.argsort(-self.weights[a:b], kind="stable")[:QUERY_TERMS]
-        lists = [slice(self.starts[t], self.starts[t + 1]) for t in self.terms[best]]
-        if not lists:
-            return np.zeros(0, np.int64)
-        docs = np.concatenate([self.docs[s] for s in lists])
-        live = self.unused[docs]
-        docs = docs[live]
-        if not len(docs):
-            return docs
-        score = np.bincount(docs, np.concatenate([self.scores[s] for s in lists])[live], minlength=len(self.unused))
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS]
+        self.doc = doc
+        self.unused, self.left = np.ones(n, bool), n
+        self._index()
+
+    def _index(self) -> None:
+        """Lists of the unused documents by term; what is used takes no part in any later query.
+
+        Terms that many documents hold have a row of weights for all documents instead, which adds up without looking
+        up places. These rows are at most ``DENSE`` times as long as the lists they replace.
+        """
+        self.live, self.indexed = np.flatnonzero(self.unused), self.left
+        at = np.flatnonzero(self.unused[self.doc])
+        at = at[np.argsort(self.terms[at].astype(np.uint16), kind="stable")]
+        docs, terms, weights = np.searchsorted(self.live, self.doc[at]), self.terms[at], self.weights[at]
+        held = np.bincount(terms, minlength=VOCABULARY)
+        common = np.flatnonzero(held * DENSE > self.left)
+        self.row = np.full(VOCABULARY, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.left), np.float32)
+        dense = self.row[terms] >= 0
+        self.rows[self.row[terms[dense]], docs[dense]] = weights[dense]
+        self.docs, self.scores = docs[~dense], weights[~dense].astype(float)
+        held[common] = 0
+        self.starts = np.r_[0, np.cumsum(held)]
+
+    def use(self, document: int) -> None:
+        self.unused[document] = False
+        self.left -= 1
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """All unused documents that share a term with the seed, the best by BM25 over all of the seed's terms first;
+        ties in shard order. Nothing is looked up before the first one is asked for."""
+        if self.left < self.indexed * 0.75:
+            self._index()
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        score, live = np.zeros(len(self.live), np.float32), self.live
+        rows = self.row[terms]
+        for r in rows[rows >= 0].tolist():
+            score += self.rows[r]
+        terms = terms[rows < 0]
+        lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()) if a < b]
+        if lists:
+            docs, scores = np.concatenate([self.docs[s] for s in lists]), np.concatenate([self.scores[s] for s in lists])
+            score = score + np.bincount(docs, scores, minlength=len(live))
+        found = np.flatnonzero((score > 0) & self.unused[live])
+        found, score = live[found], score[found]
+        if len(found) > SORTED_FIRST:
+            first = score >= np.partition(score, -SORTED_FIRST)[-SORTED_FIRST]
+            yield from found[first][np.argsort(-score[first], kind="stable")].tolist()
+            found, score = found[~first], score[~first]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
 
 
 def windows(texts: list[np.ndarray], idf: np.ndarray, mean: float, size: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -125,8 +157,8 @@ def windows(texts: list[np.ndarray], idf: np.ndarray, mean: float, size: int = W
                     at += 1
                 if at == n:
                     break
-                document, following = at, iter(shard.neighbours(at))
-            shard.unused[document] = False
+                document, following = at, shard.neighbours(at)
+            shard.use(document)
             start = 0
         stop = min(len(texts[document]), start + room)
         now.append((document, start, stop))
@@ -136,7 +168,7 @@ def windows(texts: list[np.ndarray], idf: np.ndarray, mean: float, size: int = W
             yield now
             now, room = [], size
             if rest >= 0:  # what was cut off seeds the next window
-                following = iter(shard.neighbours(rest))
+                following = shard.neighbours(rest)
             else:
                 following = iter(())
         document = rest

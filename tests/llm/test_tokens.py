@@ -93,3 +93,39 @@ def test_repeated_rows_are_all_packed(spark):
     df = spark.createDataFrame([(1, "same text here")] * 3 + [(None, "no id")], "doc_id long, text string")
     rows = packing.pack(df).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 3 * 4 and any(r.doc_id is None for r in rows)
+
+
+def test_all_terms_of_a_seed_are_looked_up():
+    """Terms that only the seed holds, however many and heavy, do not hide the documents that share the others."""
+    rng = np.random.default_rng(2)
+    shared = [np.arange(1000, 1040), np.arange(2000, 2040)]
+    texts = [np.r_[shared[k % 2], 3000 + 20 * k + np.repeat(np.arange(20), 3)].astype(np.uint16) for k in range(60)]
+    idf = np.full(packing.VOCABULARY, 1.0, np.float32)
+    idf[3000:] = 8.0
+    shard = packing.Shard(texts, idf, 100.0)
+    shard.unused[0] = False
+    assert list(shard.neighbours(0)) == list(range(2, 60, 2))
+    # the same ranking as brute force over all terms, ends of the list and used documents included
+    texts = [rng.zipf(1.3, rng.integers(1, 200)).clip(max=3000).astype(np.uint16) for _ in range(400)]
+    idf = rng.random(packing.VOCABULARY).astype(np.float32)
+    shard, mean = packing.Shard(texts, idf, 90.0), 90.0
+    for used in range(0, 400, 3):
+        shard.use(used)
+    for seed in (0, 7, 399):
+        want = {}
+        for d in np.flatnonzero(shard.unused):
+            tf = {t: int((texts[d] == t).sum()) for t in set(texts[seed].tolist()) & set(texts[d].tolist())}
+            if tf:
+                norm = packing.K1 * (1 - packing.B + packing.B * len(texts[d]) / mean)
+                want[int(d)] = sum(float(idf[t]) * f * (packing.K1 + 1) / (f + norm) for t, f in tf.items())
+        got = list(shard.neighbours(seed))
+        assert sorted(got) == sorted(want)
+        assert np.all(np.diff([want[d] for d in got]) < 1e-4)
+
+
+def test_short_neighbours_fill_the_window():
+    """A window of very short documents takes all that it has room for from the seed's ranking."""
+    texts = [np.r_[np.arange(8) + (1000 if k % 2 else 2000), 1].astype(np.uint16) for k in range(1000)]
+    idf = np.full(packing.VOCABULARY, 3.0, np.float32)
+    first = next(packing.windows(texts, idf, 8.0))
+    assert len(first) == 228 and {d % 2 for d, _, _ in first} == {0}
