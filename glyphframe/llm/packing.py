@@ -10,8 +10,11 @@ is cut at powers of two, so no sequence is padded.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +27,7 @@ from .common import ddl, map_columns
 from .tokens import encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: The same vocabulary as ranks, and its size: equal ids for ordinary text, encoded pre-token by pre-token.
+#: The same vocabulary as ranks, and its size: equal ids for the text between added tokens, encoded pre-token by pre-token.
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_257
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75
@@ -40,11 +43,21 @@ _PIECE = {
 }
 
 
+@lru_cache(maxsize=1)
+def _added() -> tuple[re.Pattern, dict[str, bytes]]:
+    """The tokens that the tokenizer finds in a text before it splits it, and the packed id of each."""
+    with open(TOKENIZER, encoding="utf-8") as file:
+        found = {t["content"]: np.uint16(t["id"]).tobytes() for t in json.load(file)["added_tokens"]}
+    return re.compile(f"({'|'.join(map(re.escape, sorted(found, key=len, reverse=True))) or '(?!)'})"), found
+
+
 def _tokenised(doc_id: pa.Array, text: pa.Array, ranks: str) -> dict[str, object]:
     """ids as unsigned 16-bit integers, and a sketch of the text: which of its rarer tokens hash least."""
     bpe, ids, sketch = encoder(ranks, "H", REMEMBERED), [], []
+    added, packed_id = _added()
     for t in text:
-        packed = bpe.encode(t.as_py() or "")
+        parts = added.split(t.as_py() or "")  # every second one is an added token
+        packed = b"".join(packed_id[x] if k % 2 else bpe.encode(x) for k, x in enumerate(parts))
         x = np.frombuffer(packed, "<u2")
         rare = x[x > 2000]
         h = (rare if len(rare) else x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)

@@ -129,3 +129,8 @@ def test_short_neighbours_fill_the_window():
     idf = np.full(packing.VOCABULARY, 3.0, np.float32)
     first = next(packing.windows(texts, idf, 8.0))
     assert len(first) == 228 and {d % 2 for d, _, _ in first} == {0}
+
+
+def test_packing_knows_added_tokens(spark):
+    texts = dict(enumerate(["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endoftext|", "it's <|ENDOFTEXT|> 漢<|endoftext|>字"]))
+    _check_packed(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
