@@ -41,7 +41,7 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = spans.drop_repeated_sentences(table(spark, sf_dir, "documents"))
+    kept = spans.drop_repeated_sentences(table(spark, sf_dir, "documents"), spans.SHORT_WORDS)
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -1,6 +1,7 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-Every run of ``SENTENCES`` consecutive sentences of a text is hashed; the hashes are counted over the whole table and
+Every run of ``SENTENCES`` consecutive sentences of a text is hashed, and a text of fewer sentences as a whole; where
+asked for, shorter runs of many words are hashed too. The hashes are counted over the whole table and
 joined back; a sentence goes when any span that covers it is not the first of its hash. The first of a hash is the one
 of the smallest (doc_id, position).
 """
@@ -19,8 +20,15 @@ from .common import map_columns
 
 #: Sentences to a span, and the fewest words that a span must have (short runs repeat by chance).
 SENTENCES, LEAST_WORDS = 3, 15
-#: A sentence ends after its closing marks and the white space that follows, or at a line's end.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[\"')\]]*(?:\s+|$)|[.!?]+|\n+|$)")
+#: Words from which one or two sentences make a span of their own in the registered query.
+SHORT_WORDS = 30
+#: A sentence ends after its closing marks and the white space that follows, or at a line's end. Marks of scripts that are
+#: often written without spaces end it at once.
+ENDS = "。！？｡．।॥؟۔։።፧၊။។"
+SENTENCE = re.compile(rf"[^.!?\n{ENDS}]*(?:[.!?]+[\"')\]]*(?:\s+|$)|[.!?]+|[{ENDS}]+[\"')\]」』”’）]*\s*|\n+|$)")
+_ENDED = re.compile(rf"[{ENDS}][\"')\]」』”’）]*$")
+#: Characters of scripts without spaces between words: two count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _SPAN = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "pos": pa.int32()}
 
@@ -30,7 +38,7 @@ def sentences(text: str) -> list[str]:
     out, held = [], ""
     for piece in SENTENCE.findall(text):
         held += piece
-        if held.endswith(("\n",)) or (piece and piece[-1] in " \t\r\x0b\x0c") or not piece:
+        if held.endswith(("\n",)) or (piece and piece[-1] in " \t\r\x0b\x0c") or not piece or not piece.isascii() and _ENDED.search(piece):
             if held:
                 out.append(held)
             held = ""
@@ -39,35 +47,46 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def span_hashes(text: str, run: int = SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
-    """(position of the first sentence, 128-bit hash) of each run; words are compared with single spaces, A-Z lower."""
-    said = [s.encode().lower().split() for s in sentences(text)]
-    said_at = [(k, w) for k, w in enumerate(said) if w]
+def spans(text: str, run: int = SENTENCES, least_words: int = LEAST_WORDS, short_words: int | None = None) -> list[tuple[int, int, bytes]]:
+    """(position of the first sentence, sentences, 128-bit hash) of each span; words are compared with single spaces, A-Z
+    lower. Spans are the runs of ``run`` sentences and ``least_words`` words; the whole text, with as many words, where
+    it has fewer sentences; and shorter runs of ``short_words`` words."""
+    said = [(s.encode().lower().split(), 0 if s.isascii() else len(_UNSPACED.findall(s)) // 2) for s in sentences(text)]
+    said = [(w, len(w) + more) for w, more in said if w]
     out = []
-    for k in range(len(said_at) - run + 1):
-        words = [w for _, s in said_at[k : k + run] for w in s]
-        if len(words) >= least_words:
-            out.append((k, xxhash.xxh3_128_digest(b" ".join(words))))
+    for k in range(len(said)):
+        words, n = [], 0
+        for size, (w, count) in enumerate(said[k : k + run], 1):
+            words, n = words + w, n + count
+            whole = size == run or size == len(said)
+            if n >= least_words if whole else short_words is not None and n >= short_words:
+                out.append((k, size, xxhash.xxh3_128_digest(b" ".join(words))))
     return out
 
 
-def _hashed(doc_id: pa.Array, mark: pa.Array, text: pa.Array) -> dict[str, object]:
+def span_hashes(text: str, run: int = SENTENCES, least_words: int = LEAST_WORDS) -> list[tuple[int, bytes]]:
+    """(position, hash) of the spans of a text without shorter runs."""
+    return [(k, digest) for k, _, digest in spans(text, run, least_words)]
+
+
+def _hashed(doc_id: pa.Array, mark: pa.Array, text: pa.Array, short_words: int | None) -> dict[str, object]:
+    """``pos`` is the first sentence's position times four, and the number of sentences."""
     docs, marks, at, h = [], [], [], []
     for d, m, t in zip(doc_id.to_pylist(), mark.to_pylist(), text):
-        for pos, digest in span_hashes(t.as_py()):
-            docs.append(d), marks.append(m), at.append(pos), h.append(digest)
+        for pos, size, digest in spans(t.as_py(), short_words=short_words):
+            docs.append(d), marks.append(m), at.append(pos << 2 | size), h.append(digest)
     halves = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
     return {"h1": halves[:, 0].copy(), "h2": halves[:, 1].copy(), "doc_id": docs, "mark": marks, "pos": at}
 
 
-def late_spans(docs: DataFrame) -> DataFrame:
+def late_spans(docs: DataFrame, short_words: int | None = None) -> DataFrame:
     """(doc_id, mark, pos): the spans that are not the first of their hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("doc_id is not null and text is not null")
-    spans = map_columns(rows, _hashed, _SPAN)
+    found = map_columns(rows, lambda d, m, t: _hashed(d, m, t, short_words), _SPAN)
     # combined before the shuffle, so a passage that very many documents hold is one row from each task
     first = F.min(F.struct("doc_id", "mark", "pos"))
-    firsts = spans.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
-    met = spans.join(firsts.select("h1", "h2", "f"), ["h1", "h2"])
+    firsts = found.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")
+    met = found.join(firsts.select("h1", "h2", "f"), ["h1", "h2"])
     return met.where(F.struct("doc_id", "mark", "pos") != F.col("f")).select("doc_id", "mark", "pos").distinct()
 
 
@@ -76,20 +95,21 @@ def _drop(doc_id: pa.Array, text: pa.Array, at: pa.Array) -> dict[str, object]:
     for t, found in zip(text, at):
         pieces = sentences(t.as_py() or "")
         said = [k for k, s in enumerate(pieces) if s.split()]
-        gone = {said[p + j] for p in (found.as_py() or ()) for j in range(SENTENCES)}
+        gone = {said[(p >> 2) + j] for p in (found.as_py() or ()) for j in range(p & 3)}
         totals.append(len(said)), removed.append(len(gone))
         texts.append("".join(s for k, s in enumerate(pieces) if k not in gone) if gone else t.as_py() or "")
     return {"doc_id": doc_id, "n_sentences": totals, "n_removed": removed, "text": texts}
 
 
-def drop_repeated_sentences(docs: DataFrame) -> DataFrame:
+def drop_repeated_sentences(docs: DataFrame, short_words: int | None = None) -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of every row: sentences covered by a repeated span removed.
 
-    Sentences are compared by their words; the text that stays is unchanged. Null texts count as empty. Rows of one id
+    With ``short_words``, runs of one or two sentences that have as many words count as spans too. A repeat that holds no
+    whole span is not found. Sentences are compared by their words; the text that stays is unchanged. Null texts count as empty. Rows of one id
     are told apart by ``mark`` (xxhash64 of the text); exact repeats of a row are one text, so they do not repeat each
     other but lose the same sentences. Rows with a null id lose nothing and repeat nothing.
     """
-    late = late_spans(docs).groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("at"))
+    late = late_spans(docs, short_words).groupBy("doc_id", "mark").agg(F.collect_list("pos").alias("at"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     met = rows.join(late, ["doc_id", "mark"], "left").select("doc_id", "text", "at")
     kinds = {"doc_id": pa.int64(), "n_sentences": pa.int64(), "n_removed": pa.int64(), "text": pa.string()}

@@ -227,3 +227,12 @@ def test_repeated_passage_goes_and_the_first_stays(spark):
     texts = {1: f"Own start of one. {passage} Own end.", 2: f"Other words here first. {passage} And more.", 3: "Nothing of the kind is here."}
     got = {r.doc_id: r.n_removed for r in spans.drop_repeated_sentences(_frame(spark, texts)).collect()}
     assert got == {1: 0, 2: 4, 3: 0}
+
+
+def test_short_texts_and_long_sentences_are_spans(spark):
+    long, two = " ".join(f"w{k}" for k in range(40)) + ". ", " ".join(f"v{k}" for k in range(16)) + ". Yes it is. "
+    chinese = "今天天气很好我们去公园散步。大家都很高兴地唱歌跳舞。晚上一起回家吃饭看书。"
+    texts = {1: two, 2: two, 3: f"Own one. Own two. {long}Own three. Own four.", 4: f"My one. My two. {long}My three. My four.", 5: "一。" + chinese, 6: "二。" + chinese, 7: "Too short. Yes.", 8: "Too short. Yes."}
+    assert len(spans.sentences(chinese)) == 3
+    got = {r.doc_id: r.n_removed for r in spans.drop_repeated_sentences(_frame(spark, texts), spans.SHORT_WORDS).collect()}
+    assert got == {1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 3, 7: 0, 8: 0}
