@@ -2,7 +2,8 @@
 
 Pages of one host share a template. Each page's DOM is aligned by simple tree matching with the DOM of its host's
 reference page (the smallest page_id). A reference node counts as constant when most pages aligned with it show the
-same text there: those nodes are the template. What varies between pages is a slot, and the slots' text is content,
+same text there; so does a path of tags at which most pages of the host show the same text, be it on the reference page
+or not. Those nodes are the template. What varies between pages is a slot, and the slots' text is content,
 unless the slot stands in an element that by its role is never article text (menus, headers, footers, sidebars,
 adverts, forms, notices, comments).
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -37,8 +40,11 @@ ROLES = re.compile(
 )
 #: Share of aligned pages with the same text from which a node is template, and the fewest pages that can tell.
 CONSTANT_SHARE, LEAST_PAGES = 0.8, 8
-#: Nodes of a tree that alignment looks at. Content beyond is still read; it counts as varying.
-ALIGNED_NODES = 400
+#: Pairs of children up to which the dynamic program aligns two lists. Longer lists are aligned by their subtrees' shapes,
+#: and what lies between equal shapes by the program again or, where that is too long, by tag in order.
+MOST_PAIRS = 400
+#: The same for the pairs of elements below two lists, which bounds what the program may look at.
+MOST_BELOW = 100_000
 
 
 class Node:
@@ -124,44 +130,177 @@ def nodes(root: Node) -> list[tuple[Node, str]]:
     return out
 
 
-def simple_tree_matching(a: Node, b: Node, budget: int = ALIGNED_NODES) -> list[tuple[Node, Node]]:
-    """The largest order-keeping match of two trees whose matched nodes have equal tags and matched parents.
+def _shapes(root: Node) -> dict[int, int]:
+    """A hash of the tags of each element's subtree."""
+    out: dict[int, int] = {}
+    for n, _ in reversed(nodes(root)):
+        below = b"".join(out[id(c)].to_bytes(8, "little") for c in n.children if isinstance(c, Node))
+        out[id(n)] = xxhash.xxh3_64_intdigest(n.tag.encode("utf-8", "replace") + b"/" + below)
+    return out
+
+
+def _sizes(root: Node) -> dict[int, int]:
+    """The elements of each element's subtree."""
+    out: dict[int, int] = {}
+    for n, _ in reversed(nodes(root)):
+        out[id(n)] = 1 + sum(out[id(c)] for c in n.children if isinstance(c, Node))
+    return out
+
+
+def _once(keys: list[int]) -> dict[int, int]:
+    count = Counter(keys)
+    return {k: at for at, k in enumerate(keys) if count[k] == 1}
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, sorted by the first, that rises in the second too."""
+    tails: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        tails[at:at + 1], last[at:at + 1] = [j], [k]
+        before[k] = last[at - 1] if at else -1
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _by_tag(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Each of ``xs`` with the next unpaired one of ``ys`` of its tag, in order."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        places.setdefault(y.tag, []).append(j)
+    out, at = [], 0
+    for x in xs:
+        found = places.get(x.tag, [])
+        k = bisect_left(found, at)
+        # a pair may skip no more of ys than are left for the others, or one early miss would end the list
+        if k < len(found) and found[k] - at <= max(len(ys) - len(xs), 0) + 8:
+            out.append((x, ys[found[k]]))
+            at = found[k] + 1
+    return out
+
+
+def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple[Node, Node]]:
+    """An order-keeping match of two trees whose matched nodes have equal tags and matched parents.
 
-    Children are aligned by the dynamic program of longest common subsequences, weighted by the size of the match
-    below each pair. Runs of equal tags beyond ``budget`` nodes are paired in order from the front.
+    Children of equal tags at both ends are paired; those between are aligned by the dynamic program of longest common
+    subsequences, weighted by the size of the match below each pair, which is remembered. Lists of more than ``most``
+    pairs, or of more than ``MOST_BELOW`` pairs of elements below, are first divided at the subtrees whose shape is once in each; between those, lists that are still too
+    long are paired by tag in order. All nodes take part, however many.
     """
-    left = [budget]
-
-    def match(x: Node, y: Node) -> tuple[int, list]:
-        xs, ys = ([c for c in n.children if isinstance(c, Node)] for n in (x, y))
-        if x.tag != y.tag or left[0] <= 0:
-            return 0, []
-        left[0] -= 1
-        pairs = [(x, y)]
-        while xs and ys and xs[0].tag == ys[0].tag:  # a common beginning needs no search
-            pairs += match(xs.pop(0), ys.pop(0))[1]
-        ends = []
-        while xs and ys and xs[-1].tag == ys[-1].tag:
-            ends = match(xs.pop(), ys.pop())[1] + ends
-        if xs and ys and len(xs) * len(ys) <= budget:
-            best = [[(0, [])] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, p in enumerate(xs):
-                for j, q in enumerate(ys):
-                    n, found = match(p, q) if p.tag == q.tag else (0, [])
-                    best[i + 1][j + 1] = max(
-                        best[i][j + 1], best[i + 1][j], (best[i][j][0] + n, best[i][j][1] + found), key=lambda m: m[0]
-                    )
-            pairs += best[-1][-1][1]
-        return len(pairs) + len(ends), pairs + ends
-
-    return match(a, b)[1]
+    shape: dict[int, int] = {}
+    held: dict[int, int] = {}
+    sizes: dict[tuple[int, int], int] = {}
+
+    def divided(xs: list[Node], ys: list[Node]) -> tuple[list[tuple[Node, Node]], list[tuple[list[Node], list[Node]]]]:
+        """Pairs that need no search, and the lists between them that the program aligns."""
+        fixed, searched, todo = [], [], [(xs, ys)]
+        while todo:
+            xs, ys = todo.pop()
+            lo = 0
+            while lo < len(xs) and lo < len(ys) and xs[lo].tag == ys[lo].tag:  # a common beginning needs no search
+                lo += 1
+            hi = 0
+            while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].tag == ys[-1 - hi].tag:
+                hi += 1
+            fixed += [*zip(xs[:lo], ys[:lo]), *zip(xs[len(xs) - hi :], ys[len(ys) - hi :])]
+            xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+            if not xs or not ys:
+                continue
+            if not held:
+                held.update(_sizes(a)), held.update(_sizes(b))
+            if len(xs) * len(ys) <= most and sum(held[id(x)] for x in xs) * sum(held[id(y)] for y in ys) <= MOST_BELOW:
+                searched.append((xs, ys))
+                continue
+            if not shape:
+                shape.update(_shapes(a)), shape.update(_shapes(b))
+            left, right = _once([shape[id(x)] for x in xs]), _once([shape[id(y)] for y in ys])
+            anchors = _rising([(i, right[k]) for k, i in left.items() if k in right])
+            if not anchors:
+                fixed += _by_tag(xs, ys)
+                continue
+            i = j = 0
+            for p, q in [*anchors, (len(xs), len(ys))]:
+                todo.append((xs[i:p], ys[j:q]))
+                i, j = p + 1, q + 1
+            fixed += [(xs[p], ys[q]) for p, q in anchors]
+        return fixed, searched
+
+    def elements(n: Node) -> list[Node]:
+        return [c for c in n.children if isinstance(c, Node)]
+
+    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs):
+            for j, q in enumerate(ys):
+                n = sizes[id(p), id(q)] if p.tag == q.tag else 0
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + n)
+        return best
+
+    def settle(pairs: list[tuple[Node, Node]]) -> None:
+        """The sizes of the matches below ``pairs``, without recursion: trees may be deep."""
+        todo = [(x, y, None) for x, y in pairs]
+        while todo:
+            x, y, parts = todo.pop()
+            if (id(x), id(y)) in sizes:
+                continue
+            if parts is None:
+                parts = divided(elements(x), elements(y))
+                todo.append((x, y, parts))
+                todo += [(p, q, None) for p, q in parts[0]]
+                todo += [(p, q, None) for xs, ys in parts[1] for p in xs for q in ys if p.tag == q.tag]
+            else:
+                sizes[id(x), id(y)] = 1 + sum(sizes[id(p), id(q)] for p, q in parts[0]) + sum(table(*part)[-1][-1] for part in parts[1])
+
+    if a.tag != b.tag:
+        return []
+    order = {id(n): k for k, (n, _) in enumerate(nodes(a))}
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        fixed, searched = divided(elements(x), elements(y))
+        todo += fixed
+        for xs, ys in searched:
+            settle([(p, q) for p in xs for q in ys if p.tag == q.tag])
+            best, i, j = table(xs, ys), len(xs), len(ys)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((xs[i], ys[j]))
+    return sorted(out, key=lambda pair: order[id(pair[0])])
+
+
+@lru_cache(maxsize=1 << 14)
+def _below(path: int, tag: str) -> int:
+    return xxhash.xxh3_64_intdigest(tag.encode("utf-8", "replace"), path)
+
+
+def _paths(root: Node) -> list[tuple[int, Node]]:
+    """Each element with a hash of the tags from the root to it, below zero so that it is no reference node's number."""
+    out, todo = [], [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        path = _below(path, node.tag)
+        out.append((-1 - (path >> 1), node))
+        todo += [(c, path) for c in node.children if isinstance(c, Node)]
+    return out
 
 
 def _aligned(own: Node, reference: str) -> list[tuple[int, str, Node]]:
-    """(reference node's number, the page's text there, the page's node) of each matched pair."""
+    """(reference node's number, the page's text there, the page's node) of each matched pair, and the same with the
+    hash of its path for each of the page's nodes."""
     root, names = _reference(reference)
     texts = {id(n): t for n, t in nodes(own)}
-    return [(names[id(r)], texts[id(o)], o) for r, o in simple_tree_matching(root, own)]
+    return [(names[id(r)], texts[id(o)], o) for r, o in simple_tree_matching(root, own)] + [(k, texts[id(o)], o) for k, o in _paths(own)]
 
 
 def _text_key(text: str) -> int:
@@ -169,12 +308,11 @@ def _text_key(text: str) -> int:
 
 
 def _votes(host: pa.Array, page: pa.Array, html: pa.Array, reference: pa.Array) -> dict[str, list]:
-    """Which text (its hash) each page shows at each node of its host's reference."""
+    """Which text (its hash) each page shows at each node of its host's reference, and at each path."""
     out: dict[str, list] = {"host": [], "page": [], "node": [], "text": []}
     for h, p, source, ref in zip(host.to_pylist(), page.to_pylist(), html.to_pylist(), reference.to_pylist()):
-        for k, text, _ in _aligned(tree(source), ref):
-            if text:
-                out["host"].append(h), out["page"].append(p), out["node"].append(k), out["text"].append(_text_key(text))
+        for k, text in {(k, _text_key(text)) for k, text, _ in _aligned(tree(source), ref) if text}:
+            out["host"].append(h), out["page"].append(p), out["node"].append(k), out["text"].append(text)
     return out
 
 

@@ -130,3 +130,23 @@ def test_held_out_rows_teach_nothing(spark):
     a = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
     b = spark.createDataFrame([(k, flip(k, k % 2)) for k in range(400)], "doc_id long, quality int")
     assert quality.fit(docs, a) == quality.fit(docs, b)
+
+
+def test_long_pages_align_to_their_end():
+    """Neither many nodes nor long lists of unlike children end the alignment early."""
+    page = lambda tags: html.tree("<div>" + "".join(f"<{t}><i>x</i></{t}>" for t in tags) + "</div><section><p>end</p></section>")
+    many = ["p", "h2", "p", "ul"] * 300
+    a, b = page(["h1", *many]), page(["h3", "h4", *many])
+    found = html.simple_tree_matching(a, b)
+    assert len(found) == 4 + 2 * len(many) and found[-2][0].tag == "section"
+    # lists without a common end: the program is too large, yet most of the children are paired
+    a, b = page(["h1", *many, "h5"]), page(["h3", "h4", *many, "h6"])
+    assert len(html.simple_tree_matching(a, b)) > 1.8 * len(many)
+    deep = html.tree("<div>" * 3000)
+    assert len(html.simple_tree_matching(deep, html.tree("<div>" * 3000))) == 3001
+
+
+def test_template_that_the_reference_lacks(spark):
+    page = lambda k: f"<html><body><div><p>Story number {k}.</p></div>{'' if k == 0 else '<section><b>All rights belong to us</b></section>'}</body></html>"
+    df = spark.createDataFrame([(k, "http://h/", page(k)) for k in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.main_texts(df).collect()} == {k: f"Story number {k}." for k in range(20)}
