@@ -44,9 +44,12 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, object]], schema: dic
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one of this machine."""
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a temporary one of
+    this machine; a cluster, whose machines would not see it, is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='glyphframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,10 +64,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back; for tables that several steps read."""
+    """Write ``df`` once as Parquet in the shared folder and read it back; for tables that several steps read.
+
+    The application deletes the folder when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/glyphframe-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

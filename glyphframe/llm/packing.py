@@ -1,7 +1,7 @@
 """Operator 3: lexical retrieval packing with a sharded BM25 inverted index.
 
 The texts are tokenised once. Document frequencies and the mean length are counted over all documents. Documents are
-range-partitioned by a lexical sketch into shards of similar texts, whose size follows the number of partitions; each
+range-partitioned by a lexical sketch into shards of similar texts, as many as keep a shard's ids within a bound; each
 shard builds an inverted index of its own and packs itself. A window starts with the shard's first unused document
 (its seed), and takes the unused documents that BM25 ranks nearest to the seed until it is full; the document that
 does not fit is cut, and the rest of it seeds the next window. Every window but a shard's last is full; the last one
@@ -11,6 +11,7 @@ is cut at powers of two, so no sequence is padded.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,11 +20,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_columns
+from .common import ddl, map_columns, stored
 from .tokens import encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,8 +35,9 @@ K1, B = 1.2, 0.75
 SORTED_FIRST = 64
 #: A term that more than one in this many of a shard's unused documents hold has a row instead of a list.
 DENSE = 16
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Bytes of ids in a shard, on the average; a task takes some 20 times as much for its index. A document counts with its
+#: ids and a bit more, so that empty ones make shards too.
+SHARD_BYTES, DOCUMENT_BYTES = 4 << 20, 32
 _PIECE = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
     "sequence_id": pa.int64(), "offset": pa.int64(),
@@ -53,7 +54,7 @@ def _added() -> tuple[re.Pattern, dict[str, bytes]]:
 
 def _tokenised(doc_id: pa.Array, text: pa.Array, ranks: str) -> dict[str, object]:
     """ids as unsigned 16-bit integers, and a sketch of the text: which of its rarer tokens hash least."""
-    bpe, ids, sketch = encoder(ranks, "H", REMEMBERED), [], []
+    bpe, ids, sketch = encoder(ranks, "H"), [], []
     added, packed_id = _added()
     for t in text:
         parts = added.split(t.as_py() or "")  # every second one is an added token
@@ -97,12 +98,13 @@ class Shard:
         doc, term, tf = [], [], []
         for k, ids in enumerate(texts):
             t, c = term_counts(ids)
-            doc.append(np.full(len(t), k)), term.append(t.astype(np.int64)), tf.append(c)
+            doc.append(np.full(len(t), k, np.int32)), term.append(t), tf.append(c.astype(np.int32))
         self.bounds = np.r_[0, np.cumsum([len(t) for t in term])].astype(np.int64)
-        doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, term, tf))
-        size = np.array([len(x) for x in texts], float)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1.0)))
-        self.terms, self.weights = term, weight.astype(np.float32)
+        doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (doc, term, tf))
+        size = np.array([len(x) for x in texts], np.float32)
+        scale = (K1 * (1 - B + B * size / max(mean, 1.0))).astype(np.float32)
+        tf = tf.astype(np.float32)
+        self.terms, self.weights = term.astype(np.uint16), idf[term] * tf * np.float32(K1 + 1) / (tf + scale[doc])
         self.doc = doc
         self.unused, self.left = np.ones(n, bool), n
         self._index()
@@ -115,7 +117,7 @@ class Shard:
         """
         self.live, self.indexed = np.flatnonzero(self.unused), self.left
         at = np.flatnonzero(self.unused[self.doc])
-        at = at[np.argsort(self.terms[at].astype(np.uint16), kind="stable")]
+        at = at[np.argsort(self.terms[at], kind="stable")]
         docs, terms, weights = np.searchsorted(self.live, self.doc[at]), self.terms[at], self.weights[at]
         held = np.bincount(terms, minlength=VOCABULARY)
         common = np.flatnonzero(held * DENSE > self.left)
@@ -203,18 +205,22 @@ def pack(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text and the end id; a null text counts as empty and has the end id
-    alone. Every row is packed, repeats and null ids included. Shards grow with the session's number of shuffle
-    partitions, which bounds the memory of a task.
+    alone. Every row is packed, repeats and null ids included. The number of shards follows the bytes of ids, which
+    bounds the memory of a task at any size of the table.
     """
-    tokens = map_columns(
-        docs.select("doc_id", "text"),
-        lambda doc_id, text: _tokenised(doc_id, text, ranks),
-        {"doc_id": pa.int64(), "sketch": pa.int64(), "ids": pa.binary()},
-    ).persist(StorageLevel.DISK_ONLY)
+    tokens = stored(
+        map_columns(
+            docs.select("doc_id", "text"),
+            lambda doc_id, text: _tokenised(doc_id, text, ranks),
+            {"doc_id": pa.int64(), "sketch": pa.int64(), "ids": pa.binary()},
+        )
+    )
     # at most one row for each token of the vocabulary
     counted = dict(tokens.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     documents = counted.pop(-1, 0)
-    mean = counted.pop(-2, 0) / max(documents, 1)
+    total = counted.pop(-2, 0)
+    mean = total / max(documents, 1)
+    shards = max(1, math.ceil((2 * total + DOCUMENT_BYTES * documents) / SHARD_BYTES))
     idf = np.full(VOCABULARY, np.log(1 + (documents + 0.5) / 0.5), np.float32)
     at = np.array(list(counted), np.int64)
     held = np.array(list(counted.values()), float)
@@ -240,5 +246,5 @@ def pack(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
             columns = zip(*rows[k : k + (1 << 16)])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=pa.schema(list(_PIECE.items())))
 
-    shards = tokens.repartitionByRange("sketch", F.xxhash64("doc_id", "ids")).sortWithinPartitions("sketch", "doc_id", F.crc32("ids"))
-    return shards.select("doc_id", "ids").mapInArrow(packed, ddl(_PIECE))
+    dealt = tokens.repartitionByRange(shards, "sketch", F.xxhash64("doc_id", "ids"))
+    return dealt.sortWithinPartitions("sketch", "doc_id", F.crc32("ids")).select("doc_id", "ids").mapInArrow(packed, ddl(_PIECE))

@@ -20,6 +20,10 @@ _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 _UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧₠-₿]")
 
 
+#: Bytes of pre-tokens and ids that a worker remembers, and what an entry takes besides its characters and ids.
+REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 180
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """The token bytes and ranks of a rank file."""
     with open(path, "rb") as lines:
@@ -29,20 +33,22 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class PreTokenEncoder(dict):
     """Pre-token -> its ids as packed native integers of one type code; a miss is encoded and remembered.
 
-    The memory is emptied when ``most`` pre-tokens are in it, which bounds a worker's memory and changes no result.
+    The memory is emptied when what it holds would pass ``most`` bytes, which bounds a worker's memory and changes no
+    result.
     """
 
-    def __init__(self, path: str, code: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, code: str, most: int = REMEMBERED_BYTES) -> None:
         super().__init__()
-        self.ranks = ranks_of(path)
-        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.code, self.most, self.exact = code, most, regex.compile(PATTERN)
+        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+        self.code, self.most, self.held, self.exact = code, most, 0, regex.compile(PATTERN)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         ids = array(self.code, self.bpe.encode_ordinary(word)).tobytes()
         if len(word) < 64:
+            self.held += ENTRY_BYTES + len(word) * (1 if word.isascii() else 4) + len(ids)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
             self[word] = ids
         return ids
 
@@ -53,12 +59,12 @@ class PreTokenEncoder(dict):
         return b"".join(map(self.__getitem__, self.words(text)))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, code: str, most: int = 400_000) -> PreTokenEncoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, code: str, most: int = REMEMBERED_BYTES) -> PreTokenEncoder:
     return PreTokenEncoder(path, code, most)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id; ids without a token are empty."""
     ranks = ranks_of(path)
