@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,36 +56,51 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: it survives the loss of executors. For small tables in loops."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back; for tables that several steps read.
-
-    The application deletes the folder when it ends.
+    """Write ``df`` once as Parquet in the shared folder and read it back; for tables that several steps read, and to cut
+    lineage. It survives the loss of executors. ``discard`` deletes the folder, or else the application does at its end.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/glyphframe-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", codec).parquet(path)
+    _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for tables that no later step reads."""
+    for df in tables:
+        _files(df.sparkSession, df.stored_at).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at), True)
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished write's shuffle files are deleted: what it wrote is read from the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected ``edges``: (node, component), component the smallest node reachable.
 
     Alternates the two star contractions (each node's larger neighbours move to the smallest one it knows, then the
-    smaller neighbours do) until the edges stay as they are. A round is one map-side combined minimum and one
-    equi-join on the node, so a node with very many neighbours is split by adaptive execution; the edges are
-    checkpointed in the shared folder. Nodes without an edge, or with a null end, have no row.
+    smaller neighbours do) until all edges are stars around their smallest node. A round is one map-side combined minimum
+    and one equi-join on the node, so a node with very many neighbours is split by adaptive execution; the edges are
+    written to the shared folder. Nodes without an edge, or with a null end, have no row.
     """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(
@@ -96,17 +112,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-
-    now = checkpointed(now)
-    before = mark(now)
-    while before[0]:
-        now = checkpointed(star(star(now, True), False))
-        after = mark(now)
-        if after == before:
-            break
-        before = after
+    def settled(e: DataFrame) -> bool:
+        """No node hangs below two others, or below one and above another."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(e.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        with _tidy(e.sparkSession):
+            return ends.where("up + down > 1 and up > 0").isEmpty()
+
+    while not settled(now):
+        before, now = now, stored(star(star(now, True), False))
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select("v", "v").distinct()
     )

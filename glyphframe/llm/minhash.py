@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, map_columns, stored
+from .common import components, discard, map_columns, stored
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, BITS = 48, 5, 4
@@ -159,25 +159,29 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
     Shingles are ordered by how many of these texts hold them. Two sets that reach the threshold share at least
     3/7 of their sizes together, so they share a shingle among the rarest of both: those up to the position that
-    still leaves so many. This loses no pair, and a shingle that a large group has in common is rarely among the
-    rarest of a text that is not linked with that group.
+    still leaves so many. This loses no pair. Shingles within one component are dropped before the join. Of the others,
+    the texts outside the shingle's largest component are met with all its texts: two texts of one component meet no more
+    often than texts of two components do, so a shingle that a large group has in common costs no square of the group.
     """
     longs = {"doc_id": pa.int64(), "component": pa.int64(), "n": pa.int64(), "token": pa.int64()}
     tokens = map_columns(open_.join(sets, "doc_id").select("doc_id", "component", "found"), _tokens, longs)
     held = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     order = Window.partitionBy("doc_id", "n").orderBy("f", "token")
     rows = tokens.join(held, "token", "left").withColumn("f", F.coalesce("f", F.lit(1))).withColumn("at", F.row_number().over(order))
-    rows = checkpointed(rows.where((F.col("f") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).drop("f"))
-    a, b = rows.toDF("token", "a", "c_a", "n_a", "at_a"), rows.toDF("token", "b", "c_b", "n_b", "at_b")
+    rows = stored(rows.where((F.col("f") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).drop("f"))
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("k"))
+    tops = parts.groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("top"), F.count("*").alias("q")).where("q > 1").drop("q")
+    b = rows.join(tops, "token").toDF("token", "b", "c_b", "n_b", "at_b", "top")
+    a = rows.join(tops, "token").where("component <> top").drop("top").toDF("token", "a", "c_a", "n_a", "at_a")
     least = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT))
     near = (F.col("at_a") <= F.col("n_a") - least + 1) & (F.col("at_b") <= F.col("n_b") - least + 1) & _sizes_allow("n_a", "n_b")
-    met = a.join(b, (a.token == b.token) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near)
-    return met.select("a", "b").distinct()
+    once = (F.col("c_b") == F.col("top")) | (F.col("a") < F.col("b"))
+    met = a.join(b, (a.token == b.token) & (F.col("c_a") != F.col("c_b")) & once & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the sets of ``reps`` (doc_id, n_shingles, bands,
-    signature)."""
+    """(node, component) of all links between the sets of ``reps`` (doc_id, n_shingles, bands, signature)."""
     entries = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(entries.join(shared, "bucket"))
@@ -203,13 +207,17 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     best = often.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("leader")).alias("neg"))).alias("m"))
     asked = best.select("doc_id", (-F.col("m.neg")).alias("leader"))
     asked = asked.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    tried = checkpointed(likely_pairs(asked).select("a", "b"))
-    links = checkpointed(confirm(tried, sets))
+    tried = stored(likely_pairs(asked).select("a", "b"))
+    known = components(confirm(tried, sets))
 
     def tagged() -> DataFrame:
         """Bucket entries with the component so far."""
-        known = components(links).withColumnRenamed("node", "doc_id")
-        return checkpointed(met.select("bucket", "doc_id").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        named = known.withColumnRenamed("node", "doc_id")
+        return stored(met.select("bucket", "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components when ``links`` are added: what is known so far stands for the links before."""
+        return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     # texts outside their buckets' largest component, each with the likeliest of the members picked from it
     now = tagged()
@@ -220,16 +228,17 @@ def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     asked = apart.select("doc_id", F.least("doc_id", "pick").alias("a"), F.greatest("doc_id", "pick").alias("b")).join(tried, ["a", "b"], "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.desc(estimate(F.col("s_a"), F.col("s_b"))), "a", "b")
     asked = likely_pairs(asked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PARTNERS)
-    asked = checkpointed(asked.select("a", "b").distinct())
+    asked = stored(asked.select("a", "b").distinct())
     tried = tried.unionByName(asked)
-    links = links.unionByName(checkpointed(confirm(asked, sets)))
+    known = joined(confirm(asked, sets))
+    discard(now)
 
     # what is still apart in a bucket is met in full, between components
     now = tagged()
     mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     open_ = now.join(mixed, "bucket").select("doc_id", "component").distinct()
     rest = likely_pairs(prefix_pairs(open_, sets).join(tried, ["a", "b"], "left_anti")).select("a", "b")
-    return links.unionByName(checkpointed(confirm(rest, sets)))
+    return joined(confirm(rest, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,17 +250,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     signed = stored(signatures(docs))
     some = signed.where("set_key is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = some.select("doc_id", "set_key").join(classes, "set_key")
-    reps = some.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
-    reps = stored(reps.select("doc_id", "n_shingles", "set_key", "bands", "signature").dropDuplicates(["set_key"]))
+    # one text of each set: the smallest id
+    first = F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("r")
+    reps = stored(some.groupBy("set_key").agg(first).select("set_key", "r.*"))
+    classes = reps.select("set_key", F.col("doc_id").alias("rep"))
     # an id that stands for several sets joins them
-    torn = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    ties = members.join(torn.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    own = members.join(torn.select("doc_id", "a"), "doc_id").select("a", F.col("doc_id").alias("b")).where("a <> b")
-    found = components(near_links(reps, docs).unionByName(ties).unionByName(own))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("set_key", F.coalesce("component", "rep").alias("component"))
+    torn = some.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id")
+    ties = some.select("doc_id", "set_key").join(torn, "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    found = near_links(reps, docs).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(found.unionByName(ties)).withColumnRenamed("node", "rep")
+    named = classes.join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
