@@ -2,19 +2,21 @@
 
 A 200-byte string that occurs twice is found without sorting every suffix. In each 200-byte window the leftmost
 48-byte gram of the smallest hash is the window's anchor; equal windows have equal anchors at equal offsets, so only
-the suffixes that start at anchors (about one position in 77) are sorted. A suffix is a sequence of tokens: its
-leading token is the anchor's gram, the next one all that the windows of this anchor cover. Sampled splitters
-range-partition the suffixes by these tokens; each bucket sorts its suffixes by multikey quicksort and compares
-neighbours, and the first and last suffix of a bucket are compared with those across its boundaries.
-
-- A neighbour with both tokens equal: every window of this anchor is repeated; all it covers goes.
-- A neighbour with the leading token alone equal: which windows are repeated is settled on the bytes themselves,
+the suffixes that start at anchors (about one position in 77) are sorted. A suffix's leading tokens are its first 48
+bytes, eight to a token; after them comes one number for all that the windows of this anchor cover. Sampled splitters
+range-partition the suffixes by these bytes into buckets of a bounded size; each bucket sorts its suffixes by multikey
+quicksort and takes the common prefix of neighbours, and the first and last suffix of a bucket are compared with those
+across its boundaries.
+
+- A neighbour with all leading bytes in common, and the number: every window of this anchor is repeated; all it covers goes.
+- A neighbour with the leading bytes alone in common: which windows are repeated is settled on the bytes themselves,
   among the distinct continuations of that gram.
 - No such neighbour: no window of this anchor is repeated.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,20 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl, map_columns, stored
+from .common import ddl, discard, map_columns, stored
 
 LENGTH, GRAM = 200, 48
 #: Window starts handled at once; a longer text is cut there, which splits an anchor's windows but loses none.
 BLOCK = 1 << 17
 #: Continuations of one gram that one task compares; more are compared by counting their windows' hashes in Spark.
-MOST_TOGETHER = 20_000
+MOST_TOGETHER = 2_000
+#: Suffixes of a bucket, on the average (some 20 MB); the number of buckets follows their count.
+BUCKET_SUFFIXES = 200_000
+#: Rows up to which a part of a bucket is sorted token by token instead of being split further.
+LEAF = 4096
 
 _WRAP = 1 << 64
 _BASE = 0xD1342543DE82EF95
 _FULL, _PARTIAL, _SAMPLE, _EDGE = 3, 2, 1, 0
 
-_ANCHOR = {"gram": pa.int64(), "rest": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "packed": pa.int64()}
-_SORTED = _ANCHOR | {"state": pa.int32(), "inside": pa.int32(), "bucket": pa.int32(), "last": pa.bool_()}
+_ANCHOR = {"prefix": pa.binary(), "rest": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "packed": pa.int64()}
+_SORTED = {
+    "gram": pa.int64(), "rest": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "packed": pa.int64(),
+    "state": pa.int32(), "inside": pa.int32(), "bucket": pa.int32(), "last": pa.bool_(),
+}
 _SPAN = {"doc_id": pa.int64(), "mark": pa.int64(), "start": pa.int64(), "stop": pa.int64()}
 
 
@@ -78,9 +87,9 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram, rest, start, before, more) of a text's anchors, block by block.
+    """(prefix, rest, start, before, more) of a text's anchors, block by block.
 
-    ``start``: first window; ``before``: bytes from there to the anchor; ``more``: windows after the first.
+    ``prefix``: (n, 48) the bytes at the anchor; ``start``: first window; ``before``: bytes from there to the anchor; ``more``: windows after the first.
     """
     for at in range(0, len(raw) - LENGTH + 1, BLOCK):
         part = raw[at : at + BLOCK + LENGTH - 1]
@@ -93,45 +102,84 @@ def anchors(raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         last = np.r_[first[1:], len(anchor)] - 1
         rest = _hash(sums, first, last + LENGTH)
-        yield grams[anchor[first]], rest, first + at, anchor[first] - first, last - first
+        prefix = np.lib.stride_tricks.sliding_window_view(part, GRAM)[anchor[first]]
+        yield prefix, rest, first + at, anchor[first] - first, last - first
 
 
 def _anchor_rows(doc_id: pa.Array, mark: pa.Array, text: pa.Array) -> dict[str, object]:
     parts: list[tuple] = []
     for d, m, t in zip(doc_id.to_pylist(), mark.to_pylist(), text):
-        for gram, rest, start, before, more in anchors(np.frombuffer(t.as_py().encode(), np.uint8)):
-            parts.append((gram, rest, np.full(len(gram), d), start, (m << 16) | (before << 8) | more))
-    made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*parts) if parts else [()] * 5)]
-    return dict(zip(_ANCHOR, (pa.array(c.view(np.int64)) for c in made)))
+        for prefix, rest, start, before, more in anchors(np.frombuffer(t.as_py().encode(), np.uint8)):
+            parts.append((prefix, rest.view(np.int64), np.full(len(rest), d), start, (m << 16) | (before << 8) | more))
+    if not parts:
+        return {k: [] for k in _ANCHOR}
+    prefix, *numbers = (np.concatenate(c) for c in zip(*parts))
+    ends = pa.py_buffer(np.arange(0, prefix.size + 1, GRAM, dtype=np.int32))
+    leading = pa.Array.from_buffers(pa.binary(), len(prefix), [None, ends, pa.py_buffer(np.ascontiguousarray(prefix))])
+    return {"prefix": leading} | dict(zip(list(_ANCHOR)[1:], map(pa.array, numbers)))
+
 
+def multikey_quicksort(keys: np.ndarray, leaf: int = LEAF) -> np.ndarray:
+    """The order of the rows of ``keys`` (n, k) by their tokens, first to last.
 
-def multikey_order(*keys: np.ndarray) -> np.ndarray:
-    """Multikey quicksort: order by the first key, then only the runs of equal keys by the next one."""
-    order = np.argsort(keys[0], kind="stable")
+    A part is split in three by a pivot of the token at hand: below, equal, above. The equal part goes on with the next
+    token. Parts of at most ``leaf`` rows are sorted by one token after the other, each only where those before are equal.
+    """
+    n, depth = keys.shape
+    out, todo = [np.zeros(0, np.int64)], [(np.arange(n), 0)]
+    while todo:
+        at, d = todo.pop()
+        if d == depth or len(at) <= 1:
+            out.append(at)
+        elif len(at) <= leaf:
+            out.append(at[_leaf_order(keys[at, d:])])
+        else:
+            token = keys[at, d]
+            pivot = np.sort(token[:: len(token) // 9])[4]
+            below, above = token < pivot, token > pivot
+            todo += [(at[above], d), (at[~(below | above)], d + 1), (at[below], d)]
+    return np.concatenate(out)
+
+
+def _leaf_order(keys: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys[:, 0], kind="stable")
     same = np.zeros(len(order), bool)
-    same[1:] = keys[0][order[1:]] == keys[0][order[:-1]]
-    for key in keys[1:]:
+    same[1:] = keys[order[1:], 0] == keys[order[:-1], 0]
+    for k in range(1, keys.shape[1]):
         tied = same | np.r_[same[1:], False]
         if not tied.any():
             break
         at = np.flatnonzero(tied)
         run = np.cumsum(~same)[at]
-        order[at] = order[at][np.lexsort((key[order[at]], run))]
-        same[1:] &= key[order[1:]] == key[order[:-1]]
+        order[at] = order[at][np.lexsort((keys[order[at], k], run))]
+        same[1:] &= keys[order[1:], k] == keys[order[:-1], k]
     return order
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of ``a`` has in common with that of ``b``."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    held = list(batches)
-    if not sum(b.num_rows for b in held):
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
-    columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(len(_ANCHOR))]
-    order = multikey_order(columns[0], columns[1], columns[2], columns[3])
-    gram, rest, doc_id, start, packed = (c[order] for c in columns)
-    same = np.r_[False, gram[1:] == gram[:-1], False]
-    both = np.r_[False, (gram[1:] == gram[:-1]) & (rest[1:] == rest[:-1]), False]
+    prefix = np.concatenate([_fixed(b.column(0)) for b in held])
+    columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(1, len(_ANCHOR))]
+    held.clear()
+    # eight bytes to a token, read so that their order is that of the bytes; numbers with their sign
+    tokens = [prefix.view(">u8").astype(np.uint64)] + [c[:, None].view(np.uint64) ^ np.uint64(1 << 63) for c in columns[:3]]
+    order = multikey_quicksort(np.concatenate(tokens, axis=1))
+    del tokens
+    prefix = prefix[order]
+    rest, doc_id, start, packed = (c[order] for c in columns)
+    shared_bytes = common_prefix(prefix[1:], prefix[:-1])
+    same = np.r_[False, shared_bytes >= GRAM, False]
+    both = same & np.r_[False, rest[1:] == rest[:-1], False]
     inside = np.where(both[1:] | both[:-1], _FULL, np.where(same[1:] | same[:-1], _PARTIAL, 0))
     # one sample of each repeated continuation of a gram that has, or may have across the boundary, others
     run = np.cumsum(~same[:-1]) - 1
@@ -150,19 +198,35 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ):
         for k in range(0, len(told), 1 << 16):
             at = told[k : k + (1 << 16)]
-            made = [x[at] for x in (gram, rest, doc_id, start, packed)]
+            made = [_named(prefix[at]), *(x[at] for x in (rest, doc_id, start, packed))]
             made += [np.full(len(at), state, np.int32), inside[at].astype(np.int32)]
             made += [np.full(len(at), TaskContext.get().partitionId(), np.int32), np.full(len(at), bool(last))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, _SORTED.values())], schema=pa.schema(list(_SORTED.items())))
 
 
+def _fixed(column: pa.Array) -> np.ndarray:
+    """(n, 48): the bytes of a column of prefixes."""
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset] if len(column) else 0
+    return np.frombuffer(data, np.uint8)[first : first + GRAM * len(column)].reshape(-1, GRAM)
+
+
+def _named(prefix: np.ndarray) -> np.ndarray:
+    """A hash of each prefix, by which later steps name it."""
+    h = np.zeros(len(prefix), np.uint64)
+    for token in np.ascontiguousarray(prefix).view("<u8").T:
+        h = _mix(h * np.uint64(_BASE) ^ token)
+    return h.view(np.int64)
+
+
 def sorted_anchors(docs: DataFrame) -> DataFrame:
     """The sorted sparse suffix array's rows of interest: (gram, rest, doc_id, start, packed, state)."""
     texts = docs.select("doc_id", (F.xxhash64("text").bitwiseAND(F.lit((1 << 47) - 1))).alias("mark"), "text")
     texts = texts.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
-    rows = map_columns(texts, _anchor_rows, _ANCHOR)
-    ranged = rows.repartitionByRange("gram", "rest", "doc_id", "start")
+    rows = stored(map_columns(texts, _anchor_rows, _ANCHOR))
+    ranged = rows.repartitionByRange(max(1, math.ceil(rows.count() / BUCKET_SUFFIXES)), "prefix", "rest", "doc_id", "start")
     buckets = stored(ranged.mapInArrow(_sort_bucket, ddl(_SORTED)))
+    discard(rows)
     # compare across boundaries: two suffixes for each bucket, whatever the size of the buckets
     ends = buckets.where(F.col("state") == _EDGE)
     order = Window.orderBy("bucket", "last")
