@@ -3,9 +3,12 @@
 Pages of one host share a template. Each page's DOM is aligned by simple tree matching with the DOM of its host's
 reference page (the smallest page_id). A reference node counts as constant when most pages aligned with it show the
 same text there; so does a path of tags at which most pages of the host show the same text, be it on the reference page
-or not. Those nodes are the template. What varies between pages is a slot, and the slots' text is content,
-unless the slot stands in an element that by its role is never article text (menus, headers, footers, sidebars,
-adverts, forms, notices, comments).
+or not. Constant nodes are the template. What varies between pages is a slot, and how much text a host's pages show in
+each slot tells which ones are the article: the wrapper's content is the smallest element that holds nearly all of it,
+whatever its name. Slots elsewhere (a menu, an advert, a footer of changing words) are left out.
+
+What HTML itself says about an element (menus, forms, asides, names like "comments") is a second test, for what stands
+inside the article's element and for hosts of too few pages; ``roles=False`` leaves it out.
 """
 
 from __future__ import annotations
@@ -38,8 +41,12 @@ ROLES = re.compile(
     r"comment\w*|disqus|popup|modal|pagination|pager|widget|toolbar|search)([\s_-]|$)",
     re.I,
 )
-#: Share of aligned pages with the same text from which a node is template, and the fewest pages that can tell.
-CONSTANT_SHARE, LEAST_PAGES = 0.8, 8
+#: Share of aligned pages with the same text from which a node is template, and the fewest pages that can tell what is
+#: constant: of fewer pages nothing is, and a page's article is where most of its own text stands.
+CONSTANT_SHARE, LEAST_PAGES = 0.8, 4
+#: Share of the slots' text that the article's element holds. Text counts by the square of a slot's words, so that many
+#: short slots do not weigh as much as a paragraph.
+ARTICLE_SHARE = 0.9
 #: Pairs of children up to which the dynamic program aligns two lists. Longer lists are aligned by their subtrees' shapes,
 #: and what lies between equal shapes by the program again or, where that is too long, by tag in order.
 MOST_PAIRS = 400
@@ -63,8 +70,9 @@ TOKEN = re.compile(
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?:^|\s)(hidden)(?=[\s=]|$)", re.I)
 
 
-def tree(source: str) -> Node:
-    """A forgiving DOM: tags that were never closed end with their parent, stray end tags are dropped."""
+def tree(source: str, roles: bool = True) -> Node:
+    """A forgiving DOM: tags that were never closed end with their parent, stray end tags are dropped. Nodes are ``off``
+    where nothing is shown and, with ``roles``, where HTML says that it is no article."""
     root = Node("#root", False)
     path = [root]
     for m in TOKEN.finditer(source):
@@ -86,7 +94,8 @@ def tree(source: str) -> Node:
         else:
             tag = tag.lower()
             _close_for(tag, path)
-            node = Node(tag, path[-1].off or tag in SILENT or tag in BOILERPLATE or bool(attrs.strip(" /") and _other_role(attrs)))
+            other = roles and (tag in BOILERPLATE or bool(attrs.strip(" /") and _other_role(attrs)))
+            node = Node(tag, path[-1].off or tag in SILENT or other)
             path[-1].children.append(node)
             if tag not in VOID and not attrs.endswith("/"):
                 path.append(node)
@@ -110,9 +119,9 @@ def _close_for(tag: str, path: list[Node]) -> None:
 
 
 @lru_cache(maxsize=64)
-def _reference(source: str) -> tuple[Node, dict[int, int]]:
+def _reference(source: str, roles: bool) -> tuple[Node, dict[int, int]]:
     """A reference page's tree, and its nodes' numbers in page order."""
-    root = tree(source)
+    root = tree(source, roles)
     return root, {id(n): k for k, (n, _) in enumerate(nodes(root))}
 
 
@@ -295,10 +304,10 @@ def _paths(root: Node) -> list[tuple[int, Node]]:
     return out
 
 
-def _aligned(own: Node, reference: str) -> list[tuple[int, str, Node]]:
+def _aligned(own: Node, reference: str, roles: bool) -> list[tuple[int, str, Node]]:
     """(reference node's number, the page's text there, the page's node) of each matched pair, and the same with the
     hash of its path for each of the page's nodes."""
-    root, names = _reference(reference)
+    root, names = _reference(reference, roles)
     texts = {id(n): t for n, t in nodes(own)}
     return [(names[id(r)], texts[id(o)], o) for r, o in simple_tree_matching(root, own)] + [(k, texts[id(o)], o) for k, o in _paths(own)]
 
@@ -307,67 +316,87 @@ def _text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _votes(host: pa.Array, page: pa.Array, html: pa.Array, reference: pa.Array) -> dict[str, list]:
-    """Which text (its hash) each page shows at each node of its host's reference, and at each path."""
-    out: dict[str, list] = {"host": [], "page": [], "node": [], "text": []}
+def _votes(host: pa.Array, page: pa.Array, html: pa.Array, reference: pa.Array, roles: bool) -> dict[str, list]:
+    """Which text (its hash, and its words squared) each page shows at each node of its host's reference, and at each path."""
+    out: dict[str, list] = {"host": [], "page": [], "node": [], "text": [], "weight": []}
     for h, p, source, ref in zip(host.to_pylist(), page.to_pylist(), html.to_pylist(), reference.to_pylist()):
-        for k, text in {(k, _text_key(text)) for k, text, _ in _aligned(tree(source), ref) if text}:
-            out["host"].append(h), out["page"].append(p), out["node"].append(k), out["text"].append(text)
+        said = {(k, _text_key(text)): _weight(text) for k, text, n in _aligned(tree(source, roles), ref, roles) if text and not n.off}
+        for (k, text), weight in said.items():
+            out["host"].append(h), out["page"].append(p), out["node"].append(k), out["text"].append(text), out["weight"].append(weight)
     return out
 
 
-def main_text(root: Node, template: set[int]) -> str:
-    """The varying text outside elements of other roles, block by block. ``template``: ids of constant nodes."""
-    whole = _find(root, "article") or _find(root, "main") or [root]
-    blocks: list[list[str]] = [[]]
-
-    def walk(node: Node, off: bool) -> None:
-        todo: list = [(node, off, 0)]
-        while todo:
-            n, hidden, k = todo.pop()
-            if k == 0 and n.tag not in INLINE and n.tag != "#root":
-                blocks.append([])
-            while k < len(n.children):
-                c = n.children[k]
-                k += 1
-                if isinstance(c, str):
-                    if not hidden and id(n) not in template:
-                        blocks[-1].append(c)
-                elif c.tag == "br":
-                    blocks[-1].append(" ")
-                elif not c.off:
-                    todo += [(n, hidden, k), (c, hidden, 0)]
-                    break
-            else:
-                if n.tag not in INLINE:
-                    blocks.append([])
-
-    for top in whole:
-        walk(top, False)
-    return "\n\n".join(x for x in (_space(entities.unescape("".join(b))) for b in blocks) if x)
+def _weight(text: str) -> int:
+    return (text.count(" ") + 1) ** 2 if text else 0
 
 
-def _find(root: Node, tag: str) -> list[Node]:
-    """The outermost elements of a tag that are not themselves inside something of another role."""
-    out, todo = [], [root]
+def article(root: Node, weights: dict[int, int]) -> Node:
+    """The smallest element that holds ARTICLE_SHARE of the weight (of nodes by their id) and has blocks in it: what holds
+    text itself is a block of the article, not the article."""
+    below: dict[int, int] = {}
+    for n, _ in reversed(nodes(root)):
+        below[id(n)] = 0 if n.off else weights.get(id(n), 0) + sum(below[id(c)] for c in n.children if isinstance(c, Node))
+    path = [root]
+    while below[id(path[-1])]:
+        most = max((c for c in path[-1].children if isinstance(c, Node)), key=lambda c: below[id(c)], default=None)
+        if most is None or below[id(most)] < ARTICLE_SHARE * below[id(root)]:
+            break
+        path.append(most)
+    blocks = lambda n: any(isinstance(c, Node) and c.tag not in INLINE for c in n.children)
+    while len(path) > 1 and (path[-1].tag in INLINE or not blocks(path[-1])):
+        path.pop()
+    return path[-1]
+
+
+def main_text(root: Node, template: set[int], weights: dict[int, int] | None = None) -> str:
+    """The varying text of the article's element, and of headings of the first rank before it, block by block.
+
+    ``template``: ids of constant nodes. ``weights``: how much the host's pages show in the slot of each node; without
+    them, what this page shows there.
+    """
+    own = {id(n): _weight(t) for n, t in nodes(root) if id(n) not in template and not n.off}
+    top = article(root, weights if weights and any(weights.get(k) for k in own) else own)
+    blocks: list[list[str]] = [[]]
+    todo: list = [(root, top is not root, 0)]
+    seen = top is root
     while todo:
-        n = todo.pop()
-        if n.tag == tag and not n.off:
-            out.append(n)
+        n, hidden, k = todo.pop()
+        if k == 0 and n.tag not in INLINE and n.tag != "#root":
+            blocks.append([])
+        while k < len(n.children):
+            c = n.children[k]
+            k += 1
+            if isinstance(c, str):
+                if not hidden and id(n) not in template:
+                    blocks[-1].append(c)
+            elif c.tag == "br":
+                blocks[-1].append(" ")
+            elif not c.off:
+                seen |= c is top
+                todo += [(n, hidden, k), (c, hidden and c is not top and (seen or c.tag != "h1"), 0)]
+                break
         else:
-            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-    return out
+            if n.tag not in INLINE:
+                blocks.append([])
+    return "\n\n".join(x for x in (_space(entities.unescape("".join(b))) for b in blocks) if x)
 
 
-def _extract(page_id, url, html, reference, template) -> dict[str, object]:
+def _extract(page_id, url, html, reference, template, roles: bool) -> dict[str, object]:
     texts = []
-    for page, ref, constant in zip(html.to_pylist(), reference.to_pylist(), template.to_pylist()):
-        own = tree(page)
+    for page, ref, known in zip(html.to_pylist(), reference.to_pylist(), template.to_pylist()):
+        own = tree(page, roles)
         drop: set[int] = set()
-        if ref is not None and constant:
-            known = {(c["node"], c["text"]) for c in constant}
-            drop = {id(o) for k, text, o in _aligned(own, ref) if text and (k, _text_key(text)) in known}
-        texts.append(main_text(own, drop))
+        weights: dict[int, int] = {}
+        if ref is not None and known:
+            constant = {(c["node"], c["text"]) for c in known if c["text"] is not None}
+            slots = {c["node"]: c["weight"] for c in known if c["text"] is None}
+            for k, text, o in reversed(_aligned(own, ref, roles)):  # paths first: a reference node's own slot tells more
+                if text and (k, _text_key(text)) in constant:
+                    drop.add(id(o))
+                if text and k in slots:
+                    weights[id(o)] = slots[k]
+            weights = {k: w for k, w in weights.items() if k not in drop}
+        texts.append(main_text(own, drop, weights))
     return {"page_id": page_id, "url": url, "text": texts}
 
 
@@ -379,47 +408,51 @@ def host_of(url):
 MOST_BROADCAST_BYTES = 16 << 20
 
 
-def _sized(refs: DataFrame) -> DataFrame:
+def _sized(refs: DataFrame, more: str = "0") -> DataFrame:
     """``refs``, marked for a broadcast where a count of its bytes shows that it is small."""
-    size = refs.agg(F.coalesce(F.sum(F.octet_length("reference") + 64), F.lit(0))).first()[0]
+    size = refs.agg(F.coalesce(F.sum(F.octet_length("reference") + 64 + F.expr(more)), F.lit(0))).first()[0]
     return F.broadcast(refs) if size <= MOST_BROADCAST_BYTES else refs
 
 
-def template_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, reference) of hosts with enough pages, and (host, template): the constant nodes with their texts' hashes.
+def wrappers(pages: DataFrame, roles: bool = True) -> DataFrame:
+    """(host, reference, template) of hosts with enough pages. The template's entries (node, text, weight) are the constant
+    nodes with their texts' hashes and, without a text, how much varying text the host's pages show at each node.
 
     The reference is the page of the smallest page_id (of equal ids, the smallest hash). Exact copies of a page count
     once, or a much copied article would look like template. All sums are combined before their shuffle, so a host
     with very many pages needs no task of its own, and no html is shuffled unless the references are too many to
-    broadcast.
+    broadcast. A template has an entry for each slot of a page's structure, not for each page.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("page", F.xxhash64("html"))
     many = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     refs = rows.groupBy("host").agg(F.min_by("html", F.struct("page_id", "page")).alias("reference"))
     refs = stored(refs.join(many, "host"))
+    kinds = {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "text": pa.int64(), "weight": pa.int64()}
     votes = map_columns(
         rows.select("host", "page", "html").join(_sized(refs.select("host", "reference")), "host").select("host", "page", "html", "reference"),
-        _votes,
-        {"host": pa.string(), "page": pa.int64(), "node": pa.int64(), "text": pa.int64()},
+        lambda *c: _votes(*c, roles=roles),
+        kinds,
     )
-    counted = votes.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n"))
-    constant = counted.join(refs.select("host", "pages"), "host").where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
-    constant = constant.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("template"))
-    return refs.select("host", "reference"), constant
+    counted = votes.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    counted = counted.join(refs.select("host", "pages"), "host")
+    constant = F.when(F.col("n") >= CONSTANT_SHARE * F.col("pages"), F.col("text"))
+    slots = counted.groupBy("host", "node", constant.alias("text")).agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    template = slots.groupBy("host").agg(F.collect_list(F.struct("node", "text", "weight")).alias("template"))
+    return refs.select("host", "reference").join(template, "host")
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, roles: bool = True) -> DataFrame:
     """(page_id, url, text): the main text of every row's whole html; empty where there is none.
 
-    A null html counts as empty, a null url as a host of its own kind (""). Hosts of fewer than LEAST_PAGES pages
-    have no template; there the roles of elements decide alone. One row out for each row in, repeats included.
+    A null html counts as empty, a null url as a host of its own kind (""). On hosts of fewer than LEAST_PAGES different
+    pages nothing is constant, and the article is the element with most of the page's own text. One row out for each row
+    in, repeats included.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    refs, constant = template_nodes(pages)
-    met = rows.join(_sized(stored(refs.join(constant, "host"))), "host", "left")
+    met = rows.join(_sized(stored(wrappers(pages, roles)), "32 * size(template)"), "host", "left")
     return map_columns(
         met.select("page_id", "url", "html", "reference", "template"),
-        _extract,
+        lambda *c: _extract(*c, roles=roles),
         {"page_id": pa.int64(), "url": pa.string(), "text": pa.string()},
     )
