@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, stored
 from .tokens import encoder, token_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -108,7 +108,8 @@ def encode(
         lambda doc_id, text: {"doc_id": doc_id, "ids": _encode(text, ranks)},
         {"doc_id": pa.int64(), "ids": pa.binary()},
     )
-    long = rows.where(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
+    # written once: both uses of the numbers below must see the same ones
+    long = stored(rows.where(F.length("text") > chunk_chars).withColumn("row", F.monotonically_increasing_id()))
     encoded = map_columns(
         stitched(long, ranks, chunk_chars, overlap_chars).repartition("row", "piece"),
         lambda row, piece, text: {"row": row, "piece": piece, "ids": _encode(text, ranks)},

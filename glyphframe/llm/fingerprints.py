@@ -205,16 +205,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next document
     in ascending ``doc_id``; after the last comes the first. A null text counts as empty. Repeated ids and null ids
-    (which come first) are ordered by the text; a table of one row is its own next document. Columns: doc_id, n_chars,
+    (which come first) are ordered by a hash of the text; a table of one row is its own next document. Columns: doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and the lengths of the prefixes that the
     text has in common with the edited text and with the next document.
 
     The documents are range-partitioned by id once and streamed in order. Only the last document of each partition
     needs a text from elsewhere: two texts for each partition are joined by partition.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = ["doc_id", "text"]
-    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ranged = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     # written once: both uses below must see the same partitions
     streamed = stored(ranged.mapInArrow(_stream, ddl(_STREAMED)))
     edges = streamed.where("part is not null").select(*_EDGE)

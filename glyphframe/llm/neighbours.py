@@ -2,9 +2,12 @@
 
 Largest inner product becomes smallest distance by one more dimension that evens out the norms. The vectors are
 rotated at random, so that any leading columns estimate the distance; they are dealt to the lists of a k-means fitted
-on a bounded sample. In each probed list the columns are read block by block, and after each block a hypothesis test
-abandons the candidates whose partial distance is already too large to come under the current 20th. Survivors are
-scored exactly, in double precision, on the original vectors.
+on a bounded sample. A query first scans its nearest list. The 20th score found there goes with it to the other lists
+that it probes, and leaves out lists that lie too far for any of their members.
+
+A scan reads the columns block by block. After each block a hypothesis test abandons the pairs whose partial distance is
+already too large to come under the query's current 20th; where few pairs are left, only those are read on. The
+20th is taken anew after each part of the list. Survivors are scored exactly, in double precision, on the original vectors.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, stored
 
 #: Rows that the lists are fitted on (the smallest hashes of vec_id), and Lloyd steps.
 SAMPLE_ROWS, STEPS = 20_000, 8
 #: Lists for n vectors: half the square root, within bounds.
 LEAST_LISTS, MOST_LISTS = 1, 4096
 #: A query probes as many lists as reach this recall among the sample's rows, for so many of them as queries.
-RECALL, TRIALS = 0.97, 400
+RECALL, TRIALS = 0.95, 400
 #: Columns read between tests; how many standard deviations a partial distance may lie above before it is given up.
 COLUMNS, EPSILON = 16, 2.1
 #: Rows of a list that one group holds; larger lists are dealt out over several, each probed by the same queries.
@@ -35,13 +38,22 @@ def rotation(dims: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def nearest_centre(rows: np.ndarray, centres: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre and, up to its own square, the distance; a block of rows at a time."""
+    square, near, least = (centres**2).sum(1), np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for k in range(0, len(rows), block):
+        d = square - 2 * rows[k : k + block] @ centres.T
+        near[k : k + block] = d.argmin(1)
+        least[k : k + block] = d.min(1)
+    return near, least
+
+
 def kmeans(rows: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
     """Lloyd's algorithm on the bounded sample; an empty list takes the row farthest from its centre."""
     centres = rows[np.random.default_rng(seed).choice(len(rows), k, replace=False)]
     for _ in range(STEPS):
-        d = (centres**2).sum(1) - 2 * rows @ centres.T
-        near = d.argmin(1)
-        far = np.argsort(-d[np.arange(len(rows)), near])
+        near, least = nearest_centre(rows, centres)
+        far = np.argsort(-least)
         for c in range(k):
             mine = rows[near == c]
             centres[c] = mine.mean(0) if len(mine) else rows[far[c % len(far)]]
@@ -54,7 +66,7 @@ def probes_for(raw: np.ndarray, fitted: np.ndarray, asked: np.ndarray, centres:
     Neighbours in the whole table are nearer than those in a sample, so they are found at least as surely.
     """
     square = (centres**2).sum(1)
-    home = np.concatenate([(square - 2 * part @ centres.T).argmin(1) for part in np.array_split(fitted, 1 + len(fitted) // 4096)])
+    home = nearest_centre(fitted, centres)[0]
     n, at = min(len(raw), TRIALS), []
     order = np.argsort(square - 2 * asked[:n] @ centres.T, axis=1)
     place = np.argsort(order, axis=1)
@@ -92,37 +104,69 @@ def paired_inner(q: np.ndarray, x: np.ndarray, at_q: np.ndarray, at_x: np.ndarra
     return out
 
 
-#: Queries that are scanned together, and what rounding may add to a distance.
-TOGETHER, SLACK = 128, 1e-9
+#: Queries that are scanned together, candidates of a part of the list, and what rounding may add to a distance.
+TOGETHER, PART, SLACK = 128, 1024, 1e-9
+#: Share of alive pairs from which on they are read one by one.
+FEW = 0.25
 
 
-def scan(q: np.ndarray, q_turned: np.ndarray, turned: np.ndarray, ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int) -> tuple:
-    """The k best of one group for some queries: (query's number, vec_id, score); ties to the smaller id."""
+def scan(
+    q: np.ndarray, q_turned: np.ndarray, turned: np.ndarray, ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int,
+    level: np.ndarray, floor: np.ndarray, told: dict[str, int] | None = None,
+) -> tuple:
+    """The k best of one group for some queries: (query's number, vec_id, score); ties to the smaller id.
+
+    ``level``: of each query, the distance of a score of 0; a score of s has two s less. ``floor``: the k-th best score
+    that is known of elsewhere. An id counts once. ``told`` counts the pairs, and those alive after half of the columns.
+    """
     dims = turned.shape[1]
-    differ = own[:, None] != ids[None, :]
-    alive, columns = differ, np.arange(len(ids))
-    if len(ids) > 4 * k:
-        # the first few candidates give each query the distance to beat
-        head = slice(0, 2 * k + 1)
-        first = _square(q_turned, turned[head]) + np.where(differ[:, head], 0.0, np.inf)
-        limit = np.partition(first, k - 1, axis=1)[:, k - 1]
-        part = np.zeros((len(q), len(columns)))
-        for at in range(0, dims, COLUMNS):
-            block = slice(at, at + COLUMNS)
-            part += _square(q_turned[:, block], turned[columns, block])
-            read = min(at + COLUMNS, dims)
-            bound = limit if read == dims else limit * read / dims * (1 + EPSILON / math.sqrt(read)) ** 2
-            alive = alive & (part <= (bound + SLACK)[:, None])
-            some = alive.any(axis=0)  # candidates that every query has abandoned are read no further
-            alive, part, columns = alive[:, some], part[:, some], columns[some]
-    at_q, at_x = np.nonzero(alive)
-    at_x = columns[at_x]
-    score = paired_inner(q, raw, at_q, at_x)
-    order = np.lexsort((ids[at_x], -score, at_q))
-    at_q, at_x, score = at_q[order], at_x[order], score[order]
-    rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
-    best = rank < k
-    return at_q[best], ids[at_x[best]], score[best]
+    best_q, best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = floor.astype(float).copy()
+    for first in range(0, len(ids), PART):
+        part_ids, part_turned = ids[first : first + PART], turned[first : first + PART]
+        limit = level - 2 * floor
+        limit = np.where(np.isfinite(limit), limit + SLACK * (1 + np.abs(level)), np.inf)
+        at_q, at_x = _survivors(q_turned, part_turned, own[:, None] != part_ids[None, :], limit, told)
+        score = paired_inner(q, raw[first : first + PART], at_q, at_x)
+        held = score >= floor[at_q]
+        at_q, at_x, score = at_q[held], at_x[held], score[held]
+        best_q, best_id, best = np.r_[best_q, at_q], np.r_[best_id, part_ids[at_x]], np.r_[best, score]
+        order = np.lexsort((-best, best_id, best_q))
+        new = np.ones(len(order), bool)
+        new[1:] = (best_q[order][1:] != best_q[order][:-1]) | (best_id[order][1:] != best_id[order][:-1])
+        order = order[new]  # the best of each id
+        order = order[np.lexsort((best_id[order], -best[order], best_q[order]))]
+        rank = np.arange(len(order)) - np.searchsorted(best_q[order], best_q[order])
+        order, rank = order[rank < k], rank[rank < k]
+        best_q, best_id, best = best_q[order], best_id[order], best[order]
+        last = rank == k - 1
+        floor[best_q[last]] = np.maximum(floor[best_q[last]], best[last])
+    return best_q, best_id, best
+
+
+def _survivors(q: np.ndarray, x: np.ndarray, alive: np.ndarray, limit: np.ndarray, told: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of q, rows of x) that no test abandons."""
+    dims, pairs = x.shape[1], None
+    part = np.zeros(alive.shape)
+    if told is not None:
+        told["pairs"] = told.get("pairs", 0) + int(alive.sum())
+    for at in range(0, dims, COLUMNS):
+        block, read = slice(at, at + COLUMNS), min(at + COLUMNS, dims)
+        bound = limit if read == dims else limit * read / dims * (1 + EPSILON / math.sqrt(read)) ** 2
+        if pairs is None:
+            part += _square(q[:, block], x[:, block])
+            alive &= part <= bound[:, None]
+            if alive.sum() <= FEW * alive.size:
+                pairs = np.nonzero(alive)
+                part = part[pairs]
+        else:
+            differ = q[pairs[0], block] - x[pairs[1], block]
+            part = part + np.einsum("ij,ij->i", differ, differ)
+            left = part <= bound[pairs[0]]
+            pairs, part = (pairs[0][left], pairs[1][left]), part[left]
+        if told is not None and at < dims / 2 <= read:
+            told["half"] = told.get("half", 0) + (int(alive.sum()) if pairs is None else len(pairs[0]))
+    return np.nonzero(alive) if pairs is None else pairs
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,48 +202,71 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, id_col: st
     longs = pa.list_(pa.int64())
 
     def deal(vec_id: pa.Array, raw: pa.Array) -> dict[str, object]:
-        d = (centres**2).sum(1) - 2 * (_lifted(_matrix(raw), most, False) @ turn) @ centres.T
-        return {"vec_id": vec_id, "v": raw, "list": d.argmin(1)}
+        lifted = _lifted(_matrix(raw), most, False) @ turn
+        near, least = nearest_centre(lifted, centres)
+        return {"vec_id": vec_id, "v": raw, "list": near, "off": np.sqrt(np.maximum(least + (lifted**2).sum(1), 0.0))}
 
     def probe(vec_id: pa.Array, raw: pa.Array) -> dict[str, object]:
-        d = (centres**2).sum(1) - 2 * (_lifted(_matrix(raw), most, True) @ turn) @ centres.T
-        return {"vec_id": vec_id, "v": raw, "lists": list(np.argsort(d, axis=1, kind="stable")[:, :probes])}
+        lifted = _lifted(_matrix(raw), most, True) @ turn
+        d = (centres**2).sum(1) - 2 * lifted @ centres.T
+        lists = np.argsort(d, axis=1, kind="stable")[:, :probes]
+        away = np.sqrt(np.maximum(np.take_along_axis(d, lists, axis=1) + (lifted**2).sum(1)[:, None], 0.0))
+        return {"vec_id": vec_id, "v": raw, "lists": list(lists), "away": list(away), "level": (lifted**2).sum(1) + most**2}
 
     kinds = {"vec_id": pa.int64(), "v": pa.list_(pa.float64())}
-    dealt = map_columns(rows, deal, kinds | {"list": pa.int64()})
-    queries = map_columns(rows.where(F.col("vec_id") % query_modulus == 0), probe, kinds | {"lists": longs})
-    queries = queries.select("vec_id", "v", F.explode("lists").alias("list"))
-
-    def groups(df: DataFrame) -> Column:
-        """How many groups a list's rows make; there are at most MOST_LISTS lists."""
-        many = [(c, math.ceil(m / GROUP_ROWS)) for c, m in df.groupBy("list").count().collect() if m > GROUP_ROWS]
-        found = F.create_map(*[F.lit(x) for pair in many for x in pair])[F.col("list")] if many else F.lit(None)
-        return F.coalesce(found, F.lit(1)).cast("long")
-
-    # a group is one part of a list's candidates met with one part of its queries
-    ours, theirs = groups(dealt), groups(queries)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), n)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    candidates = dealt.select("list", own(ours).alias("part"), each(theirs).alias("turn"), "vec_id", "v")
-    queries = queries.select("list", each(ours).alias("part"), own(theirs).alias("turn"), "vec_id", "v")
+    dealt = stored(map_columns(rows, deal, kinds | {"list": pa.int64(), "off": pa.float64()}))
+    doubles = pa.list_(pa.float64())
+    asked = map_columns(rows.where(F.col("vec_id") % query_modulus == 0), probe, kinds | {"lists": longs, "away": doubles, "level": pa.float64()})
+    asked = asked.dropDuplicates(["vec_id", "v"])
+    asked = stored(asked.select("vec_id", "v", "level", F.posexplode(F.arrays_zip("lists", "away")).alias("turn", "l")).select("vec_id", "v", "level", "turn", F.col("l.lists").alias("list"), F.col("l.away").alias("away")))
+    # how far a list reaches from its centre, and how many groups its rows make; there are at most MOST_LISTS lists
+    lists_ = F.broadcast(stored(dealt.groupBy("list").agg(F.max("off").alias("reach"), F.ceil(F.count("*") / GROUP_ROWS).alias("ours"))))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, scores, asked = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        ids, scores, queried = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
             held, raw = left["vec_id"].to_numpy(), _matrix(left["v"].combine_chunks())
             turned = _lifted(raw, most, False) @ turn
             q_raw = _matrix(right["v"].combine_chunks())
             q_turned, q_ids = _lifted(q_raw, most, True) @ turn, right["vec_id"].to_numpy()
+            level, floor = right["level"].to_numpy(), right["floor"].to_numpy()
             for at in range(0, len(q_ids), TOGETHER):
                 some = slice(at, at + TOGETHER)
-                which, best, score = scan(q_raw[some], q_turned[some], turned, held, raw, q_ids[some], k)
-                ids.append(best), scores.append(score), asked.append(q_ids[some][which])
-        return pa.table({"query_id": np.concatenate(asked), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
-
-    keys = ["list", "part", "turn"]
-    met = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys))
-    found = met.applyInArrow(search, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+                which, best, score = scan(q_raw[some], q_turned[some], turned, held, raw, q_ids[some], k, level[some], floor[some])
+                ids.append(best), scores.append(score), queried.append(q_ids[some][which])
+        return pa.table({"query_id": np.concatenate(queried), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """The best of each group for ``queries`` (vec_id, v, level, floor, list): one part of a list's candidates met with
+        one part of its queries."""
+        load = F.broadcast(queries.groupBy("list").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("theirs")))  # a row a list
+        candidates = dealt.join(lists_, "list").join(load, "list").select("list", own("ours").alias("part"), each("theirs").alias("turn"), "vec_id", "v")
+        queries = queries.join(lists_.select("list", "ours"), "list").join(load, "list")
+        queries = queries.select("list", each("ours").alias("part"), own("theirs").alias("turn"), "vec_id", "v", "level", "floor")
+        keys = ["list", "part", "turn"]
+        met = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys))
+        return met.applyInArrow(search, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    nothing = F.lit(float("-inf"))
+    near = stored(searched(asked.where("turn = 0").withColumn("floor", nothing)))
+    floors = ranked(near).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = asked.where("turn > 0").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", nothing)).join(lists_, "list")
+    # no member of a list is nearer to the query than the centre's distance less the list's reach
+    least = F.greatest(F.col("away") - F.col("reach") - 1e-6, F.lit(0.0))
+    rest = rest.where(least * least <= F.col("level") - 2 * F.col("floor"))
+    found = stored(near.unionByName(searched(stored(rest.select("vec_id", "v", "level", "floor", "list")))))
+    # a query whose probed lists hold fewer than k others goes through all lists
+    enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short = stored(asked.where("turn = 0").join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+    if not short.isEmpty():
+        every = short.withColumn("floor", nothing).withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))))
+        found = found.unionByName(searched(every.select("vec_id", "v", "level", "floor", "list")))
+    return ranked(found)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, stored
 
 #: Sentences to a span, and the fewest words that a span must have (short runs repeat by chance).
 SENTENCES, LEAST_WORDS = 3, 15
@@ -82,7 +82,7 @@ def _hashed(doc_id: pa.Array, mark: pa.Array, text: pa.Array, short_words: int |
 def late_spans(docs: DataFrame, short_words: int | None = None) -> DataFrame:
     """(doc_id, mark, pos): the spans that are not the first of their hash."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("doc_id is not null and text is not null")
-    found = map_columns(rows, lambda d, m, t: _hashed(d, m, t, short_words), _SPAN)
+    found = stored(map_columns(rows, lambda d, m, t: _hashed(d, m, t, short_words), _SPAN))
     # combined before the shuffle, so a passage that very many documents hold is one row from each task
     first = F.min(F.struct("doc_id", "mark", "pos"))
     firsts = found.groupBy("h1", "h2").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1")

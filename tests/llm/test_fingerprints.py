@@ -65,3 +65,17 @@ def test_edges(spark):
     assert fp.fingerprints(df.limit(0)).count() == 0
     again = spark.createDataFrame([(1, "b"), (1, "b"), (None, "c"), (1, "a")], "doc_id long, text string")
     assert fp.fingerprints(again).count() == 4
+
+
+def test_repeated_ids_have_one_order(spark):
+    """Rows of one id follow each other in the same order however the input and the shuffle are partitioned."""
+    df = spark.createDataFrame([(k // 40, f"text {k} " * (k % 7), k) for k in range(400)] + [(3, None, 0), (None, "c", 1)], "doc_id long, text string, part int")
+    seen = set()
+    for n in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            rows = fp.fingerprints(df.repartition(n, "text")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        seen.add(tuple(sorted((str(r.doc_id), r.edited_sha256, r.fingerprint) for r in rows)))
+    assert len(seen) == 1 and len(rows) == 402

@@ -114,6 +114,31 @@ def test_recall(spark, sf):
         assert all(scores.get(v, s) == s for v, s in g.values())
 
 
+def test_pairs_are_abandoned_early():
+    """On clustered vectors most pairs of a scan are abandoned before half of their columns are read, and none of the best."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64)) * 3
+    x = centres[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 64)) * 0.6
+    q, most = x[:200] + rng.standard_normal((200, 64)) * 0.2, float(np.sqrt((x**2).sum(1).max()))
+    turn, told = neighbours.rotation(65), {}
+    q_turned, x_turned = neighbours._lifted(q, most, True) @ turn, neighbours._lifted(x, most, False) @ turn
+    none = np.full(200, -np.inf)
+    at, ids, score = neighbours.scan(q, q_turned, x_turned, np.arange(6000), x, np.full(200, -1), 20, (q**2).sum(1) + most**2, none, told)
+    assert told["pairs"] == 200 * 6000 and told["half"] < 0.5 * told["pairs"]
+    right = 0
+    for k in range(200):
+        best = np.argsort(-neighbours.inner(q[k], x), kind="stable")[:20]
+        right += len(set(best.tolist()) & set(ids[at == k].tolist()))
+    assert right >= 0.97 * 20 * 200
+
+
+def test_repeated_rows_take_one_place(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(40)] + [(39, [39.0, 1.0])] * 50 + [(38, [50.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(df).where("query_id = 20").orderBy("rank").collect()]
+    assert [g[1] for g in got] == [38, 39, *range(37, 20, -1), 19] and got[0] == (1, 38, 1001.0)
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (20, [0.0, 2.0], 1), (1, [3.0, 1.0], 1), (2, [3.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1)]
