@@ -1,8 +1,9 @@
 """Bootstrap intervals by deterministic draws.
 
 A draw is the first 52 bits of an MD5 of (seed, replicate, draw number), so it is the same on any cluster. Only
-(edits, characters, wrong) matter, so equal rows are collapsed to counts first. Small sets are resampled exactly; for
-large ones each (group of equal rows, replicate) gets a Poisson number of copies, one row for each pair.
+(edits, characters, wrong) matter, so equal rows are collapsed to counts first. The caller names the method, which holds
+at every size: "exact" makes each draw; "poisson" gives each (group of equal rows, replicate) a Poisson number of copies,
+one row for each pair, for tables of too many rows times replicates.
 """
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows x replicates up to which draws are made one by one.
-MOST_DRAWS = 20_000_000
 LEAST_CLUSTERS = 20
 
 
@@ -20,8 +19,9 @@ def uniform(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _poisson(mean: Column, u: Column, most: int = 60) -> Column:
-    """Poisson number by inversion for means up to 20; beyond, the normal approximation, not below zero."""
+def _poisson(mean: Column, u: Column, v: Column, most: int = 60) -> Column:
+    """Poisson number by inversion for means up to 20; beyond, the nearest of a normal number (from two uniform ones), not
+    below zero."""
     zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
 
     def step(a: Column, i: Column) -> Column:
@@ -29,18 +29,20 @@ def _poisson(mean: Column, u: Column, most: int = 60) -> Column:
         return F.when(u < a["c"], a).otherwise(F.struct(p.alias("p"), (a["c"] + p).alias("c"), i.alias("k")))
 
     small = F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda a: a["k"])
-    # logistic approximation of the normal quantile
-    large = F.greatest(F.rint(mean + F.sqrt(mean) * F.log(u / (1 - u)) / 1.702), F.lit(0.0)).cast("int")
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+    large = F.greatest(F.rint(mean + F.sqrt(mean) * normal), F.lit(0.0)).cast("int")
     return F.when(mean <= 20, small).otherwise(large)
 
 
-def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int) -> DataFrame:
-    """(rep, n, sums, method): ``sums`` of each resample with replacement."""
+def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int, method: str = "exact") -> DataFrame:
+    """(rep, n, sums, method): ``sums`` of each resample with replacement, by "exact" draws or "poisson" weights."""
+    if method not in ("exact", "poisson"):
+        raise ValueError(f"no method {method!r}: exact or poisson")
     spark = rows.sparkSession
     groups = rows.groupBy(*sums).agg(F.count("*").alias("_n"))
-    total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    rep = spark.range(reps).withColumnRenamed("id", "rep")
-    if total * reps <= MOST_DRAWS:
+    if method == "exact":
+        total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        rep = spark.range(reps).withColumnRenamed("id", "rep")
         # cumulative counts over the distinct tuples; a draw falls into one of these intervals
         order = Window.orderBy(*sums)
         spans = groups.withColumn("_hi", F.sum("_n").over(order)).withColumn("_lo", F.col("_hi") - F.col("_n"))
@@ -51,11 +53,11 @@ def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int) -> DataFr
         return met.groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums)).withColumn("method", F.lit("exact"))
     key = [F.lit(seed), F.col("rep"), *(F.col(c) for c in sums)]
     copies = groups.select(*sums, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    copies = copies.withColumn("_k", _poisson(F.col("_n").cast("double"), uniform(*key)))
+    copies = copies.withColumn("_k", _poisson(F.col("_n").cast("double"), uniform(*key), uniform(*key, F.lit("second"))))
     return copies.groupBy("rep").agg(F.sum("_k").alias("n"), *(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums)).withColumn("method", F.lit("poisson"))
 
 
-def paired_bootstrap(pairs: DataFrame, reps: int = 10_000, seed: int = 20260923) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, reps: int = 10_000, seed: int = 20260923, method: str = "exact") -> DataFrame:
     """(cer_lo, cer_hi, wer_lo, wer_hi, method): 95 % percentile intervals of both deltas in points.
 
     Both arms share each resample. ``pairs``: ref, hyp_ctrl, hyp_treat.
@@ -65,7 +67,7 @@ def paired_bootstrap(pairs: DataFrame, reps: int = 10_000, seed: int = 20260923)
         (F.levenshtein("ref", "hyp_treat") - F.levenshtein("ref", "hyp_ctrl")).alias("d_e"), F.length("ref").alias("chars"),
         (wrong("hyp_treat") - wrong("hyp_ctrl")).alias("d_w"),
     )
-    made = replicates(rows, ["d_e", "chars", "d_w"], reps, seed)
+    made = replicates(rows, ["d_e", "chars", "d_w"], reps, seed, method)
     cer = 100 * F.col("d_e") / F.greatest(F.col("chars"), F.lit(1))
     wer = 100 * F.col("d_w") / F.greatest(F.col("n"), F.lit(1))
     p = lambda c, q, name: F.percentile(c, q).alias(name)
@@ -77,20 +79,20 @@ def _sorted_interval(values: DataFrame, reps: int) -> DataFrame:
     return values.agg(held.alias("v")).select(F.get("v", F.lit(int(0.025 * reps))).alias("lo"), F.get("v", F.lit(min(reps - 1, int(0.975 * reps)))).alias("hi"))
 
 
-def region_bootstrap(rows: DataFrame, reps: int = 2000, seed: int = 7) -> DataFrame:
-    """(lo, hi, note): regions resampled; nulls under two rows; a diagnostic, not an interval."""
-    made = replicates(rows.select(F.levenshtein("ref", "hyp").alias("edits"), F.length("ref").alias("chars")), ["edits", "chars"], reps, seed)
+def region_bootstrap(rows: DataFrame, reps: int = 2000, seed: int = 7, method: str = "exact") -> DataFrame:
+    """(lo, hi, note, method): regions resampled; nulls under two rows; a diagnostic, not an interval."""
+    made = replicates(rows.select(F.levenshtein("ref", "hyp").alias("edits"), F.length("ref").alias("chars")), ["edits", "chars"], reps, seed, method)
     few = rows.limit(2).count() < 2
     out = _sorted_interval(made.select((F.col("edits") / F.greatest("chars", F.lit(1))).alias("cer")), reps)
-    return out.select(*(F.lit(None).cast("double").alias(c) if few else F.col(c) for c in ("lo", "hi")), F.lit("diagnostic only").alias("note"))
+    return out.select(*(F.lit(None).cast("double").alias(c) if few else F.col(c) for c in ("lo", "hi")), F.lit("diagnostic only").alias("note"), F.lit(method).alias("method"))
 
 
-def cluster_bootstrap(rows: DataFrame, key: str, reps: int = 2000, seed: int = 7, least: int = LEAST_CLUSTERS) -> DataFrame:
-    """(n_clusters, lo, hi, refused): whole clusters resampled; refused under ``least`` clusters."""
+def cluster_bootstrap(rows: DataFrame, key: str, reps: int = 2000, seed: int = 7, least: int = LEAST_CLUSTERS, method: str = "exact") -> DataFrame:
+    """(n_clusters, lo, hi, refused, method): whole clusters resampled; refused under ``least`` clusters."""
     sums = rows.groupBy(key).agg(F.sum(F.levenshtein("ref", "hyp")).alias("edits"), F.sum(F.length("ref")).alias("chars"))
     k = sums.count()
     if k < least:
-        return rows.sparkSession.createDataFrame([(k, None, None, f"{k} clusters, fewer than {least}")], "n_clusters long, lo double, hi double, refused string")
-    made = replicates(sums.select("edits", "chars"), ["edits", "chars"], reps, seed)
+        return rows.sparkSession.createDataFrame([(k, None, None, f"{k} clusters, fewer than {least}", method)], "n_clusters long, lo double, hi double, refused string, method string")
+    made = replicates(sums.select("edits", "chars"), ["edits", "chars"], reps, seed, method)
     out = _sorted_interval(made.select((F.col("edits") / F.greatest("chars", F.lit(1))).alias("cer")), reps)
-    return out.select(F.lit(k).cast("long").alias("n_clusters"), "lo", "hi", F.lit(None).cast("string").alias("refused"))
+    return out.select(F.lit(k).cast("long").alias("n_clusters"), "lo", "hi", F.lit(None).cast("string").alias("refused"), F.lit(method).alias("method"))

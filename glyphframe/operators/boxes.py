@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import SIDES, box, box_area, cover, intersection, iou, meets
 from ..sources.corpus import kept
 
-#: Side of a grid cell for pages with very many boxes, in pixels.
+#: Side of a grid cell in pixels: boxes meet within cells, not within whole pages.
 CELL = 256
 MATCH_IOU, PART_OF, DUPLICATE_IOU = 0.5, 0.5, 0.8
 
@@ -17,28 +17,23 @@ def _named(df: DataFrame, prefix: str, key: str, page: str) -> DataFrame:
     return df.select(page, F.col(key), *(F.col(s).alias(f"{prefix}{s}") for s in SIDES))
 
 
-def overlap_join(ref: DataFrame, det: DataFrame, ref_id: str = "ref_id", det_id: str = "det_id", page: str = "page_id", cell: int | None = None) -> DataFrame:
+def overlap_join(ref: DataFrame, det: DataFrame, ref_id: str = "ref_id", det_id: str = "det_id", page: str = "page_id", cell: int = CELL) -> DataFrame:
     """(page, ref_id, det_id, r_x1.., d_x1..) of boxes of one page with a positive intersection.
 
-    ``cell``: deal each box to the grid cells that it touches and meet within cells, for pages with thousands of
-    boxes; a pair counts in the cell of its intersection's corner, so it appears once.
+    Each box is dealt to the grid cells of side ``cell`` that it touches, and boxes meet within cells, so a page with
+    very many boxes is not paired off in full; a pair counts in the cell of its intersection's corner, so it appears once.
     """
-    r, d = _named(ref, "r_", ref_id, page), _named(det, "d_", det_id, page)
-    on = [page]
-    where = meets(box("r_"), box("d_"))
-    if cell:
-        r, d = (_in_cells(x, p, cell) for x, p in ((r, "r_"), (d, "d_")))
-        on += ["_cx", "_cy"]
-        corner = lambda a, b: F.floor(F.greatest(a, b) / cell)
-        where = where & (F.col("_cx") == corner(F.col("r_x1"), F.col("d_x1"))) & (F.col("_cy") == corner(F.col("r_y1"), F.col("d_y1")))
-    return r.join(d, on).where(where).drop("_cx", "_cy")
+    r, d = (_in_cells(_named(x, p, key, page), p, cell) for x, p, key in ((ref, "r_", ref_id), (det, "d_", det_id)))
+    corner = lambda a, b: F.floor(F.greatest(a, b) / cell)
+    once = (F.col("_cx") == corner(F.col("r_x1"), F.col("d_x1"))) & (F.col("_cy") == corner(F.col("r_y1"), F.col("d_y1")))
+    return r.join(d, [page, "_cx", "_cy"]).where(meets(box("r_"), box("d_")) & once).drop("_cx", "_cy")
 
 
 def _in_cells(df: DataFrame, prefix: str, cell: int) -> DataFrame:
     x1, y1, x2, y2 = box(prefix)
-    span = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor((b - 1) / cell)))
-    whole = df.where((x2 > x1) & (y2 > y1))
-    return whole.withColumn("_cx", span(x1, x2)).withColumn("_cy", span(y1, y2))
+    # a box without an inside is in the cell of its corner
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(F.greatest(b - 1, a) / cell)))
+    return df.withColumn("_cx", span(x1, x2)).withColumn("_cy", span(y1, y2))
 
 
 def best_overlap(ref: DataFrame, det: DataFrame, least: float = 0.05, **names) -> DataFrame:
@@ -52,34 +47,32 @@ def best_overlap(ref: DataFrame, det: DataFrame, least: float = 0.05, **names) -
 
 
 def overlap_neighbours(boxes: DataFrame, pad: int, pages: DataFrame | None = None) -> DataFrame:
-    """(page_id, id) of boxes whose padded crop, clipped to its page, meets another box."""
+    """(page_id, id) of boxes whose padded crop, clipped to its page, meets another box (J10); met within grid cells."""
     grown = boxes.select("page_id", "id", F.greatest(F.col("x1") - pad, F.lit(0)).alias("x1"), F.greatest(F.col("y1") - pad, F.lit(0)).alias("y1"), (F.col("x2") + pad).alias("x2"), (F.col("y2") + pad).alias("y2"))
     if pages is not None:
         grown = grown.join(pages.select("page_id", "width", "height"), "page_id")
         grown = grown.withColumn("x2", F.least("x2", "width")).withColumn("y2", F.least("y2", "height"))
-    other = boxes.select("page_id", F.col("id").alias("other"), *(F.col(s).alias(f"d_{s}") for s in SIDES))
-    on = (grown.page_id == other.page_id) & (grown.id != other.other) & meets(tuple(grown[s] for s in SIDES), tuple(other[f"d_{s}"] for s in SIDES))
-    return grown.join(other, on, "left_semi").select("page_id", "id")
+    met = overlap_join(grown, boxes.select("page_id", F.col("id").alias("_other"), *SIDES), "id", "_other")
+    return met.where(F.col("id") != F.col("_other")).select("page_id", "id").distinct()
 
 
-def match_one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def match_one_to_one(pairs: DataFrame) -> DataFrame:
     """(page_id, ref_id, det_id, iou): greedy matching of candidate pairs by (higher iou, ref_id, det_id).
 
     Each round takes the pairs that come first among both their boxes' pairs. The order is total, so this is the
-    sequential greedy result; rounds end when no pair is left, and running out of rounds raises.
+    sequential greedy result, and each round takes at least one pair of every page that has any; rounds go on until no
+    pair is left.
     """
     order = [F.desc("iou"), "ref_id", "det_id"]
     left, found = kept(pairs.select("page_id", "ref_id", "det_id", "iou")), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            return found if found is not None else left
+    while not left.isEmpty():
         first = lambda key: F.row_number().over(Window.partitionBy("page_id", key).orderBy(*order)) == 1
         taken = left.withColumn("_r", first("ref_id")).withColumn("_d", first("det_id")).where("_r and _d").drop("_r", "_d")
         taken = kept(taken)
         found = taken if found is None else found.unionByName(taken)
         left = left.join(taken.select("page_id", "ref_id"), ["page_id", "ref_id"], "left_anti")
         left = kept(left.join(taken.select("page_id", "det_id"), ["page_id", "det_id"], "left_anti"))
-    raise RuntimeError("matching did not end within its rounds")
+    return left if found is None else found
 
 
 def box_compare(ref: DataFrame, det: DataFrame, sparse: bool = False, threshold: float = MATCH_IOU) -> tuple[DataFrame, DataFrame]:

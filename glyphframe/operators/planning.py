@@ -18,10 +18,14 @@ def cumulative_weights(vocab: DataFrame, by: str = "freq") -> DataFrame:
     """(word, freq, weight, lo, hi): the weight sqrt(freq), or 1 + .35 max(0, length - 8) for "long", and its half-open
     span of the running sum in word order (W9).
 
-    Two-level: running sums within blocks of the order, then the blocks' offsets; no task sees all rows.
+    Two-level: running sums within range partitions of the order, then the partitions' offsets; no task sees all rows,
+    and a common beginning of words does not gather them in one task.
     """
+    from ..sources.corpus import kept
+
     weight = F.sqrt(F.col("freq").cast("double")) if by == "freq" else 1.0 + 0.35 * F.greatest(F.length("word") - 8, F.lit(0))
-    rows = vocab.select("word", "freq", weight.alias("weight"), F.substring("word", 1, 2).alias("_block"))
+    rows = vocab.select("word", "freq", weight.alias("weight")).repartitionByRange("word").withColumn("_block", F.spark_partition_id())
+    rows = kept(rows)  # both uses below must see the same partitions
     sizes = rows.groupBy("_block").agg(F.sum("weight").alias("_w"))
     before = F.sum("_w").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_block", F.coalesce(before, F.lit(0.0)).alias("_before"))
@@ -127,13 +131,10 @@ def width_batches(df: DataFrame, batch: int, pool_batches: int = 50, max_columns
 
 def quotas(weights: list[float], batch: int) -> list[int]:
     """Rows of each source in a full batch, by largest remainder; ties to the earlier source."""
-    raw = [batch * w / (sum(weights) or 1.0) for w in weights]
-    out = [int(x) for x in raw]
-    for k in sorted(range(len(raw)), key=lambda k: (out[k] - raw[k], k)):
-        if sum(out) >= batch:
-            break
-        out[k] += 1
-    return out
+    exact = pd.Series(weights, dtype=float) * batch / (sum(weights) or 1.0)
+    whole = exact.astype(int)
+    place = (whole - exact).rank(method="first")  # the largest remainder has place 1
+    return (whole + (place <= batch - whole.sum())).astype(int).tolist()
 
 
 def paired_batches(df: DataFrame, weights: list[float], batch: int, seed: int = 0, epoch: int = 0) -> DataFrame:

@@ -78,12 +78,24 @@ def read_manifest(spark: SparkSession, path: str, where: dict[str, str] | None =
     return rows.withColumn("label", normalize_label(F.col("label"), composed)).where(is_encodable(F.col("label"), charset))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a temporary one of
+    this machine; a cluster, whose machines would not see it, is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='glyphframe-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that ``spark.checkpoint.dir`` names (in tests, where it is unset, one of this
-    machine): steps that read ``df`` twice see the same rows in the same partitions, and lineage is cut."""
-    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    """A checkpoint in the shared folder: steps that read ``df`` twice see the same rows in the same partitions, and
+    lineage is cut."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -102,11 +102,7 @@ def test_bootstrap_brackets_the_delta(spark):
     point = 100 * (sum(r[0] != r[2] for r in rows) - sum(r[0] != r[1] for r in rows)) / (8 * 400)
     exact = bootstrap.paired_bootstrap(df, reps=500).first()
     assert exact.cer_lo < point < exact.cer_hi < 0 and exact.method == "exact"
-    most, bootstrap.MOST_DRAWS = bootstrap.MOST_DRAWS, 10
-    try:
-        poisson = bootstrap.paired_bootstrap(df, reps=500).first()
-    finally:
-        bootstrap.MOST_DRAWS = most
+    poisson = bootstrap.paired_bootstrap(df, reps=500, method="poisson").first()
     assert poisson.method == "poisson" and abs(poisson.cer_lo - exact.cer_lo) < 0.5 and abs(poisson.cer_hi - exact.cer_hi) < 0.5
     few = bootstrap.cluster_bootstrap(df.withColumn("hyp", F.col("hyp_ctrl")).withColumn("k", F.lit(1)), "k").first()
     assert few.n_clusters == 1 and few.lo is None and "fewer" in few.refused
@@ -187,11 +183,63 @@ def test_gap_threshold(spark, gaps, want):
     assert (r.threshold if r else None) == want
 
 
-def test_thin_bands_and_marks():
-    assert layout.join_thin([[0, 3], [5, 25], [40, 60], [61, 64]], 9) == [[0, 25], [40, 64]]
-    assert layout.join_thin([[0, 20], [22, 24], [26, 46]], 9) == [[0, 20], [22, 46]]
+def test_thin_bands_and_marks(spark):
+    bands = lambda rows, least: [[b.start, b.stop] for b in frame(spark, [([tuple(r) for r in rows],)], "b array<struct<start:int,stop:int>>").select(layout.join_thin(F.col("b"), F.lit(least))).first()[0]]
+    assert bands([[0, 3], [5, 25], [40, 60], [61, 64]], 9) == [[0, 25], [40, 64]]
+    assert bands([[0, 20], [22, 24], [26, 46]], 9) == [[0, 20], [22, 46]]
     groups = [[0, 0, 20, 30, [1]], [22, 0, 26, 5, [2]], [40, 0, 60, 30, [3]], [62, 26, 65, 30, [4]]]
-    assert layout.attach_to_neighbours(groups, 30, 15) == [[0, 0, 26, 30, [1, 2]], [40, 0, 60, 30, [3]], [62, 26, 65, 30, [4]]]
+    df = frame(spark, [([tuple(g) for g in groups],)], "g array<struct<x1:int,y1:int,x2:int,y2:int,members:array<int>>>")
+    got = df.select(layout.joined_marks(F.col("g"), F.lit(30.0), F.lit(15.0))).first()[0]
+    assert [list(g) for g in got] == [[0, 0, 26, 30, [1, 2]], [40, 0, 60, 30, [3]], [62, 26, 65, 30, [4]]]
+
+
+def _restarting_thin(bands, least):
+    """Brute force: one join at a time, each time from the first band."""
+    bands = [list(b) for b in bands]
+    while len(bands) > 1 and any(b - a < least for a, b in bands):
+        k = [b - a < least for a, b in bands].index(True)
+        gaps = {j: g for j, g in ((k - 1, k and bands[k][0] - bands[k - 1][1]), (k + 1, k + 1 < len(bands) and bands[k + 1][0] - bands[k][1])) if 0 <= j < len(bands)}
+        j = min(gaps, key=lambda j: (gaps[j], -j))
+        bands[min(j, k) : max(j, k) + 1] = [[bands[min(j, k)][0], bands[max(j, k)][1]]]
+    return bands
+
+
+def _restarting_marks(groups, h, middle, p=layout.PARAMS):
+    groups = [list(g) for g in groups]
+    while True:
+        for k, (x1, y1, x2, y2, members) in enumerate(groups):
+            near = {j: (groups[j][0] - x2 if j > k else x1 - groups[j][2]) for j in (k - 1, k + 1) if 0 <= j < len(groups)}
+            near = {j: g for j, g in near.items() if g <= p.mark_attach * h}
+            if near and max(x2 - x1, y2 - y1) <= p.mark_side * h and (y1 + y2) / 2 < middle:
+                j = min(near, key=lambda j: (near[j], j))
+                t = groups[j]
+                groups[j] = [min(t[0], x1), min(t[1], y1), max(t[2], x2), max(t[3], y2), t[4] + members]
+                del groups[k]
+                break
+        else:
+            return groups
+
+
+def test_folds_equal_the_restarting_loops(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        at, bands, groups = 0, [], []
+        for _ in range(rng.randrange(1, 12)):
+            at += rng.randrange(1, 9)
+            bands.append((at, at := at + rng.choice([2, 4, 8, 12, 20])))
+        x = 0
+        for n in range(rng.randrange(1, 12)):
+            x += rng.randrange(1, 12)
+            y = rng.randrange(0, 26)
+            w, tall = rng.choice([3, 6, 10, 20]), rng.choice([3, 6, 10, 26])
+            groups.append((x, y, x := x + w, y + tall, [n]))
+        rows.append((k, bands, groups))
+    df = frame(spark, rows, "k int, b array<struct<start:int,stop:int>>, g array<struct<x1:int,y1:int,x2:int,y2:int,members:array<int>>>")
+    got = df.select("k", layout.join_thin(F.col("b"), F.lit(9)).alias("b"), layout.joined_marks(F.col("g"), F.lit(30.0), F.lit(15.0)).alias("g")).collect()
+    for r in got:
+        assert [list(b) for b in r.b] == _restarting_thin(rows[r.k][1], 9)
+        assert [list(g) for g in r.g] == [list(g) for g in _restarting_marks(rows[r.k][2], 30, 15)]
 
 
 def test_tall_bands_are_cut_at_the_weakest_row(spark):
