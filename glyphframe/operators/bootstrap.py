@@ -8,6 +8,8 @@ one row for each pair, for tables of too many rows times replicates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +21,28 @@ def uniform(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def _poisson(mean: Column, u: Column, v: Column, most: int = 60) -> Column:
-    """Poisson number by inversion for means up to 20; beyond, the nearest of a normal number (from two uniform ones), not
-    below zero."""
-    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+#: Poisson numbers of means up to SMALL_MEAN are found among the first MOST_COPIES sums of the distribution.
+SMALL_MEAN, MOST_COPIES = 20, 60
+
+
+def _poisson_sums(mean: Column) -> Column:
+    """The chances of at most 0, 1, ... of a Poisson number, for a small mean."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("c"))
 
     def step(a: Column, i: Column) -> Column:
         p = a["p"] * mean / i
-        return F.when(u < a["c"], a).otherwise(F.struct(p.alias("p"), (a["c"] + p).alias("c"), i.alias("k")))
+        return F.struct(p.alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + p)).alias("c"))
+
+    return F.when(mean <= SMALL_MEAN, F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES - 1)), start, step, lambda a: a["c"]))
+
 
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda a: a["k"])
+def _poisson(mean: Column, sums: Column, u: Column, v: Column) -> Column:
+    """Poisson number by inversion for small means: how many of the sums u reaches. Beyond, the nearest of a normal number
+    (from two uniform ones), not below zero."""
+    small = reduce(lambda k, i: k + (u >= F.get(sums, F.lit(i))).cast("int"), range(MOST_COPIES), F.lit(0))
     normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
     large = F.greatest(F.rint(mean + F.sqrt(mean) * normal), F.lit(0.0)).cast("int")
-    return F.when(mean <= 20, small).otherwise(large)
+    return F.when(mean <= SMALL_MEAN, small).otherwise(large)
 
 
 def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int, method: str = "exact") -> DataFrame:
@@ -52,8 +63,10 @@ def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int, method: s
         met = draws.select("rep", at.alias("_at")).join(spots, "_at")
         return met.groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums)).withColumn("method", F.lit("exact"))
     key = [F.lit(seed), F.col("rep"), *(F.col(c) for c in sums)]
-    copies = groups.select(*sums, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    copies = copies.withColumn("_k", _poisson(F.col("_n").cast("double"), uniform(*key), uniform(*key, F.lit("second"))))
+    groups = groups.withColumn("_sums", _poisson_sums(F.col("_n").cast("double")))
+    copies = groups.select(*sums, "_n", "_sums", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
+    copies = copies.withColumn("_u", uniform(*key))
+    copies = copies.withColumn("_k", _poisson(F.col("_n").cast("double"), F.col("_sums"), F.col("_u"), uniform(*key, F.lit("second"))))
     return copies.groupBy("rep").agg(F.sum("_k").alias("n"), *(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums)).withColumn("method", F.lit("poisson"))
 
 

@@ -19,7 +19,7 @@ SQL: dict[str, str] = {
     "samples": """SELECT doc_id * 100000 + pos AS manifest_index, source, CASE WHEN pos % 2 = 0 THEN 'modern' ELSE 'old' END AS style, w AS ref,
   CASE WHEN (doc_id + pos) % 7 = 0 THEN substr(w, 2) WHEN (doc_id + pos) % 11 = 0 THEN replace(w, 'e', 'a') WHEN (doc_id + pos) % 13 = 0 THEN concat(w, 'x') ELSE w END AS hyp_ctrl,
   CASE WHEN (doc_id + pos) % 9 = 0 THEN substr(w, 2) WHEN (doc_id + pos) % 17 = 0 THEN replace(w, 'n', 'm') ELSE w END AS hyp_treat
-  FROM {words} WHERE pos % 5 = 0""",
+  FROM {words}""",
     "components": """SELECT doc_id AS page_id, pos AS comp_id, ln, CAST(x0 AS BIGINT) AS x1, ln * 40 AS y1, CAST(x0 + length(w) * 12 AS BIGINT) AS x2, ln * 40 + 20 + (pos % 3) * 2 AS y2 FROM (
   SELECT doc_id, pos, w, CAST((pos - pos % 10) / 10 AS BIGINT) AS ln,
   sum(length(w) * 12 + CASE WHEN pos % 3 = 0 THEN 20 ELSE 4 END) OVER (PARTITION BY doc_id, CAST((pos - pos % 10) / 10 AS BIGINT) ORDER BY pos) - length(w) * 12 - CASE WHEN pos % 3 = 0 THEN 20 ELSE 4 END AS x0 FROM {words})""",

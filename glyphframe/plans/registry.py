@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +132,116 @@ def _(t):
     return exchange.verify_checksums(listing, t.inventory.where("doc_id % 7 <> 0"))
 
 
+# Each of these writes a table in the source's format to a new folder beside the checkpoints, and reads it back.
+
+
+@query("s1_read_shards", "SELECT doc_id, CASE WHEN doc_id % 10 = 8 THEN 'val' WHEN doc_id % 10 = 9 THEN 'test' ELSE 'train' END AS split FROM documents")
+def _(t):
+    out = corpus.new_folder(t.spark)
+    for folder, rows in (("raw", "doc_id % 10 < 8"), ("data/Validation.v2", "doc_id % 10 = 8"), ("my-test_set", "doc_id % 10 = 9"), (".cache/old", "doc_id % 10 = 0")):
+        t.documents.where(rows).write.parquet(f"{out}/{folder}")
+    return corpus.read_shards(t.spark, out).select("doc_id", "split")
+
+
+@query("s2_s3_unpack_image", "SELECT doc_id, sha256(text) AS content, source AS hint, lang AS label FROM documents")
+def _(t):
+    out = corpus.new_folder(t.spark)
+    image = F.struct(F.encode("text", "UTF-8").alias("bytes"), F.col("source").alias("path"))
+    t.documents.select("doc_id", F.col("lang").alias("note"), image.alias("scan"), F.array("lang", "source").alias("label")).write.parquet(f"{out}/train")
+    df = corpus.read_shards(t.spark, out)
+    picked = corpus.pick_columns(df.schema)
+    return corpus.unpack_image(df.drop("note"), *picked).select("doc_id", F.sha2("bytes", 256).alias("content"), "hint", "label")
+
+
+@query("s6_read_manifest", """
+SELECT (doc_id - (SELECT min(doc_id) FROM documents)) % 50 * 2 AS line, md5(text) AS label, doc_id // 50 || '.jpg' AS image FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+def _(t):
+    # a file for every fifty documents: each row's JSON with a blank line after it
+    out, first = corpus.new_folder(t.spark), t.documents.agg(F.min("doc_id")).first()[0]
+    line = F.to_json(F.struct(F.concat(F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".jpg")).alias("image"), F.md5("text").alias("label"), F.col("lang").alias("source")))
+    files = t.documents.groupBy(F.floor((F.col("doc_id") - first) / 50).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("j")))).alias("rows"))
+    files.select("file", F.array_join(F.transform("rows", lambda r: r["j"]), "\n\n").alias("value")).repartition("file").write.partitionBy("file").text(f"{out}/files")
+    rows = corpus.read_manifest(t.spark, f"{out}/files/*", {"source": "en"}, charset.ASCII_LETTERS + charset.ASCII_DIGITS)
+    return rows.select("line", "label", "image")
+
+
+@query("s8_s9_samples", "SELECT manifest_index, style, ref, hyp_ctrl AS hyp, (SELECT count(*) FROM samples) AS scored FROM samples", "samples")
+def _(t):
+    out = f"{corpus.new_folder(t.spark)}/samples"
+    exchange.write_samples(t.samples.select("manifest_index", "style", "ref", F.col("hyp_ctrl").alias("hyp")), out, kept=10)
+    rows, meta = exchange.read_samples(t.spark, out)
+    scored = meta.select(F.get_json_object("meta", "$.n_scored").cast("long").alias("scored"))  # one row
+    return rows.select("manifest_index", "style", "ref", "hyp").crossJoin(F.broadcast(scored))
+
+
+@query("s10_read_vocab", "SELECT word, freq FROM vocab", "vocab")
+def _(t):
+    out = f"{corpus.new_folder(t.spark)}/vocab"
+    corpus.write_vocab(t.vocab, out)
+    return corpus.read_vocab(t.spark, out)
+
+
+_FILES = "SELECT doc_id // 20 AS file, string_agg(doc_id || ' ' || source, chr(10) ORDER BY doc_id) || chr(10) AS value FROM documents GROUP BY 1"
+
+
+def _text_files(t: Tables) -> str:
+    """A folder with a text file for every twenty documents."""
+    out = corpus.new_folder(t.spark)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda r: F.concat_ws(" ", r["doc_id"].cast("string"), r["source"]))
+    files = t.documents.groupBy(F.floor(F.col("doc_id") / 20).alias("file")).agg(F.array_join(said, "\n").alias("value"))
+    files.repartition("file").write.partitionBy("file").text(f"{out}/files")
+    return f"{out}/files"
+
+
+@query("s11_read_text_dir", _FILES)
+def _(t):
+    return corpus.read_text_dir(t.spark, _text_files(t)).select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "value")
+
+
+@query("s21_file_inventory", f"SELECT file, strlen(value) AS bytes, sha256(value) AS sha256, len(value) - len(replace(value, chr(10), '')) AS lines FROM ({_FILES})")
+def _(t):
+    found = exchange.file_inventory(t.spark, _text_files(t)).where("path like '%.txt'")
+    return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "bytes", "sha256", F.col("lines").cast("long").alias("lines"))
+
+
+@query("s12_read_wiki_pages", "SELECT doc_id || ' <b>&amp; ' || source || '</b>' AS value FROM documents")
+def _(t):
+    out = f"{corpus.new_folder(t.spark)}/dump"
+    said = F.concat_ws("", F.col("doc_id").cast("string"), F.lit(" <b>&amp; "), "source", F.lit("</b>"))
+    text_ = F.struct(F.lit("preserve").alias("_space"), said.alias("_VALUE")).alias("text")
+    t.documents.select("lang", F.struct("doc_id", text_).alias("revision")).write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(out)
+    return corpus.read_wiki_pages(t.spark, out)
+
+
+@query("s14_boxes_csv", "SELECT 'b' || page_id || '-' || ref_id AS id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, ref_id % 9 AS line_index, -1 AS column_index FROM boxes_ref", "boxes_ref")
+def _(t):
+    out, c = f"{corpus.new_folder(t.spark)}/boxes", F.col
+    name = F.concat(F.lit("b"), c("page_id").cast("string"), F.lit("-"), c("ref_id").cast("string"))
+    rows = t.boxes_ref.select((c("page_id") * 100 + c("ref_id")).alias("seq"), name.alias("id"), c("x1").alias("x"), c("y1").alias("y"), (c("x2") - c("x1")).alias("w"), (c("y2") - c("y1")).alias("h"), (c("ref_id") % 9).alias("line_index"), F.lit(-1).alias("column_index"))
+    exchange.write_boxes_csv(rows, out)
+    return exchange.read_boxes_csv(t.spark, out).drop("seq")
+
+
+@query("s19_write_once", "SELECT split, row, label, TRUE AS refused FROM manifest", "manifest")
+def _(t):
+    base, run = corpus.new_folder(t.spark), {"reps": 3, "name": "e"}
+    out = exchange.write_once(t.manifest.select("split", "row", "label"), base, "run", "ab" * 32, run)
+    refused = False
+    try:
+        exchange.write_once(t.manifest.limit(1), base, "run", "ab" * 32, dict(reversed(run.items())))
+    except AnalysisException:
+        refused = True
+    return t.spark.read.parquet(out).withColumn("refused", F.lit(refused))
+
+
+@query("p24_status_notes", """
+SELECT verification_id, setting, CASE WHEN NOT scored THEN 'failed' WHEN hyp = '' THEN 'empty' ELSE 'ok' END AS status, concat_ws(',', CASE WHEN greatest(round_even(width * 48 / height, 0), 1) > 1024 THEN 'wide' END, CASE WHEN height > width THEN 'tall' END) AS notes
+FROM (SELECT *, verification_id % 90 + 1 AS height, (verification_id * 37) % 1500 + 1 AS width FROM results)""", "results")
+def _(t):
+    sized = t.results.withColumns({"height": F.col("verification_id") % 90 + 1, "width": (F.col("verification_id") * 37) % 1500 + 1})
+    return sized.select("verification_id", "setting", rules.status_of(F.col("scored"), F.col("hyp")).alias("status"), F.array_join(rules.wide_tall_notes(), ",").alias("notes"))
+
+
 @query("a25_import_report", """
 SELECT split, count(*) AS n, count(DISTINCT label) AS distinct_labels, sum(least(length(label), 20)) / count(*) AS mean_length,
   count(*) FILTER (WHERE length(label) >= 12) AS long_labels FROM manifest GROUP BY split""", "manifest")
@@ -277,9 +388,9 @@ _RAW = """SELECT doc_id * 100000 + pos AS id, CASE WHEN pos % 4 = 0 THEN replace
 
 
 @query("p1_normalize_label", f"""
-SELECT id, trim(translate(translate(nfc_normalize(label), '\u200c\u200d\ufeff\u00a0', ''), '\u2018\u2019\u201c\u201d\u2013\u2014\u2212', '''''""---')) AS label FROM ({_RAW} words WHERE pos % 9 = 0)""", "words")
+SELECT id, trim(translate(translate(nfc_normalize(label), '\u200c\u200d\ufeff\u00a0', ''), '\u2018\u2019\u201c\u201d\u2013\u2014\u2212', '''''""---')) AS label FROM ({_RAW} words)""", "words")
 def _(t):
-    raw = t.spark.sql(_RAW + "{words} WHERE pos % 9 = 0", words=t.words)
+    raw = t.spark.sql(_RAW + "{words}", words=t.words)
     return raw.select("id", charset.normalize_label(F.col("label")).alias("label"))
 
 
@@ -303,11 +414,16 @@ def _(t):
     return charset.script_words(t.documents, "text", "[a-z]+", 3, 12, charset.ASCII_LETTERS)
 
 
-@query("p6_strip_wiki_markup", """
-SELECT doc_id, ' ' || lang || ' ' || source || ' x ' AS plain FROM documents""")
+_MARKED = """'{{' || lang || chr(10) || 'b}}' || text || '<ref name="q">n' || chr(10) || '</ref>[[Page|' || source || ']]<br>' || text || '[https://e.org y]'"""
+_PLAIN = _MARKED
+for _pattern, _left in charset.WIKI_MARKUP:
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_left.replace('$1', chr(92) + '1')}', 'g')"
+
+
+@query("p6_strip_wiki_markup", f"SELECT doc_id, md5({_PLAIN}) AS plain FROM documents")
 def _(t):
-    marked = F.concat(F.lit("{{a\nb}}"), "lang", F.lit("<ref name=\"q\">n\n</ref>"), F.lit("[[Page|"), "source", F.lit("]]<br>x[https://e.org y]"))
-    return t.documents.select("doc_id", charset.strip_wiki_markup(marked).alias("plain"))
+    marked = F.expr(_MARKED.replace("chr(10)", "char(10)"))
+    return t.documents.select("doc_id", F.md5(charset.strip_wiki_markup(marked)).alias("plain"))
 
 
 @query("p7_unusual_label", """
@@ -539,12 +655,10 @@ def _(t):
     return scores.paired_delta(t.samples, ["source", "style"])
 
 
-_COVERED = "SELECT *, NOT regexp_matches(ref, '[^' || (SELECT string_agg(DISTINCT c, '') FROM (SELECT unnest(string_split(label, '')) AS c FROM (SELECT w AS label FROM words WHERE pos % 50 = 1)) WHERE c <> '') || ']') AS covered FROM samples"
-
-
-@query("j3_covered", f"SELECT manifest_index, covered FROM ({_COVERED})", "samples words")
+@query("j3_covered", """
+SELECT manifest_index, translate(ref, (SELECT string_agg(DISTINCT c, '') FROM (SELECT unnest(string_split(source, '')) AS c FROM documents) WHERE c <> ''), '') = '' AS covered FROM samples""", "samples")
 def _(t):
-    return scores.covered(t.samples, t.words.where("pos % 50 = 1").select(F.col("w").alias("label"))).select("manifest_index", "covered")
+    return scores.covered(t.samples, t.documents.select(F.col("source").alias("label"))).select("manifest_index", "covered")
 
 
 @query("a5_subset_breakdown", f"""
@@ -563,19 +677,40 @@ def _(t):
     return scores.mcnemar(t.samples, ["source"]).withColumn("p", F.round("p", 6))
 
 
-@query("a6_paired_bootstrap")
+_U = "CAST(('0x' || substr(md5({k}), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@query("a6_paired_bootstrap", f"""
+SELECT quantile_cont(cer, 0.025) AS cer_lo, quantile_cont(cer, 0.975) AS cer_hi, quantile_cont(wer, 0.025) AS wer_lo, quantile_cont(wer, 0.975) AS wer_hi, 'poisson' AS method FROM (
+SELECT 100 * sum(d_e * k) / greatest(sum(chars * k), 1) AS cer, 100 * sum(d_w * k) / greatest(sum(k), 1) AS wer FROM (
+SELECT rep, d_e, chars, d_w, CASE WHEN n <= 20 THEN len(list_filter(cdf, lambda c: u >= c)) ELSE greatest(round_even(n + sqrt(n) * (sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)), 0), 0) END AS k FROM (
+SELECT *, {_U.format(k="'20260923|' || rep || '|' || d_e || '|' || chars || '|' || d_w")} AS u, {_U.format(k="'20260923|' || rep || '|' || d_e || '|' || chars || '|' || d_w || '|second'")} AS v
+FROM (SELECT *, CASE WHEN n <= 20 THEN list_transform(range(60), lambda i: list_sum(list_transform(range(i + 1), lambda j: exp(-n) * pow(n, j) / gamma(j + 1)))) END AS cdf FROM (
+SELECT d_e, chars, d_w, CAST(count(*) AS DOUBLE) AS n FROM (SELECT levenshtein(ref, hyp_treat) - levenshtein(ref, hyp_ctrl) AS d_e, length(ref) AS chars, CAST(ref <> hyp_treat AS INT) - CAST(ref <> hyp_ctrl AS INT) AS d_w FROM samples) GROUP BY 1, 2, 3)), range(10000) r(rep))) GROUP BY rep)""", "samples")
 def _(t):
-    return bootstrap.paired_bootstrap(t.samples, reps=400)
+    return bootstrap.paired_bootstrap(t.samples, method="poisson")
+
+
+def _exact_draws(rows: str, reps: int, seed: int) -> str:
+    """SQL of an exact bootstrap's interval: ``rows`` has edits and chars."""
+    return f"""SELECT v[{int(0.025 * reps) + 1}] AS lo, v[{int(0.975 * reps) + 1}] AS hi FROM (SELECT list(cer ORDER BY cer) AS v FROM (SELECT sum(edits) / greatest(sum(chars), 1) AS cer FROM (
+SELECT rep, CAST(floor({_U.format(k=f"'{seed}|' || rep || '|' || j")} * total) AS BIGINT) AS spot FROM (SELECT count(*) AS total FROM ({rows})), range({reps}) r(rep), LATERAL (SELECT unnest(range(total)) AS j)) d
+JOIN (SELECT *, row_number() OVER (ORDER BY edits, chars) - 1 AS spot FROM ({rows})) s ON d.spot = s.spot GROUP BY rep))"""
 
 
-@query("a7_region_bootstrap")
+@query("a7_region_bootstrap", f"""
+SELECT lo, hi, 'diagnostic only' AS note, 'exact' AS method FROM ({_exact_draws("SELECT levenshtein(ref, hyp) AS edits, length(ref) AS chars FROM results WHERE scored", 2000, 7)})""", "results")
 def _(t):
-    return bootstrap.region_bootstrap(t.results.where("scored"), reps=400)
+    return bootstrap.region_bootstrap(t.results.where("scored"))
 
 
-@query("a8_cluster_bootstrap")
+_CLUSTERS = "SELECT sum(levenshtein(ref, hyp_ctrl)) AS edits, sum(length(ref)) AS chars FROM samples GROUP BY manifest_index // 100000"
+
+
+@query("a8_cluster_bootstrap", f"""
+SELECT (SELECT count(*) FROM ({_CLUSTERS})) AS n_clusters, lo, hi, NULL AS refused, 'exact' AS method FROM ({_exact_draws(_CLUSTERS, 2000, 7)})""", "samples")
 def _(t):
-    return bootstrap.cluster_bootstrap(t.samples.withColumn("hyp", F.col("hyp_ctrl")), "source", reps=400)
+    return bootstrap.cluster_bootstrap(t.samples.select("ref", F.col("hyp_ctrl").alias("hyp"), F.floor(F.col("manifest_index") / 100_000).alias("document")), "document")
 
 
 @query("a10_loso", """
@@ -755,24 +890,56 @@ def _(t):
     return boxes.overlap_neighbours(t.boxes_ref.withColumnRenamed("ref_id", "id"), 6)
 
 
-@query("j11_match_one_to_one")
+_PAIRS = f"SELECT *, i / (ra + da - i) AS iou FROM ({_MET})"
+#: The greedy matching: each page's pairs in order, with the boxes taken so far.
+_MATCHED = f"""SELECT page_id, ref_id, det_id, iou FROM (WITH RECURSIVE p AS (
+SELECT page_id, ref_id, det_id, iou, row_number() OVER (PARTITION BY page_id ORDER BY iou DESC, ref_id, det_id) AS k FROM ({_PAIRS}) WHERE iou >= 0.5
+), g AS (
+SELECT page_id, k, ref_id, det_id, iou, [ref_id] AS rs, [det_id] AS ds, TRUE AS taken FROM p WHERE k = 1
+UNION ALL SELECT page_id, k, ref_id, det_id, iou, CASE WHEN free THEN list_append(rs, ref_id) ELSE rs END, CASE WHEN free THEN list_append(ds, det_id) ELSE ds END, free FROM (
+SELECT p.*, g.rs, g.ds, NOT list_contains(g.rs, p.ref_id) AND NOT list_contains(g.ds, p.det_id) AS free FROM g JOIN p ON p.page_id = g.page_id AND p.k = g.k + 1)
+) SELECT * FROM g WHERE taken)"""
+_MERGING = f"SELECT page_id, det_id FROM ({_PAIRS}) WHERE i >= 0.5 * ra GROUP BY page_id, det_id HAVING count(*) >= 2"
+_STATUS = f"""SELECT r.page_id, r.ref_id, CASE WHEN m.det_id IS NOT NULL THEN 'matched' WHEN t.merged THEN 'merged' WHEN t.parts >= 2 THEN 'split' WHEN t.ref_id IS NULL THEN 'missed' ELSE 'poorly_localised' END AS status,
+ m.det_id AS matched_det, m.iou AS matched_iou, coalesce(NOT t.merged AND t.parts >= 2, FALSE) AS torn FROM boxes_ref r LEFT JOIN ({_MATCHED}) m ON m.page_id = r.page_id AND m.ref_id = r.ref_id
+ LEFT JOIN (SELECT p.page_id, p.ref_id, count(*) FILTER (WHERE i >= 0.5 * da) AS parts, bool_or(i >= 0.5 * ra AND g.det_id IS NOT NULL) AS merged FROM ({_PAIRS}) p LEFT JOIN ({_MERGING}) g ON g.page_id = p.page_id AND g.det_id = p.det_id GROUP BY p.page_id, p.ref_id) t
+ ON t.page_id = r.page_id AND t.ref_id = r.ref_id"""
+
+
+@query("j11_match_one_to_one", _MATCHED, "boxes_ref boxes_det")
 def _(t):
     a, b = geometry.box("r_"), geometry.box("d_")
     pairs = boxes.overlap_join(t.boxes_ref, t.boxes_det).select("page_id", "ref_id", "det_id", geometry.iou(a, b).alias("iou"))
     return boxes.match_one_to_one(pairs.where("iou >= 0.5"))
 
 
-@query("a16_w25_box_status")
+@query("a16_w25_box_status", f"SELECT page_id, ref_id, status, matched_det, matched_iou FROM ({_STATUS})", "boxes_ref boxes_det")
 def _(t):
     return boxes.box_compare(t.boxes_ref, t.boxes_det)[0]
 
 
-@query("a16_a17_pooled")
+@query("a16_a17_pooled", f"""
+SELECT *, detected - judged AS unjudged_detections, coalesce(matched / nullif(judged, 0), 0) AS precision, coalesce(matched / nullif(reference, 0), 0) AS recall,
+ coalesce(2 * (matched / nullif(judged, 0)) * (matched / nullif(reference, 0)) / nullif(matched / nullif(judged, 0) + matched / nullif(reference, 0), 0), 0) AS f1, coalesce(iou_sum / nullif(matched, 0), 0) AS mean_iou FROM (
+SELECT (SELECT count(*) FROM (SELECT page_id FROM boxes_ref UNION SELECT page_id FROM boxes_det)) AS pages, r.*, d.*, (SELECT count(*) FROM ({_MERGING})) AS merging_detections,
+ (SELECT count(*) FROM boxes_det a JOIN boxes_det b ON a.page_id = b.page_id AND a.det_id < b.det_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
+  WHERE ((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) >= 0.8) AS duplicate_pairs
+FROM (SELECT count(*) AS reference, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'merged') AS merged, count(*) FILTER (WHERE status = 'split') AS split,
+ count(*) FILTER (WHERE status = 'missed') AS missed, count(*) FILTER (WHERE status = 'poorly_localised') AS poorly_localised, sum(matched_iou) AS iou_sum, count(*) FILTER (WHERE torn) AS split_events FROM ({_STATUS})) r,
+ (SELECT count(*) AS detected, count(*) FILTER (WHERE touching) AS judged, count(*) FILTER (WHERE touching AND NOT taken AND NOT structural) AS unmatched_detections FROM (
+  SELECT (d.page_id, d.det_id) IN (SELECT (page_id, det_id) FROM ({_PAIRS})) AS touching, (d.page_id, d.det_id) IN (SELECT (page_id, det_id) FROM ({_MATCHED})) AS taken,
+  (d.page_id, d.det_id) IN (SELECT (page_id, det_id) FROM ({_MERGING}) UNION ALL SELECT (p.page_id, p.det_id) FROM ({_PAIRS}) p JOIN ({_STATUS}) s ON s.page_id = p.page_id AND s.ref_id = p.ref_id WHERE s.torn AND i >= 0.5 * da) AS structural FROM boxes_det d)) d)""", "boxes_ref boxes_det")
 def _(t):
     return boxes.pool_boxes(boxes.box_compare(t.boxes_ref, t.boxes_det, sparse=True)[1])
 
 
-@query("a18_seg_metrics", None)
+@query("a18_seg_metrics", f"""
+SELECT coalesce(r.page_id, d.page_id) AS page_id, coalesce(truth_words, 0) AS truth_words, coalesce(split_words, 0) AS split_words, coalesce(missed, 0) AS missed, coalesce(pred_regions, 0) AS pred_regions,
+ coalesce(merged, 0) AS merged, coalesce(spurious, 0) AS spurious, coalesce(matched, 0) AS matched, coalesce(mean_iou_matched, 0) AS mean_iou_matched FROM (
+SELECT r.page_id, count(*) AS truth_words, count(*) FILTER (WHERE k >= 2) AS split_words, count(*) FILTER (WHERE k IS NULL) AS missed FROM boxes_ref r LEFT JOIN (SELECT page_id, ref_id, count(*) AS k FROM ({_PAIRS}) WHERE i / ra > 0.15 GROUP BY 1, 2) m
+ ON m.page_id = r.page_id AND m.ref_id = r.ref_id GROUP BY r.page_id) r FULL JOIN (
+SELECT d.page_id, count(*) AS pred_regions, count(*) FILTER (WHERE k >= 2) AS merged, count(*) FILTER (WHERE coalesce(seen, 0) = 0) AS spurious FROM boxes_det d LEFT JOIN (SELECT page_id, det_id, count(*) FILTER (WHERE i / ra > 0.5) AS k, count(*) FILTER (WHERE i / da > 0.15) AS seen FROM ({_PAIRS}) GROUP BY 1, 2) m
+ ON m.page_id = d.page_id AND m.det_id = d.det_id GROUP BY d.page_id) d ON r.page_id = d.page_id LEFT JOIN (SELECT page_id, count(*) AS matched, avg(iou) AS mean_iou_matched FROM ({_MATCHED}) GROUP BY page_id) m ON m.page_id = coalesce(r.page_id, d.page_id)""", "boxes_ref boxes_det")
 def _(t):
     return boxes.seg_metrics(t.boxes_ref, t.boxes_det)
 
@@ -803,9 +970,9 @@ def _(t):
 
 @query("w2_strips", """
 SELECT page_id, island, min(y1) AS start, max(y2) AS stop FROM (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY y1, y2 ROWS UNBOUNDED PRECEDING) AS island FROM (
-SELECT *, CASE WHEN y1 - max(y2) OVER (PARTITION BY page_id ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 18 THEN 0 ELSE 1 END AS n FROM components WHERE comp_id % 13 < 5)) GROUP BY page_id, island""", "components")
+SELECT *, CASE WHEN y1 - max(y2) OVER (PARTITION BY page_id ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 18 THEN 0 ELSE 1 END AS n FROM components)) GROUP BY page_id, island""", "components")
 def _(t):
-    return layout.merge_intervals(t.components.where("comp_id % 13 < 5"), ["page_id"], "y1", "y2", 18)
+    return layout.merge_intervals(t.components, ["page_id"], "y1", "y2", 18)
 
 
 @query("w3_group_overlap", """
@@ -816,8 +983,9 @@ def _(t):
     return made.select("page_id", "ln", "grp", "x1", "x2", F.size("members").alias("members"))
 
 
-_HEIGHT = f"""SELECT page_id, CASE WHEN n < 5 THEN a ELSE u END AS h FROM (SELECT page_id, min(n) AS n, quantile_cont(y2 - y1, 0.5) AS a, quantile_cont(y2 - y1, 0.5) FILTER (WHERE area >= 12 AND y2 - y1 >= 6 AND y2 - y1 >= p) AS u FROM (
-SELECT c.*, n, p FROM ({_AREA}) c JOIN (SELECT page_id, count(*) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS n, quantile_cont(y2 - y1, 0.4) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS p FROM ({_AREA}) GROUP BY page_id) q ON c.page_id = q.page_id) GROUP BY page_id)"""
+_HEIGHT_OF = """SELECT page_id, CASE WHEN n < 5 THEN a ELSE u END AS h FROM (SELECT page_id, min(n) AS n, quantile_cont(y2 - y1, 0.5) AS a, quantile_cont(y2 - y1, 0.5) FILTER (WHERE area >= 12 AND y2 - y1 >= 6 AND y2 - y1 >= p) AS u FROM (
+SELECT c.*, n, p FROM ({rows}) c JOIN (SELECT page_id, count(*) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS n, quantile_cont(y2 - y1, 0.4) FILTER (WHERE area >= 12 AND y2 - y1 >= 6) AS p FROM ({rows}) GROUP BY page_id) q ON c.page_id = q.page_id) GROUP BY page_id)"""
+_HEIGHT = _HEIGHT_OF.format(rows=_AREA)
 
 
 @query("w4_text_height", _HEIGHT, "components")
@@ -863,6 +1031,14 @@ def _(t):
     return layout.split_tall_bands(layout.line_bands(layout.in_block(_components(t), _blocks(t))))
 
 
+@query("w8_even_cuts", """
+SELECT page_id, 0 AS block, row_number() OVER (PARTITION BY page_id ORDER BY y1, y2) - 1 AS line, y1, y2, n >= 2 AS forced FROM (SELECT page_id, n, t + CAST(round_even(j * (b - t) / n, 0) AS BIGINT) AS y1, t + CAST(round_even((j + 1) * (b - t) / n, 0) AS BIGINT) AS y2 FROM (
+SELECT *, unnest(range(n)) AS j FROM (SELECT *, CASE WHEN b - t >= 1.75 * 24 THEN CAST(round_even((b - t) / 24, 0) AS BIGINT) ELSE 1 END AS n FROM (SELECT page_id, ln // 3 AS g, min(y1) AS t, max(y2) AS b FROM components GROUP BY 1, 2))))""", "components")
+def _(t):
+    bands = t.components.groupBy("page_id", F.floor(F.col("ln") / 3).cast("int").alias("line")).agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    return layout.split_tall_bands(bands.withColumns({"block": F.lit(0), "median": F.lit(24.0)}))
+
+
 @query("w10_assign_lines", "SELECT page_id, comp_id, dense_rank() OVER (PARTITION BY page_id ORDER BY ln) - 1 AS line FROM components", "components")
 def _(t):
     return _words(t)[0].select("page_id", "comp_id", F.col("line").cast("long").alias("line"))
@@ -881,7 +1057,18 @@ def _(t):
     return layout.gap_threshold(layout.line_gaps(groups, keys), heights, keys)
 
 
-@query("w13_w14_words")
+_GAPPED = f"SELECT c.*, b - t AS h, x1 - lag(x2) OVER (PARTITION BY c.page_id, c.ln ORDER BY x1) AS gap FROM components c JOIN ({_LINES}) l ON l.page_id = c.page_id AND l.ln = c.ln"
+_OWN = f"""SELECT page_id, ln, h, (gap + nxt) / 2 AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id, ln ORDER BY score DESC, k) AS best FROM (
+SELECT *, k * (n - k) * (((al - low) / (n - k) - low / k)) * (((al - low) / (n - k) - low / k)) AS score FROM (
+SELECT page_id, ln, h, gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY page_id, ln) AS n, sum(gap) OVER (PARTITION BY page_id, ln) AS al, sum(gap) OVER (PARTITION BY page_id, ln ORDER BY gap ROWS UNBOUNDED PRECEDING) AS low, lead(gap) OVER w AS nxt
+FROM ({_GAPPED}) WHERE gap > 0 WINDOW w AS (PARTITION BY page_id, ln ORDER BY gap)) WHERE n >= 3 AND k < n) WHERE score > 0) WHERE best = 1 AND nxt >= 1.6 * greatest(gap, 1) AND nxt >= 0.16 * h"""
+
+
+@query("w13_w14_words", f"""
+SELECT page_id, 0 AS block, ln AS line, word, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, 'word' AS kind, coalesce(first(gap ORDER BY x1), -1) AS gap_before, min(thr) AS threshold, min(src) AS threshold_source FROM (
+SELECT *, sum(CASE WHEN gap < thr THEN 0 ELSE 1 END) OVER (PARTITION BY page_id, ln ORDER BY x1 ROWS UNBOUNDED PRECEDING) - 1 AS word FROM (
+SELECT g.*, greatest(coalesce(threshold, share * g.h, 0.34 * g.h), 0.16 * g.h) AS thr, CASE WHEN threshold IS NOT NULL THEN 'line' WHEN share IS NOT NULL THEN 'page' ELSE 'default' END AS src
+FROM ({_GAPPED}) g LEFT JOIN ({_OWN}) o ON o.page_id = g.page_id AND o.ln = g.ln LEFT JOIN (SELECT page_id, quantile_cont(threshold / h, 0.5) AS share FROM ({_OWN}) GROUP BY page_id HAVING count(*) >= 3) p ON p.page_id = g.page_id)) GROUP BY page_id, ln, word""", "components")
 def _(t):
     return _words(t)[2]
 
@@ -892,9 +1079,9 @@ def _(t):
     return layout.reading_order(w).select("page_id", "word", "position")
 
 
-@query("w15_operator_order", "SELECT doc_id, n_chars % 5 AS column_index, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 5, n_chars % 7, doc_id) - 1 AS position FROM documents")
+@query("w15_operator_order", "SELECT doc_id, n_chars % 5 AS column_index, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY n_chars % 5, n_chars % 7, doc_id) - 1 AS position FROM documents")
 def _(t):
-    b = t.documents.select(F.col("lang").alias("page_id"), "doc_id", (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"))
+    b = t.documents.select(F.floor(F.col("doc_id") / 50).alias("page_id"), "doc_id", (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"))
     return layout.operator_order(b).select("doc_id", "column_index", "position")
 
 
@@ -907,19 +1094,30 @@ def _(t):
 
 
 @query("w17_operator_text", """
-SELECT lang AS page_id, string_agg(t, chr(10) || chr(10) ORDER BY c) || chr(10) AS text FROM (SELECT lang, c, string_agg(t, chr(10) ORDER BY l) AS t FROM (
-SELECT lang, n_chars % 5 AS c, n_chars % 7 AS l, string_agg(source, ' ' ORDER BY doc_id) AS t FROM documents WHERE doc_id % 6 <> 0 GROUP BY 1, 2, 3) GROUP BY lang, c) GROUP BY lang""")
+SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY c) || chr(10) AS text FROM (SELECT page_id, c, string_agg(t, chr(10) ORDER BY l) AS t FROM (
+SELECT doc_id // 50 AS page_id, n_chars % 5 AS c, n_chars % 7 AS l, string_agg(source, ' ' ORDER BY doc_id) AS t FROM documents WHERE doc_id % 6 <> 0 GROUP BY 1, 2, 3) GROUP BY page_id, c) GROUP BY page_id""")
 def _(t):
-    return layout.operator_text(t.documents.select(F.col("lang").alias("page_id"), (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("source")).alias("text")))
+    return layout.operator_text(t.documents.select(F.floor(F.col("doc_id") / 50).alias("page_id"), (F.col("n_chars") % 5).alias("column_index"), (F.col("n_chars") % 7).alias("line_index"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("source")).alias("text")))
 
 
-@query("w18_page_kind")
+@query("w18_page_kind", """
+SELECT page_id, kind, lines, CASE WHEN kind = 'line' THEN n ELSE words END AS words, 1 AS blocks FROM (SELECT *, CASE WHEN lines >= 3 AND words >= 6 OR lines >= 2 AND words >= 8 THEN 'page' WHEN lines >= 2 AND words >= 3 THEN 'multiline' WHEN n >= 2 AND g >= 0.3 * h THEN 'line' ELSE 'word' END AS kind FROM (
+SELECT page_id, count(DISTINCT ln) AS lines, count(*) AS words, max(t) AS h FROM (SELECT c.*, k.t FROM components c JOIN (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY page_id) AS mt, max(w) OVER (PARTITION BY page_id) AS mw FROM (
+ SELECT page_id, ln, max(y2) - min(y1) AS t, sum(x2 - x1) AS w FROM components GROUP BY 1, 2)) WHERE t >= 0.6 * mt AND w >= 0.35 * mw) k ON k.page_id = c.page_id AND k.ln = c.ln) GROUP BY page_id) LEFT JOIN (
+SELECT page_id AS pg, count(*) AS n, min(gap) AS g FROM (SELECT page_id, x1 - lag(x2) OVER (PARTITION BY page_id ORDER BY x1, x2) AS gap FROM (SELECT c.* FROM components c JOIN (SELECT * FROM (SELECT *, max(w) OVER (PARTITION BY page_id) AS mw FROM (
+ SELECT page_id, ln, sum(x2 - x1) AS w FROM components GROUP BY 1, 2)) WHERE w >= 0.35 * mw) k ON k.page_id = c.page_id AND k.ln = c.ln) WHERE x2 - x1 >= 1.5 * (y2 - y1)) GROUP BY page_id) ON pg = page_id)""", "components")
 def _(t):
     regions = t.components.select("page_id", F.lit(0).alias("block"), F.lit("word").alias("kind"), "x1", "y1", "x2", "y2")
     return layout.page_kind(regions)
 
 
-@query("w19_region_warnings")
+@query("w19_region_warnings", """
+SELECT page_id, id, concat_ws(',', CASE WHEN NOT ok THEN 'not_read' END, CASE WHEN ok AND said = '' THEN 'empty_prediction' END, CASE WHEN x1 < 6 OR y1 < 6 OR x2 + 6 > 990 OR y2 + 6 > 1230 THEN 'clipped_at_page_edge' END, CASE WHEN near THEN 'overlaps_neighbour' END,
+ CASE WHEN lm > 0 AND t > 1.6 * lm THEN 'taller_than_line' END, CASE WHEN am > 0 AND w / greatest(t, 1) > 3 * am THEN 'very_wide' END, CASE WHEN w < 0.45 * 24 THEN 'narrow_fragment' END, CASE WHEN x1 % 10 = 0 THEN 'line_cut_guessed' END,
+ CASE WHEN cw > 0 AND ch > 0 AND greatest(round_even(cw * 48 / ch, 0), 1) > 1024 THEN 'squeezed_to_max_width' END) AS warnings FROM (
+SELECT *, quantile_cont(t, 0.5) OVER (PARTITION BY page_id, y1 % 3) AS lm, quantile_cont(w / greatest(t, 1), 0.5) OVER (PARTITION BY page_id) AS am, (page_id, id) IN (
+ SELECT (a.page_id, a.ref_id) FROM boxes_ref a JOIN boxes_ref b ON a.page_id = b.page_id AND a.ref_id <> b.ref_id AND greatest(a.x1 - 6, 0) < b.x2 AND b.x1 < least(a.x2 + 6, 990) AND greatest(a.y1 - 6, 0) < b.y2 AND b.y1 < least(a.y2 + 6, 1230)) AS near FROM (
+SELECT *, ref_id AS id, ref_id % 5 <> 0 AS ok, CASE WHEN ref_id % 4 = 0 THEN '' ELSE 'w' END AS said, x2 - x1 AS w, y2 - y1 AS t, least(x2 + 6, 990) - greatest(x1 - 6, 0) AS cw, least(y2 + 6, 1230) - greatest(y1 - 6, 0) AS ch FROM boxes_ref))""", "boxes_ref")
 def _(t):
     b = t.boxes_ref.select("page_id", F.col("ref_id").alias("id"), F.lit(0).alias("block"), (F.col("y1") % 3).alias("line"), F.lit("word").alias("kind"), "x1", "y1", "x2", "y2", (F.col("ref_id") % 5 != 0).alias("ok"), F.when(F.col("ref_id") % 4 == 0, "").otherwise("w").alias("text"), (F.col("x1") % 10 == 0).alias("forced"))
     pages = b.select("page_id").distinct().select("page_id", F.lit(990).alias("width"), F.lit(1230).alias("height"), F.lit(24.0).alias("h"))
@@ -950,7 +1148,20 @@ def _sloped(t: Tables) -> DataFrame:
     return c.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 2)
 
 
-@query("w22_line_angle")
+_LIFTED = """SELECT page_id, ln, comp_id, x1, x2, CAST(trunc(y1 + x1 * (page_id % 5) / 200) AS BIGINT) AS y1, CAST(trunc(y2 + x1 * (page_id % 5) / 200) AS BIGINT) AS y2 FROM components"""
+_BODY = f"""SELECT c.page_id, ln, h, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM ({_LIFTED}) c JOIN ({_HEIGHT_OF.format(rows=f"SELECT *, (x2 - x1) * (y2 - y1) / 2 AS area FROM ({_LIFTED})")}) q ON q.page_id = c.page_id
+ WHERE NOT (x2 - x1 > 6 * h AND y2 - y1 < 0.6 * h OR x2 - x1 > 12 * greatest(y2 - y1, 1)) AND NOT (y2 - y1 < 0.4 * h OR greatest(x2 - x1, y2 - y1) < 0.45 * h)"""
+_SLOPES = f"""SELECT page_id, ln, quantile_cont(s, 0.5) AS slope, (quantile_cont(degrees(atan(s)), 0.75) - quantile_cont(degrees(atan(s)), 0.25)) / 2 AS spread FROM (
+ SELECT a.page_id, a.ln, (b.y - a.y) / (b.x - a.x) AS s FROM ({_BODY}) a JOIN ({_BODY}) b ON a.page_id = b.page_id AND a.ln = b.ln AND b.x - a.x >= 2 * greatest(a.h, 0.5)) GROUP BY 1, 2 HAVING count(*) >= 3"""
+_FITS = f"SELECT p.page_id, p.ln, any_value(slope) AS slope, any_value(spread) AS spread, quantile_cont(y - slope * x, 0.5) AS intercept FROM ({_BODY}) p JOIN ({_SLOPES}) f ON f.page_id = p.page_id AND f.ln = p.ln GROUP BY 1, 2"
+_ANGLES = f"""SELECT page_id, 0 AS block, ln AS line, points, span_h, slope, spread, residual_h, reliable, CASE WHEN reliable THEN -degrees(atan(slope)) ELSE 0.0 END AS angle, CASE WHEN reliable THEN 'local' ELSE 'inherited' END AS source FROM (
+SELECT l.page_id, l.ln, coalesce(points, 0) AS points, span_h, slope, spread, residual_h, coalesce(points >= 4 AND span_h >= 4 AND spread <= 1.0 AND residual_h <= 0.3, FALSE) AS reliable FROM (SELECT DISTINCT page_id, ln FROM components) l
+LEFT JOIN (SELECT page_id, ln, count(*) AS points, (max(x) - min(x)) / greatest(any_value(h), 1.0) AS span_h FROM ({_BODY}) GROUP BY 1, 2) z ON z.page_id = l.page_id AND z.ln = l.ln
+LEFT JOIN (SELECT p.page_id, p.ln, any_value(slope) AS slope, any_value(spread) AS spread, quantile_cont(abs(y - slope * x - intercept) / greatest(h, 1.0), 0.5) AS residual_h FROM ({_BODY}) p JOIN ({_FITS}) f ON f.page_id = p.page_id AND f.ln = p.ln GROUP BY 1, 2) r
+ ON r.page_id = l.page_id AND r.ln = l.ln)"""
+
+
+@query("w22_line_angle", _ANGLES, "components")
 def _(t):
     c = _sloped(t)
     return layout.line_angle(c, layout.text_height(c))
@@ -973,7 +1184,10 @@ def _(t):
     return layout.level_components(c, fits).select("page_id", "comp_id", "y1", "y2")
 
 
-@query("a36_line_geometry_summary")
+@query("a36_line_geometry_summary", f"""
+SELECT count(*) AS lines, count(*) FILTER (WHERE source = 'local') AS local, count(*) FILTER (WHERE NOT reliable) AS uncertain, count(*) FILTER (WHERE (page_id, line) IN (
+SELECT (b.page_id, b.ln) FROM (SELECT page_id, ln, min(y1) AS t, max(y2) AS b FROM ({_LIFTED}) GROUP BY 1, 2) b JOIN (SELECT page_id, min(x1) AS l, max(x2) AS r FROM components GROUP BY 1) e ON e.page_id = b.page_id
+JOIN ({_LIFTED}) c ON c.page_id = b.page_id AND c.ln <> b.ln AND c.y1 < b.b AND c.y2 > b.t AND c.x1 < e.r AND c.x2 > e.l)) AS crossing FROM ({_ANGLES})""", "components")
 def _(t):
     c = _sloped(t)
     bands = c.groupBy("page_id", "block", "line").agg(F.min("y1").alias("y1"), F.max("y2").alias("y2"))
@@ -996,9 +1210,6 @@ def _(t):
     return planning.cumulative_weights(t.vocab, "long").select("word", F.round("hi", 4).alias("hi"))
 
 
-_U = "CAST(('0x' || substr(md5({k}), 1, 13)) AS BIGINT) / 4503599627370496.0"
-
-
 @query("b1_j13_sample_vocab", f"""
 SELECT draw, (SELECT word FROM (SELECT word, sum(1.0::DOUBLE + 0.35 * greatest(length(word) - 8, 0)) OVER (ORDER BY word ROWS UNBOUNDED PRECEDING) AS hi FROM vocab WHERE length(word) <= 40) s WHERE s.hi > u * (SELECT sum(1.0::DOUBLE + 0.35 * greatest(length(word) - 8, 0)) FROM vocab WHERE length(word) <= 40) ORDER BY hi LIMIT 1) AS word
 FROM (SELECT i AS draw, {_U.format(k="'11|' || i")} AS u FROM range(500) r(i))""", "vocab")
@@ -1019,7 +1230,12 @@ def _(t):
     return planning.mixture_draw(t.spark, [n, 1000, 500], [0.5, 0.25, 0.25], 2 * n, 3, 1)
 
 
-@query("b4_width_batches")
+@query("b4_width_batches", f"""
+SELECT pool, batch, index, width, position FROM (WITH RECURSIVE r AS (SELECT *, (width + 31) // 32 * 32 AS w, row_number() OVER (PARTITION BY pool ORDER BY width, index) AS k FROM (
+SELECT index, width, least(CAST(floor({_U.format(k="'4|0|' || index")} * pools) AS BIGINT), pools - 1) AS pool FROM widths, (SELECT greatest(1, CAST(ceil(count(*) / 640) AS BIGINT)) AS pools FROM widths))),
+g AS (SELECT pool, k, index, width, 0 AS batch, 0 AS position FROM r WHERE k = 1
+UNION ALL SELECT r.pool, r.k, r.index, r.width, CASE WHEN g.position + 1 >= 64 OR (g.position + 2) * r.w > 30000 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.position + 1 >= 64 OR (g.position + 2) * r.w > 30000 THEN 0 ELSE g.position + 1 END
+FROM g JOIN r ON r.pool = g.pool AND r.k = g.k + 1) SELECT * FROM g)""", "widths")
 def _(t):
     return planning.width_batches(t.widths, 64, 10, 30_000, seed=4)
 
@@ -1032,9 +1248,9 @@ def _(t):
 
 @query("b6_cap_batches", """
 SELECT batch, index, CAST(floor((row_number() OVER (PARTITION BY batch ORDER BY width, index) - 1) * parts / n) AS BIGINT) AS part FROM (SELECT *, ceil(n / greatest(floor(20000 / m), 1)) AS parts FROM (
-SELECT *, count(*) OVER (PARTITION BY batch) AS n, max((width + 31) // 32 * 32) OVER (PARTITION BY batch) AS m FROM (SELECT index % 97 AS batch, index, width FROM widths)))""", "widths")
+SELECT *, count(*) OVER (PARTITION BY batch) AS n, max((width + 31) // 32 * 32) OVER (PARTITION BY batch) AS m FROM (SELECT index // 1600 AS batch, index, width FROM widths)))""", "widths")
 def _(t):
-    return planning.cap_batches(t.widths.select((F.col("index") % 97).alias("batch"), "index", "width"), 20_000).select("batch", "index", F.col("part").cast("long").alias("part"))
+    return planning.cap_batches(t.widths.select(F.floor(F.col("index") / 1600).alias("batch"), "index", "width"), 20_000).select("batch", "index", F.col("part").cast("long").alias("part"))
 
 
 @query("a30_batch_stats", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; the application deletes it when it ends."""
+    path = f"{shared_folder(spark)}/glyphframe-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: steps that read ``df`` twice see the same rows in the same partitions, and
     lineage is cut."""
