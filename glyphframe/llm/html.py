@@ -122,7 +122,7 @@ def _close_for(tag: str, path: list[Node]) -> None:
 def _reference(source: str, roles: bool) -> tuple[Node, dict[int, int]]:
     """A reference page's tree, and its nodes' numbers in page order."""
     root = tree(source, roles)
-    return root, {id(n): k for k, (n, _) in enumerate(nodes(root))}
+    return root, {id(n): k for k, n in enumerate(elements(root))}
 
 
 def _space(text: str) -> str:
@@ -131,18 +131,28 @@ def _space(text: str) -> str:
 
 def nodes(root: Node) -> list[tuple[Node, str]]:
     """Elements in page order with the text that stands directly in them."""
+    out = []
+    for node in elements(root):
+        said = [x for x in node.children if type(x) is str]
+        out.append((node, _space(" ".join(said)) if said else ""))
+    return out
+
+
+def elements(root: Node) -> list[Node]:
+    """Elements in page order."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        out.append((node, _space(" ".join(x for x in node.children if isinstance(x, str)))))
-        todo += [x for x in reversed(node.children) if isinstance(x, Node)]
+        out.append(node)
+        if node.children:
+            todo += [x for x in reversed(node.children) if type(x) is Node]
     return out
 
 
 def _shapes(root: Node) -> dict[int, int]:
     """A hash of the tags of each element's subtree."""
     out: dict[int, int] = {}
-    for n, _ in reversed(nodes(root)):
+    for n in reversed(elements(root)):
         below = b"".join(out[id(c)].to_bytes(8, "little") for c in n.children if isinstance(c, Node))
         out[id(n)] = xxhash.xxh3_64_intdigest(n.tag.encode("utf-8", "replace") + b"/" + below)
     return out
@@ -151,7 +161,7 @@ def _shapes(root: Node) -> dict[int, int]:
 def _sizes(root: Node) -> dict[int, int]:
     """The elements of each element's subtree."""
     out: dict[int, int] = {}
-    for n, _ in reversed(nodes(root)):
+    for n in reversed(elements(root)):
         out[id(n)] = 1 + sum(out[id(c)] for c in n.children if isinstance(c, Node))
     return out
 
@@ -193,13 +203,13 @@ def _by_tag(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
     return out
 
 
-def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple[Node, Node]]:
+def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS, ordered: bool = True) -> list[tuple[Node, Node]]:
     """An order-keeping match of two trees whose matched nodes have equal tags and matched parents.
 
     Children of equal tags at both ends are paired; those between are aligned by the dynamic program of longest common
     subsequences, weighted by the size of the match below each pair, which is remembered. Lists of more than ``most``
     pairs, or of more than ``MOST_BELOW`` pairs of elements below, are first divided at the subtrees whose shape is once in each; between those, lists that are still too
-    long are paired by tag in order. All nodes take part, however many.
+    long are paired by tag in order. All nodes take part, however many. Pairs come in the order of ``a`` if ``ordered``.
     """
     shape: dict[int, int] = {}
     held: dict[int, int] = {}
@@ -239,8 +249,8 @@ def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple
             fixed += [(xs[p], ys[q]) for p, q in anchors]
         return fixed, searched
 
-    def elements(n: Node) -> list[Node]:
-        return [c for c in n.children if isinstance(c, Node)]
+    def below(n: Node) -> list[Node]:
+        return [c for c in n.children if type(c) is Node]
 
     def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
         best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
@@ -258,7 +268,7 @@ def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple
             if (id(x), id(y)) in sizes:
                 continue
             if parts is None:
-                parts = divided(elements(x), elements(y))
+                parts = divided(below(x), below(y))
                 todo.append((x, y, parts))
                 todo += [(p, q, None) for p, q in parts[0]]
                 todo += [(p, q, None) for xs, ys in parts[1] for p in xs for q in ys if p.tag == q.tag]
@@ -267,12 +277,11 @@ def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple
 
     if a.tag != b.tag:
         return []
-    order = {id(n): k for k, (n, _) in enumerate(nodes(a))}
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        fixed, searched = divided(elements(x), elements(y))
+        fixed, searched = divided(below(x), below(y))
         todo += fixed
         for xs, ys in searched:
             settle([(p, q) for p in xs for q in ys if p.tag == q.tag])
@@ -285,6 +294,9 @@ def simple_tree_matching(a: Node, b: Node, most: int = MOST_PAIRS) -> list[tuple
                 else:
                     i, j = i - 1, j - 1
                     todo.append((xs[i], ys[j]))
+    if not ordered:
+        return out
+    order = {id(n): k for k, n in enumerate(elements(a))}
     return sorted(out, key=lambda pair: order[id(pair[0])])
 
 
@@ -304,12 +316,13 @@ def _paths(root: Node) -> list[tuple[int, Node]]:
     return out
 
 
-def _aligned(own: Node, reference: str, roles: bool) -> list[tuple[int, str, Node]]:
+def _aligned(own: Node, said: list[tuple[Node, str]], reference: str, roles: bool) -> list[tuple[int, str, Node]]:
     """(reference node's number, the page's text there, the page's node) of each matched pair, and the same with the
     hash of its path for each of the page's nodes."""
     root, names = _reference(reference, roles)
-    texts = {id(n): t for n, t in nodes(own)}
-    return [(names[id(r)], texts[id(o)], o) for r, o in simple_tree_matching(root, own)] + [(k, texts[id(o)], o) for k, o in _paths(own)]
+    texts = {id(n): t for n, t in said if t}  # nodes without text tell nothing
+    found = [(names[id(r)], texts[id(o)], o) for r, o in simple_tree_matching(root, own, ordered=False) if id(o) in texts]
+    return found + [(k, texts[id(o)], o) for k, o in _paths(own) if id(o) in texts]
 
 
 def _text_key(text: str) -> int:
@@ -320,8 +333,9 @@ def _votes(host: pa.Array, page: pa.Array, html: pa.Array, reference: pa.Array,
     """Which text (its hash, and its words squared) each page shows at each node of its host's reference, and at each path."""
     out: dict[str, list] = {"host": [], "page": [], "node": [], "text": [], "weight": []}
     for h, p, source, ref in zip(host.to_pylist(), page.to_pylist(), html.to_pylist(), reference.to_pylist()):
-        said = {(k, _text_key(text)): _weight(text) for k, text, n in _aligned(tree(source, roles), ref, roles) if text and not n.off}
-        for (k, text), weight in said.items():
+        own = tree(source, roles)
+        shown = {(k, _text_key(text)): _weight(text) for k, text, n in _aligned(own, nodes(own), ref, roles) if not n.off}
+        for (k, text), weight in shown.items():
             out["host"].append(h), out["page"].append(p), out["node"].append(k), out["text"].append(text), out["weight"].append(weight)
     return out
 
@@ -334,7 +348,7 @@ def article(root: Node, weights: dict[int, int]) -> Node:
     """The smallest element that holds ARTICLE_SHARE of the weight (of nodes by their id) and has blocks in it: what holds
     text itself is a block of the article, not the article."""
     below: dict[int, int] = {}
-    for n, _ in reversed(nodes(root)):
+    for n in reversed(elements(root)):
         below[id(n)] = 0 if n.off else weights.get(id(n), 0) + sum(below[id(c)] for c in n.children if isinstance(c, Node))
     path = [root]
     while below[id(path[-1])]:
@@ -348,13 +362,13 @@ def article(root: Node, weights: dict[int, int]) -> Node:
     return path[-1]
 
 
-def main_text(root: Node, template: set[int], weights: dict[int, int] | None = None) -> str:
+def main_text(root: Node, template: set[int], weights: dict[int, int] | None = None, said: list[tuple[Node, str]] | None = None) -> str:
     """The varying text of the article's element, and of headings of the first rank before it, block by block.
 
     ``template``: ids of constant nodes. ``weights``: how much the host's pages show in the slot of each node; without
-    them, what this page shows there.
+    them, what this page shows there (``said``: its nodes' texts, where they are known).
     """
-    own = {id(n): _weight(t) for n, t in nodes(root) if id(n) not in template and not n.off}
+    own = {id(n): _weight(t) for n, t in said or nodes(root) if t and id(n) not in template and not n.off}
     top = article(root, weights if weights and any(weights.get(k) for k in own) else own)
     blocks: list[list[str]] = [[]]
     todo: list = [(root, top is not root, 0)]
@@ -385,18 +399,19 @@ def _extract(page_id, url, html, reference, template, roles: bool) -> dict[str,
     texts = []
     for page, ref, known in zip(html.to_pylist(), reference.to_pylist(), template.to_pylist()):
         own = tree(page, roles)
+        said = nodes(own)
         drop: set[int] = set()
         weights: dict[int, int] = {}
         if ref is not None and known:
             constant = {(c["node"], c["text"]) for c in known if c["text"] is not None}
             slots = {c["node"]: c["weight"] for c in known if c["text"] is None}
-            for k, text, o in reversed(_aligned(own, ref, roles)):  # paths first: a reference node's own slot tells more
-                if text and (k, _text_key(text)) in constant:
+            for k, text, o in reversed(_aligned(own, said, ref, roles)):  # paths first: a reference node's own slot tells more
+                if (k, _text_key(text)) in constant:
                     drop.add(id(o))
-                if text and k in slots:
+                if k in slots:
                     weights[id(o)] = slots[k]
             weights = {k: w for k, w in weights.items() if k not in drop}
-        texts.append(main_text(own, drop, weights))
+        texts.append(main_text(own, drop, weights, said))
     return {"page_id": page_id, "url": url, "text": texts}
 
 

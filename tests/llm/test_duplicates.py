@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from glyphframe.llm import lines, minhash, spans, suffixes
@@ -236,3 +237,70 @@ def test_short_texts_and_long_sentences_are_spans(spark):
     assert len(spans.sentences(chinese)) == 3
     got = {r.doc_id: r.n_removed for r in spans.drop_repeated_sentences(_frame(spark, texts), spans.SHORT_WORDS).collect()}
     assert got == {1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 3, 7: 0, 8: 0}
+
+
+def test_spans_against_lists_of_sentences(spark):
+    """Brute force over documents that are made as lists of sentences, so nothing of the operator's splitting is used."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    pool = [" ".join(word() for _ in range(rng.choice([2, 5, 8, 16, 33]))) + "." for _ in range(12)]
+    made = {k: [rng.choice(pool) for _ in range(rng.randrange(9))] for k in range(150)}
+    seen = defaultdict(list)
+    for i, said in made.items():
+        for k in range(len(said)):
+            for size in range(1, min(3, len(said) - k) + 1):
+                words = " ".join(said[k : k + size]).lower().split()
+                if len(words) >= (15 if size in (3, len(said)) else spans.SHORT_WORDS):
+                    seen[tuple(words)].append((i, k, size))
+    gone = defaultdict(set)
+    for found in seen.values():
+        for i, k, size in sorted(found)[1:]:
+            gone[i] |= set(range(k, k + size))
+    df = _frame(spark, {i: " ".join(said) for i, said in made.items()}).repartition(5)
+    for r in spans.drop_repeated_sentences(df, spans.SHORT_WORDS).collect():
+        said = made[r.doc_id]
+        assert (r.n_sentences, r.n_removed) == (len(said), len(gone[r.doc_id]))
+        assert r.text.split() == " ".join(x for k, x in enumerate(said) if k not in gone[r.doc_id]).split()
+    assert sum(map(len, gone.values())) > 100
+
+
+def test_spans_of_repeated_and_null_rows(spark):
+    a = "One sentence has six words here. Another one has six words too. The third has some more words now."
+    df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, None), (4, ""), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_sentences, r.n_removed, r.text) for r in spans.drop_repeated_sentences(df, spans.SHORT_WORDS).collect())
+    assert got == sorted([("1", 3, 0, a), ("1", 3, 0, a), ("2", 3, 3, ""), ("None", 3, 0, a), ("3", 0, 0, ""), ("4", 0, 0, ""), ("None", 0, 0, "")])
+    assert spans.drop_repeated_sentences(df.limit(0)).count() == 0
+
+
+def test_kept_columns_stay_with_their_rows(spark):
+    line, passage = "a line of more than ten", "".join(chr(97 + (k * k * 7 + k) % 26) for k in range(260))
+    rows = [(1, line, "x", None), (1, line, "y", "q"), (2, line, None, "z"), (None, line, "n", "n"), (3, None, "w", ""), (4, passage, "p", "1"), (5, passage, "p", "2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = sorted(str((r[0], r[2], r[3])) for r in rows)
+    for out in (lines.dedup_lines(df, keep=("lang", "source")), suffixes.cut_repeats(df, keep=("lang", "source"))):
+        assert sorted(str((r.doc_id, r.lang, r.source)) for r in out.collect()) == want
+
+
+def test_multikey_quicksort_and_common_prefixes():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 4, (5000, 6)).astype(np.uint64)
+    order = suffixes.multikey_quicksort(keys, leaf=16)
+    assert sorted(order.tolist()) == list(range(5000))
+    assert [tuple(k) for k in keys[order].tolist()] == sorted(tuple(k) for k in keys.tolist())
+    assert len(suffixes.multikey_quicksort(keys[:0])) == 0 and suffixes.multikey_quicksort(np.zeros((9000, 3), np.uint64)).shape == (9000,)
+    a, b = np.frombuffer(b"abcdabcd", np.uint8).reshape(2, 4), np.frombuffer(b"abcdabxd", np.uint8).reshape(2, 4)
+    assert suffixes.common_prefix(a, b).tolist() == [4, 2]
+
+
+def test_a_shingle_common_to_a_large_group_costs_no_square(spark):
+    """Texts of one component are not paired by the shingles that they share, and no pair between components is lost."""
+    rows = [(k, 1 if k < 200 else k) for k in range(203)]
+    sets = [(k, np.array([7, 1000 + k % 3 if k < 200 else 9000 + k, *range(20, 26)], np.uint64).tobytes()) for k, _ in rows]
+    open_ = spark.createDataFrame(rows, "doc_id long, component long")
+    found = spark.createDataFrame(sets, "doc_id long, found binary")
+    got = {(r.a, r.b) for r in minhash.prefix_pairs(open_, found).collect()}
+    comp = dict(rows)
+    assert all(comp[a] != comp[b] and a < b for a, b in got)
+    full = {k: set(np.frombuffer(f, np.uint64).tolist()) for k, f in sets}
+    want = {(a, b) for a in full for b in full if a < b and comp[a] != comp[b] and 100 * len(full[a] & full[b]) >= 75 * len(full[a] | full[b])}
+    assert want and want <= got

@@ -47,3 +47,20 @@ def test_empty_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
     assert pipeline.pack(spark, docs, SF).count() == 0
+
+
+def test_null_ids_null_texts_and_repeated_rows(spark):
+    """Every stage but the first keeps such rows; only copies under another id go."""
+    good = "A plain sentence of some length stands here. " * 6
+    rows = [(1, good, "en", "s", 1), (1, good, "en", "s", 1), (2, good, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, good, "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_good(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    lined = pipeline.drop_lines(spark, docs, SF).collect()
+    assert len(lined) == len(rows) and {r.text for r in lined if r.doc_id == 2} == {""}
+    single = pipeline.stored(pipeline.keep_first_copies(spark, docs, SF))
+    assert sorted(str(r.doc_id) for r in single.collect()) == ["1", "1", "3", "4", "None", "None"]
+    cut = pipeline.stored(pipeline.cut_repeats(spark, docs, SF))
+    assert sorted(str(r.doc_id) for r in cut.collect()) == sorted(str(r[0]) for r in rows)
+    packed = pipeline.pack(spark, docs, SF).collect()
+    assert sum(r.length for r in packed if r.start == 0) > 0 and {r.doc_id for r in packed} == {1, 2, 3, 4, None}

@@ -134,3 +134,19 @@ def test_short_neighbours_fill_the_window():
 def test_packing_knows_added_tokens(spark):
     texts = dict(enumerate(["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext|>", "<|endoftext|", "it's <|ENDOFTEXT|> 漢<|endoftext|>字"]))
     _check_packed(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
+def test_long_texts_keep_their_own_ids(spark, reference):
+    """The numbers of long texts hold however the input is partitioned; an empty table gives no rows."""
+    texts = {k: f"row {k} of many words " * (20 + k) for k in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for n in (1, 5):
+        rows = bpe.encode(df.repartition(n, "text"), chunk_chars=64, overlap_chars=32).collect()
+        assert {r.doc_id: bytes(r.ids) for r in rows} == {k: np.array(reference.encode_ordinary(t), "<u4").tobytes() for k, t in texts.items()}
+    assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+def test_forgotten_pre_tokens_change_nothing(reference):
+    small = tokens.PreTokenEncoder(bpe.RANKS, "I", most=2000)
+    text = " ".join(f"word{k % 97} {k}" for k in range(3000))
+    assert small.encode(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes() and small.held <= 2000
