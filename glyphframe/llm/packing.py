@@ -27,7 +27,7 @@ from .common import ddl, map_columns, stored
 from .tokens import encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: The same vocabulary as ranks, and its size: equal ids for the text between added tokens, encoded pre-token by pre-token.
+#: The same vocabulary as ranks, and its size: equal ids for the text between added tokens.
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_257
 WINDOW, END = 2048, 1
 K1, B = 1.2, 0.75

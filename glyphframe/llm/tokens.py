@@ -1,4 +1,4 @@
-"""Byte-level BPE of single pre-tokens, shared by encoding (1) and packing (3)."""
+"""Byte-level BPE of texts, shared by encoding (1) and packing (3)."""
 
 from __future__ import annotations
 
@@ -20,48 +20,30 @@ _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 _UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe]|[^\x00-ɏ‐-‧₠-₿]")
 
 
-#: Bytes of pre-tokens and ids that a worker remembers, and what an entry takes besides its characters and ids.
-REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 180
-
-
 def ranks_of(path: str) -> dict[bytes, int]:
     """The token bytes and ranks of a rank file."""
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class PreTokenEncoder(dict):
-    """Pre-token -> its ids as packed native integers of one type code; a miss is encoded and remembered.
-
-    The memory is emptied when what it holds would pass ``most`` bytes, which bounds a worker's memory and changes no
-    result.
-    """
+class Encoder:
+    """Texts -> their ids as packed native integers of one type code. It keeps nothing of the texts that it has seen."""
 
-    def __init__(self, path: str, code: str, most: int = REMEMBERED_BYTES) -> None:
-        super().__init__()
+    def __init__(self, path: str, code: str) -> None:
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
-        self.code, self.most, self.held, self.exact = code, most, 0, regex.compile(PATTERN)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = array(self.code, self.bpe.encode_ordinary(word)).tobytes()
-        if len(word) < 64:
-            self.held += ENTRY_BYTES + len(word) * (1 if word.isascii() else 4) + len(ids)
-            if self.held > self.most:
-                self.clear()
-                self.held = 0
-            self[word] = ids
-        return ids
+        self.code, self.exact = code, regex.compile(PATTERN)
 
     def words(self, text: str) -> list[str]:
+        """The text's pre-tokens."""
         return (self.exact if _UNLIKE.search(text) else _FAST).findall(text)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(text)))
+        return array(self.code, self.bpe.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, code: str, most: int = REMEMBERED_BYTES) -> PreTokenEncoder:
-    return PreTokenEncoder(path, code, most)
+def encoder(path: str, code: str) -> Encoder:
+    return Encoder(path, code)
 
 
 @lru_cache(maxsize=1)

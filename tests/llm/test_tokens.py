@@ -144,9 +144,3 @@ def test_long_texts_keep_their_own_ids(spark, reference):
         rows = bpe.encode(df.repartition(n, "text"), chunk_chars=64, overlap_chars=32).collect()
         assert {r.doc_id: bytes(r.ids) for r in rows} == {k: np.array(reference.encode_ordinary(t), "<u4").tobytes() for k, t in texts.items()}
     assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
-
-
-def test_forgotten_pre_tokens_change_nothing(reference):
-    small = tokens.PreTokenEncoder(bpe.RANKS, "I", most=2000)
-    text = " ".join(f"word{k % 97} {k}" for k in range(3000))
-    assert small.encode(text) == np.array(reference.encode_ordinary(text), "<u4").tobytes() and small.held <= 2000
