@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_columns, stored
+from .common import ddl, stored
 from .tokens import encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,8 @@ DENSE = 16
 #: Bytes of ids in a shard, on the average; a task takes some 20 times as much for its index. A document counts with its
 #: ids and a bit more, so that empty ones make shards too.
 SHARD_BYTES, DOCUMENT_BYTES = 4 << 20, 32
+#: The last column counts the documents that hold each term, then all documents and their tokens.
+_TOKENS = {"doc_id": pa.int64(), "sketch": pa.int64(), "spread": pa.int64(), "ids": pa.binary(), "counts": pa.binary()}
 _PIECE = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
     "sequence_id": pa.int64(), "offset": pa.int64(),
@@ -52,31 +54,38 @@ def _added() -> tuple[re.Pattern, dict[str, bytes]]:
     return re.compile(f"({'|'.join(map(re.escape, sorted(found, key=len, reverse=True))) or '(?!)'})"), found
 
 
-def _tokenised(doc_id: pa.Array, text: pa.Array, ranks: str) -> dict[str, object]:
-    """ids as unsigned 16-bit integers, and a sketch of the text: which of its rarer tokens hash least."""
-    bpe, ids, sketch = encoder(ranks, "H"), [], []
-    added, packed_id = _added()
-    for t in text:
-        parts = added.split(t.as_py() or "")  # every second one is an added token
-        packed = b"".join(packed_id[x] if k % 2 else bpe.encode(x) for k, x in enumerate(parts))
-        x = np.frombuffer(packed, "<u2")
-        rare = x[x > 2000]
-        h = (rare if len(rare) else x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
-        sketch.append(int(h.min()) if len(h) else 0)
-        ids.append(packed)
-    return {"doc_id": doc_id, "sketch": sketch, "ids": ids}
+def _tokenised(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    """Of each text: ids as unsigned 16-bit integers, a sketch (which of its rarer tokens hash least), and a number that
+    spreads equal sketches. After a partition's texts comes one row that counts their terms."""
+    bpe, (added, packed_id) = encoder(ranks, "H"), _added()
+    kinds = pa.schema(list(_TOKENS.items()))
+    held, docs, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
+    for batch in batches:
+        ids, sketch, spread = [], [], []
+        for t in batch.column(1):
+            parts = added.split(t.as_py() or "")  # every second one is an added token
+            packed = b"".join(packed_id[x] if k % 2 else bpe.encode(x) for k, x in enumerate(parts))
+            x = np.frombuffer(packed, "<u2")
+            held[term_counts(x)[0]] += 1
+            docs, tokens = docs + 1, tokens + len(x)
+            rare = x[x > 2000]
+            h = (rare if len(rare) else x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)
+            sketch.append(int(h.min()) if len(h) else 0)
+            spread.append(zlib.crc32(packed, docs))
+            ids.append(packed)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.int64()), pa.array(spread, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=kinds)
+    if docs:
+        counts = np.r_[held, docs, tokens].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], schema=kinds)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, docs, tokens = np.zeros(VOCABULARY, np.int64), 0, 0
+    held = np.zeros(VOCABULARY + 2, np.int64)
     for batch in batches:
         for x in batch.column(0):
-            ids = np.frombuffer(x.as_py(), "<u2")
-            held[term_counts(ids)[0]] += 1
-            docs, tokens = docs + 1, tokens + len(ids)
+            held += np.frombuffer(x.as_py(), np.int64)
     at = np.flatnonzero(held)
-    # two more rows: documents and tokens
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[held[at], docs, tokens])], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
 
 
 def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,17 +217,11 @@ def pack(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     alone. Every row is packed, repeats and null ids included. The number of shards follows the bytes of ids, which
     bounds the memory of a task at any size of the table.
     """
-    tokens = stored(
-        map_columns(
-            docs.select("doc_id", "text"),
-            lambda doc_id, text: _tokenised(doc_id, text, ranks),
-            {"doc_id": pa.int64(), "sketch": pa.int64(), "ids": pa.binary()},
-        )
-    )
-    # at most one row for each token of the vocabulary
-    counted = dict(tokens.select("ids").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    documents = counted.pop(-1, 0)
-    total = counted.pop(-2, 0)
+    tokens = stored(docs.select("doc_id", "text").mapInArrow(lambda batches: _tokenised(batches, ranks), ddl(_TOKENS)), "snappy")
+    # at most one row for each token of the vocabulary, and two
+    counted = dict(tokens.where("counts is not null").select("counts").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+    documents = counted.pop(VOCABULARY, 0)
+    total = counted.pop(VOCABULARY + 1, 0)
     mean = total / max(documents, 1)
     shards = max(1, math.ceil((2 * total + DOCUMENT_BYTES * documents) / SHARD_BYTES))
     idf = np.full(VOCABULARY, np.log(1 + (documents + 0.5) / 0.5), np.float32)
@@ -246,5 +249,5 @@ def pack(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
             columns = zip(*rows[k : k + (1 << 16)])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=pa.schema(list(_PIECE.items())))
 
-    dealt = tokens.repartitionByRange(shards, "sketch", F.xxhash64("doc_id", "ids"))
-    return dealt.sortWithinPartitions("sketch", "doc_id", F.crc32("ids")).select("doc_id", "ids").mapInArrow(packed, ddl(_PIECE))
+    dealt = tokens.where("counts is null").drop("counts").repartitionByRange(shards, "sketch", "spread")
+    return dealt.sortWithinPartitions("sketch", "doc_id", "spread").select("doc_id", "ids").mapInArrow(packed, ddl(_PIECE))
