@@ -111,9 +111,9 @@ def _(t):
 SELECT page_id, '{"page_id":' || page_id || ',"items":' || count(*) || ',"ok":' || count(*) FILTER (WHERE scored AND hyp <> '') || ',"empty":' || count(*) FILTER (WHERE scored AND hyp = '')
   || ',"failed":' || count(*) FILTER (WHERE NOT scored) || ',"records":[' || string_agg('{"verification_id":' || verification_id || ',"hyp":"' || hyp || '","status":"'
   || CASE WHEN NOT scored THEN 'failed' WHEN hyp = '' THEN 'empty' ELSE 'ok' END || '"}', ',' ORDER BY verification_id) || ']}' AS value
-FROM results WHERE setting = 0 GROUP BY page_id""", "results")
+FROM (SELECT * REPLACE (verification_id // 50 AS page_id) FROM results) WHERE setting = 0 GROUP BY page_id""", "results")
 def _(t):
-    rows = t.results.where("setting = 0").withColumn("ok", F.col("scored")).withColumn("text", F.col("hyp"))
+    rows = t.results.where("setting = 0").withColumn("page_id", F.floor(F.col("verification_id") / 50)).withColumn("ok", F.col("scored")).withColumn("text", F.col("hyp"))
     return exchange.results_json(rows, ["page_id"], ["verification_id"], ["verification_id", "hyp"])
 
 
