@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, lines, minhash, neighbours, packing, quality, spans, suffixes
+from . import bpe, conversations, decontamination, fingerprints, html, lines, merkle, minhash, neighbours, packing, quality, spans, suffixes
 from .common import table
 
 
@@ -62,11 +62,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digests(rows, conversations.audits(rows))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.verify(table(spark, sf_dir, "documents"))
+    said = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "folded", "proof")}
+    return found.select(
+        "doc_id", *(said[c].alias(c) for c in ("leaf", "subroot", "root")), F.sha2(said["proof"], 256).alias("proof_sha256"),
+        said["folded"].alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontamination.covered(F.col("hits"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_minhash, op3_packing, op4_suffixes, op5_neighbours, op6_lines, op7_sentence_spans, op8_fingerprints,
-        op9_html, op10_quality,
+        op9_html, op10_quality, op11_conversations, op12_merkle, op13_decontamination,
     )
 }
 
