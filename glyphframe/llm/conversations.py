@@ -202,7 +202,8 @@ def audits(rows: DataFrame) -> DataFrame:
     light = read.select("conv_id", "turn", "role", "told", "dropped", initials.alias("_x"), fault(F.col("text"), F.lit(False)).alias("_own"))
     kind = F.when(F.col("_own") == 1, 1).when(F.col("_seen"), 2).otherwise(F.col("_own"))
     light = light.withColumn("_seen", seen).withColumn("code", F.when(~F.col("dropped"), kind * 4 + F.col("_x")))
-    ordered = light.repartition("conv_id").sortWithinPartitions(*_ORDER)
+    # of rows that are alike, the first is the one that is no duplicate
+    ordered = light.repartition("conv_id").sortWithinPartitions(*_ORDER, "_seen")
     return ordered.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("code").cast("int").alias("code")).mapInArrow(_summaries, ddl(_COUNTS))
 
 

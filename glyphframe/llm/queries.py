@@ -95,7 +95,134 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: The table of crc32, and the unsigned crc32 of an ASCII key by it (as the column ``tab``).
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) AS tab)"
+
+
+def _crc(key: str) -> str:
+    codes = f"list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BLANKS = r"[\x20\x09-\x0D]"
+
+
+def _one_of(*forms: str) -> str:
+    """The least of repairs {cost, audit, rows}."""
+    return f"list_min([{', '.join(forms)}])"
+
+
+def _step(cost: str, edit: str, row: str, rest: str) -> str:
+    """A repair that begins with an edit and goes on as ``rest``; a null cost gives none."""
+    return f"CASE WHEN ({cost}) IS NOT NULL THEN {{'c': ({cost}) + {rest}.c, 'a': {edit} || {rest}.a, 'rows': {row} || {rest}.rows}} END"
+
+
+_NONE = "[]::VARCHAR[]"
+_STAY = "CASE WHEN f NOT IN (1, 2) THEN 3 * (f = 3)::INT END"  # null where the row must go
+_AS = {r: _step(f"{_STAY} + 3 * (x <> '{r[0]}')::INT", f"CASE WHEN x = '{r[0]}' THEN 'K' ELSE 'R' END", f"[CASE WHEN x = '{r[0]}' THEN role ELSE '{r}' END || ':' || text]", rest) for r, rest in (("user", "o.asst"), ("assistant", "o.usr"))}
+_GONE = {s: _step("4", "'D'", _NONE, f"o.{s}") for s in ("usr", "must", "asst", "fresh")}
+_ALIGNED = f"""
+step AS (
+  -- by the last row first: the least repair of the rows from here on where the next one is a user or the end (usr), a user
+  -- (must), an assistant (asst), and where an s is still to come (fresh)
+  SELECT conv_id, n + 1 AS nth, {{'c': 0, 'a': '', 'rows': {_NONE}}} AS usr, {{'c': 6, 'a': 'II', 'rows': ['user:', 'assistant:']}} AS must,
+    {{'c': 3, 'a': 'I', 'rows': ['assistant:']}} AS asst, {{'c': 1000000, 'a': '', 'rows': {_NONE}}} AS fresh FROM sizes
+  UNION ALL
+  SELECT conv_id, nth, {_one_of('usr', _step('3', "'I'", "['user:']", 'b.asst'))}, {_one_of('must', _step('3', "'I'", "['user:']", 'b.asst'))},
+    {_one_of('asst', _step('3', "'I'", "['assistant:']", 'b.usr'))}, fresh
+  FROM (
+    SELECT o.conv_id, r.nth, {_one_of(_GONE['usr'], _AS['user'])} AS usr, {_one_of(_GONE['must'], _AS['user'])} AS must, {_one_of(_GONE['asst'], _AS['assistant'])} AS asst,
+      {_one_of(_GONE['fresh'], _step(f"CASE WHEN x = 's' THEN {_STAY} END", "'K'", "[role || ':' || text]", 'o.must'))} AS fresh
+    FROM step o JOIN told r ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND r.nth = o.nth - 1
+  ) b
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversations": rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations, {_CRC_TABLE}
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM keyed, range(2) t(i) WHERE k <> 0 AND (i = 0 OR k = 3)
+), ordered AS (
+  SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS nth,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+    regexp_extract(text, '([^ 	-
+]){_BLANKS}*$', 1) AS tail
+  FROM damaged
+), told AS (
+  SELECT *, CASE WHEN tail = '' THEN 1 WHEN again THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+    lead(x) OVER (PARTITION BY conv_id ORDER BY nth) AS y
+  FROM ordered
+), sizes AS (
+  SELECT c.conv_id, count(t.nth) AS n, coalesce(max(t.turn) - min(t.turn) + 1 - count(DISTINCT t.turn), 0) AS gaps,
+    count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+    count(*) FILTER (WHERE y IS NOT NULL AND x || y NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id
+), {_ALIGNED}
+SELECT s.conv_id, gaps, blank, duplicate, truncated, illegal, least_.c::BIGINT AS cost, least_.a AS audit,
+  sha256(coalesce(array_to_string(least_.rows, chr(10)), '')) AS repaired_sha256
+FROM (SELECT conv_id, {_one_of('usr', 'fresh')} AS least_ FROM step WHERE nth = 1) w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id""",
+    "op12_merkle": rf"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, lang, CASE WHEN doc_id IS NOT NULL AND {_crc("doc_id::VARCHAR")} % 7 = 0 THEN 1 ELSE 0 END AS more, n_chars,
+    concat_ws('', {{doc}}, {{source}}, {{lang}}) AS head, {{text}} AS tail
+  FROM documents, {_CRC_TABLE}
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || {{n}} || tail) AS leaf, sha256(head || {{m}} || tail) AS offered FROM said
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), trees AS (
+  SELECT 0 AS level, lang, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM trees WHERE n > 1 GROUP BY level, lang, pos // 2, n
+), tops AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM trees WHERE n = 1
+), roots AS (
+  SELECT 0 AS level, pos, h, n FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM roots WHERE n > 1 GROUP BY level, pos // 2, n
+), climb AS (
+  SELECT doc_id, lang, leaf, 0 AS level, pos, pos AS home, n, '' AS proof, offered AS folded FROM placed
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.level + 1, c.pos // 2, c.home, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.folded ELSE c.folded || coalesce(s.h, '') END)
+  FROM climb c LEFT JOIN trees s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1
+), ascend AS (
+  SELECT c.doc_id, c.lang, c.leaf, t.h AS subroot, 0 AS level, t.pos, c.home, t.n, c.proof, c.folded
+  FROM climb c JOIN tops t ON t.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.subroot, c.level + 1, c.pos // 2, c.home, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.folded ELSE c.folded || coalesce(s.h, '') END)
+  FROM ascend c LEFT JOIN roots s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1
+)
+SELECT a.doc_id, a.leaf, a.subroot, r.h AS root, sha256(a.proof) AS proof_sha256, a.folded AS folded_root, a.folded = r.h AS verified
+FROM ascend a, (SELECT h FROM roots WHERE n = 1) r WHERE a.n = 1""".format(
+        **{k: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v} END" for k, v in (("doc", "doc_id"), ("source", "source"), ("lang", "lang"), ("text", "text"), ("n", "n_chars"), ("m", "(n_chars + more)"))}
+    ),
+    "op13_decontamination": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ITEM_WORDS}') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ITEM_WORDS}') AS ws FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, list_slice(ws, i, i + 9) AS win FROM b, unnest(range(1, greatest(len(ws) - 9, least(len(ws), 1)) + 1)) t(i)
+), sized AS (SELECT DISTINCT len(win) AS k FROM w),
+g AS (
+  SELECT id, i, k, list_slice(ws, i, i + k - 1) AS win FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sized)
+), hits AS (SELECT g.id, g.i, g.k, w.item_id FROM g JOIN w ON g.win = w.win),
+counted AS (
+  SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY id
+), named AS (
+  SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN counted c ON c.id = d.id LEFT JOIN named m ON m.id = d.id""",
     "op6_lines": r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
