@@ -149,7 +149,7 @@ WITH RECURSIVE keyed AS (
     CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
   FROM keyed, range(2) t(i) WHERE k <> 0 AND (i = 0 OR k = 3)
 ), ordered AS (
-  SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS nth,
+  SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), i) AS nth,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, i) > 1 AS again,
     regexp_extract(text, '([^ 	-
 ]){_BLANKS}*$', 1) AS tail
