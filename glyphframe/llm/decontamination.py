@@ -72,7 +72,7 @@ class Words:
             total[todo] += (self.bytes[self.starts[todo] + k] + np.uint64(1)) * powers[k]
         for w in np.flatnonzero(lengths > 64).tolist():
             rest = self.bytes[self.starts[w] + 64 : self.stops[w]].astype(np.uint64) + np.uint64(1)
-            total[w] += (rest * powers[64 : lengths[w]]).sum(dtype=np.uint64)
+            total[w : w + 1] += (rest * powers[64 : lengths[w]]).sum(dtype=np.uint64, keepdims=True)
         return _mixed(total)
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -151,8 +151,7 @@ WITH RECURSIVE keyed AS (
 ), ordered AS (
   SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), i) AS nth,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, i) > 1 AS again,
-    regexp_extract(text, '([^ 	-
-]){_BLANKS}*$', 1) AS tail
+    regexp_extract(text, '([^\x20\x09-\x0D]){_BLANKS}*$', 1) AS tail
   FROM damaged
 ), told AS (
   SELECT *, CASE WHEN tail = '' THEN 1 WHEN again THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
