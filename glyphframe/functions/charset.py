@@ -6,6 +6,7 @@ Strings are sequences of code points after NFC normalisation.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,13 +43,41 @@ def _nfc(label: Column) -> Column:
     return composed(label)
 
 
+@lru_cache(maxsize=1)
+def _nfc_classes() -> tuple[str, str]:
+    """Characters that NFC changes by themselves or may join to the one before; and the other combining marks."""
+    joins = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul joins by rule
+    alone, marks = set(), []
+    for point in (*range(0xD800), *range(0xE000, 0x110000)):
+        c = chr(point)
+        parts = unicodedata.decomposition(c)
+        if unicodedata.combining(c):
+            marks.append(point)
+        if parts and parts[0] != "<":
+            joins.add(int(parts.split()[-1], 16))
+            if unicodedata.normalize("NFC", c) != c:
+                alone.add(point)
+    first = {*alone, *(j for j in joins if j >= 0x300)}
+    return "".join(map(chr, sorted(first))), "".join(chr(m) for m in marks if m not in first)
+
+
+def nfc_may_change(label: Column) -> Column:
+    """False only if NFC leaves the text as it is: no character of the first class above, and no two marks in a row, which
+    may be out of order. Characters below U+0300 are NFC in any order."""
+    first, marks = _nfc_classes()
+    told = F.translate(label, first + marks, "\x01" * len(first) + "\x02" * len(marks))
+    return label.rlike("[^\\x00-\\x{2FF}]") & (told.contains("\x01") | told.rlike("[\x01\x02]{2}"))
+
+
 def normalize_label(label: Column, composed: bool = False) -> Column:
     """NFC, then the folds above, then white space stripped at both ends.
 
-    Spark has no NFC, so text outside Latin-1 goes through an Arrow function; ``composed`` promises NFC input and
-    stays in the JVM. Null stays null.
+    Spark has no NFC. Texts that it may change go through an Arrow function, for others the function gets null: characters
+    below U+0300 are NFC in any order, and of the rest ``nfc_may_change`` finds what may change. ``composed`` promises NFC
+    input and stays in the JVM altogether. Null stays null.
     """
-    text = label if composed else F.when(label.rlike("^[\\x00-\\x{FF}]*$"), label).otherwise(_nfc(label))
+    changes = nfc_may_change(label)
+    text = label if composed else F.when(changes, _nfc(F.when(changes, label))).otherwise(label)
     text = F.translate(text, FOLD_FROM + VANISH, FOLD_TO)
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -79,8 +108,8 @@ def script_words(df: DataFrame, text: str, pattern: str = "[\\x{0B80}-\\x{0BFF}]
     return words.where(F.length("word").between(least, most) & is_encodable(F.col("word"), charset))
 
 
-# The extent of each kind of wiki mark-up, in the order of removal, and what it leaves. Goldens hold word lists
-# made this way, so another extent would give other words.
+# The extent of each kind of wiki mark-up, in the order of removal, and what it leaves. Word lists that were
+# made from dumps stand for these extents, so another extent would give other words.
 WIKI_MARKUP = (
     (r"(?s)\{\{.*?\}\}", " "),
     (r"(?s)\{\|.*?\|\}", " "),

@@ -1,18 +1,25 @@
 """Bootstrap intervals by deterministic draws.
 
-A draw is the first 52 bits of an MD5 of (seed, replicate, draw number), so it is the same on any cluster. Only
-(edits, characters, wrong) matter, so equal rows are collapsed to counts first. The caller names the method, which holds
-at every size: "exact" makes each draw; "poisson" gives each (group of equal rows, replicate) a Poisson number of copies,
-one row for each pair, for tables of too many rows times replicates.
+Only (edits, characters, wrong) matter, so equal rows are collapsed to counts first. The caller names the method, which
+holds at every size. "multinomial" and "exact" draw as many rows as there are, with replacement. The first gives the
+multinomial counts of the distinct tuples by a tree of conditional binomial numbers, from a generator for each replicate
+and node; the second makes each draw, the first 52 bits of an MD5 of (seed, replicate, draw number), a form that SQL has
+too, for tables of few rows times replicates. "poisson" gives each (group of equal rows, replicate) a Poisson number of
+copies by such bits, one row for each pair; for groups of more than SMALL_MEAN rows that number is a rounded normal one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.corpus import kept, numbered
+
 LEAST_CLUSTERS = 20
 
 
@@ -45,12 +52,92 @@ def _poisson(mean: Column, sums: Column, u: Column, v: Column) -> Column:
     return F.when(mean <= SMALL_MEAN, small).otherwise(large)
 
 
+#: Children of a node of the tree, and replicates that a task draws together.
+FANOUT_BITS, CHUNK = 12, 500
+
+
+def _numbered(groups: DataFrame, sums: list[str], bits: int) -> DataFrame:
+    """``groups`` with ``_pos`` from 0 in the order of ``sums``; in one step where they fit a node of the tree."""
+    if groups.limit(2**bits + 1).count() <= 2**bits:
+        return groups.withColumn("_pos", F.row_number().over(Window.orderBy(*sums)).cast("long") - 1)
+    return numbered(groups.withColumn("_all", F.lit(0)), ["_all"], sums, "_pos").drop("_all")
+
+
+def _split(weights: np.ndarray, reps: np.ndarray, totals: np.ndarray, seed: int, level: int, node: int) -> np.ndarray:
+    """(replicates, children): the draws of each replicate dealt to a node's children, a binomial number for each child
+    given what is left. A generator for each (seed, level, node, replicate), so nothing depends on partitions."""
+    p = weights / weights.sum()
+    return np.stack([np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, level, node, r]))).multinomial(m, p) for r, m in zip(reps.tolist(), totals.tolist())])
+
+
+def _multinomial(groups: DataFrame, sums: list[str], reps: int, seed: int, bits: int = FANOUT_BITS) -> DataFrame:
+    """(rep, n, sums): as many draws as rows, with replacement, as multinomial counts of the distinct tuples.
+
+    The tuples are the leaves of a tree of 2**bits children a node. From its top, each replicate's draws are dealt to a
+    node's children by conditional binomial numbers; nodes of the lowest level give sums, not rows. So rows are nodes
+    times replicates: with fewer distinct tuples than a node holds, one for each replicate.
+    """
+    spark = groups.sparkSession
+    placed = _numbered(kept(groups), sums, bits)
+    up = lambda c: F.expr(f"shiftright({c}, {bits})")
+    entry = lambda *c: F.sort_array(F.collect_list(F.struct(*c))).alias("_kids")
+    levels = [kept(placed.groupBy(up("_pos").alias("node")).agg(entry("_pos", F.col("_n").alias("_w"), *sums), F.sum("_n").alias("_w")))]
+    while levels[-1].limit(2).count() > 1:
+        levels.append(kept(levels[-1].groupBy(up("node").alias("_up")).agg(entry("node", "_w"), F.sum("_w").alias("_w")).select(F.col("_up").alias("node"), "_kids", "_w")))
+    starts = spark.range(0, reps, CHUNK).withColumnRenamed("id", "_chunk")
+    reps_of = F.sequence("_chunk", F.least(F.col("_chunk") + CHUNK, F.lit(reps)) - 1)
+    # one row: the top of the tree
+    draws = starts.crossJoin(F.broadcast(levels[-1].select("node", "_kids", "_w")))
+    draws = draws.select("node", "_kids", reps_of.alias("_reps"), F.transform(reps_of, lambda _: F.col("_w")).alias("_totals")).repartition(max(1, reps // CHUNK))
+    for level in range(len(levels) - 1, 0, -1):
+        dealt = draws.mapInArrow(_dealer(seed, level), "rep long, node long, m long").where("m > 0")
+        grouped = dealt.groupBy("node", F.floor(F.col("rep") / CHUNK).alias("_c")).agg(F.sort_array(F.collect_list(F.struct("rep", "m"))).alias("_d"))
+        met = grouped.join(levels[level - 1], "node")
+        draws = met.select("node", "_kids", F.transform("_d", lambda d: d["rep"]).alias("_reps"), F.transform("_d", lambda d: d["m"]).alias("_totals"))
+    kinds = {c: "double" if t in ("double", "float") else "long" for c, t in groups.dtypes if c in sums}
+    parts = draws.mapInArrow(_summer(seed, sums), ", ".join(["rep long", "n long", *(f"`{c}` {kinds[c]}" for c in sums)]))
+    return parts.groupBy("rep").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], np.ndarray, np.ndarray]]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield row["node"], row["_kids"], np.array(row["_reps"]), np.array(row["_totals"])
+
+
+def _dealer(seed: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Deals each replicate's draws at a node to its children."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, kids, reps, totals in _nodes(batches):
+            counts = _split(np.array([k["_w"] for k in kids], float), reps, totals, seed, level, node)
+            names = np.array([k["node"] for k in kids])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(reps, len(kids))), pa.array(np.tile(names, len(reps))), pa.array(counts.reshape(-1))], names=["rep", "node", "m"])
+
+    return run
+
+
+def _summer(seed: int, sums: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums each replicate's draws at a node of the lowest level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, kids, reps, totals in _nodes(batches):
+            counts = _split(np.array([k["_w"] for k in kids], float), reps, totals, seed, 0, node)
+            values = [counts @ np.array([k[c] for k in kids]) for c in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(counts.sum(axis=1)), *map(pa.array, values)], names=["rep", "n", *sums])
+
+    return run
+
+
 def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int, method: str = "exact") -> DataFrame:
-    """(rep, n, sums, method): ``sums`` of each resample with replacement, by "exact" draws or "poisson" weights."""
-    if method not in ("exact", "poisson"):
-        raise ValueError(f"no method {method!r}: exact or poisson")
+    """(rep, n, sums, method): ``sums`` of each resample with replacement, by "exact" draws, "multinomial" counts (the same
+    distribution, without a row for each draw) or "poisson" weights."""
+    if method not in ("exact", "multinomial", "poisson"):
+        raise ValueError(f"no method {method!r}: exact, multinomial or poisson")
     spark = rows.sparkSession
     groups = rows.groupBy(*sums).agg(F.count("*").alias("_n"))
+    if method == "multinomial":
+        return _multinomial(groups, sums, reps, seed).withColumn("method", F.lit("multinomial"))
     if method == "exact":
         total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
         rep = spark.range(reps).withColumnRenamed("id", "rep")

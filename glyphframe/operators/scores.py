@@ -18,13 +18,26 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 
 
+def _edits(hyp: str) -> Column:
+    """The distance of ref and ``hyp``, computed where they differ."""
+    return F.when(F.col("ref") == F.col(hyp), 0).otherwise(F.levenshtein("ref", hyp))
+
+
 def _sums(hyp: str = "hyp") -> list[Column]:
     return [
-        F.count("*").alias("n"), F.sum(F.levenshtein("ref", hyp)).alias("edits"), F.sum(F.length("ref")).alias("ref_chars"),
+        F.count("*").alias("n"), F.sum(_edits(hyp)).alias("edits"), F.sum(F.length("ref")).alias("ref_chars"),
         F.count_if(F.col("ref") != F.col(hyp)).alias("wrong"), F.sum(F.length(hyp)).alias("hyp_chars"),
     ]
 
 
+#: The sums above: over base cells, they add up to those of any union of cells.
+_ADDED = ("n", "edits", "ref_chars", "wrong", "hyp_chars")
+
+
+def _added(names: tuple[str, ...]) -> list[Column]:
+    return [F.sum(c).alias(c) for c in names]
+
+
 def _metrics() -> list[Column]:
     c = F.col
     return [
@@ -39,7 +52,8 @@ def scoreboard(samples: DataFrame, hyp: str = "hyp") -> DataFrame:
     Null in source or bucket stands for all of them; a sample without a source counts under "all".
     """
     rows = samples.select(F.coalesce("source", F.lit("all")).alias("source"), len_bucket(F.length("ref")).alias("bucket"), "ref", hyp)
-    return rows.cube("source", "bucket").agg(*_sums(hyp)).select("source", "bucket", *_metrics())
+    cells = rows.groupBy("source", "bucket").agg(*_sums(hyp))  # each distance once; the cube adds up cells
+    return cells.cube("source", "bucket").agg(*_added(_ADDED)).select("source", "bucket", *_metrics())
 
 
 def tally(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,17 +61,27 @@ def tally(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     ``rows``: ref, hyp, confidence (may be null), width_clipped.
     """
-    made = rows.groupBy(*keys).agg(
-        *_sums(), F.avg("confidence").alias("mean_confidence"), F.count_if(F.coalesce("width_clipped", F.lit(False))).alias("_clipped"),
+    return _told(_tallied(rows, keys), keys)
+
+
+def _tallied(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        *_sums(), F.sum("confidence").alias("_sure"), F.count("confidence").alias("_rated"), F.count_if(F.coalesce("width_clipped", F.lit(False))).alias("_clipped"),
         F.count_if(F.col("hyp") == "").alias("_empty"),
     )
+
+
+def _told(sums: DataFrame, keys: list[str]) -> DataFrame:
+    mean = F.when(F.col("_rated") > 0, F.col("_sure") / F.col("_rated")).alias("mean_confidence")
     rates = [ratio(F.col("_clipped"), F.col("n")).alias("width_clipped_rate"), ratio(F.col("_empty"), F.col("n")).alias("empty_prediction_rate")]
-    return made.select(*keys, *_metrics(), "ref_chars", "edits", "mean_confidence", *rates)
+    return sums.select(*keys, *_metrics(), "ref_chars", "edits", mean, *rates)
 
 
 def score_groups(rows: DataFrame) -> DataFrame:
-    """A tally for each label of the array ``groups`` (A3)."""
-    return tally(rows.withColumn("group", F.explode("groups")), ["group"])
+    """A tally for each label of the array ``groups`` (A3): rows of equal arrays are summed up once, then the sums for each
+    label."""
+    cells = _tallied(rows, ["groups"]).withColumn("group", F.explode("groups"))
+    return _told(cells.groupBy("group").agg(*_added((*_ADDED, "_sure", "_rated", "_clipped", "_empty"))), ["group"])
 
 
 def assert_pairable(ctrl: DataFrame, treat: DataFrame, skipped: int = 0, keys: tuple[str, ...] = ("manifest_index", "image", "ref")) -> None:
@@ -92,13 +116,17 @@ def pair_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: what every paired metric needs, as integer sums (A4)."""
     right, wrong = (lambda h: F.col("ref") == F.col(h)), (lambda h: F.col("ref") != F.col(h))
     return pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.length("ref")).alias("chars"), F.sum(F.levenshtein("ref", "hyp_ctrl")).alias("e_c"),
-        F.sum(F.levenshtein("ref", "hyp_treat")).alias("e_t"), F.count_if(wrong("hyp_ctrl")).alias("w_c"), F.count_if(wrong("hyp_treat")).alias("w_t"),
+        F.count("*").alias("n"), F.sum(F.length("ref")).alias("chars"), F.sum(_edits("hyp_ctrl")).alias("e_c"),
+        F.sum(_edits("hyp_treat")).alias("e_t"), F.count_if(wrong("hyp_ctrl")).alias("w_c"), F.count_if(wrong("hyp_treat")).alias("w_t"),
         F.sum(F.length("hyp_ctrl")).alias("h_c"), F.sum(F.length("hyp_treat")).alias("h_t"),
         F.count_if(right("hyp_ctrl") & wrong("hyp_treat")).alias("b"), F.count_if(wrong("hyp_ctrl") & right("hyp_treat")).alias("c"),
     )
 
 
+#: The sums of ``pair_sums``.
+PAIR_SUMS = ("n", "chars", "e_c", "e_t", "w_c", "w_t", "h_c", "h_t", "b", "c")
+
+
 def delta_columns() -> list[Column]:
     c = F.col
     return [
@@ -117,11 +145,13 @@ def paired_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def subset_breakdown(pairs: DataFrame) -> DataFrame:
     """The 15 cells {all, covered, uncovered} x {overall, 4 buckets}, empty ones with n = 0 (A5); pairs have covered."""
     spark = pairs.sparkSession
-    subsets = F.array(F.lit("all"), F.when(F.col("covered"), "covered").otherwise("uncovered"))
-    cells = F.array_compact(F.array(F.lit("overall"), F.when(F.length("ref") > 0, F.concat(F.lit("len:"), len_bucket(F.length("ref"))))))
-    rows = pairs.withColumn("subset", F.explode(subsets)).withColumn("cell", F.explode(cells))
+    # ten cells at most, with each distance once; the fifteen are sums of theirs
+    bucket = F.when(F.length("ref") > 0, F.concat(F.lit("len:"), len_bucket(F.length("ref"))))
+    base = pair_sums(pairs.withColumns({"_in": F.when(F.col("covered"), "covered").otherwise("uncovered"), "_len": bucket}), ["_in", "_len"])
+    subset, cell = F.explode(F.array(F.lit("all"), F.col("_in"))), F.explode(F.array_compact(F.array(F.lit("overall"), F.col("_len"))))
+    sums = base.withColumn("subset", subset).withColumn("cell", cell).groupBy("subset", "cell").agg(*_added(PAIR_SUMS))
     every = spark.createDataFrame([(s, c) for s in ("all", "covered", "uncovered") for c in ("overall", *(f"len:{b}" for b in BUCKETS))], "subset string, cell string")
-    met = every.join(paired_delta(rows, ["subset", "cell"]), ["subset", "cell"], "left")
+    met = every.join(sums.select("subset", "cell", "n", *delta_columns(), "b", "c"), ["subset", "cell"], "left")
     return met.withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -691,6 +691,11 @@ def _(t):
     return bootstrap.paired_bootstrap(t.samples, method="poisson")
 
 
+@query("a6_multinomial_bootstrap")
+def _(t):
+    return bootstrap.paired_bootstrap(t.samples, method="multinomial")
+
+
 def _exact_draws(rows: str, reps: int, seed: int) -> str:
     """SQL of an exact bootstrap's interval: ``rows`` has edits and chars."""
     return f"""SELECT v[{int(0.025 * reps) + 1}] AS lo, v[{int(0.975 * reps) + 1}] AS hi FROM (SELECT list(cer ORDER BY cer) AS v FROM (SELECT sum(edits) / greatest(sum(chars), 1) AS cer FROM (

@@ -95,6 +95,82 @@ def test_sources_refuse(spark):
     scores.assert_sources(scores.attach_sources(records.where("page_id = 1"), pages))
 
 
+def test_texts_that_nfc_may_change(spark):
+    """Every character, alone and before each of some marks, is a suspect if NFC changes it; plain text and usual Tamil
+    words without joining signs are none."""
+    import random
+    import unicodedata
+
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x110000)) if chr(c).isprintable()]
+    draw = random.Random(8)
+    marks = ["\u0301", "\u0323", "\u0bbe", "\u0bd7", "\u1161", "\u11a8", "\u0bcd", "\u0327"]
+    texts = [*every, *(c + draw.choice(marks) + draw.choice(("", *marks)) for c in every), *("".join(draw.choices(every, k=6)) for _ in range(20000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    flagged = {r.t for r in df.where(charset.nfc_may_change(F.col("t"))).collect()}
+    assert {t for t in texts if unicodedata.normalize("NFC", t) != t} <= flagged
+    plain = frame(spark, [("plain ASCII",), ("naïve Grüße",), ("அம்மி",)], "t string").where(charset.nfc_may_change(F.col("t")))
+    assert plain.count() == 0
+
+
+def test_plain_text_sends_none_to_a_worker(spark):
+    """The Arrow function gets nulls for texts that NFC leaves alone."""
+    df = frame(spark, [("plain",), ("Stra\u00dfe",), ("e\u0301",), (None,)], "t string")
+    sent = []
+    real, charset._nfc = charset._nfc, lambda c: sent.append(c) or c
+    try:
+        charset.normalize_label(F.col("t"))
+    finally:
+        charset._nfc = real
+    assert [r.s for r in df.select(sent[0].alias("s")).collect()] == [None, None, "e\u0301", None]
+    assert [r.n for r in df.select(charset.normalize_label(F.col("t")).alias("n")).collect()] == ["plain", "Stra\u00dfe", "\u00e9", None]
+
+
+def test_multinomial_counts(spark):
+    """The tree's resamples have the multinomial distribution's moments, whatever its fan-out, and do not depend on
+    partitions; with few rows they look like draws made one by one."""
+    import numpy as np
+
+    weights = [1, 2, 3, 5, 9, 40, 1, 1, 7, 30, 2]
+    rows = [(k % 4, k, k % 2 / 2) for k, w in enumerate(weights) for _ in range(w)]
+    df = spark.createDataFrame(rows, "e int, c long, w double")
+    groups = df.groupBy("e", "c", "w").count().withColumnRenamed("count", "_n")
+    n, reps = len(rows), 3000
+    base = None
+    for bits in (12, 2, 1):
+        got = bootstrap._multinomial(groups, ["e", "c", "w"], reps, 5, bits).orderBy("rep").collect()
+        assert [r.rep for r in got] == list(range(reps)) and {r.n for r in got} == {n}
+        for c in ("e", "c", "w"):
+            v, x = np.array([r[c] for r in got], float), np.array([r[("e", "c", "w").index(c)] for r in rows], float)
+            assert abs(v.mean() - x.sum()) < 5 * np.sqrt(n * x.var() / reps)
+            assert abs(v.var() / (n * x.var()) - 1) < 0.15
+        base = base or got
+    again = bootstrap._multinomial(groups.repartition(3), ["e", "c", "w"], reps, 5).orderBy("rep").collect()
+    assert again == base
+    drawn = bootstrap.replicates(df, ["c"], 800, 1, "exact").agg(F.avg("c"), F.stddev("c")).first()
+    counted = bootstrap.replicates(df, ["c"], 800, 1, "multinomial").agg(F.avg("c"), F.stddev("c")).first()
+    assert abs(drawn[0] - counted[0]) < 12 and abs(drawn[1] / counted[1] - 1) < 0.2
+
+
+def test_slopes_of_very_many_pairs(spark, monkeypatch):
+    """Radix selection finds the quantiles of all pairs' slopes."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    x = np.sort(draw.integers(0, 400, 300)).astype(float)
+    y = np.r_[draw.normal(size=150), np.round(draw.normal(size=150), 1)]
+    i, j = np.triu_indices(300, 1)
+    far = x[j] - x[i] >= 30
+    slopes = ((y[j] - y[i])[far] / (x[j] - x[i])[far])
+    want = (np.median(slopes), (np.diff(np.percentile(np.degrees(np.arctan(slopes)), (25, 75)))[0]) / 2)
+    offsets = np.array([0, 300, 300, 302])
+    args = (offsets, np.r_[x, 0, 50.0], np.r_[y, 1, 2.0], np.full(3, 30.0))
+    plain = layout.fit_lines(*args)
+    monkeypatch.setattr(layout, "MOST_PAIRS", 100)
+    for slope, intercept, spread in (plain, layout.fit_lines(*args)):
+        assert np.isclose(slope[0], want[0]) and np.isclose(spread[0], want[1]) and np.isclose(intercept[0], np.median(y - want[0] * x))
+        assert np.isnan(slope[1:]).all()
+
+
 def test_bootstrap_brackets_the_delta(spark):
     rng = random.Random(4)
     rows = [("abcdefgh", "abcdefgx" if rng.random() < 0.3 else "abcdefgh", "abcdefgx" if rng.random() < 0.1 else "abcdefgh") for _ in range(400)]
