@@ -7,8 +7,9 @@ or not. Constant nodes are the template. What varies between pages is a slot, an
 each slot tells which ones are the article: the wrapper's content is the smallest element that holds nearly all of it,
 whatever its name. Slots elsewhere (a menu, an advert, a footer of changing words) are left out.
 
-What HTML itself says about an element (menus, forms, asides, names like "comments") is a second test, for what stands
-inside the article's element and for hosts of too few pages; ``roles=False`` leaves it out.
+What HTML itself says about an element (menus, forms, asides, names like "comments") is a second test, for the parts of
+the article's element and for hosts of too few pages; an element that holds half of the article's text or more is never
+left out by its role. ``roles=False`` leaves this test out.
 """
 
 from __future__ import annotations
@@ -34,13 +35,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that an opening tag of the same group ends.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class, id and role that mark what is not the article.
-ROLES = re.compile(
-    r"(^|[\s_-])(ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|footer|header|"
-    r"masthead|cookie\w*|consent|notice|newsletter|subscribe|signup|login|share|social|related|recommend\w*|"
-    r"comment\w*|disqus|popup|modal|pagination|pager|widget|toolbar|search)([\s_-]|$)",
-    re.I,
+#: Words of class, id and role that mark what is not the article, and words of place that may stand beside them in a
+#: class's name. A name with any other word in it says nothing.
+ROLE_WORDS = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|footer|header|masthead|cookies?|consent|notice|"
+    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|popup|modal|pagination|pager|widgets?|toolbar|search"
 )
+PLACE_WORDS = frozenset("site main page global top bottom left right primary secondary upper lower box block area section bar list form wrap wrapper container inner outer".split())
+#: Share of the text from which a part with such a role holds the article, and its role says nothing.
+HELD_SHARE = 0.5
 #: Share of aligned pages with the same text from which a node is template, and the fewest pages that can tell what is
 #: constant: of fewer pages nothing is, and a page's article is where most of its own text stands.
 CONSTANT_SHARE, LEAST_PAGES = 0.8, 4
@@ -55,10 +58,10 @@ MOST_BELOW = 100_000
 
 
 class Node:
-    __slots__ = ("children", "off", "tag")
+    __slots__ = ("children", "off", "other", "tag")
 
-    def __init__(self, tag: str, off: bool) -> None:
-        self.tag, self.off, self.children = tag, off, []
+    def __init__(self, tag: str, off: bool, other: bool = False) -> None:
+        self.tag, self.off, self.other, self.children = tag, off, other, []
 
 
 #: Comments, elements whose content is no markup, tags, other declarations, an unfinished tag at the end, text.
@@ -72,7 +75,7 @@ NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 
 def tree(source: str, roles: bool = True) -> Node:
     """A forgiving DOM: tags that were never closed end with their parent, stray end tags are dropped. Nodes are ``off``
-    where nothing is shown and, with ``roles``, where HTML says that it is no article."""
+    where nothing is shown, and ``other`` where, with ``roles``, HTML says that they are no article."""
     root = Node("#root", False)
     path = [root]
     for m in TOKEN.finditer(source):
@@ -95,7 +98,7 @@ def tree(source: str, roles: bool = True) -> Node:
             tag = tag.lower()
             _close_for(tag, path)
             other = roles and (tag in BOILERPLATE or bool(attrs.strip(" /") and _other_role(attrs)))
-            node = Node(tag, path[-1].off or tag in SILENT or other)
+            node = Node(tag, path[-1].off or tag in SILENT, other)
             path[-1].children.append(node)
             if tag not in VOID and not attrs.endswith("/"):
                 path.append(node)
@@ -103,7 +106,12 @@ def tree(source: str, roles: bool = True) -> Node:
 
 
 def _other_role(attrs: str) -> bool:
-    return any(m[4] or ROLES.search(m[1] or m[2] or m[3] or "") for m in NAMED.finditer(attrs))
+    return any(m[4] or any(map(_role_name, (m[1] or m[2] or m[3] or "").lower().split())) for m in NAMED.finditer(attrs))
+
+
+def _role_name(name: str) -> bool:
+    words = [bool(ROLE_WORDS.fullmatch(w)) or w in PLACE_WORDS and None for w in re.split("[_-]+", name) if w]
+    return any(words) and False not in words
 
 
 def _close_for(tag: str, path: list[Node]) -> None:
@@ -344,12 +352,18 @@ def _weight(text: str) -> int:
     return (text.count(" ") + 1) ** 2 if text else 0
 
 
-def article(root: Node, weights: dict[int, int]) -> Node:
-    """The smallest element that holds ARTICLE_SHARE of the weight (of nodes by their id) and has blocks in it: what holds
-    text itself is a block of the article, not the article."""
+def _weighed(root: Node, weights: dict[int, int]) -> dict[int, int]:
+    """The weight (of nodes by their id) in and below each element."""
     below: dict[int, int] = {}
     for n in reversed(elements(root)):
         below[id(n)] = 0 if n.off else weights.get(id(n), 0) + sum(below[id(c)] for c in n.children if isinstance(c, Node))
+    return below
+
+
+def article(root: Node, weights: dict[int, int]) -> Node:
+    """The smallest element that holds ARTICLE_SHARE of the weight and has blocks in it: what holds text itself is a block
+    of the article, not the article."""
+    below = _weighed(root, weights)
     path = [root]
     while below[id(path[-1])]:
         most = max((c for c in path[-1].children if isinstance(c, Node)), key=lambda c: below[id(c)], default=None)
@@ -362,17 +376,35 @@ def article(root: Node, weights: dict[int, int]) -> Node:
     return path[-1]
 
 
+def _aside(root: Node, weights: dict[int, int]) -> set[int]:
+    """Ids of the elements of another role that hold less than HELD_SHARE of the weight, and of all below them."""
+    below = _weighed(root, weights)
+    out: set[int] = set()
+    for n in elements(root):
+        if id(n) in out or n.other and below[id(n)] < max(HELD_SHARE * below[id(root)], 1):
+            out.update(id(x) for x in (n, *n.children) if isinstance(x, Node))
+    return out
+
+
 def main_text(root: Node, template: set[int], weights: dict[int, int] | None = None, said: list[tuple[Node, str]] | None = None) -> str:
     """The varying text of the article's element, and of headings of the first rank before it, block by block.
 
-    ``template``: ids of constant nodes. ``weights``: how much the host's pages show in the slot of each node; without
-    them, what this page shows there (``said``: its nodes' texts, where they are known).
+    ``template``: ids of constant nodes. ``weights``: how much the host's pages show in the slot of each node: they tell
+    the article's element, whatever its parts are called; without them, what this page shows there (``said``: its nodes'
+    texts, where they are known) tells it, less the parts of other roles. Parts of other roles are left out of the text,
+    but never an element that holds the article or half of it.
     """
     own = {id(n): _weight(t) for n, t in said or nodes(root) if t and id(n) not in template and not n.off}
-    top = article(root, weights if weights and any(weights.get(k) for k in own) else own)
+    if weights and any(weights.get(k) for k in own):
+        top = article(root, weights)
+    else:
+        weights, aside = own, _aside(root, own)
+        top = article(root, {k: w for k, w in own.items() if k not in aside})
+    aside = _aside(top, weights)
     blocks: list[list[str]] = [[]]
     todo: list = [(root, top is not root, 0)]
     seen = top is root
+    holders = _holders(root, top)
     while todo:
         n, hidden, k = todo.pop()
         if k == 0 and n.tag not in INLINE and n.tag != "#root":
@@ -385,7 +417,7 @@ def main_text(root: Node, template: set[int], weights: dict[int, int] | None = N
                     blocks[-1].append(c)
             elif c.tag == "br":
                 blocks[-1].append(" ")
-            elif not c.off:
+            elif not c.off and id(c) not in aside and (not c.other or not hidden or id(c) in holders):
                 seen |= c is top
                 todo += [(n, hidden, k), (c, hidden and c is not top and (seen or c.tag != "h1"), 0)]
                 break
@@ -395,6 +427,16 @@ def main_text(root: Node, template: set[int], weights: dict[int, int] | None = N
     return "\n\n".join(x for x in (_space(entities.unescape("".join(b))) for b in blocks) if x)
 
 
+def _holders(root: Node, top: Node) -> set[int]:
+    """Ids of ``top`` and of the elements above it."""
+    above = {id(c): n for n in elements(root) for c in n.children if isinstance(c, Node)}
+    out = {id(top)}
+    while top is not root:
+        top = above[id(top)]
+        out.add(id(top))
+    return out
+
+
 def _extract(page_id, url, html, reference, template, roles: bool) -> dict[str, object]:
     texts = []
     for page, ref, known in zip(html.to_pylist(), reference.to_pylist(), template.to_pylist()):

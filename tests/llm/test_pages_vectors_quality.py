@@ -39,6 +39,29 @@ def test_constant_nodes_become_template(spark):
     assert html.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", [
+    "<body class='has-sidebar'>{}</body>", "<body class='page widget-area'>{}</body>", "<body class='nav-open'>{}</body>", "<body class='no-sidebar single'>{}</body>",
+    "<div class='search-results'>{}</div>", "<section id='social-policy'>{}</section>", "<div class='article-header'>{}</div>", "<section class='comment-analysis'>{}</section>",
+    "<form>{}</form>", "<body class='sidebar'><nav>menu</nav>{}<div class='site-footer'>foot</div></body>", "<main hidden>{}</main>",
+])
+def test_roles_never_take_the_article(around):
+    """A name on an element that holds the article, or a name with a word of another kind in it, takes nothing away."""
+    body = "<article><h1>Head</h1><p>One long enough paragraph of the article.</p><div class='share'>send</div><p>And a second one.</p></article>"
+    assert html.main_text(html.tree(around.format(body)), set()) == "Head\n\nOne long enough paragraph of the article.\n\nAnd a second one."
+
+
+def test_the_template_decides_in_the_query(spark, monkeypatch):
+    """With the template off, some of the query's texts are others: the wrapper decides before the roles do."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    texts = lambda: {r.page_id: r.text for r in html.main_texts(pages).collect()}
+    want = {r.page_id: _article(r.html) for r in pages.collect()}
+    found = texts()
+    assert sum(found[k] == want[k] for k in want) >= 0.998 * len(want)
+    monkeypatch.setattr(html, "LEAST_PAGES", 10**9)
+    plain = texts()
+    assert sum(found[k] != plain[k] for k in want) >= 0.01 * len(want)
+
+
 def test_copied_articles_stay(spark):
     page = "<html><body><nav>a</nav><article><p>The same story on each page.</p></article></body></html>"
     df = spark.createDataFrame([(k, f"http://h/{k}", page) for k in range(30)], "page_id long, url string, html string")
