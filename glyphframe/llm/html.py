@@ -42,7 +42,9 @@ ROLE_WORDS = re.compile(
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|popup|modal|pagination|pager|widgets?|toolbar|search"
 )
 PLACE_WORDS = frozenset("site main page global top bottom left right primary secondary upper lower box block area section bar list form wrap wrapper container inner outer".split())
-#: Share of the text from which a part with such a role holds the article, and its role says nothing.
+#: Of these elements and names, those that may well hold an article: a page in one form, a name on the body.
+HOLDS = frozenset("form header dialog label".split())
+#: Share of the text beyond which a part with such a role holds the article, and its role says nothing.
 HELD_SHARE = 0.5
 #: Share of aligned pages with the same text from which a node is template, and the fewest pages that can tell what is
 #: constant: of fewer pages nothing is, and a page's article is where most of its own text stands.
@@ -377,11 +379,12 @@ def article(root: Node, weights: dict[int, int]) -> Node:
 
 
 def _aside(root: Node, weights: dict[int, int]) -> set[int]:
-    """Ids of the elements of another role that hold less than HELD_SHARE of the weight, and of all below them."""
+    """Ids of the elements of another role, and of all below them; not of HOLDS, nor by a name, with more than HELD_SHARE of the weight."""
     below = _weighed(root, weights)
     out: set[int] = set()
     for n in elements(root):
-        if id(n) in out or n.other and below[id(n)] < max(HELD_SHARE * below[id(root)], 1):
+        strict = n.tag in BOILERPLATE and n.tag not in HOLDS
+        if id(n) in out or n.other and (strict or below[id(n)] <= HELD_SHARE * below[id(root)]):
             out.update(id(x) for x in (n, *n.children) if isinstance(x, Node))
     return out
 

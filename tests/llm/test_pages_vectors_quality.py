@@ -51,15 +51,21 @@ def test_roles_never_take_the_article(around):
 
 
 def test_the_template_decides_in_the_query(spark, monkeypatch):
-    """With the template off, some of the query's texts are others: the wrapper decides before the roles do."""
+    """Where elements' names say nothing, the query's texts come from the template alone: with it off, many are others."""
+    from pyspark.sql import functions as F
+
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    texts = lambda: {r.page_id: r.text for r in html.main_texts(pages).collect()}
     want = {r.page_id: _article(r.html) for r in pages.collect()}
+    said = F.regexp_replace("html", 'class="ad"', 'class="x9"')
+    for k, name in enumerate(("article", "nav", "footer", "aside", "header")):
+        said = F.regexp_replace(said, f"(</?){name}(?=[ >])", f"$1q{k}w")
+    pages = pages.withColumn("html", said)
+    texts = lambda: {r.page_id: r.text for r in html.main_texts(pages).collect()}
     found = texts()
-    assert sum(found[k] == want[k] for k in want) >= 0.998 * len(want)
+    assert sum(found[k] == want[k] for k in want) >= 0.98 * len(want)
     monkeypatch.setattr(html, "LEAST_PAGES", 10**9)
     plain = texts()
-    assert sum(found[k] != plain[k] for k in want) >= 0.01 * len(want)
+    assert sum(found[k] != plain[k] for k in want) >= 0.02 * len(want)
 
 
 def test_copied_articles_stay(spark):
