@@ -65,9 +65,18 @@ MANIFEST = "image string, label string, source string, orig string, style string
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the non-blank lines of a text file with their 0-based number; blank ones count."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """(line, value): the non-blank lines of a text file with their 0-based number; blank ones count.
+
+    Files are read by splits. Lines are numbered within their split; the splits' own counts, a small table, give the number
+    at which each begins. Each file of a folder has numbers of its own.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")
+    )
+    splits = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each split
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("_file", "_from", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    lines = rows.join(splits, ["_file", "_from"]).select((F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     return lines.where(F.trim("value") != "")
 
 
@@ -143,9 +152,11 @@ def write_manifest(rows: DataFrame, out: str) -> None:
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """(word, freq) of a JSON object file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "freq"))
+    """(word, freq) of a JSON object file (S10): all on one line, or one entry a line, which splits can read."""
+    line = F.regexp_replace(F.trim(F.regexp_replace("value", "\r$", "")), r",$|^\{$|^\}$", "")
+    whole = spark.read.option("lineSep", "\n").text(path).select(line.alias("_l")).where("_l <> ''")
+    entry = F.when(F.col("_l").startswith("{") & F.col("_l").endswith("}"), F.col("_l")).otherwise(F.concat(F.lit("{"), F.col("_l"), F.lit("}")))
+    return whole.select(F.explode(F.from_json(entry, "map<string,bigint>")).alias("word", "freq"))
 
 
 def vocab_json(vocab: DataFrame) -> DataFrame:
@@ -157,8 +168,43 @@ def vocab_json(vocab: DataFrame) -> DataFrame:
     )
 
 
+def vocab_lines(vocab: DataFrame) -> DataFrame:
+    """(value): the same object with an entry a line, in order; no row holds the list."""
+    end = vocab.agg(F.max(F.struct((-F.col("freq")).alias("n"), "word")).alias("_end"))  # one row
+    said = F.concat(F.regexp_replace(F.to_json(F.array("word")), r"^\[|\]$", ""), F.lit(": "), F.col("freq").cast("string"))
+    comma = F.when(F.struct((-F.col("freq")).alias("n"), F.col("word")) == F.col("_end"), "").otherwise(",")
+    rows = vocab.crossJoin(F.broadcast(end)).select(F.lit(1).alias("k"), (-F.col("freq")).alias("n"), "word", F.concat(said, comma).alias("value"))
+    ends = vocab.sparkSession.createDataFrame([(0, 0, "", "{"), (2, 0, "", "}")], rows.schema)
+    return rows.union(ends).orderBy("k", "n", "word").select("value")
+
+
 def write_vocab(vocab: DataFrame, out: str) -> None:
-    vocab_json(vocab).write.text(out)
+    """The object with an entry a line."""
+    write_joined(vocab_lines(vocab), out)
+
+
+def write_joined(lines: DataFrame, out: str) -> None:
+    """One file in the folder ``out`` with the lines (value) in the order of ``lines``: its partitions are written as ordered
+    parts by as many tasks, and their bytes then appended to each other, a buffer at a time. An existing folder is refused."""
+    spark = lines.sparkSession
+    parts = f"{new_folder(spark)}/parts"
+    lines.select("value").write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files, target = path(parts).getFileSystem(conf), path(out).getFileSystem(conf)
+    if target.exists(path(out)):
+        raise FileExistsError(f"{out} already exists")
+    stream = target.create(path(f"{out}/part-00000.txt"), False)
+    try:
+        for part in sorted(str(f.getPath()) for f in files.listStatus(path(parts)) if f.getPath().getName().startswith("part-")):
+            source = files.open(path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, conf, False)
+            finally:
+                source.close()
+    finally:
+        stream.close()
+    files.delete(path(parts).getParent(), True)
 
 
 def read_text_dir(spark: SparkSession, root: str) -> DataFrame:

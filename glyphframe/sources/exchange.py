@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import status_of
-from .corpus import read_lines
+from .corpus import read_lines, write_joined
 
 SAMPLE = "manifest_index long, image string, style string, font string, ref string, hyp string, edits int, ref_len int, hyp_len int, correct boolean"
 
@@ -33,7 +33,7 @@ def sample_lines(samples: DataFrame, kept: int, skipped: int = 0) -> DataFrame:
 
 
 def write_samples(samples: DataFrame, out: str, kept: int, skipped: int = 0) -> None:
-    sample_lines(samples, kept, skipped).coalesce(1).write.text(out)
+    write_joined(sample_lines(samples, kept, skipped), out)
 
 
 BOX = "id string, x int, y int, w int, h int, line_index int, column_index int"
@@ -78,7 +78,9 @@ def read_boxes_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_boxes_csv(boxes: DataFrame, out: str) -> None:
-    boxes.orderBy("seq").select(*_BOX_FIELDS).coalesce(1).write.option("header", True).csv(out)
+    head = boxes.sparkSession.createDataFrame([(-1, ",".join(_BOX_FIELDS))], "seq long, value string")
+    rows = boxes.select(F.col("seq").cast("long").alias("seq"), F.to_csv(F.struct(*_BOX_FIELDS)).alias("value"))
+    write_joined(head.union(rows).orderBy("seq"), out)
 
 
 def csv_safe(cell: Column) -> Column:
@@ -87,9 +89,10 @@ def csv_safe(cell: Column) -> Column:
 
 
 def write_csv_safe(df: DataFrame, out: str) -> None:
-    """CSV with a byte-order mark on the header and safe string cells."""
+    """CSV with a byte-order mark on the header and safe string cells, in the order of ``df``."""
     safe = df.select(*(csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
-    safe.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]).coalesce(1).write.option("header", True).csv(out)
+    head = df.sparkSession.range(1).select(F.concat(F.lit("﻿"), F.to_csv(F.struct(*(F.lit(c).alias(c) for c in df.columns)))).alias("value"))
+    write_joined(head.union(safe.select(F.to_csv(F.struct(*df.columns)).alias("value"))), out)
 
 
 def batch_lines(items: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def batch_lines(items: DataFrame) -> DataFrame:
 
 
 def write_batch_txt(items: DataFrame, out: str) -> None:
-    batch_lines(items).coalesce(1).write.text(out)
+    write_joined(batch_lines(items), out)
 
 
 def error_lines(samples: DataFrame) -> DataFrame:

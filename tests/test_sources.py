@@ -93,6 +93,40 @@ def test_boxes_csv(spark, tmp_path):
         exchange.read_boxes_csv(spark, str(tmp_path / "n.csv")).collect()
 
 
+def test_files_of_many_splits(spark, tmp_path):
+    """Lines keep their numbers whatever the splits, and writers keep their order over many tasks."""
+    lines = [f'{{"image": "i{k}", "label": "{k}", "source": "s"}}' if k % 7 else "" for k in range(3000)]
+    (tmp_path / "m.jsonl").write_bytes("\r\n".join(lines).encode() + b"\n\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = corpus.read_lines(spark, str(tmp_path / "m.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path / "m.jsonl")).rdd.getNumPartitions() > 20
+        assert {r.line: r.value for r in rows.collect()} == {k: v for k, v in enumerate(lines) if v}
+        assert corpus.read_manifest(spark, str(tmp_path / "m.jsonl")).agg(F.max("line")).first()[0] == 2999
+
+        s = spark.range(5000).repartition(9).selectExpr("id AS manifest_index", "concat('r', id) AS ref", "'h' AS hyp")
+        exchange.write_samples(s, str(tmp_path / "s"), kept=5000)
+        got, meta = exchange.read_samples(spark, str(tmp_path / "s"))
+        assert meta.count() == 1 and sorted(r.ref for r in got.collect()) == sorted(f"r{k}" for k in range(5000))
+        said = next((tmp_path / "s").glob("part-*")).read_text().splitlines()
+        assert "_meta" in said[0] and [json.loads(x)["manifest_index"] for x in said[1:]] == list(range(5000))
+
+        v = spark.range(4000).repartition(5).selectExpr('concat(\'w"\', id) AS word', "id % 50 AS freq")
+        corpus.write_vocab(v, str(tmp_path / "v"))
+        assert len(json.loads(next((tmp_path / "v").glob("part-*")).read_text())) == 4000
+        assert sorted(map(tuple, corpus.read_vocab(spark, str(tmp_path / "v")).collect())) == sorted(map(tuple, v.collect()))
+
+        b = spark.range(3000).repartition(6).selectExpr("id AS seq", "concat('b', id) AS id", *(f"cast(id AS int) AS {c}" for c in ("x", "y", "w", "h", "line_index", "column_index")))
+        exchange.write_boxes_csv(b, str(tmp_path / "b"))
+        again = exchange.read_boxes_csv(spark, str(tmp_path / "b"))
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, b.collect()))
+        with pytest.raises(FileExistsError):
+            exchange.write_boxes_csv(b, str(tmp_path / "b"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([("=cmd.png", 1), ("-1", 2), ("ok", 3)], "name string, n int")
     exchange.write_csv_safe(df, str(tmp_path / "c"))
