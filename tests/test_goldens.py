@@ -125,6 +125,21 @@ def test_plain_text_sends_none_to_a_worker(spark):
     assert [r.n for r in df.select(charset.normalize_label(F.col("t")).alias("n")).collect()] == ["plain", "Stra\u00dfe", "\u00e9", None]
 
 
+def test_intervals_that_overlap(spark):
+    """All overlaps, each once, for any least width; and very many intervals of one key without all of their pairs."""
+    import random
+
+    draw = random.Random(6)
+    make = lambda n: [(k % 2, lo := draw.randint(-40, 40), lo + draw.choice((0, 1, 2, 5, 9, 33))) for k in range(n)]
+    a, b = make(60), make(50)
+    da, db = (frame(spark, x, "k int, lo int, hi int") for x in (a, b))
+    for least in (0, 1, 2, 7, 2.5):
+        want = sorted((k, max(x, u), min(y, v)) for k, x, y in a for m, u, v in b if k == m and min(y, v) - max(x, u) >= least)
+        assert sorted(map(tuple, layout.interval_intersect(da, db, ["k"], least).collect())) == want
+    many = spark.range(100_000).selectExpr("1 AS k", "id * 10 AS lo", "id * 10 + 15 AS hi")
+    assert layout.interval_intersect(many, many, ["k"], 3).agg(F.count("*"), F.min(F.col("hi") - F.col("lo"))).first() == (299_998, 5)
+
+
 def test_multinomial_counts(spark):
     """The tree's resamples have the multinomial distribution's moments, whatever its fan-out, and do not depend on
     partitions; with few rows they look like draws made one by one."""
