@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -195,16 +196,16 @@ def test_lines_of_repeated_and_null_rows(spark):
 def brute_sentences(texts):
     first, late = {}, defaultdict(set)
     for i in sorted(texts):
-        for pos, h in spans.span_hashes(texts[i] or ""):
+        for pos, size, h in spans.spans(texts[i] or ""):
             if h in first:
-                late[i].add(pos)
+                late[i] |= set(range(pos, pos + size))
             else:
                 first[h] = (i, pos)
     out = {}
     for i, t in texts.items():
         pieces = spans.sentences(t or "")
         said = [k for k, s in enumerate(pieces) if s.split()]
-        gone = {said[p + j] for p in late[i] for j in range(spans.SENTENCES)}
+        gone = {said[p] for p in late[i]}
         out[i] = (len(said), len(gone), "".join(s for k, s in enumerate(pieces) if k not in gone))
     return out
 
@@ -236,22 +237,26 @@ def test_short_texts_and_long_sentences_are_spans(spark):
     texts = {1: two, 2: two, 3: f"Own one. Own two. {long}Own three. Own four.", 4: f"My one. My two. {long}My three. My four.", 5: "一。" + chinese, 6: "二。" + chinese, 7: "Too short. Yes.", 8: "Too short. Yes."}
     assert len(spans.sentences(chinese)) == 3
     got = {r.doc_id: r.n_removed for r in spans.drop_repeated_sentences(_frame(spark, texts), spans.SHORT_WORDS).collect()}
-    assert got == {1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 3, 7: 0, 8: 0}
+    assert got == {1: 0, 2: 2, 3: 0, 4: len(spans.sentences(long)), 5: 0, 6: 3, 7: 0, 8: 0}
 
 
 def test_spans_against_lists_of_sentences(spark):
-    """Brute force over documents that are made as lists of sentences, so nothing of the operator's splitting is used."""
+    """Brute force over documents that are made as lists of sentences, so nothing of the operator's splitting is used. Words
+    of long sentences are alike in the checksum's order (it falls to their end), so that none is cut."""
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
-    pool = [" ".join(word() for _ in range(rng.choice([2, 5, 8, 16, 33]))) + "." for _ in range(12)]
+    falling = lambda n: sorted((word() for _ in range(n)), key=lambda w: zlib.crc32(w.encode()))
+    pool = [" ".join(falling(rng.choice([1, 1, 2, 5, 8, 16, 33]))) + "." for _ in range(14)]
+    pool = [p for p in pool if len(spans.sentences(p)) == 1]
     made = {k: [rng.choice(pool) for _ in range(rng.randrange(9))] for k in range(150)}
     seen = defaultdict(list)
     for i, said in made.items():
         for k in range(len(said)):
-            for size in range(1, min(3, len(said) - k) + 1):
-                words = " ".join(said[k : k + size]).lower().split()
-                if len(words) >= (15 if size in (3, len(said)) else spans.SHORT_WORDS):
-                    seen[tuple(words)].append((i, k, size))
+            counts = [len(" ".join(said[k : k + size]).split()) for size in range(len(said) - k + 1)]
+            enough = next((size for size in range(3, len(counts)) if counts[size] >= 15), 0)
+            for size in {1, 2, enough} & set(range(1, len(counts))):
+                if counts[size] >= 15:
+                    seen[tuple(" ".join(said[k : k + size]).lower().split())].append((i, k, size))
     gone = defaultdict(set)
     for found in seen.values():
         for i, k, size in sorted(found)[1:]:
@@ -264,6 +269,39 @@ def test_spans_against_lists_of_sentences(spark):
     assert sum(map(len, gone.values())) > 100
 
 
+def test_passages_set_into_other_sentences_are_caught(spark):
+    """Passages of 51 to 80 words from anywhere in a long sentence, or of one-word sentences, set in at a word."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9)))
+    texts, clean = {}, range(1000, 1200)
+    for k in range(100):
+        end = "!!" if k % 4 == 0 else "." if k % 4 == 1 else ""
+        passage = [word() + (end if k % 4 == 0 or rng.random() < 0.1 else "") for _ in range(rng.randrange(51, 80))]
+        for i in (2 * k, 2 * k + 1):
+            mine = [word() + ("." if rng.random() < 0.05 else "") for _ in range(100)]
+            at = rng.randrange(100)
+            texts[i] = " ".join(mine[:at] + passage + mine[at:])
+    texts |= {i: " ".join(word() + ("." if rng.random() < 0.1 else "") for _ in range(150)) for i in clean}
+    got = {r.doc_id: (r.n_removed, r.text) for r in spans.drop_repeated_sentences(_frame(spark, texts), spans.SHORT_WORDS).collect()}
+    assert sum(got[2 * k + 1][0] > 0 for k in range(100)) >= 98
+    assert all(got[2 * k][0] == 0 for k in range(100)) and all(got[i] == (0, texts[i]) for i in clean)
+    assert sum(len(texts[i].split()) - len(got[i][1].split()) for i in range(1, 200, 2)) > 100 * 35
+
+
+def test_a_span_in_very_many_rows_is_first_once(spark):
+    """One passage fills several range partitions, whose edges are settled by table."""
+    passage = "A first line of some words is here. A second line of some more words is here. And the third one is the last."
+    df = _frame(spark, {i: f"{passage} Own{i}." for i in range(3000)}).repartition(6)
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spans.late_spans(df).collect()
+        got = {r.doc_id: r.n_removed for r in spans.drop_repeated_sentences(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert len(rows) == 2999 and got == {i: 3 * (i > 0) for i in range(3000)}
+
+
 def test_spans_of_repeated_and_null_rows(spark):
     a = "One sentence has six words here. Another one has six words too. The third has some more words now."
     df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, None), (4, ""), (None, None)], "doc_id long, text string")
