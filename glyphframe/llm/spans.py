@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_columns, stored
+from .common import ddl, discard, map_columns, stored
 
 #: Sentences to a span, and the fewest words that a span must have (short runs repeat by chance).
 SENTENCES, LEAST_WORDS = 3, 15
@@ -53,14 +53,19 @@ def _cut(sentence: str) -> list[str]:
     words = _WORD.findall(sentence)
     if len(words) <= LONG:
         return [sentence]
-    sums = [zlib.crc32(w.rstrip().lower().encode()) for w in words]
-    words[0] = sentence[: len(sentence) - sum(map(len, words))] + words[0]
-    out, start = [], 0
+    sums = list(map(zlib.crc32, sentence.encode().lower().split()))
+    ends, left = [], 0
     for i in range(AROUND, len(words) - AROUND):
-        if sums[i] < min(sums[i - AROUND : i]) and sums[i] <= min(sums[i + 1 : i + AROUND + 1]):
-            out.append("".join(words[start : i + 1]))
-            start = i + 1
-    return [*out, "".join(words[start:])]
+        c = sums[i]
+        # most words are not even below their neighbours
+        if c < sums[i - 1] and c <= sums[i + 1] and c < min(sums[i - AROUND : i]) and c <= min(sums[i + 1 : i + AROUND + 1]):
+            ends.append(i + 1)
+    out = []
+    for end in [*ends, len(words)]:
+        out.append("".join(words[left:end]))
+        left = end
+    out[0] = sentence[: len(sentence) - sum(map(len, out))] + out[0]
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -85,19 +90,28 @@ def spans(text: str, run: int = SENTENCES, least_words: int = LEAST_WORDS, short
     """(position of the first sentence, sentences, 128-bit hash) of each span; words are compared with single spaces, A-Z
     lower. Spans are the runs of ``run`` sentences, or of as many more as make ``least_words`` words; the whole text, with
     as many words, where it has fewer sentences; and shorter runs of ``short_words`` words."""
-    said = [(s.encode().lower().split(), 0 if s.isascii() else len(_UNSPACED.findall(s)) // 2) for s in sentences(text)]
-    said = [(w, len(w) + more) for w, more in said if w]
-    out = []
-    for k in range(len(said)):
-        words, n = [], 0
+    ends, counts, joined = [], [], []
+    start = 0
+    for s in sentences(text):
+        if w := s.encode().lower().split():
+            joined.append(b" ".join(w))
+            counts.append(len(w) if s.isascii() else len(w) + len(_UNSPACED.findall(s)) // 2)
+            start += len(joined[-1]) + 1
+            ends.append(start)
+    whole_text, said, out = b" ".join(joined), len(joined), []
+    start = 0
+    for k in range(said):
+        n = 0
         # each sentence has a word, so a longer run ends after ``least_words`` sentences at the latest
-        for size, (w, count) in enumerate(said[k : k + max(run, least_words)], 1):
-            words, n = words + w, n + count
-            whole = size >= run or size == len(said)
+        for j in range(k, min(k + max(run, least_words), said)):
+            n += counts[j]
+            size = j - k + 1
+            whole = size >= run or size == said
             if n >= least_words if whole else short_words is not None and n >= short_words:
-                out.append((k, size, xxhash.xxh3_128_digest(b" ".join(words))))
-            if size >= run and n >= least_words:
-                break
+                out.append((k, size, xxhash.xxh3_128_digest(whole_text[start : ends[j] - 1])))
+                if size >= run:
+                    break
+        start = ends[k]
     return out
 
 
@@ -110,8 +124,11 @@ def _hashed(doc_id: pa.Array, mark: pa.Array, text: pa.Array, short_words: int |
     """``pos`` is the first sentence's position times 64, and the number of sentences."""
     docs, marks, at, h = [], [], [], []
     for d, m, t in zip(doc_id.to_pylist(), mark.to_pylist(), text):
-        for pos, size, digest in spans(t.as_py(), short_words=short_words):
-            docs.append(d), marks.append(m), at.append(pos << 6 | size), h.append(digest)
+        found = spans(t.as_py(), short_words=short_words)
+        docs += [d] * len(found)
+        marks += [m] * len(found)
+        at += [pos << 6 | size for pos, size, _ in found]
+        h += [digest for _, _, digest in found]
     halves = np.frombuffer(b"".join(h), "<i8").reshape(-1, 2)
     return {"h1": halves[:, 0].copy(), "h2": halves[:, 1].copy(), "doc_id": docs, "mark": marks, "pos": at}
 
@@ -144,10 +161,12 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def late_spans(docs: DataFrame, short_words: int | None = None) -> DataFrame:
     """(doc_id, mark, pos): the spans that are not the first of their hash. One shuffle of all spans, by range."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("doc_id is not null and text is not null")
-    found = map_columns(rows, lambda d, m, t: _hashed(d, m, t, short_words), _SPAN)
+    # written once: ranges are found from a first look at all spans
+    found = stored(map_columns(rows, lambda d, m, t: _hashed(d, m, t, short_words), _SPAN))
     ranged = found.repartitionByRange(*_SPAN).sortWithinPartitions(*_SPAN)
     # written once: both uses below must see the same partitions
     streamed = stored(ranged.mapInArrow(_stream, ddl(_STREAMED)))
+    discard(found)
     place, first = F.struct(*_AT), F.struct(*(F.col(f"first_{c}").alias(c) for c in _AT))
     # at most one hash of a first run and one of a last run for each partition: small enough to broadcast at any size
     edges = streamed.where(F.col("state") != LATE).groupBy("h1", "h2").agg(F.min(first).alias("least"))
