@@ -438,3 +438,11 @@ def test_reserved_ranges_both_ways(spark):
     ranges = frame(spark, [(0, 5_000_000), (10**9, 10**9 + 9_000_000)], "lo long, hi long")
     few, many = planning.reserved_range_hits(draws, ranges).first(), planning.reserved_range_hits(draws, ranges, most=1).first()
     assert tuple(few) == tuple(many) and few.hits == sum(0 <= s < 5_000_000 or 10**9 <= s < 10**9 + 9_000_000 for s in range(0, 2_000_000_000, 1_000_003))
+
+
+def test_token_edits_of_very_many_tokens(spark):
+    words = [f"w{k}" for k in range(25_000)]
+    pairs = [(" ".join(words), "w0 other w24999 w7"), ("w0 other", " ".join(words)), ("a b c", "a x c d"), ("", "a b"), (None, "a")]
+    df = spark.createDataFrame(pairs, "ref string, hyp string")
+    got = [r.d for r in df.select(text.token_edits(F.col("ref"), F.col("hyp")).alias("d")).collect()]
+    assert got == [24_998, 24_999, 2, 2, None]
