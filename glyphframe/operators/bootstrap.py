@@ -10,8 +10,10 @@ copies by such bits, one row for each pair; for groups of more than SMALL_MEAN r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -129,26 +131,71 @@ def _summer(seed: int, sums: list[str]) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+#: Exact draws: distinct tuples that a task holds (24 bytes each), its replicates, and draws that it makes at a time.
+HELD_BITS, EXACT_CHUNK, SLICE = 20, 25, 1 << 16
+
+
+def _exact(groups: DataFrame, sums: list[str], reps: int, seed: int, bits: int = HELD_BITS, chunk: int = EXACT_CHUNK) -> DataFrame:
+    """(rep, n, sums): each of as many draws as rows made by hash, and looked up among the tuples in their order.
+
+    The tuples are cut into nodes of 2**bits. A task has one node and some replicates: it makes their draws, a slice at a
+    time, and adds up those that fall into its node. So no row is formed or shuffled for a draw, and no task holds more
+    than a node; draws are made once for each node.
+    """
+    placed = _numbered(kept(groups), sums, bits).withColumn("node", F.expr(f"shiftright(_pos, {bits})"))
+    sizes = placed.groupBy("node").agg(F.sum("_n").alias("_w"))  # a row for each node
+    upto, every = F.sum("_w").over(Window.orderBy("node")), F.sum("_w").over(Window.partitionBy())
+    sizes = sizes.select("node", (upto - F.col("_w")).alias("_lo"), every.alias("_total"))
+    held = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_pos", "_n", *sums))).alias("_k")).join(sizes, "node")
+    held = held.select("_lo", "_total", *(F.col("_k").getField(c).alias(c) for c in ("_n", *sums)))
+    starts = groups.sparkSession.range(0, reps, chunk).select(F.col("id").alias("_from"), F.least(F.col("id") + chunk, F.lit(reps)).alias("_to"))
+    dealt = held.crossJoin(F.broadcast(starts)).repartition(max(1, math.ceil(reps / chunk)))
+    kinds = {c: "double" if t in ("double", "float") else "long" for c, t in groups.dtypes if c in sums}
+    parts = dealt.mapInArrow(_drawer(seed, sums), ", ".join(["rep long", "n long", *(f"`{c}` {kinds[c]}" for c in sums)]))
+    return parts.groupBy("rep").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
+def _drawer(seed: int, sums: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes the draws of each row's replicates, and sums those within its node. Nulls add nothing; only nulls give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                lo, total, first, after = (b.column(c)[k].as_py() for c in ("_lo", "_total", "_from", "_to"))
+                ends = lo + np.cumsum(b.column("_n")[k].values.to_numpy(zero_copy_only=False))
+                values = [b.column(c)[k].values for c in sums]
+                known = [v.is_valid().to_numpy(zero_copy_only=False) for v in values]
+                values = [v.fill_null(0).to_numpy(zero_copy_only=False) for v in values]
+                made, seen = np.zeros((len(sums), after - first), dtype=object), np.zeros((len(sums) + 1, after - first), int)
+                for at in range(0, total, SLICE):
+                    numbers = [b"%d" % j for j in range(at, min(at + SLICE, total))]
+                    for rep in range(first, after):
+                        key = b"%d|%d|" % (seed, rep)
+                        bits = np.frombuffer(b"".join([md5(key + j).digest() for j in numbers]), ">u8")[::2] >> np.uint64(12)
+                        spots = np.floor(bits.astype(float) / 16.0**13 * total).astype(np.int64)
+                        spots = spots[(spots >= lo) & (spots < ends[-1])]
+                        drawn = np.searchsorted(ends, spots, side="right")
+                        seen[-1, rep - first] += len(drawn)
+                        for c, (v, ok) in enumerate(zip(values, known)):
+                            made[c, rep - first] += v[drawn].sum().item()
+                            seen[c, rep - first] += int(ok[drawn].sum())
+                some = np.flatnonzero(seen[-1])
+                columns = [pa.array([made[c, r] if seen[c, r] else None for r in some], pa.float64() if values[c].dtype.kind == "f" else pa.int64()) for c in range(len(sums))]
+                yield pa.RecordBatch.from_arrays([pa.array(some + first), pa.array(seen[-1, some]), *columns], names=["rep", "n", *sums])
+
+    return run
+
+
 def replicates(rows: DataFrame, sums: list[str], reps: int, seed: int, method: str = "exact") -> DataFrame:
     """(rep, n, sums, method): ``sums`` of each resample with replacement, by "exact" draws, "multinomial" counts (the same
     distribution, without a row for each draw) or "poisson" weights."""
     if method not in ("exact", "multinomial", "poisson"):
         raise ValueError(f"no method {method!r}: exact, multinomial or poisson")
-    spark = rows.sparkSession
     groups = rows.groupBy(*sums).agg(F.count("*").alias("_n"))
     if method == "multinomial":
         return _multinomial(groups, sums, reps, seed).withColumn("method", F.lit("multinomial"))
     if method == "exact":
-        total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        rep = spark.range(reps).withColumnRenamed("id", "rep")
-        # cumulative counts over the distinct tuples; a draw falls into one of these intervals
-        order = Window.orderBy(*sums)
-        spans = groups.withColumn("_hi", F.sum("_n").over(order)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-        spots = spans.select(*sums, F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("_at"))
-        draws = rep.select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(total - 1, 0)))).alias("j"))
-        at = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("j")) * total)
-        met = draws.select("rep", at.alias("_at")).join(spots, "_at")
-        return met.groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums)).withColumn("method", F.lit("exact"))
+        return _exact(groups, sums, reps, seed).withColumn("method", F.lit("exact"))
     key = [F.lit(seed), F.col("rep"), *(F.col(c) for c in sums)]
     groups = groups.withColumn("_sums", _poisson_sums(F.col("_n").cast("double")))
     copies = groups.select(*sums, "_n", "_sums", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
