@@ -69,11 +69,31 @@ def needs(name: str) -> list[str]:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = WORDS_SPARK if name == "words" else SQL[name]
+    made = {}
+    if name == "components":
+        # a page's components come from one document: dealt as whole texts, they are dealt by page for all that follows
+        made["words"] = words(by_document(load(spark, sf_dir, "documents")))
+    elif name == "words":
+        return words(load(spark, sf_dir, "documents"))
+    text = SQL[name]
     for key, (ours, _) in DIALECT.items():
         text = text.replace(f"{{{key}}}", ours)
-    used = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{u: load(spark, sf_dir, u) for u in used})
+    used = set(re.findall(r"\{(\w+)\}", text)) - set(made)
+    return spark.sql(text, **made, **{u: load(spark, sf_dir, u) for u in used})
+
+
+def words(documents: DataFrame) -> DataFrame:
+    return documents.sparkSession.sql(WORDS_SPARK, documents=documents)
+
+
+#: Parts that a file split of documents is dealt to: their words take many times the bytes of the texts.
+PARTS_OF_SPLIT = 8
+
+
+def by_document(documents: DataFrame) -> DataFrame:
+    """``documents`` dealt by doc_id, to so many partitions that the sorts of their words fit in memory."""
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.repartition(max(least, PARTS_OF_SPLIT * documents.rdd.getNumPartitions()), "doc_id")
 
 
 def with_fixtures(sql: str, names: list[str]) -> str:
