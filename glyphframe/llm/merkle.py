@@ -3,9 +3,11 @@
 Leaves are sorted by language and id (range partitions, then numbers within them), so a leaf is (tree, pos). The levels
 are built from below: ``BITS`` levels at a time, one group of 2**BITS neighbouring nodes makes a stored row with all of
 its levels, its own node and the link to its parent. The subroots of the languages are the leaves of one more tree, whose
-rows are linked in the same way. A recursive query then starts at every leaf and ascends from linked row to linked row;
-on the way it appends the siblings and folds the hash that is to be verified. Rows that stand above many leaves are
-stored once for each part of 2**PART_BITS leaves below them, so no key of the climb's join has more than that many rows.
+rows are linked in the same way. Leaves of one group differ only in the first siblings of their paths, which the group's
+own row has. So a recursive query starts at every group with the hashes that its leaves' offered rows give at its top,
+and ascends from linked row to linked row; on the way it appends the siblings, once for the group, and folds each leaf's
+hash that is to be verified. Rows that stand above many leaves are stored once for each part of 2**PART_BITS leaves below
+them, so no key of the climb's join has more than that many rows.
 """
 
 from __future__ import annotations
@@ -69,14 +71,18 @@ _ABOVE = (
 
 def _rows_above(nodes: DataFrame, bits: int) -> DataFrame:
     """(tree, block, levels, top, left) from nodes (tree, pos, h, left): the groups of 2**bits neighbours with their levels
-    up to ``bits`` or the tree's top; ``left`` counts the levels still to build, before and after."""
+    up to ``bits`` or the tree's top; ``left`` counts the levels still to build, before and after. Columns that the nodes
+    have besides are kept in order in ``held``."""
+    more = [c for c in nodes.columns if c not in ("tree", "pos", "h", "left")]
     grouped = nodes.groupBy("tree", F.expr(f"shiftright(pos, {bits})").alias("block")).agg(
-        F.expr("transform(array_sort(collect_list(struct(pos, h))), x -> x.h)").alias("_l"), F.first("left").alias("left")
+        F.array_sort(F.collect_list(F.struct("pos", "h", *more))).alias("_of"), F.first("left").alias("left")
     )
+    grouped = grouped.withColumn("_l", F.col("_of.h"))
     steps = f"slice(sequence(1, {bits}), 1, least({bits}, left))"
     levels = F.expr(f"aggregate({steps}, array(_l), (a, _) -> concat(a, array({_ABOVE.format(l='element_at(a, -1)')})))")
     made = grouped.withColumn("levels", levels)
-    return made.select("tree", "block", "levels", F.expr("element_at(levels, -1)[0]").alias("top"), F.expr(f"greatest(left - {bits}, 0)").alias("left"))
+    held = [F.transform("_of", lambda x: F.struct(*(x[c].alias(c) for c in more))).alias("held")] if more else []
+    return made.select("tree", "block", "levels", F.expr("element_at(levels, -1)[0]").alias("top"), F.expr(f"greatest(left - {bits}, 0)").alias("left"), *held)
 
 
 def _depth(n: Column) -> Column:
@@ -94,11 +100,13 @@ def _built(nodes: DataFrame, depth: int, bits: int) -> list[DataFrame]:
 
 
 def manifest(rows: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> tuple[DataFrame, DataFrame]:
-    """The placed leaves (doc_id, key, leaf, offered, tree, pos, part) and the linked rows above them (tree, part, rung,
-    block, up, levels, subroot, root, last), both stored. ``rows``: doc_id, key, leaf, offered.
+    """The groups of leaves (tree, block, levels, top, left, held: doc_id and offered of each leaf; part, up, subroot) and
+    the linked rows above them (tree, part, rung, block, up, levels, subroot, root, last), both stored. ``rows``: doc_id,
+    key, leaf, offered.
 
     A linked row of a tree's rung holds the levels over 2**bits nodes; its own node is number ``up`` on the next rung.
-    Beyond the top of its tree the rungs go on in the tree of the subroots, up to the root (``last``).
+    Groups of leaves are rung 0. Beyond the top of its tree the rungs go on in the tree of the subroots, up to the root
+    (``last``).
     """
     at = stored(placed(rows, "key", ["doc_id", "leaf"]))
     sizes = at.groupBy("key").agg(F.max("n").alias("size"))
@@ -106,9 +114,9 @@ def manifest(rows: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> t
     most = keys.agg(F.max("size"), F.max("trees")).first()
     deep = [math.ceil(math.log2(x)) if x else 0 for x in most]
 
-    at = at.drop("n").join(keys.select("key", "tree", "size"), "key").withColumn("part", F.expr(f"shiftright(pos, {part_bits})"))
-    at = stored(at)
-    trees = _built(at.select("tree", "pos", F.col("leaf").alias("h"), _depth(F.col("size")).alias("left")), deep[0], bits)
+    met = at.drop("n").join(keys.select("key", "tree", "size"), "key")
+    trees = _built(met.select("tree", "pos", F.col("leaf").alias("h"), _depth(F.col("size")).alias("left"), "doc_id", "offered"), deep[0], bits)
+    discard(at)
     sized = keys.select("tree", "size")
     links, tops = [], None
     for rung, step in enumerate(trees):
@@ -117,11 +125,13 @@ def manifest(rows: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> t
         # the parts of leaves below the row: one, or many
         first = F.expr(f"shiftright(shiftleft(block, {under}), {part_bits})")
         past = F.least(F.expr(f"shiftright(shiftleft(block + 1, {under}) - 1, {part_bits})"), F.expr(f"shiftright(size - 1, {part_bits})"))
-        links.append(final.select(
-            "tree", F.explode(F.sequence(first, past)).alias("part"), F.lit(rung).alias("rung"), "block",
-            F.when(F.col("_ends"), F.col("tree")).otherwise(F.col("block")).alias("up"), "levels",
-            F.when(F.col("_ends"), F.col("top")).alias("subroot"), top.alias("root"), F.lit(False).alias("last"),
-        ))
+        up = F.when(F.col("_ends"), F.col("tree")).otherwise(F.col("block")).alias("up")
+        subroot = F.when(F.col("_ends"), F.col("top")).alias("subroot")
+        if rung:
+            links.append(final.select(
+                "tree", F.explode(F.sequence(first, past)).alias("part"), F.lit(rung).alias("rung"), "block", up, "levels", subroot,
+                top.alias("root"), F.lit(False).alias("last"),
+            ))
         ends = final.where("_ends").select("tree", F.col("top").alias("h"), F.lit(rung + 1).alias("rungs"), "size")
         tops = ends if tops is None else tops.union(ends)
     tops = stored(tops)
@@ -139,46 +149,60 @@ def manifest(rows: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> t
     for more in links[1:]:
         linked = linked.union(more)
     linked = stored(linked)
-    discard(keys, tops, *trees, *roots)
-    return at, linked
-
-
-#: One step of the climb: place ``i`` on the row's lowest level; ``path`` has, for each level, the sibling and its side.
+    ends = F.col("left") == 0
+    # a group is in one part, or else in many and its tree's only one below the next: its first part has all rows above
+    groups = trees[0].withColumns({
+        "part": F.expr(f"shiftright(shiftleft(block, {bits}), {part_bits})"), "up": F.when(ends, F.col("tree")).otherwise(F.col("block")), "subroot": F.when(ends, F.col("top")),
+    })
+    discard(keys, tops, *trees[1:], *roots)
+    return groups, linked
+
+
+#: Node ``i`` of the levels ``l`` climbs to their top: for each level below it, the sibling and its side.
+_PATH = """transform(slice(sequence(0, size({l}) - 1), 1, size({l}) - 1), t -> struct(
+      shiftright({i}, t) & 1 = 1 AS before, get({l}[t], shiftright({i}, t) ^ 1) AS sibling))"""
+_SIBLINGS = "aggregate({path}, {start}, (a, x) -> coalesce(concat(a, x.sibling), a))"
+_FOLDED = """aggregate({path}, {start}, (a, x) -> unhex(sha2(CASE WHEN x.sibling IS NULL THEN lower(hex(a))
+      WHEN x.before THEN lower(hex(concat(x.sibling, a))) ELSE lower(hex(concat(a, x.sibling))) END, 256)))"""
 _CLIMB = """
-WITH RECURSIVE climb(doc_id, leaf, tree, part, rung, pos, proof, folded, subroot, root, done) AS (
-  SELECT doc_id, leaf, tree, part, 0, pos, CAST('' AS BINARY), offered, CAST(NULL AS BINARY), CAST(NULL AS BINARY), false FROM {leaves}
+WITH RECURSIVE climb(tree, start, part, rung, pos, proof, folded, subroot, root, done) AS (
+  SELECT tree, block, part, 1, up, CAST('' AS BINARY), transform(held, (x, i) -> {own}), subroot, CAST(NULL AS BINARY), false FROM {groups}
   UNION ALL
-  SELECT doc_id, leaf, tree, part, rung + 1, up,
-    aggregate(path, proof, (a, x) -> coalesce(concat(a, x.sibling), a)),
-    aggregate(path, folded, (a, x) -> unhex(sha2(CASE WHEN x.sibling IS NULL THEN lower(hex(a))
-      WHEN x.before THEN lower(hex(concat(x.sibling, a))) ELSE lower(hex(concat(a, x.sibling))) END, 256))),
-    coalesce(subroot, found), top, last
+  SELECT tree, start, part, rung + 1, up, {siblings}, transform(folded, f -> {fold}), coalesce(subroot, found), top, last
   FROM (
-    SELECT c.*, l.up, l.subroot AS found, l.root AS top, l.last, transform(sequence(0, size(l.levels) - 1), t -> struct(
-      shiftright(CAST(c.pos & {mask} AS INT), t) & 1 = 1 AS before,
-      CASE WHEN t < size(l.levels) - 1 THEN get(l.levels[t], shiftright(CAST(c.pos & {mask} AS INT), t) ^ 1) END AS sibling,
-      t < size(l.levels) - 1 AS climbs)) AS steps
+    SELECT c.*, l.up, l.subroot AS found, l.root AS top, l.last, {steps} AS steps
     FROM climb c JOIN {links} l ON c.tree = l.tree AND c.part = l.part AND c.rung = l.rung AND shiftright(c.pos, {bits}) = l.block
     WHERE NOT c.done
-  ) LATERAL VIEW explode(array(filter(steps, x -> x.climbs))) AS path
+  ) LATERAL VIEW explode(array(steps)) AS path
 )
-SELECT doc_id, leaf, subroot, root, proof, folded FROM climb WHERE done"""
+SELECT tree, start, proof, folded, subroot, root FROM climb WHERE done"""
 
 
-def climb(at: DataFrame, links: DataFrame, bits: int = BITS) -> DataFrame:
+def climb(groups: DataFrame, links: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof, folded), binary: for each leaf the siblings from below to the root, one after
-    the other, and the root that its offered hash gives with them. Stored; Spark's limit on rows of a recursion is lifted
-    meanwhile, as every leaf has a row on every rung."""
-    spark = at.sparkSession
-    at.createOrReplaceTempView("_merkle_leaves"), links.createOrReplaceTempView("_merkle_links")
+    the other, and the root that its offered hash gives with them. The groups' climb is stored; Spark's limit on rows of a
+    recursion is lifted meanwhile, as every group has a row on every rung."""
+    spark = groups.sparkSession
+    groups.createOrReplaceTempView("_merkle_groups"), links.createOrReplaceTempView("_merkle_links")
+    query = _CLIMB.format(
+        groups="_merkle_groups", links="_merkle_links", bits=bits, steps=_PATH.format(l="l.levels", i=f"CAST(c.pos & {2**bits - 1} AS INT)"),
+        own=_FOLDED.format(path=_PATH.format(l="levels", i="i"), start="x.offered"),
+        siblings=_SIBLINGS.format(path="path", start="proof"), fold=_FOLDED.format(path="path", start="f"),
+    )
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")
     try:
-        return stored(spark.sql(_CLIMB.format(leaves="_merkle_leaves", links="_merkle_links", bits=bits, mask=2**bits - 1)))
+        climbed = stored(spark.sql(query))
     finally:
         spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
-        spark.catalog.dropTempView("_merkle_leaves"), spark.catalog.dropTempView("_merkle_links")
+        spark.catalog.dropTempView("_merkle_groups"), spark.catalog.dropTempView("_merkle_links")
+    met = groups.select("tree", F.col("block").alias("start"), "levels", "held").join(climbed, ["tree", "start"])
+    leaf = met.select("*", F.posexplode("held").alias("_i", "_of"))
+    first = _SIBLINGS.format(path=_PATH.format(l="levels", i="_i"), start="CAST('' AS BINARY)")
+    return leaf.select(
+        "_of.doc_id", F.expr("levels[0][_i]").alias("leaf"), "subroot", "root", F.expr(f"concat({first}, proof)").alias("proof"), F.expr("folded[_i]").alias("folded")
+    )
 
 
 def verify(docs: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> DataFrame:
@@ -189,7 +213,7 @@ def verify(docs: DataFrame, bits: int = BITS, part_bits: int = PART_BITS) -> Dat
     as subroot, a table of one language its subroot as root. No rows give no rows.
     """
     rows = stored(leaves(docs))  # the texts are read and hashed once
-    at, links = manifest(rows, bits, part_bits)
-    found = climb(at, links, bits)
-    discard(rows, at, links)
+    groups, links = manifest(rows, bits, part_bits)
+    found = climb(groups, links, bits)  # reads the groups when it is read
+    discard(rows, links)
     return found
