@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.corpus import shared_folder
+from ..sources.corpus import shared_folder, tidy
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -51,7 +50,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/glyphframe-{uuid.uuid4().hex}"
-    with _tidy(spark):
+    with tidy(spark):
         df.write.option("compression", codec).parquet(path)
     _files(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     back = spark.read.schema(df.schema).parquet(path)
@@ -69,18 +68,6 @@ def _files(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-@contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Within, a finished write's shuffle files are deleted: what it wrote is read from the shared folder."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of the undirected ``edges``: (node, component), component the smallest node reachable.
 
@@ -105,7 +92,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         """No node hangs below two others, or below one and above another."""
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.union(e.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        with _tidy(e.sparkSession):
+        with tidy(e.sparkSession):
             return ends.where("up + down > 1 and up > 0").isEmpty()
 
     while not settled(now):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,8 +69,8 @@ MANIFEST = "image string, label string, source string, orig string, style string
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the non-blank lines of a text file with their 0-based number; blank ones count.
 
-    Files are read by splits. Lines are numbered within their split; the splits' own counts, a small table, give the number
-    at which each begins. Each file of a folder has numbers of its own.
+    Files are read by splits. Lines are numbered within their split; the splits' own counts, a small table that every task
+    gets, give the number at which each begins: no line is shuffled. Each file of a folder has numbers of its own.
     """
     rows = spark.read.option("lineSep", "\n").text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")
@@ -76,7 +78,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each split
     before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("_file", "_from", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    lines = rows.join(splits, ["_file", "_from"]).select((F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = rows.join(F.broadcast(splits), ["_file", "_from"]).select((F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     return lines.where(F.trim("value") != "")
 
 
@@ -110,6 +112,18 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished write's shuffle files are deleted: what it wrote is read from the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: steps that read ``df`` twice see the same rows in the same partitions, and
     lineage is cut."""
@@ -185,11 +199,14 @@ def write_vocab(vocab: DataFrame, out: str) -> None:
 
 def write_joined(lines: DataFrame, out: str) -> None:
     """One file in the folder ``out`` with the lines (value) in the order of ``lines``: its partitions are written as ordered
-    parts by as many tasks, and their bytes then appended to each other, a buffer at a time. An existing folder is refused."""
+    parts by as many tasks, and their bytes then appended to each other, a buffer at a time. The parts are compressed, and
+    each is deleted once it is appended, so the lines take the disk once. An existing folder is refused."""
     spark = lines.sparkSession
     parts = f"{new_folder(spark)}/parts"
-    lines.select("value").write.text(parts)
+    with tidy(spark):
+        lines.select("value").write.option("compression", "gzip").text(parts)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
     path = jvm.org.apache.hadoop.fs.Path
     files, target = path(parts).getFileSystem(conf), path(out).getFileSystem(conf)
     if target.exists(path(out)):
@@ -197,11 +214,12 @@ def write_joined(lines: DataFrame, out: str) -> None:
     stream = target.create(path(f"{out}/part-00000.txt"), False)
     try:
         for part in sorted(str(f.getPath()) for f in files.listStatus(path(parts)) if f.getPath().getName().startswith("part-")):
-            source = files.open(path(part))
+            source = codecs.getCodec(path(part)).createInputStream(files.open(path(part)))
             try:
                 jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, conf, False)
             finally:
                 source.close()
+            files.delete(path(part), False)
     finally:
         stream.close()
     files.delete(path(parts).getParent(), True)
