@@ -79,18 +79,29 @@ def vocab_report(vocab: DataFrame) -> DataFrame:
     )
 
 
+#: A power of two: the indices counted in one row of A32.
+INDICES = 16
+
+
 def audit_metrics(samples: DataFrame) -> DataFrame:
     """One row of problem counts in scored samples (manifest_index, ref, hyp, edits, ref_len, hyp_len, correct): indices
-    used twice, and stored numbers that differ from recomputed ones (A32)."""
-    counted = samples.groupBy("manifest_index").agg(
-        F.count("*").alias("n"),
+    used twice, and stored numbers that differ from recomputed ones (A32).
+
+    INDICES neighbouring indices are counted in one row, each in a column of its own, so neighbouring samples meet before
+    the shuffle.
+    """
+    at = F.col("manifest_index")
+    counts = [F.count_if(at.bitwiseAND(INDICES - 1) == k).alias(f"_{k}") for k in range(INDICES)] + [F.count_if(at.isNull()).alias("_null")]
+    counted = samples.groupBy(F.shiftright(at, INDICES.bit_length() - 1).alias("_at")).agg(
+        *counts, F.count("*").alias("n"),
         F.count_if(F.col("edits") != F.levenshtein("ref", "hyp")).alias("edits"),
         F.count_if((F.col("ref_len") != F.length("ref")) | (F.col("hyp_len") != F.length("hyp"))).alias("lengths"),
         F.count_if(F.col("correct") != (F.col("ref") == F.col("hyp"))).alias("flags"),
-    )
+    )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    twice = sum((F.when(F.col(f"_{k}") > 1, 1).otherwise(0) for k in (*range(INDICES), "null")), F.lit(0))
     return counted.agg(
-        total("n").alias("n"), total((F.col("n") > 1).cast("long")).alias("duplicate_index"), total("edits").alias("wrong_edits"),
+        total("n").alias("n"), total(twice.cast("long")).alias("duplicate_index"), total("edits").alias("wrong_edits"),
         total("lengths").alias("wrong_lengths"), total("flags").alias("wrong_flags"),
     )
 
