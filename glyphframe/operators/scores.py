@@ -95,10 +95,19 @@ def assert_pairable(ctrl: DataFrame, treat: DataFrame, skipped: int = 0, keys: t
         raise ValueError(f"{bad} unmatched keys; pairing refused")
 
 
-def pair_arms(ctrl: DataFrame, treat: DataFrame, keys: tuple[str, ...] = ("manifest_index", "image", "ref")) -> DataFrame:
-    """The arms side by side (keys, hyp_ctrl, hyp_treat), after ``assert_pairable``."""
-    c = ctrl.select(*keys, F.col("hyp").alias("hyp_ctrl"))
-    return c.join(treat.select(*keys, F.col("hyp").alias("hyp_treat")), list(keys))
+def pair_arms(ctrl: DataFrame, treat: DataFrame, keys: tuple[str, ...] = ("manifest_index", "image", "ref"), dealt: str | None = None) -> DataFrame:
+    """The arms side by side (keys, hyp_ctrl, hyp_treat), after ``assert_pairable``.
+
+    ``dealt`` names a column that the keys determine and by which both arms are dealt already: samples are then paired
+    where they lie, within windows of the arms' union, and none is shuffled. A join would shuffle both arms by all of its keys.
+    """
+    if dealt is None:
+        c = ctrl.select(*keys, F.col("hyp").alias("hyp_ctrl"))
+        return c.join(treat.select(*keys, F.col("hyp").alias("hyp_treat")), list(keys))
+    arm = lambda df, name: df.select(dealt, *keys, F.struct("hyp").alias(name))
+    both = arm(ctrl, "_c").unionByName(arm(treat, "_t"), allowMissingColumns=True).na.drop(subset=list(keys))
+    met = both.withColumn("_c", F.collect_list("_c").over(Window.partitionBy(dealt, *keys))).where("_t is not null")
+    return met.select(*keys, F.explode("_c.hyp").alias("hyp_ctrl"), F.col("_t.hyp").alias("hyp_treat"))
 
 
 def covered(samples: DataFrame, labels: DataFrame) -> DataFrame:

@@ -90,10 +90,17 @@ def words(documents: DataFrame) -> DataFrame:
 PARTS_OF_SPLIT = 8
 
 
-def by_document(documents: DataFrame) -> DataFrame:
+def by_document(documents: DataFrame, parts: int = PARTS_OF_SPLIT) -> DataFrame:
     """``documents`` dealt by doc_id, to so many partitions that the sorts of their words fit in memory."""
     least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return documents.repartition(max(least, PARTS_OF_SPLIT * documents.rdd.getNumPartitions()), "doc_id")
+    return documents.repartition(max(least, parts * documents.rdd.getNumPartitions()), "doc_id")
+
+
+def samples_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``samples`` with the document they come from (page_id), dealt by it as whole texts: to more parts than words are,
+    as two arms of texts are sorted at once."""
+    held = words(by_document(load(spark, sf_dir, "documents"), 8 * PARTS_OF_SPLIT))
+    return spark.sql(SQL["samples"].replace("SELECT ", "SELECT doc_id AS page_id, ", 1), words=held)
 
 
 def with_fixtures(sql: str, names: list[str]) -> str:
