@@ -1,7 +1,7 @@
 """Tables of the library's shapes, derived from the given ones: each as SQL that Spark and DuckDB both run.
 
 ``{name}`` is another fixture or a given table. The two engines differ in how they split text into words, so
-``words`` has a text for each.
+``words`` has a text for each; so has ``boxes_det``, which Spark makes in one pass.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ WORDS_SPARK = """SELECT doc_id, lang, source, CAST(pos AS BIGINT) AS pos, w FROM
 WORDS_DUCKDB = """SELECT doc_id, lang, source, CAST(unnest(range(len(a))) AS BIGINT) AS pos, unnest(a) AS w FROM (
   SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z]+') AS a FROM documents)"""
 
+#: The rows of ``boxes_det`` in one pass over ``boxes_ref``: they stay dealt by page, which Spark cannot tell of the union.
+BOXES_DET_SPARK = """SELECT page_id, inline(CASE
+  WHEN (page_id + ref_id) % 6 = 1 THEN array(named_struct('det_id', ref_id * 10 + 1, 'x1', x1, 'y1', y1, 'x2', x1 + 20, 'y2', y2), named_struct('det_id', ref_id * 10 + 2, 'x1', x1 + 24, 'y1', y1, 'x2', x2, 'y2', y2))
+  WHEN (page_id + ref_id) % 6 <> 0 THEN array(named_struct('det_id', ref_id * 10, 'x1', x1 + page_id % 5, 'y1', y1 - page_id % 3, 'x2', x2 + ref_id % 4, 'y2', y2)) END) FROM {boxes_ref}"""
+
 SQL: dict[str, str] = {
     "samples": """SELECT doc_id * 100000 + pos AS manifest_index, source, CASE WHEN pos % 2 = 0 THEN 'modern' ELSE 'old' END AS style, w AS ref,
   CASE WHEN (doc_id + pos) % 7 = 0 THEN substr(w, 2) WHEN (doc_id + pos) % 11 = 0 THEN replace(w, 'e', 'a') WHEN (doc_id + pos) % 13 = 0 THEN concat(w, 'x') ELSE w END AS hyp_ctrl,
@@ -75,7 +80,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         made["words"] = words(by_document(load(spark, sf_dir, "documents")))
     elif name == "words":
         return words(load(spark, sf_dir, "documents"))
-    text = SQL[name]
+    text = BOXES_DET_SPARK if name == "boxes_det" else SQL[name]
     for key, (ours, _) in DIALECT.items():
         text = text.replace(f"{{{key}}}", ours)
     used = set(re.findall(r"\{(\w+)\}", text)) - set(made)
