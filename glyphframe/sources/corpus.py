@@ -70,9 +70,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the non-blank lines of a text file with their 0-based number; blank ones count.
 
     Files are read by splits. Lines are numbered within their split; the splits' own counts, a small table that every task
-    gets, give the number at which each begins: no line is shuffled. Each file of a folder has numbers of its own.
+    gets, give the number at which each begins: no line is shuffled. Each file below a folder has numbers of its own.
     """
-    rows = spark.read.option("lineSep", "\n").text(path).select(
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at")
     )
     splits = rows.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each split
