@@ -108,6 +108,12 @@ def samples_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SQL["samples"].replace("SELECT ", "SELECT doc_id AS page_id, ", 1), words=held)
 
 
+def components_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``components`` with the word that each was made from (w), dealt by document as whole texts."""
+    held = words(by_document(load(spark, sf_dir, "documents"), 8 * PARTS_OF_SPLIT))
+    return spark.sql(SQL["components"].replace("SELECT ", "SELECT w, ", 1), words=held)
+
+
 def with_fixtures(sql: str, names: list[str]) -> str:
     """DuckDB SQL: the fixtures as common table expressions, then ``sql``."""
     order: list[str] = []
