@@ -225,6 +225,28 @@ def write_joined(lines: DataFrame, out: str) -> None:
     files.delete(path(parts).getParent(), True)
 
 
+def write_parts(lines: DataFrame, out: str) -> None:
+    """The folder ``out`` with the lines (value) in the order of ``lines`` as ordered, compressed parts, each read by a task
+    of its own; appended to each other in the order of their names they are the one compressed file. The parts are complete
+    before they are moved to ``out``, and lines never lie on the disk as plain text. An existing folder is refused."""
+    spark = lines.sparkSession
+    parts = f"{new_folder(spark)}/parts"
+    with tidy(spark):
+        lines.select("value").write.option("compression", "gzip").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, to = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(out)
+    files, target = source.getFileSystem(conf), to.getFileSystem(conf)
+    if target.exists(to):
+        raise FileExistsError(f"{out} already exists")
+    if files.getUri().equals(target.getUri()):
+        moved = files.rename(source, to)
+    else:
+        moved = jvm.org.apache.hadoop.fs.FileUtil.copy(files, source, target, to, True, False, conf)
+    if not moved:
+        raise OSError(f"{parts} could not be moved to {out}")
+    files.delete(source.getParent(), True)
+
+
 def read_text_dir(spark: SparkSession, root: str) -> DataFrame:
     """(path, value) of every .txt below ``root``; bytes that are not UTF-8 are left out."""
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
